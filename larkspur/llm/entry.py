@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate
+from larkspur.llm import decontaminate, secrets, sentencepiece_codec
 
-QUERIES = {"op7_decontaminate": decontaminate.op7}
+QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1,
+    "op7_decontaminate": decontaminate.op7,
+    "op9_secrets": secrets.op9,
+}
 SQL = {"op7_decontaminate": decontaminate.OP7_SQL}
