@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, secrets, sentencepiece_codec
+from larkspur.llm import decontaminate, minhash, secrets, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
+    "op4_near_duplicates": minhash.op4,
     "op7_decontaminate": decontaminate.op7,
     "op9_secrets": secrets.op9,
 }
