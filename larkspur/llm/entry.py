@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, minhash, secrets, sentencepiece_codec
+from larkspur.llm import decontaminate, lines, minhash, secrets, sentencepiece_codec
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
     "op4_near_duplicates": minhash.op4,
     "op7_decontaminate": decontaminate.op7,
+    "op8_lines": lines.op8,
     "op9_secrets": secrets.op9,
+    "op10_paragraphs": lines.op10,
 }
 SQL = {"op7_decontaminate": decontaminate.OP7_SQL}

@@ -37,54 +37,64 @@ def hasher(rows: int, bands: int) -> MinHash:
     return MinHash(rows, bands)
 
 
-def units(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc_id, unit, node, n) of every unit; an empty one has node null and n 0. docs has doc_id (long) and text."""
+def units(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:
+    """(doc_id, the columns places, unit, node, n) of every unit; an empty one has node null and n 0. docs has doc_id (long), places and text."""
+    kinds = docs.select("doc_id", *places).schema
 
     def task(batches):
         for batch in batches:
-            for first, texts in blocks(batch.column(1).to_pylist()):
+            for first, texts in blocks(batch.column(0).to_pylist()):
                 s = shingled(texts, spec)
+                of = pa.array(first + s.doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + s.doc)), pa.array(s.number.astype(np.int32)), pa.array(s.node, mask=s.count == 0), pa.array(s.count.astype(np.int32))],
-                    ["doc_id", "unit", "node", "n"],
+                    [*(c.take(of) for c in batch.columns[1:]), pa.array(s.number.astype(np.int32)), pa.array(s.node, mask=s.count == 0), pa.array(s.count.astype(np.int32))],
+                    [*kinds.names, "unit", "node", "n"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, unit int, node long, n int")
+    schema = T.StructType([*kinds]).add("unit", T.IntegerType()).add("node", T.LongType()).add("n", T.IntegerType())
+    return docs.select("text", "doc_id", *places).mapInArrow(task, schema)
 
 
 def packed_bands(docs: DataFrame, spec: Spec, groups: int) -> DataFrame:
-    """(bucket, payload): the keys and nodes of one bucket of band keys, as bytes."""
+    """(bucket, payload): the band keys of one bucket and their nodes, as bytes: 4 and 8 for each. A node that a task meets again is put in twice."""
 
     def task(batches):
-        keys, nodes, held, met = [], [], 0, set()
+        keys, nodes, held, met, again = [], [], 0, set(), set()
 
         def flush():
             k, v = np.concatenate(keys), np.concatenate(nodes)
             to = (k >> np.uint64(33)) % np.uint64(groups)
-            order = np.argsort(to, kind="stable")
-            k, v, to = k[order], v[order], to[order]
+            order = np.lexsort((k, to))
+            k, v, to = k[order].astype(np.uint32), v[order], to[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             rows = [k[a:b].tobytes() + v[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(to[at[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
-            for _, texts in blocks(batch.column(1).to_pylist()):
+            for _, texts in blocks(batch.column(0).to_pylist()):
                 s = shingled(texts, spec)
-                _, one = np.unique(s.node, return_index=True)
+                distinct, one, times = np.unique(s.node, return_index=True, return_counts=True)
+                fresh = [x not in met for x in distinct.tolist()]
+                double = np.array([(t > 1 or not f) and x not in again for x, f, t in zip(distinct.tolist(), fresh, times.tolist(), strict=True)], bool)
                 take = np.zeros(len(s.node), bool)
-                take[one] = True
+                take[one[np.array(fresh, bool) | double]] = True
                 take &= s.count > 0
-                take[take] = [x not in met for x in s.node[take].tolist()]
                 if not take.any():
                     continue
-                if len(met) < 1_000_000:
-                    met.update(s.node[take].tolist())
+                again.update(distinct[double].tolist())
+                met.update(distinct.tolist())
+                if len(met) > 1_000_000:  # forgetting only means that a node is put in again
+                    met.clear()
+                    again.clear()
                 name = np.cumsum(take) - 1
                 mine = take[s.owner]
                 m = hasher(spec.rows, spec.bands)
                 k = m.keys(m.signatures(name[s.owner[mine]], s.shingle[mine], int(take.sum())))
                 keys.append(k.ravel())
                 nodes.append(np.repeat(s.node[take], spec.bands))
+                twice = np.isin(s.node[take], distinct[double])
+                keys.append(k[twice, 0])
+                nodes.append(s.node[take][twice])
                 held += k.size
                 if held >= PACKED:
                     yield flush()
@@ -92,23 +102,24 @@ def packed_bands(docs: DataFrame, spec: Spec, groups: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(task, "bucket int, payload binary")
+    return docs.select("text").mapInArrow(task, "bucket int, payload binary")
 
 
 def stars(bands: DataFrame) -> DataFrame:
-    """(src, dst): a spanning forest, by bucket, of the links between nodes that share a band key."""
+    """(src, dst): a spanning forest, by bucket, of the links between nodes that share a band key; and a link to itself for each node that several units have."""
 
     def group(table: pa.Table) -> pa.Table:
         parts = table.column("payload").to_pylist()
-        keys = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 16) for p in parts])
-        nodes = np.concatenate([np.frombuffer(p, np.int64, offset=len(p) // 2) for p in parts])
+        keys = np.concatenate([np.frombuffer(p, np.uint32, len(p) // 12) for p in parts])
+        nodes = np.concatenate([np.frombuffer(p, np.int64, offset=len(p) // 3) for p in parts])
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
-        head = np.concatenate([[True], keys[1:] != keys[:-1]])
-        center = nodes[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]  # the smallest node of the bucket
+        same = keys[1:] == keys[:-1]
+        center = nodes[np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(keys)), 0))]  # the smallest node of the bucket
         far = center != nodes
         a, b = forest(center[far], nodes[far])
-        return pa.table({"src": pa.array(a), "dst": pa.array(b)})
+        twice = np.unique(nodes[1:][same & (nodes[1:] == nodes[:-1])])
+        return pa.table({"src": pa.array(np.concatenate([a, twice])), "dst": pa.array(np.concatenate([b, twice]))})
 
     return bands.groupBy("bucket").applyInArrow(group, "src long, dst long")
 
@@ -144,53 +155,55 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tup
     return np.concatenate(a), np.concatenate(b)
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, spec: Spec) -> DataFrame:
+def members(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:
+    """(doc_id, places, unit, node, n, cluster) of the units that share a band, or their whole set, with another unit. Checkpointed: two later steps read it."""
+    links = cut(stars(packed_bands(docs, spec, buckets(docs.sparkSession))))
+    roots = components(links)
+    all_nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).unionByName(links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root")))
+    clusters = all_nodes.groupBy("node").agg(F.min("root").alias("cluster"))  # a node that is met twice and linked has both rows; its root is the smaller
+    return cut(units(docs, spec, *places).join(clusters, "node"))
+
+
+def confirmed(docs: DataFrame, members: DataFrame, spec: Spec) -> DataFrame:
     """(src, dst): a spanning forest, by task, of the links between nodes of a cluster that full sets confirm."""
     groups = buckets(docs.sparkSession)
-    one = nodes.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "unit")).alias("at"), F.max("n").alias("n"))
-    c = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    c = one.join(c, "node").select("node", "root", "at.doc_id", "at.unit", "n")
-    c = cut(c)
-    size = c.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    c = c.join(size, "root").select("doc_id", F.struct("unit", "node", "root", "blocks").alias("x"))
-    wanted = c.groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
-    if spec.unit == "document":
-        rows = rows.select("text", F.explode("wanted").alias("x")).select("x.node", "x.root", "x.blocks", "text")
-    else:
-        rows = rows.select(F.split("text", "\n", -1).alias("lines"), "wanted")
-        line = lambda x: F.struct(x["node"].alias("node"), x["root"].alias("root"), x["blocks"].alias("blocks"), F.get(F.col("lines"), x["unit"]).alias("text"))
-        rows = rows.select(F.explode(F.transform("wanted", line)).alias("x")).select("x.*").where("text IS NOT NULL")
+    one = members.groupBy("node").agg(F.min(F.struct("doc_id", "unit")).alias("at"), F.max("n").alias("n"), F.min("cluster").alias("cluster"))
+    size = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
+    size = size.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    wanted = one.join(size, "cluster").select("at.doc_id", F.struct("at.unit", "node", "cluster", "blocks").alias("x"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts(spec), "node long, cluster long, blocks int, text string")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("root", "i", "j"), F.lit(groups)).cast("int"))
+    rows = rows.select("node", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
+    alone = Spec("document", *spec[1:])
 
     def group(table: pa.Table) -> pa.Table:
-        root, i, j, block, node = (table.column(c).to_numpy() for c in ("root", "i", "j", "block", "node"))
+        cluster, i, j, block, node = (table.column(c).to_numpy() for c in ("cluster", "i", "j", "block", "node"))
         texts = table.column("text")
-        order = np.lexsort((node, j, i, root))
-        cut_at = np.flatnonzero((np.diff(root[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        order = np.lexsort((node, j, i, cluster))
+        apart = np.flatnonzero((np.diff(cluster[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        owner, upto, shingle, good = [], [0], [], []
+        for _, part in blocks(texts.take(pa.array(order)).to_pylist()):
+            s = shingled(part, alone)
+            good.append(s.node)
+            shingle.append(s.shingle)
+            upto += (upto[-1] + np.cumsum(s.count)).tolist()
+        found, shingle = np.concatenate(good), np.concatenate(shingle)
         src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mine in np.split(order, cut_at):
-            one_text = Spec("document", *spec[1:])
-            sets, names, sides = [], [], []
-            for first, part in blocks(texts.take(pa.array(mine)).to_pylist()):
-                s = shingled(part, one_text)
-                upto = np.concatenate([[0], np.cumsum(s.count)])
-                for k in range(len(part)):
-                    name = node[mine[first + k]]
-                    if s.node[k] == name and (not names or names[-1] != name):  # other rows under this id are not the unit that was meant
-                        sets.append(s.shingle[upto[k] : upto[k + 1]])
-                        names.append(name)
-                        sides.append(block[mine[first + k]])
-            side = np.array(sides)
-            apart = i[mine[0]] != j[mine[0]]
-            if len(sets) < 2 or apart and (side == side[0]).all():
+        for mine in np.split(np.arange(len(order)), apart):
+            mine = mine[found[mine] == node[order[mine]]]  # other rows under an id need not be the unit that was meant
+            name, once = np.unique(node[order[mine]], return_index=True)
+            mine = mine[once]
+            if len(mine) < 2:
+                continue
+            side = block[order[mine]]
+            cross = i[order[mine[0]]] != j[order[mine[0]]]
+            if cross and (side == side[0]).all():
                 continue
-            a, b = linked(sets, side if apart else None, spec.percent)
-            names = np.array(names)
-            a, b = forest(names[a], names[b])
+            a, b = linked([shingle[upto[k] : upto[k + 1]] for k in mine], side if cross else None, spec.percent)
+            a, b = forest(name[a], name[b])
             src.append(a)
             dst.append(b)
         return pa.table({"src": pa.array(np.concatenate(src)), "dst": pa.array(np.concatenate(dst))})
@@ -198,8 +211,44 @@ def confirmed(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, spec: Spec
     return rows.groupBy("bucket").applyInArrow(group, "src long, dst long")
 
 
-def classes(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """units(docs), and (node, root) of the nodes that belong to a class and are not its smallest node. Rows without an id are in no class."""
-    nodes, named = units(docs, spec), docs.where("doc_id IS NOT NULL")
-    clusters = components(stars(packed_bands(named, spec, buckets(docs.sparkSession))))
-    return nodes, components(confirmed(named, nodes, clusters, spec))
+def _texts(spec: Spec):
+    """Of rows (text, wanted units), a row for each wanted unit with its own text."""
+
+    def task(batches):
+        for batch in batches:
+            wanted = batch.column(1)
+            size = np.diff(wanted.offsets.to_numpy())
+            x = wanted.flatten()
+            fields = {name: x.field(name).to_numpy() for name in ("unit", "node", "cluster", "blocks")}
+            upto = np.concatenate([[0], np.cumsum(size)])
+            for first, texts in blocks(batch.column(0).to_pylist()):
+                a, b = upto[first], upto[first + len(texts)]
+                of, unit = np.repeat(np.arange(len(texts)), size[first : first + len(texts)]), fields["unit"][a:b]
+                if spec.unit == "document":
+                    out, ok = [texts[k] for k in of], np.ones(b - a, bool)
+                else:
+                    s = shingled(texts, spec)
+                    head = np.searchsorted(s.doc, of)
+                    ok = unit < np.searchsorted(s.doc, of, "right") - head
+                    raw = [t.encode("utf-8", "surrogatepass") for t in texts] if spec.shingle == "word" else texts
+                    out = [raw[k][s.begin[u] : s.end[u]] for k, u in zip(of[ok], (head + unit)[ok], strict=True)]
+                    if spec.shingle == "word":
+                        out = [t.decode("utf-8", "surrogatepass") for t in out]
+                yield pa.RecordBatch.from_arrays([*(pa.array(fields[name][a:b][ok]) for name in ("node", "cluster", "blocks")), pa.array(out, pa.string())], ["node", "cluster", "blocks", "text"])
+
+    return task
+
+
+def classes(docs: DataFrame, spec: Spec, *places: str) -> tuple[DataFrame, DataFrame]:
+    """members(docs), and (node, root) of the nodes that belong to a class and are not its smallest node. doc_id is not null."""
+    m = members(docs, spec, *places)
+    return m, components(confirmed(docs, m, spec))
+
+
+def repeats(docs: DataFrame, spec: Spec, place: str) -> DataFrame:
+    """(doc_id, removed: the ascending numbers of its units that repeat an earlier one): of each class of units, the one of the least (place, doc_id, unit) stays."""
+    m, roots = classes(docs, spec, place)
+    m = m.join(roots, "node", "left").select("doc_id", place, "unit", F.coalesce("root", "node").alias("root"))
+    first = m.groupBy("root").agg(F.min(F.struct(place, "doc_id", "unit")).alias("first"))
+    gone = m.join(first, "root").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("removed"))

@@ -43,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spec(NamedTuple):
-    """What is compared: unit ('document' or 'line'), shingles of size words or characters ('word' or 'char'), the least similarity in percent, and MinHash rows and bands."""
+    """What is compared: unit ('document', 'line', or 'piece': a part of a line that is cut at places its words decide), shingles of size words or characters ('word' or 'char'), the least similarity in percent, and MinHash rows and bands. Pieces of fewer words than a shingle are left out."""
 
     unit: str
     shingle: str
@@ -58,6 +58,8 @@ class Shingled(NamedTuple):
     number: np.ndarray  # and its place in that text (0, or the line's number)
     count: np.ndarray  # size of its set; 0 if it is empty
     node: np.ndarray  # hash of its set
+    begin: np.ndarray  # its first and last word's or character's place in its text, in bytes (word) or characters (char); end exclusive
+    end: np.ndarray
     owner: np.ndarray  # of each shingle: its unit; ascending
     shingle: np.ndarray  # distinct within the unit, ascending
 
@@ -76,15 +78,36 @@ def blocks(texts: list[str | None], most: int = BLOCK_CHARS):
         yield first, out
 
 
-def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of buf (bytes), A-Z as a-z."""
+def cuts(h: np.ndarray, line: np.ndarray, reach: int = 5) -> np.ndarray:
+    """Where pieces begin: at a line's first word, and before a word whose hash with the next word's is less than those of the reach words before and after it in the line.
+
+    So the same run of words is cut at the same places wherever it stands, but for reach words at its ends, and pieces have 6 words or more.
+    """
+    n = len(h)
+    first = np.concatenate([[True], line[1:] != line[:-1]]) if n else np.zeros(0, bool)
+    pair = h.copy()
+    pair[:-1] += np.where(line[1:] == line[:-1], h[1:] * ODD[55], U(0))
+    pair = mix(pair)
+    low = np.ones(n, bool)
+    for d in range(1, reach + 1):
+        same = line[d:] == line[:-d]
+        low[:-d] &= ~same | (pair[:-d] < pair[d:])
+        low[d:] &= same & (pair[d:] < pair[:-d])  # a line's first words are no cuts: its first piece would be too short
+    low[:reach] = low[max(0, n - reach) :] = False
+    if n > reach:
+        low[:-reach] &= line[reach:] == line[:-reach]
+    return first | low
+
+
+def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of buf (bytes), A-Z as a-z."""
     gap = SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
     np.cumsum(BYTE[LOWER[buf]] * up[: len(buf)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start])
+    return start, end, mix((total[end] - total[start]) * down[start])
 
 
 def windows(h: np.ndarray, owner: np.ndarray, n_units: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +139,7 @@ def shingled(texts: list[str], spec: Spec) -> Shingled:
         buf = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size + 1) - size - 1
-    if spec.unit == "line":
+    if spec.unit != "document":
         lines = np.concatenate([[0], np.flatnonzero(buf == 10) + 1]).astype(np.int64)
         doc = np.searchsorted(begin, lines, "right") - 1
         first = np.searchsorted(lines, begin)
@@ -126,7 +149,13 @@ def shingled(texts: list[str], spec: Spec) -> Shingled:
         doc, number, starts = np.arange(len(texts)), np.zeros(len(texts), np.int64), begin
     n = len(starts)
     if spec.shingle == "word":
-        at, h = words(buf)
+        at, till, h = words(buf)
+        if spec.unit == "piece":
+            line = np.searchsorted(starts, at, "right") - 1
+            at_cut = np.flatnonzero(cuts(h, line))
+            starts, doc = at[at_cut], doc[line[at_cut]]
+            number = np.arange(len(starts)) - np.searchsorted(doc, doc)
+            n = len(starts)
     else:
         # Characters of a line, without white space at either end; runs of them are what is compared.
         low = np.where((buf >= 65) & (buf <= 90), buf + np.uint32(32), buf)
@@ -140,8 +169,16 @@ def shingled(texts: list[str], spec: Spec) -> Shingled:
             lo[of[f]], hi[of[f]] = ink[f], ink[t]
         where = np.searchsorted(starts, np.arange(len(buf)), "right") - 1 if len(buf) else np.zeros(0, np.int64)
         at = np.flatnonzero((np.arange(len(buf)) >= lo[where]) & (np.arange(len(buf)) <= hi[where])) if len(buf) else np.zeros(0, np.int64)
-        h = mix(low[at].astype(U) + ODD[59])
+        h, till = mix(low[at].astype(U) + ODD[59]), at + 1
     owner = np.searchsorted(starts, at, "right") - 1
+    size = np.bincount(owner, minlength=n)
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    has = size > 0
+    f = (np.cumsum(size) - size)[has]
+    left[has], right[has] = at[f] - begin[doc[has]], till[f + size[has] - 1] - begin[doc[has]]
+    if spec.unit == "piece":
+        enough = (size >= spec.size)[owner]
+        owner, h = owner[enough], h[enough]
     o, s = windows(h, owner, n, spec.size)
     order = np.lexsort((s, o))
     o, s = o[order], s[order]
@@ -153,7 +190,7 @@ def shingled(texts: list[str], spec: Spec) -> Shingled:
     has = count > 0
     if has.any():
         node[has] = mix(np.add.reduceat(mix(s + ODD[58]), (np.cumsum(count) - count)[has]) + count[has].astype(U))
-    return Shingled(doc, number, count, node.view(np.int64), o, s)
+    return Shingled(doc, number, count, node.view(np.int64), left, right, o, s)
 
 
 class MinHash:
