@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, lines, minhash, secrets, sentencepiece_codec
+from larkspur.llm import decontaminate, lines, minhash, secrets, sentencepiece_codec, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
     "op4_near_duplicates": minhash.op4,
+    "op5_substrings": substrings.op5,
     "op7_decontaminate": decontaminate.op7,
     "op8_lines": lines.op8,
     "op9_secrets": secrets.op9,
