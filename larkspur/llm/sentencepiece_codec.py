@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that are encoded at a time, and chunks whose ids a task remembers between blocks.
-BLOCK_CHARS, MEMORY = 1 << 21, 300_000
+BLOCK_CHARS, MEMORY = 1 << 21, 600_000
 
 
 class Vocabulary(NamedTuple):
@@ -67,112 +67,140 @@ class Codec:
         letters = sorted({c for p in self.id for c in p})
         self.code = np.full(0x110000, 0xFFFE, np.uint16)  # 0 ends a chunk; 0xFFFE is in no piece
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        keys = np.zeros((len(normal), self.deep), ">u2")
+        wide = -(-self.deep // 4) * 4
+        keys = np.zeros((len(normal), wide), ">u2")
         for k, i in enumerate(normal):
             p = v.pieces[i]
             keys[k, : len(p)] = self.code[[ord(c) for c in p]]
         above = np.where(keys == 0, 0xFFFF, keys).astype(">u2")
-        self.low, self.high = (x.view(f"S{2 * self.deep}").ravel() for x in (keys, above))
+        self.low, self.high = (x.view(f"S{2 * wide}").ravel() for x in (keys, above))
         self.normal, self.length = np.array(normal), np.array([len(v.pieces[i]) for i in normal])
         inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
         line = not inner and not any("\n" in p for p in self.id)
         self.chunk = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.slots = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+        self.forget()
         escape = lambda b: chr(b) if b < 128 else chr(0xDC00 + b)
         self.text = [escape(int(p[3:5], 16)) if k == "b" else "" if k == "c" else " ⁇ " if k == "u" else p.replace(SPACE, " ") for p, k in zip(v.pieces, v.kinds, strict=True)]
 
+    def forget(self) -> None:
+        """Begin anew with what is remembered of chunks: the number of each, and where its ids begin among all ids."""
+        self.seen: dict[str, int] = {}
+        self.upto, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging pairs, best score first, then leftmost."""
-        parts = list(text)
-        while True:
-            best = max(((self.score[p + q], -k) for k, (p, q) in enumerate(zip(parts, parts[1:], strict=False)) if p + q in self.score), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
-            parts[k : k + 2] = ["".join(parts[k : k + 2])]
-
-    def allowed(self, last: int, piece: int) -> bool:
-        """Whether a path that ends in last (-1: none yet) may go on with piece."""
-        key = (last, piece)
-        if (known := self.fits.get(key)) is None:
-            a, b = (self.v.pieces[last] if last >= 0 else ""), self.v.pieces[piece]
-            known = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
-            if len(self.fits) > 4_000_000:
-                self.fits.clear()
-        return known
-
-    def edges(self, codes: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-        """Start, piece and length of all occurrences of pieces in codes, by start."""
-        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([codes, np.zeros(self.deep - 1, np.uint16)]).astype(">u2"), self.deep)
-        keys = np.ascontiguousarray(windows).view(f"S{2 * self.deep}").ravel()
-        suffixes = np.argsort(keys, kind="stable")
-        keys = keys[suffixes]
+        parts, score, none = list(text), self.score, -float("inf")
+        pairs = [score.get(p + q, none) for p, q in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = score.get(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = score.get(parts[k] + parts[k + 1], none)
+        return parts
+
+    def allowed(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether a path that ends in last (-1: at its start) may go on with piece."""
+        key = (last.astype(np.int64) + 1) * len(self.v.pieces) + piece
+        slot = (key * 0x9E3779B1) & (len(self.slots[0]) - 1)
+        keys, values = self.slots
+        for k in np.unique(key[keys[slot] != key]).tolist():
+            known = self.fits.get(k)
+            if known is None:
+                p, i = divmod(k, len(self.v.pieces))
+                a, b = (self.v.pieces[p - 1] if p else ""), self.v.pieces[i]
+                if len(self.fits) > 2_000_000:
+                    self.fits.clear()
+                known = self.fits[k] = self.merged(a + b) == ([a, b] if a else [b])
+            at = (k * 0x9E3779B1) & (len(keys) - 1)
+            keys[at], values[at] = k, known
+        out = values[slot]
+        for k in np.flatnonzero(keys[slot] != key).tolist():  # two pairs of this call have one slot
+            out[k] = self.fits[int(key[k])] if int(key[k]) in self.fits else self.allowed(last[k : k + 1], piece[k : k + 1])[0]
+        return out
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, piece and length of all occurrences of pieces in codes."""
+        wide = -(-self.deep // 4) * 4
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([codes, np.zeros(wide - 1, np.uint16)]).astype(">u2"), wide)
+        windows = np.ascontiguousarray(windows)
+        suffixes = np.lexsort(windows.view(">u8").astype(np.uint64).T[::-1])
+        keys = windows[suffixes].view(f"S{2 * wide}").ravel()
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         n = hi - lo
         which = np.repeat(np.arange(len(n)), n)
         start = suffixes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        order = np.argsort(start, kind="stable")
-        which = which[order]
-        return start[order].tolist(), self.normal[which].tolist(), self.length[which].tolist()
+        return start, self.normal[which], self.length[which]
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks and remember their ids."""
         joined = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.code[joined]
-        ends = np.cumsum([len(c) for c in chunks]) + np.arange(len(chunks))
+        size = np.array([len(c) for c in chunks])
+        ends = np.cumsum(size) + np.arange(len(chunks))
         codes[ends[:-1]] = 0
-        begins = ends - [len(c) for c in chunks]
+        begins = ends - size
         none = -9
-        last, back = [none] * (len(codes) + 1), [0] * (len(codes) + 1)
-        for b in begins.tolist():
-            last[b] = -1
+        last, back = np.full(len(codes) + 1, none, np.int32), np.zeros(len(codes) + 1, np.int64)
+        last[begins] = -1
         start, piece, length = self.edges(codes)
-        odd = np.flatnonzero(codes == 0xFFFE).tolist()  # these go on from wherever their position is reached
-        fits, allowed = self.fits, self.allowed
-        k, n = 0, len(start)
-        for at in [*odd, len(codes)]:
-            while k < n and start[k] < at:
-                s = start[k]
-                if (p := last[s]) != none:
-                    i = piece[k]
-                    good = fits.get((p, i))
-                    if allowed(p, i) if good is None else good:
-                        e = s + length[k]
-                        last[e], back[e] = i, s
-                k += 1
-            if at < len(codes):
-                last[at + 1], back[at + 1] = -1, at
-        for c, b, e in zip(chunks, begins.tolist(), ends.tolist(), strict=True):
-            out: list[int] = []
-            while e > b:
-                s = back[e]
-                if last[e] >= 0:
-                    out.append(last[e])
-                elif self.bytes:
-                    out += [self.bytes[x] for x in reversed(c[s - b].encode("utf-8", "replace"))]
-                else:
-                    out.append(self.unknown)
-                e = s
-            self.seen[c] = tuple(reversed(out))
+        odd = np.flatnonzero(codes == 0xFFFE)  # from these a path goes on anew
+        start, piece, length = np.concatenate([start, odd]), np.concatenate([piece, np.full(len(odd), -1)]), np.concatenate([length, np.ones(len(odd), np.int64)])
+        depth = start - np.repeat(begins, size + 1)[start]
+        order = np.argsort(depth, kind="stable")
+        start, piece, length = start[order], piece[order], length[order]
+        steps = np.concatenate([[0], np.flatnonzero(np.diff(depth[order])) + 1, [len(order)]])
+        for a, b in zip(steps, steps[1:], strict=False):  # all chunks at once, position by position
+            s, i = start[a:b], piece[a:b]
+            e = s + length[a:b]
+            open_ = (last[s] != none) & (last[e] == none)
+            s, i, e = s[open_], i[open_], e[open_]
+            good = i < 0
+            known = np.flatnonzero(~good)
+            good[known] = self.allowed(last[s[known]], i[known])
+            last[e[good]], back[e[good]] = i[good], s[good]
+        chunk, at, found = np.arange(len(chunks)), ends, []
+        while len(at):
+            before = back[at]
+            found.append((chunk, before, np.where(last[at] < 0, -1 - joined[before].astype(np.int64), last[at])))
+            more = before > begins[chunk]
+            chunk, at = chunk[more], before[more]
+        chunk, at, ids = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        chunk, ids = chunk[order], ids[order]
+        if (ids < 0).any():
+            chunk, ids = self.spelled(chunk, ids)
+        n = np.bincount(chunk, minlength=len(chunks))
+        self.seen.update(zip(chunks, range(len(self.upto) - 1, len(self.upto) - 1 + len(chunks)), strict=True))
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(n)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def spelled(self, chunk: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no pieces (-1 - character) as byte pieces, or as the unknown piece."""
+        spell = {c: [self.bytes[x] for x in chr(-1 - c).encode("utf-8", "replace")] if self.bytes else [self.unknown] for c in np.unique(ids[ids < 0]).tolist()}
+        n = np.ones(len(ids), np.int64)
+        odd = np.flatnonzero(ids < 0)
+        n[odd] = [len(spell[c]) for c in ids[odd].tolist()]
+        out = np.repeat(ids, n)
+        out[np.repeat(ids < 0, n)] = list(chain.from_iterable(spell[c] for c in ids[odd].tolist()))
+        return np.repeat(chunk, n), out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the last ends), and all ids."""
         split = [self.chunk.findall((SPACE if self.v.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        distinct = dict.fromkeys(chain.from_iterable(split))
         if len(self.seen) > MEMORY:
-            self.seen.clear()
-        if new := [c for c in distinct if c not in self.seen]:
+            self.forget()
+        flat = list(chain.from_iterable(split))
+        if new := list(set(flat).difference(self.seen)):
             self.learn(new)
-        for k, c in enumerate(distinct):
-            distinct[c] = k
-        ids = [self.seen[c] for c in distinct]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, size.sum())
-        at = np.fromiter(map(distinct.__getitem__, chain.from_iterable(split)), np.int64)
-        n = size[at]
-        begin = np.cumsum(size) - size
-        values = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)]
+        at = np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
+        begin = self.upto[at]
+        n = self.upto[at + 1] - begin
+        values = self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
         upto = np.concatenate([[0], np.cumsum(n)])
         return upto[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)], values
 
