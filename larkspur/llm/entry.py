@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, lines, minhash, secrets, sentencepiece_codec, substrings
+from larkspur.llm import decontaminate, lines, minhash, quality, secrets, sentencepiece_codec, substrings, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
+    "op2_toxicity": toxicity.op2,
     "op4_near_duplicates": minhash.op4,
     "op5_substrings": substrings.op5,
+    "op6_quality": quality.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_lines": lines.op8,
     "op9_secrets": secrets.op9,
