@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, lines, minhash, quality, secrets, sentencepiece_codec, substrings, toxicity
+from larkspur.llm import decontaminate, lines, minhash, neighbours, quality, secrets, sentencepiece_codec, substrings, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_neighbours": neighbours.op3,
     "op4_near_duplicates": minhash.op4,
     "op5_substrings": substrings.op5,
     "op6_quality": quality.op6,
