@@ -92,14 +92,35 @@ def _small(marks: DataFrame) -> bool:
     return marks.limit(MAX_SET + 1).count() <= MAX_SET
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """The rows of documents that hold no benchmark window, with their columns as they were."""
-    rows, marks = hits(documents.withColumnRenamed("row", "_row") if "row" in documents.columns else documents, benchmark, text, item, item_text, window)
-    m = marks.select("w").distinct()
-    flat = rows.select("row", F.explode("scan.found.w").alias("w"))
-    bad = flat.join(F.broadcast(m) if _small(m) else m, "w", "left_semi").select("row").distinct()
-    out = rows.join(bad, "row", "left_anti").drop("row", "scan")
-    return out.withColumnRenamed("_row", "row") if "row" in documents.columns else out
+def remove(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """The rows of documents that hold no benchmark window, with their columns as they were.
+
+    A hit of the hash set is verified in the row, against the windows' words; so a set that is small enough needs no shuffle.
+    """
+    marks = benchmark_windows(benchmark, item, item_text, window).cache()
+    lengths = [r["n"] for r in marks.select("n").distinct().collect()]
+    if not _small(marks):
+        rows, _ = hits(documents.withColumnRenamed(text, "_text"), benchmark, "_text", item, item_text, window)
+        flat = rows.select("row", F.explode("scan.found.w").alias("w"))
+        bad = flat.join(marks.select("w").distinct(), "w", "left_semi").select("row").distinct()
+        return rows.join(bad, "row", "left_anti").withColumnRenamed("_text", text).select(*documents.columns)
+    known = {n: ([], []) for n in lengths}
+    for r in marks.select("n", "h", F.array_join("w", " ").alias("s")).distinct().collect():
+        known[r["n"]][0].append(r["h"])
+        known[r["n"]][1].append(r["s"])
+    marks.unpersist()
+
+    def clean(ws: Column) -> Column:
+        out = F.lit(True)
+        for n, (hashes, texts) in sorted(known.items()):
+            spots = F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1)))
+            out = out & ~((F.size(ws) >= n) & F.exists(spots, holds(ws, n, hashes, texts)))
+        return out
+
+    def holds(ws: Column, n: int, hashes: list[int], texts: list[str]):
+        return lambda i: F.xxhash64(F.slice(ws, i, n)).isin(hashes) & F.array_join(F.slice(ws, i, n), " ").isin(texts)
+
+    return documents.where(bind(words(F.col(text)), clean))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import near
+from larkspur.llm.lines import key, keyed
 from larkspur.llm.session import cut
 from larkspur.llm.units import Spec
 
@@ -34,5 +35,11 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents but those near-duplicate to one with a smaller id (a null id comes last); rows equal in id and text stay or go together."""
+    gone = near.repeats(keyed(documents, doc_id, text), spec(shingle, percent), "place").select(F.col("doc_id").alias("_key"))
+    return documents.withColumn("_key", key(doc_id, text)).join(gone, "_key", "left_anti").select(*documents.columns)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)

@@ -172,6 +172,24 @@ def score(documents: DataFrame, model: tuple[list[int], list[float]], doc_id: st
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(task, schema)
 
 
+def clean(documents: DataFrame, model: tuple[list[int], list[float]], text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of documents that score below threshold, with their columns as they were."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text)
+
+    def task(batches):
+        features, weights = held.value
+        s, w, b = Sentences(features), np.array(weights[:-1]), weights[-1]
+        for batch in batches:
+            keep = []
+            for t in batch.column(at).to_pylist():
+                z = [b + w[f].sum() for _, _, f in s.of(t or "")]
+                keep.append(round(float(-np.expm1(-np.logaddexp(0, z).sum())), 6) < threshold if z else True)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(task, documents.schema)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
