@@ -7,11 +7,12 @@ least hash form a segment, of about 16 windows, and only segments are moved:
 
 1. Each task cuts its texts into segments and deals (digit, document, segment number), packed, by digit. A digit
    that occurs in one document only ends here: none of its windows repeats.
-2. For the other segments the bytes are fetched from the documents, dealt by digit and sorted further: first whole
-   segments (equal ones, the bulk of copied text, are decided at once), then, where different segments share a
-   digit, their windows by most-significant-digit passes of eight bytes, each pass on the groups of the pass before
-   that still have two members, until all 50 bytes are used. Equal groups are exactly the repeated windows.
-3. The windows to remove go back to their documents, which are cut.
+2. The other segments are dealt by digit again, with a hash of their bytes: equal segments, the bulk of copied text,
+   are decided at once, all but those of the earliest document.
+3. Where different segments share a digit, the bytes of one of each are fetched from the documents and their windows
+   sorted by most-significant-digit passes of eight bytes, each pass on the groups of the pass before that still have
+   two members, until all 50 bytes are used. Equal groups are exactly the repeated windows.
+4. The windows to remove go back to their documents, which are cut.
 
 A digit or segment that very many documents share is reduced to one entry by each task before it is dealt, so a
 group grows with the number of tasks and not with the documents.
@@ -38,14 +39,14 @@ LENGTH, GRAM = 50, 20
 RUN, BLOCK, PACK, PACK_TEXTS = 64, 1 << 20, 1_500_000, 60_000
 
 
-def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digit, text, start in the text and number of windows of every segment of texts."""
+def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Digit, text, start in the text, number of windows and hash of the bytes of every segment of texts."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     end = np.cumsum(size)
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none.astype(U), none, none, none
+        return none.astype(U), none, none, none, none.astype(U)
     up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
     np.cumsum(BYTE[buf] * up[: len(buf)], out=total[1:])
@@ -60,7 +61,7 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
     text = np.repeat(np.arange(len(texts)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     if not len(text):
-        return none.astype(U), none, none, none
+        return none.astype(U), none, none, none, none.astype(U)
     digit = h[(end - size)[text] + place]
     new = np.concatenate([[True], (digit[1:] != digit[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
@@ -69,7 +70,9 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
         parts = -(-run // RUN)
         first = np.repeat(first, parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         run = np.diff(np.concatenate([first, [len(digit)]]))
-    return mix(digit[first]) >> U(16), text[first], place[first], run
+    a = (end - size)[text[first]] + place[first]
+    content = mix((total[a + run + length - 1] - total[a]) * down[a] + run.astype(U))
+    return mix(digit[first]) >> U(16), text[first], place[first], run, content
 
 
 def numbered(text: np.ndarray) -> np.ndarray:
@@ -126,8 +129,25 @@ def rows(pairs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 PACKED = "bucket int, kind int, payload binary"
-#: kind 0 is still to be decided, by digit; kind 1 is decided and on its way to its document.
-OPEN, DECIDED = 0, 1
+#: Kind 0 is still to be decided, by digit; kind 1 is decided and on its way to its document; kind 2 asks a document for bytes.
+OPEN, DECIDED, ASKED = 0, 1, 2
+
+
+def with_documents(document: np.ndarray, place: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns packed with the documents they are of; each document is named once."""
+    used, first, index = np.unique(document, return_index=True, return_inverse=True)
+    return pack(*columns, index.astype(np.uint32)) + pack(used, place[first])
+
+
+def of_documents(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """Document, place and columns of with_documents()."""
+    columns, rest = unpack(data, *kinds, np.uint32)
+    (used, place), _ = unpack(rest, np.int64, np.int64)
+    return [used[columns[-1]], place[columns[-1]], *columns[:-1]]
+
+
+def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def digits(docs: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
@@ -165,7 +185,7 @@ def digits(docs: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
             ids, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, texts in byte_blocks(batch.column(2).to_pylist()):
                 base = sum(map(len, documents))
-                digit, text, _, _ = segments(texts, length, gram)
+                digit, text, _, _, _ = segments(texts, length, gram)
                 held.append((digit, text + base, numbered(text)))
                 documents.append(ids[first : first + len(texts)])
                 places.append(order[first : first + len(texts)])
@@ -215,6 +235,7 @@ def shared_digits(packed: DataFrame, groups: int) -> DataFrame:
             low, high = np.minimum.reduceat(place[order], begin), np.maximum.reduceat(place[order], begin)
             several = (low != high) | (np.maximum.reduceat(marked[order], begin) > 0)
             take = order[np.repeat(several, np.diff(np.concatenate([begin, [len(same)]])))]
+            take = take[np.lexsort((number[take], document[take]))]
             out += [(b, DECIDED, p) for b, p in dealt(home(document[take], groups), [document[take], number[take].astype(np.uint32)])]
         return pa.Table.from_batches([rows(out)])
 
@@ -228,53 +249,134 @@ def by_document(documents: np.ndarray, *columns: np.ndarray) -> dict[int, list[n
     return {int(documents[a]): [c[a:b] for c in columns] for a, b in zip(at, at[1:], strict=False)}
 
 
-def contents(docs: DataFrame, shared: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
-    """Pass 2, by document: the bytes of shared segments, by digit. Of equal segments of a pack, that of the earliest document goes on and those of later ones are decided."""
+def fingerprints(docs: DataFrame, shared: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
+    """Pass 2, by document: the hashes of shared segments, by digit. Of equal segments of a pack, those of the earliest document go on and later ones are decided."""
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        document, number = gathered(right.column("payload").to_pylist(), np.int64, np.uint32)
-        wanted = by_document(document, number)
+        wanted = by_document(*gathered(right.column("payload").to_pylist(), np.int64, np.uint32))
         keys, places = left.column("key").to_numpy(), left.column("place").to_numpy()
         out, held, count = [], [], 0
 
         def flush() -> None:
-            digit, doc, place, start, run = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
-            body = [b for h in held for b in h[5]]
-            ids: dict[bytes, int] = {}
-            same = np.fromiter((ids.setdefault(b, len(ids)) for b in body), np.int64, len(body))
-            least = np.full(len(ids), LAST, np.int64)
-            np.minimum.at(least, same, place)
-            late = place > least[same]
-            out.extend((b, DECIDED, p) for b, p in dealt(home(doc[late], groups), [doc[late], start[late].astype(np.uint32), run[late].astype(np.uint32)]))
-            order = np.flatnonzero(~late)
-            order = order[np.argsort(digit[order], kind="stable")]
+            digit, content, doc, place, start, run = joined(held)
+            order, least = ranked(digit, content, run, place)
+            late = order[place[order] > least]
+            out.extend(removed(doc[late], start[late], run[late], groups))
+            order = order[place[order] == least]
             to = bucket_of(digit[order], groups)
             for b in np.unique(to):
-                mine = order[slice(*np.searchsorted(to, [b, b + 1]))]
-                out.append((int(b), OPEN, pack(digit[mine], doc[mine], place[mine], start[mine].astype(np.uint32), run[mine].astype(np.uint16)) + b"".join(body[k] for k in mine)))
+                k = order[slice(*np.searchsorted(to, [b, b + 1]))]
+                out.append((int(b), OPEN, with_documents(doc[k], place[k], digit[k], content[k], start[k].astype(np.uint32), run[k].astype(np.uint16))))
 
         for first, texts in byte_blocks(left.column("text").to_pylist()):
-            digit, text, start, run = segments(texts, length, gram)
-            number = numbered(text)
+            digit, text, start, run, content = segments(texts, length, gram)
             upto = np.searchsorted(text, np.arange(len(texts) + 1))
-            for k, t in enumerate(texts):
-                if (w := wanted.get(int(keys[first + k]))) is None:
-                    continue
-                s = np.unique(w[0]).astype(np.int64)
-                s = upto[k] + s[s < upto[k + 1] - upto[k]]
-                if not len(s):
-                    continue
-                held.append((digit[s], np.full(len(s), keys[first + k]), np.full(len(s), places[first + k]), start[s], run[s], [t[a : a + n + length - 1] for a, n in zip(start[s].tolist(), run[s].tolist(), strict=True)]))
-                count += len(s)
-                if count >= PACK // 3:
+            take = []
+            for k in range(len(texts)):
+                if (w := wanted.get(int(keys[first + k]))) is not None:
+                    n = np.unique(w[0]).astype(np.int64)
+                    take.append(upto[k] + n[n < upto[k + 1] - upto[k]])
+            if take:
+                t = np.concatenate(take)
+                held.append([digit[t], content[t], keys[first + text[t]], places[first + text[t]], start[t], run[t]])
+                count += len(t)
+                if count >= PACK:
                     flush()
                     held, count = [], 0
-        if held:
+        if count:
             flush()
         return pa.Table.from_batches([rows(out)])
 
-    named = docs.select("home", "key", "place", "text")
-    return named.groupBy("home").cogroup(shared.groupBy("bucket")).applyInArrow(group, PACKED)
+    return docs.groupBy("home").cogroup(shared.groupBy("bucket")).applyInArrow(group, PACKED)
+
+
+def ranked(digit: np.ndarray, content: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of segments by digit, bytes and place; and in it, of each segment, the least place of its equals."""
+    order = np.lexsort((place, run, content, digit))
+    d, c, r = digit[order], content[order], run[order]
+    head = np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])])
+    return order, place[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+
+
+def removed(doc: np.ndarray, start: np.ndarray, run: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
+    """Rows that tell documents that the run windows from start on go."""
+    order = np.lexsort((start, doc))
+    doc, start, run = doc[order], start[order], run[order]
+    return [(b, DECIDED, p) for b, p in dealt(home(doc, groups), [doc, start.astype(np.uint32), run.astype(np.uint32)])]
+
+
+def passed(table: pa.Table) -> tuple[list[tuple[int, int, bytes]], dict[int, list[bytes]]]:
+    """The decided rows of a group, as they are, and the payloads of the others by kind."""
+    out, others = [], {}
+    for b, k, p in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "payload")), strict=True):
+        if k == DECIDED:
+            out.append((b, k, p))
+        else:
+            others.setdefault(k, []).append(p)
+    return out, others
+
+
+def whole_segments(packed: DataFrame, groups: int) -> DataFrame:
+    """Pass 2, by digit: equal segments are decided; where different ones share a digit, their documents are asked for their bytes."""
+
+    def group(table: pa.Table) -> pa.Table:
+        out, others = passed(table)
+        if OPEN in others:
+            doc, place, digit, content, start, run = joined([of_documents(p, np.uint64, np.uint64, np.uint32, np.uint16) for p in others[OPEN]])
+            order, least = ranked(digit, content, run, place)
+            late = order[place[order] > least]
+            out += removed(doc[late], start[late], run[late], groups)
+            order = order[place[order] == least]
+            d, c, r = digit[order], content[order], run[order]
+            begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            other = np.concatenate([[0], (d[1:] == d[:-1]) & ((c[1:] != c[:-1]) | (r[1:] != r[:-1]))]).astype(np.int64)
+            mixed = np.repeat(np.add.reduceat(other, begin) > 0, np.diff(np.concatenate([begin, [len(d)]])))
+            k = order[mixed]
+            k = k[np.lexsort((start[k], doc[k]))]
+            out += [(b, ASKED, p) for b, p in dealt(home(doc[k], groups), [doc[k], digit[k], start[k], run[k].astype(np.uint16)])]
+        return pa.Table.from_batches([rows(out)])
+
+    return packed.groupBy("bucket").applyInArrow(group, PACKED)
+
+
+def contents(docs: DataFrame, asked: DataFrame, groups: int, length: int) -> DataFrame:
+    """Pass 3, by document: the bytes that were asked for, by digit."""
+
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, others = passed(right)
+        if ASKED in others:
+            wanted = by_document(*gathered(others[ASKED], np.int64, np.uint64, np.uint32, np.uint16))
+            keys, places = left.column("key").to_numpy(), left.column("place").to_numpy()
+            held: list[list[np.ndarray]] = []
+            body: list[bytes] = []
+            size, met = 0, set()
+
+            def flush() -> None:
+                digit, doc, place, start, run = joined(held)
+                order = np.argsort(digit, kind="stable")
+                to = bucket_of(digit[order], groups)
+                for b in np.unique(to):
+                    k = order[slice(*np.searchsorted(to, [b, b + 1]))]
+                    packed = pack(digit[k], doc[k], place[k], start[k], run[k])
+                    out.append((int(b), OPEN, packed + b"".join(body[x] for x in k)))
+
+            for k, t in enumerate(left.column("text").to_pylist()):
+                if (w := wanted.get(int(keys[k]))) is None or int(keys[k]) in met:
+                    continue
+                met.add(int(keys[k]))  # rows equal in id and text are one document
+                t = t.encode("utf-8", "surrogatepass")
+                digit, start, run = w
+                held.append([digit, np.full(len(digit), keys[k]), np.full(len(digit), places[k]), start, run])
+                body += [t[a : a + n + length - 1] for a, n in zip(start.tolist(), run.tolist(), strict=True)]
+                size += sum(map(len, body[-len(digit) :]))
+                if size > 16 * BLOCK:
+                    flush()
+                    held, body, size = [], [], 0
+            if held:
+                flush()
+        return pa.Table.from_batches([rows(out)])
+
+    return docs.groupBy("home").cogroup(asked.groupBy("bucket")).applyInArrow(group, PACKED)
 
 
 def equal_windows(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -297,17 +399,15 @@ def equal_windows(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def repeated(packed: DataFrame, groups: int, length: int) -> DataFrame:
-    """Pass 2, by digit: (document, start, number) of the windows that an earlier document has too."""
+    """Pass 3, by digit: the windows that an earlier document has too."""
 
     def group(table: pa.Table) -> pa.Table:
-        kinds, payloads, where = table.column("kind").to_numpy(), table.column("payload").to_pylist(), table.column("bucket").to_numpy()
-        out = [(int(b), DECIDED, p) for b, k, p in zip(where, kinds, payloads, strict=True) if k == DECIDED]
+        out, others = passed(table)
         parts, body = [], []
-        for k, p in zip(kinds, payloads, strict=True):
-            if k == OPEN:
-                columns, rest = unpack(p, np.uint64, np.int64, np.int64, np.uint32, np.uint16)
-                parts.append(columns)
-                body.append(rest)
+        for p in others.get(OPEN, []):
+            columns, rest = unpack(p, np.uint64, np.int64, np.int64, np.uint32, np.uint16)
+            parts.append(columns)
+            body.append(rest)
         if not parts:
             return pa.Table.from_batches([rows(out)])
         digit, doc, place, start, run = map(np.concatenate, zip(*parts, strict=True))
@@ -321,7 +421,7 @@ def repeated(packed: DataFrame, groups: int, length: int) -> DataFrame:
         one = np.zeros(len(ids), np.int64)
         one[same] = np.arange(len(same))  # any entry with this content
         late = place > least[same]
-        removed = [(doc[late], start[late].astype(np.int64), run[late])]
+        gone = [(doc[late], start[late].astype(np.int64), run[late])]
         # Digits with different contents: their windows, once for each content, at its earliest document.
         order = np.argsort(digit[one], kind="stable")
         d = digit[one][order]
@@ -342,31 +442,30 @@ def repeated(packed: DataFrame, groups: int, length: int) -> DataFrame:
             rank = np.full(len(ids), -1, np.int64)
             rank[mixed] = np.arange(len(mixed))
             entry = entry[rank[same[entry]] >= 0]
-            gone = by_document(owner[hit], offset[hit])
+            offsets = by_document(owner[hit], offset[hit])
             for e in entry.tolist():
-                if (g := gone.get(int(rank[same[e]]))) is not None:
+                if (g := offsets.get(int(rank[same[e]]))) is not None:
                     w = np.sort(g[0])
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(w) > 1) + 1])
-                    removed.append((np.full(len(cut), doc[e]), start[e] + w[cut], np.diff(np.concatenate([cut, [len(w)]]))))
-        documents, begins, runs = map(np.concatenate, zip(*removed, strict=True))
-        out += [(b, DECIDED, p) for b, p in dealt(home(documents, groups), [documents, begins.astype(np.uint32), runs.astype(np.uint32)])]
+                    gone.append((np.full(len(cut), doc[e]), start[e] + w[cut], np.diff(np.concatenate([cut, [len(w)]]))))
+        out += removed(*joined(gone), groups)
         return pa.Table.from_batches([rows(out)])
 
     return packed.groupBy("bucket").applyInArrow(group, PACKED)
 
 
-def cut_texts(docs: DataFrame, removed: DataFrame, kind: T.DataType, length: int) -> DataFrame:
-    """Pass 3, by document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
+def cut_texts(docs: DataFrame, gone: DataFrame, kind: T.DataType, length: int) -> DataFrame:
+    """Pass 4, by document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = by_document(*gathered(right.column("payload").to_pylist(), np.int64, np.uint32, np.uint32))
+        removal = by_document(*gathered(right.column("payload").to_pylist(), np.int64, np.uint32, np.uint32))
         found = []
         for k, t in zip(left.column("key").to_pylist(), left.column("text").to_pylist(), strict=True):
             t = t.encode("utf-8", "surrogatepass")
-            if k not in gone:
+            if k not in removal:
                 found.append((len(t), 0, 0, t))
                 continue
-            start, run = (x.astype(np.int64) for x in gone[k])
+            start, run = (x.astype(np.int64) for x in removal[k])
             order = np.argsort(start)
             a, b = start[order], (start + run + length - 1)[order]
             b = np.maximum.accumulate(b)
@@ -378,7 +477,7 @@ def cut_texts(docs: DataFrame, removed: DataFrame, kind: T.DataType, length: int
         return pa.table([left.column("doc_id"), *(pa.array(x, pa.int64()) for x in n[:3]), pa.array(n[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType().add("doc_id", kind).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType()).add("kept", T.BinaryType())
-    return docs.groupBy("home").cogroup(removed.groupBy("bucket")).applyInArrow(group, schema)
+    return docs.groupBy("home").cogroup(gone.groupBy("bucket")).applyInArrow(group, schema)
 
 
 def substring_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -387,9 +486,10 @@ def substring_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     place = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     docs = documents.select(key(doc_id, text).alias("key"), place.alias("place"), F.col(doc_id).alias("doc_id"), plain.alias("text"))
-    homed = docs.withColumn("home", F.pmod("key", F.lit(groups)).cast("int"))
+    homed = docs.withColumn("home", F.pmod("key", F.lit(groups)).cast("int"))  # dealt by home once, for passes 2 to 4
     shared = shared_digits(digits(docs, groups, length, gram), groups)
-    gone = repeated(contents(homed, shared, groups, length, gram), groups, length)
+    asked = whole_segments(fingerprints(homed, shared, groups, length, gram), groups)
+    gone = repeated(contents(homed, asked, groups, length), groups, length)
     return cut_texts(homed, gone, documents.schema[doc_id].dataType, length)
 
 
