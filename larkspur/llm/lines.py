@@ -28,12 +28,12 @@ LAST = 2**63 - 1
 
 def line_spec(size: int = 8, percent: int = 80) -> Spec:
     """20 bands of 5 rows: a pair at 0.8 shares none with a chance of 4 in 10,000."""
-    return Spec("line", "char", size, percent, 5, 20)
+    return Spec("line", "char", size, percent, 5, 20, by_content=True)
 
 
 def paragraph_spec(size: int = 5, percent: int = 80) -> Spec:
     """6 bands of 2 rows: a pair at 0.8 shares none with a chance of 2 in 1,000, and equal paragraphs share all."""
-    return Spec("piece", "word", size, percent, 2, 6)
+    return Spec("piece", "word", size, percent, 2, 6, by_content=True)
 
 
 def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -48,12 +48,15 @@ def key(doc_id: str, text: str) -> Column:
 
 def counted(documents: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
     """Per row of documents: doc_id, key, n_units (that are not left alone)."""
+    if spec.unit == "line":
+        lines = F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+        return documents.select(F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key"), F.size(lines).cast("long").alias("n_units"))
     kind = documents.schema[doc_id].dataType
 
     def task(batches):
         for batch in batches:
             for first, texts in blocks(batch.column(0).to_pylist()):
-                s = shingled(texts, spec)
+                s = shingled(texts, spec, names=True)
                 n = np.bincount(s.doc[s.count > 0], minlength=len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(n)], ["doc_id", "key", "n_units"])
 

@@ -1,6 +1,6 @@
 """Near-duplicate classes of texts or lines: MinHash bands, candidate clusters, exact verification, components.
 
-1. Units (whole texts, or lines) with the same shingle set are one node, so copies cost nothing further.
+1. Units (whole texts, lines, pieces) with the same shingle set, or the same content, are one node, so copies cost nothing further.
 2. One-permutation MinHash signatures with optimal densification are cut into bands; the band keys of a
    task's nodes are packed and dealt by key. In each bucket of equal keys every node is linked to one (a
    star), so a bucket of n gives at most n - 1 candidate links, and only a spanning forest of them leaves
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +37,24 @@ def hasher(rows: int, bands: int) -> MinHash:
     return MinHash(rows, bands)
 
 
+def line_text(line: str) -> Column:
+    """A line as it is compared: no white space at its ends, A-Z as a-z."""
+    return F.translate(F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def units(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:
     """(doc_id, the columns places, unit, node, n) of every unit; an empty one has node null and n 0. docs has doc_id (long), places and text."""
+    if spec.unit == "line":
+        lines = docs.select("doc_id", *places, F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).withColumn("line", line_text("line"))
+        full = F.length("line") > 0
+        n = F.when(full, F.greatest(F.length("line") - spec.size + 1, F.lit(1))).otherwise(0).cast("int")
+        return lines.select("doc_id", *places, "unit", F.when(full, F.xxhash64("line")).alias("node"), n.alias("n"))
     kinds = docs.select("doc_id", *places).schema
 
     def task(batches):
         for batch in batches:
             for first, texts in blocks(batch.column(0).to_pylist()):
-                s = shingled(texts, spec)
+                s = shingled(texts, spec, names=True)
                 of = pa.array(first + s.doc)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(of) for c in batch.columns[1:]), pa.array(s.number.astype(np.int32)), pa.array(s.node, mask=s.count == 0), pa.array(s.count.astype(np.int32))],
@@ -72,7 +82,7 @@ def packed_bands(docs: DataFrame, spec: Spec, groups: int) -> DataFrame:
 
         for batch in batches:
             for _, texts in blocks(batch.column(0).to_pylist()):
-                s = shingled(texts, spec)
+                s = shingled(texts, spec, not spec.by_content)
                 distinct, one, times = np.unique(s.node, return_index=True, return_counts=True)
                 fresh = [x not in met for x in distinct.tolist()]
                 double = np.array([(t > 1 or not f) and x not in again for x, f, t in zip(distinct.tolist(), fresh, times.tolist(), strict=True)], bool)
@@ -172,7 +182,13 @@ def confirmed(docs: DataFrame, members: DataFrame, spec: Spec) -> DataFrame:
     size = size.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = one.join(size, "cluster").select("at.doc_id", F.struct("at.unit", "node", "cluster", "blocks").alias("x"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts(spec), "node long, cluster long, blocks int, text string")
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted")
+    if spec.unit == "line":
+        rows = rows.select(F.split("text", "\n", -1).alias("lines"), "wanted")
+        line = lambda x: F.struct(x["node"].alias("node"), x["cluster"].alias("cluster"), x["blocks"].alias("blocks"), F.get(F.col("lines"), x["unit"]).alias("text"))
+        rows = rows.select(F.explode(F.transform("wanted", line)).alias("x")).select("x.*").where("text IS NOT NULL")
+    else:
+        rows = rows.mapInArrow(_texts(spec), "node long, cluster long, blocks int, text string")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
@@ -227,7 +243,7 @@ def _texts(spec: Spec):
                 if spec.unit == "document":
                     out, ok = [texts[k] for k in of], np.ones(b - a, bool)
                 else:
-                    s = shingled(texts, spec)
+                    s = shingled(texts, spec, names=True)
                     head = np.searchsorted(s.doc, of)
                     ok = unit < np.searchsorted(s.doc, of, "right") - head
                     raw = [t.encode("utf-8", "surrogatepass") for t in texts] if spec.shingle == "word" else texts

@@ -8,6 +8,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _R = np.random.Generator(np.random.PCG64(20240229))
@@ -18,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,18 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64, for i below n."""
-    if n not in _powers:
+    """BASE**i and its inverse modulo 2**64, for i below n or further."""
+    if len(_powers[0]) < n:
         size = 1 << max(20, (n - 1).bit_length())
-        _powers.clear()
         up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 2**64), U)
         up[0] = down[0] = 1
-        _powers[n] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[n]
+        _powers[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[0], _powers[1]
 
 
 class Spec(NamedTuple):
@@ -51,6 +51,7 @@ class Spec(NamedTuple):
     percent: int
     rows: int
     bands: int
+    by_content: bool = False  # whether units with equal sets but other content are different nodes, which saves sorting
 
 
 class Shingled(NamedTuple):
@@ -110,27 +111,32 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, mix((total[end] - total[start]) * down[start])
 
 
-def windows(h: np.ndarray, owner: np.ndarray, n_units: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of each run of size elements of one owner; an owner with fewer, but not none, has one run of all."""
+def windows(h: np.ndarray, owner: np.ndarray, n_units: int, size: int, by_content: bool, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and hash of each run of size elements of one owner (an owner with fewer, but not none, has one run of all); and, by_content, a hash of all elements of each owner. With names, only that hash."""
     n = np.bincount(owner, minlength=n_units)
+    first = np.cumsum(n) - n
+    up, down = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    node = mix((total[first + n] - total[first]) * down[first] + n.astype(U) * ODD[54]) if by_content else np.zeros(n_units, U)
+    if names:
+        return np.zeros(0, np.int64), np.zeros(0, U), node
     full = max(0, len(h) - size + 1)
     at = np.flatnonzero(owner[:full] == owner[size - 1 :]) if full else np.zeros(0, np.int64)
-    s = np.zeros(len(at), U)
-    for j in range(size):
-        s += h[at + j] * ODD[j]
     short = np.flatnonzero((n > 0) & (n < size))
-    first = (np.cumsum(n) - n)[short]
-    t = n[short].astype(U) * ODD[60]
-    for j in range(size - 1):
-        has = n[short] > j
-        t[has] += h[first[has] + j] * ODD[j]
-    o = np.concatenate([owner[at], short])
-    s = mix(np.concatenate([s, t]))
-    return o, s
-
-
-def shingled(texts: list[str], spec: Spec) -> Shingled:
-    """The shingle sets of the units of texts."""
+    f = first[short]
+    s = np.concatenate([(total[at + size] - total[at]) * down[at], (total[f + n[short]] - total[f]) * down[f] + n[short].astype(U) * ODD[60]])
+    return np.concatenate([owner[at], short]), mix(s), node
+
+
+def line_nodes(lines: list[str]) -> np.ndarray:
+    """What near.line_node() gives in SQL: XXH64 of the line without white space at its ends, A-Z as a-z."""
+    clean = (t.encode("utf-8", "surrogatepass").strip(b" \t\n\x0b\x0c\r").lower() for t in lines)  # bytes.lower() is for A-Z alone
+    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in clean), U, len(lines))
+
+
+def shingled(texts: list[str], spec: Spec, sets: bool = True, names: bool = False) -> Shingled:
+    """The shingle sets of the units of texts; not sets: in any order and with repeats; names: without shingles, if nodes are by content."""
     joined = "\n".join(texts)
     if spec.shingle == "word":
         buf = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
@@ -160,17 +166,20 @@ def shingled(texts: list[str], spec: Spec) -> Shingled:
         # Characters of a line, without white space at either end; runs of them are what is compared.
         low = np.where((buf >= 65) & (buf <= 90), buf + np.uint32(32), buf)
         gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
+        where = np.repeat(np.arange(n), np.diff(np.append(starts, len(buf))))
         ink = np.flatnonzero(~gap)
-        of = np.searchsorted(starts, ink, "right") - 1
+        of = where[ink]
         lo, hi = np.full(n, len(buf)), np.full(n, -1)
         if len(ink):
             change = np.flatnonzero(np.diff(of)) + 1
             f, t = np.concatenate([[0], change]), np.concatenate([change, [len(ink)]]) - 1
             lo[of[f]], hi[of[f]] = ink[f], ink[t]
-        where = np.searchsorted(starts, np.arange(len(buf)), "right") - 1 if len(buf) else np.zeros(0, np.int64)
-        at = np.flatnonzero((np.arange(len(buf)) >= lo[where]) & (np.arange(len(buf)) <= hi[where])) if len(buf) else np.zeros(0, np.int64)
-        h, till = mix(low[at].astype(U) + ODD[59]), at + 1
-    owner = np.searchsorted(starts, at, "right") - 1
+        inner = np.maximum(hi - lo + 1, 0)  # of each line, from its first to its last character that is no space
+        at = np.arange(inner.sum()) + np.repeat(lo - (np.cumsum(inner) - inner), inner)
+        h, till = (low[at].astype(U) + U(1)) * ODD[59], at + 1
+        owner = where[at]
+    if spec.shingle == "word":
+        owner = np.searchsorted(starts, at, "right") - 1
     size = np.bincount(owner, minlength=n)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     has = size > 0
@@ -179,16 +188,20 @@ def shingled(texts: list[str], spec: Spec) -> Shingled:
     if spec.unit == "piece":
         enough = (size >= spec.size)[owner]
         owner, h = owner[enough], h[enough]
-    o, s = windows(h, owner, n, spec.size)
-    order = np.lexsort((s, o))
-    o, s = o[order], s[order]
-    if len(s):
+    names = names and spec.by_content
+    length = np.bincount(owner, minlength=n)
+    o, s, node = windows(h, owner, n, spec.size, spec.by_content and spec.shingle == "word", names)
+    if sets and not names:
+        order = np.lexsort((s, o))
+        o, s = o[order], s[order]
+    if sets and not names and len(s):
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
         o, s = o[new], s[new]
-    count = np.bincount(o, minlength=n)
-    node = np.zeros(n, U)
+    count = np.where(length > 0, np.maximum(length - spec.size + 1, 1), 0) if names else np.bincount(o, minlength=n)
     has = count > 0
-    if has.any():
+    if spec.shingle == "char":
+        node = np.where(has, line_nodes(joined.split("\n") if spec.unit == "line" else texts), U(0))
+    elif not spec.by_content and has.any():
         node[has] = mix(np.add.reduceat(mix(s + ODD[58]), (np.cumsum(count) - count)[has]) + count[has].astype(U))
     return Shingled(doc, number, count, node.view(np.int64), left, right, o, s)
 
@@ -205,7 +218,7 @@ class MinHash:
     def signatures(self, owner: np.ndarray, shingle: np.ndarray, units: int) -> np.ndarray:
         """units x bins; owner counts from 0 and every unit has a shingle."""
         none = np.uint32(0xFFFFFFFF)
-        t = mix(shingle ^ ODD[57])
+        t = shingle  # already mixed
         place = ((t >> U(32)) * U(self.bins)) >> U(32)
         sig = np.full(units * self.bins, none, np.uint32)
         np.minimum.at(sig, owner * self.bins + place.astype(np.int64), np.minimum(t & U(0xFFFFFFFF), U(0xFFFFFFFE)).astype(np.uint32))
