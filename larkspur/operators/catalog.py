@@ -348,10 +348,16 @@ def list_import_files(files: DataFrame, folder: str | None, status: str | None,
     return files.where(S.contains_ci("file_name", text) | S.contains_ci("relative_path", text)) if text else files
 
 
-def ingestion_feed(sources: DataFrame, documents: DataFrame) -> DataFrame:
-    """Both kinds of source in one shape, newest first, with the document made of each."""
+def attach_document_ids(feed: DataFrame, documents: DataFrame) -> DataFrame:
+    """Feed (id, source_type, ...) with the document made of each row, null if there is none."""
     docs = documents.select("source_type", F.col("source_record_id").alias("id"), "document_id")
-    return sources.select("id", "source_type", "device_code", "file_name", "size_bytes", "status", F.col("updated_at").alias("at")).join(docs, ["source_type", "id"], "left").orderBy(F.desc("at"), "id")
+    return feed.join(docs, ["source_type", "id"], "left")
+
+
+def ingestion_feed(sources: DataFrame, documents: DataFrame) -> DataFrame:
+    """O1: both kinds of source in one shape, newest first, with the document made of each."""
+    feed = sources.select("id", "source_type", "device_code", "file_name", "size_bytes", "status", F.col("updated_at").alias("at"))
+    return attach_document_ids(feed, documents).orderBy(F.desc("at"), "id")
 
 
 def distinct_paths(requests: DataFrame, column: str = "requested_paths_json", most: int = 200) -> DataFrame:

@@ -473,3 +473,18 @@ def o3(f):
     paths = F.to_json(F.array("full_path", F.concat(F.lit(" "), "full_path", F.lit(" ")), F.lit(" "), "directory_path"))
     out = C.distinct_paths(f.where("seq % 3 = 0").select("device_code", paths.alias("requested_paths_json")))
     return out.select("device_code", F.explode("paths").alias("path")).distinct()
+
+
+@query("j3_attach_document_ids", "select s.id, s.source_type, coalesce(document_id, -1) as document_id from fx_sources s left join (select * from fx_documents where document_id % 3 = 0) d on d.source_type = s.source_type and d.source_record_id = s.id where s.status <> 'completed'", "fx_sources", "fx_documents")
+def j3(s, d):
+    out = C.attach_document_ids(s.where("status <> 'completed'").select("id", "source_type"), d.where("document_id % 3 = 0"))
+    return out.select("id", "source_type", F.coalesce("document_id", F.lit(-1).cast("long")).alias("document_id"))
+
+
+@query(
+    "o2_due_except",
+    f"select upper(device_code) as device_code from fx_devices where is_active and last_seen_at > timestamp '{EVENTS_AS_OF}' - interval 14400 minutes except select upper(device_code) from fx_commands where command_type = 'REQUEST_LOGS' and status = 'pending'",
+    "fx_devices", "fx_commands",
+)
+def o2(d, c):
+    return C.due_log_devices(d, c.where("status = 'pending'"), EVENTS_AS_OF, 14_400, "2030-01-01 00:00:00", 1_000_000).select("device_code")

@@ -106,3 +106,11 @@ def t3(logs):
     spark, to = logs.sparkSession, files.shared_folder(logs.sparkSession)
     logs.repartition(2).write.parquet(f"{to}/in")
     return streams.stream_logs(streams.files(spark, f"{to}/in", logs.schema), f"{to}/out").select("id", "device_code", "level")
+
+
+@query("s3_read_raw", "select cast(sum(strlen(p_name) + 1) as bigint) as bytes from part", "part")
+def s3(part):
+    spark, to = part.sparkSession, files.shared_folder(part.sparkSession)
+    part.select("p_name").write.text(to)
+    raw = files.read_raw(spark, f"{to}/*.txt")
+    return raw.where(F.length("head") <= files.HEAD).agg(F.sum("length").alias("bytes"))

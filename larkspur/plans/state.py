@@ -357,3 +357,19 @@ def u15(logs):
 )
 def t4(logs):
     return fleet.silent_gaps(logs.select("device_code", F.col("created_at").alias("ts")), ONLINE_MINUTES, EVENTS_AS_OF)
+
+
+@query(
+    "w4_fill_hashes",
+    """
+    with v as (select version_id, document_id, case version_id % 3 when 0 then '' when 1 then 'aa' else 'bb' end as sha, case version_id % 4 when 0 then '' when 1 then 'AA' else 'cc' end as got from fx_versions where version_number <= 2)
+    select version_id, case when sha = '' then lower(got) else sha end as sha256, sha <> '' and got <> '' and sha <> lower(got) as sha_conflict from v
+    """,
+    "fx_versions",
+)
+def w4_fill(v):
+    i, k = F.col("version_id"), F.col("version_id").cast("string").alias("source_version_key")
+    v = v.where("version_number <= 2")
+    old = v.select("version_id", "document_id", k, F.when(i % 3 == 0, "").when(i % 3 == 1, "aa").otherwise("bb").alias("sha256"))
+    new = v.select("document_id", k, F.when(i % 4 == 0, "").when(i % 4 == 1, "AA").otherwise("cc").alias("sha256"))
+    return state.fill_hashes(old, new).select("version_id", "sha256", "sha_conflict")

@@ -269,3 +269,13 @@ FOUND = SCORED.replace("from fx_sections)", "from fx_sections where version_id i
 )
 def f9(q, s, v, d, x):
     return search.search(q, s, v, d, x).drop("snippet")
+
+
+@query(
+    "j2_search_hits",
+    f"with {SCORED}, p as (select query_id, section_id from sc qualify row_number() over (partition by query_id order by score desc, section_id) <= 20) select p.query_id, p.section_id, s.content, v.file_name, d.display_name from p join fx_sections s using (section_id) join fx_versions v on v.version_id = s.version_id join fx_documents d on d.document_id = v.document_id where not is_deleted",
+    "fx_sections", "fx_queries", "fx_versions", "fx_documents",
+)
+def j2(s, q, v, d):
+    page = search.rank_flat(scored(s, q), 20).select(F.col("query_id").cast("int").alias("query_id"), "section_id")
+    return search.search_hits(page, s, v, d).select("query_id", "section_id", "content", "file_name", "display_name")
