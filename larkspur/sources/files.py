@@ -188,6 +188,7 @@ def write_outputs(rows: DataFrame, path: str, groups: int = 16) -> None:
     if old is not None:
         keys = ["version_id", "pipeline_version"]
         kept = old.where(F.col("version_bucket").isin(touched)).select(*new.columns).join(new.select(*keys).distinct(), keys, "left_anti")
-        new = kept.select(*new.columns).unionByName(new)
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
+        held = shared_folder(spark)  # what is written may not depend on files that the write replaces
+        kept.select(*new.columns).unionByName(new).write.parquet(held)
+        new = spark.read.parquet(held)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pipeline_version", "version_bucket").parquet(path)
