@@ -38,8 +38,8 @@ def hasher(rows: int, bands: int) -> MinHash:
 
 
 def line_text(line: str) -> Column:
-    """A line as it is compared: no white space at its ends, A-Z as a-z."""
-    return F.translate(F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A line without white space at its ends, whose hash names it."""
+    return F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r"))
 
 
 def units(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:

@@ -130,8 +130,8 @@ def windows(h: np.ndarray, owner: np.ndarray, n_units: int, size: int, by_conten
 
 
 def line_nodes(lines: list[str]) -> np.ndarray:
-    """What near.line_node() gives in SQL: XXH64 of the line without white space at its ends, A-Z as a-z."""
-    clean = (t.encode("utf-8", "surrogatepass").strip(b" \t\n\x0b\x0c\r").lower() for t in lines)  # bytes.lower() is for A-Z alone
+    """What Spark's xxhash64 gives for near.line_text(): XXH64 of the line without white space at its ends."""
+    clean = (t.strip(" \t\n\x0b\x0c\r").encode("utf-8", "surrogatepass") for t in lines)
     return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in clean), U, len(lines))
 
 
