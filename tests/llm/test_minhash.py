@@ -113,4 +113,4 @@ def test_components(spark):
 def test_lines_of_characters():
     s = shingled(["  Abcdefghij \nxy\n\n", "abcdefghij"], Spec("line", "char", 5, 80, 4, 16))
     assert s.doc.tolist() == [0, 0, 0, 0, 1] and s.number.tolist() == [0, 1, 2, 3, 0]
-    assert s.count.tolist() == [6, 1, 0, 0, 6] and s.node[0] == s.node[4]
+    assert s.count.tolist() == [6, 1, 0, 0, 6] and s.shingle[s.owner == 0].tolist() == s.shingle[s.owner == 4].tolist()
