@@ -4,8 +4,9 @@ Both find classes of near-duplicate units over all documents (see near.py) and k
 that of the smallest (doc_id, place in the text).
 
 Lines are the parts between line feeds; white space at their ends does not count, A-Z are as a-z, blank lines are
-left alone. Paragraphs are lines too, but a long line is cut further at places that its own words decide, so that
-a passage is found wherever it stands in a line; paragraphs of fewer words than a shingle are left alone.
+left alone. Paragraphs are lines too, compared as a whole by their words first; one of fewer words than a shingle has
+one shingle of all its words. Then the lines are cut into pieces at places that their own words decide, so that a passage
+is found wherever it stands in a line; pieces of fewer words than a shingle are left alone, as their lines are not.
 
 Edge cases: null and empty texts have no units, a null id comes after all others; rows equal in id and text are
 one document, rows with the same id and other texts are several; texts of any length are taken whole; an empty
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import near
+from larkspur.llm.session import cut
 from larkspur.llm.units import Spec, blocks, shingled
 
 LAST = 2**63 - 1
@@ -31,8 +33,13 @@ def line_spec(size: int = 8, percent: int = 80) -> Spec:
     return Spec("line", "char", size, percent, 5, 20, by_content=True)
 
 
+def whole_spec(size: int = 5, percent: int = 80) -> Spec:
+    """Whole paragraphs. 6 bands of 2 rows: a pair at 0.8 shares none with a chance of 2 in 1,000, and equal paragraphs share all."""
+    return Spec("line", "word", size, percent, 2, 6, by_content=True)
+
+
 def paragraph_spec(size: int = 5, percent: int = 80) -> Spec:
-    """6 bands of 2 rows: a pair at 0.8 shares none with a chance of 2 in 1,000, and equal paragraphs share all."""
+    """The pieces of paragraphs, in bands like whole ones."""
     return Spec("piece", "word", size, percent, 2, 6, by_content=True)
 
 
@@ -47,7 +54,7 @@ def key(doc_id: str, text: str) -> Column:
 
 
 def counted(documents: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
-    """Per row of documents: doc_id, key, n_units (that are not left alone)."""
+    """Per row of documents: doc_id, key, n_units (that are not left alone); of pieces also n_lines (that are not blank)."""
     if spec.unit == "line":
         lines = F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
         return documents.select(F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key"), F.size(lines).cast("long").alias("n_units"))
@@ -58,9 +65,11 @@ def counted(documents: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFra
             for first, texts in blocks(batch.column(0).to_pylist()):
                 s = shingled(texts, spec, names=True)
                 n = np.bincount(s.doc[s.count > 0], minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(n)], ["doc_id", "key", "n_units"])
+                head = np.concatenate([[True], (s.doc[1:] != s.doc[:-1]) | (s.line[1:] != s.line[:-1])])[: len(s.doc)]  # every line with a word has a piece
+                lines = np.bincount(s.doc[head], minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(n), pa.array(lines)], ["doc_id", "key", "n_units", "n_lines"])
 
-    schema = T.StructType().add("doc_id", kind).add("key", T.LongType()).add("n_units", T.LongType())
+    schema = T.StructType().add("doc_id", kind).add("key", T.LongType()).add("n_units", T.LongType()).add("n_lines", T.LongType())
     return documents.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key")).mapInArrow(task, schema)
 
 
@@ -72,6 +81,22 @@ def removals(documents: DataFrame, spec: Spec, doc_id: str = "doc_id", text: str
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
+def paragraph_removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of documents: doc_id; n_pieces; n_paragraphs; n_removed (of the next two together); removed_paragraphs, the numbers of its lines
+    that repeat an earlier line as a whole; removed_passages, the numbers of its pieces, in lines that stay, that repeat an earlier one in a
+    line that stays, so what goes is always kept elsewhere; removed, all pieces that repeat an earlier one, whatever becomes of their lines."""
+    docs, none = keyed(documents, doc_id, text), F.array().cast("array<int>")
+    whole = cut(near.repeats(docs, whole_spec(size, percent), "place")).withColumnRenamed("removed", "removed_paragraphs")
+    pieces = cut(near.classed(docs, paragraph_spec(size, percent), "place"))
+    left = pieces.join(whole, "doc_id", "left").where(~F.coalesce(F.array_contains("removed_paragraphs", F.col("line")), F.lit(False)))
+    passages = near.later(left.drop("removed_paragraphs"), "place").withColumnRenamed("removed", "removed_passages")
+    gone = near.later(pieces, "place").join(passages, "doc_id", "full").join(whole, "doc_id", "full").withColumnRenamed("doc_id", "key")
+    out = counted(documents, paragraph_spec(size, percent), doc_id, text).join(gone, "key", "left")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("removed_paragraphs", "removed_passages", "removed")})
+    n = (F.size("removed_paragraphs") + F.size("removed_passages")).cast("long")
+    return out.select("doc_id", F.col("n_units").alias("n_pieces"), F.col("n_lines").alias("n_paragraphs"), n.alias("n_removed"), "removed_paragraphs", "removed_passages", "removed")
+
+
 def line_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: Spec | None = None) -> DataFrame:
     """documents without the repeated lines; a document of which no line is left, though it had some, goes."""
     gone = near.repeats(keyed(documents, doc_id, text), spec or line_spec(), "place").select(F.col("doc_id").alias("_key"), F.col("removed").alias("_removed"))
@@ -93,4 +118,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"), paragraph_spec()).withColumnsRenamed({"n_units": "n_paragraphs"})
+    return paragraph_removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -43,25 +43,26 @@ def line_text(line: str) -> Column:
 
 
 def units(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:
-    """(doc_id, the columns places, unit, node, n) of every unit; an empty one has node null and n 0. docs has doc_id (long), places and text."""
-    if spec.unit == "line":
+    """(doc_id, the columns places, unit, node, n; of pieces also line) of every unit; an empty one has node null and n 0. docs has doc_id (long), places and text."""
+    if spec.unit == "line" and spec.shingle == "char":
         lines = docs.select("doc_id", *places, F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).withColumn("line", line_text("line"))
         full = F.length("line") > 0
         n = F.when(full, F.greatest(F.length("line") - spec.size + 1, F.lit(1))).otherwise(0).cast("int")
         return lines.select("doc_id", *places, "unit", F.when(full, F.xxhash64("line")).alias("node"), n.alias("n"))
     kinds = docs.select("doc_id", *places).schema
+    schema = T.StructType([*kinds]).add("unit", T.IntegerType()).add("node", T.LongType()).add("n", T.IntegerType())
+    if spec.unit == "piece":
+        schema = schema.add("line", T.IntegerType())
+    names = schema.names
 
     def task(batches):
         for batch in batches:
             for first, texts in blocks(batch.column(0).to_pylist()):
                 s = shingled(texts, spec, names=True)
                 of = pa.array(first + s.doc)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(of) for c in batch.columns[1:]), pa.array(s.number.astype(np.int32)), pa.array(s.node, mask=s.count == 0), pa.array(s.count.astype(np.int32))],
-                    [*kinds.names, "unit", "node", "n"],
-                )
+                columns = [*(c.take(of) for c in batch.columns[1:]), pa.array(s.number.astype(np.int32)), pa.array(s.node, mask=s.count == 0), pa.array(s.count.astype(np.int32)), pa.array(s.line.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    schema = T.StructType([*kinds]).add("unit", T.IntegerType()).add("node", T.LongType()).add("n", T.IntegerType())
     return docs.select("text", "doc_id", *places).mapInArrow(task, schema)
 
 
@@ -263,8 +264,17 @@ def classes(docs: DataFrame, spec: Spec, *places: str) -> tuple[DataFrame, DataF
 
 def repeats(docs: DataFrame, spec: Spec, place: str) -> DataFrame:
     """(doc_id, removed: the ascending numbers of its units that repeat an earlier one): of each class of units, the one of the least (place, doc_id, unit) stays."""
+    return later(classed(docs, spec, place), place)
+
+
+def classed(docs: DataFrame, spec: Spec, place: str) -> DataFrame:
+    """(doc_id, place, unit, of pieces also line, root) of the units that may have a like; those of one class have the same root."""
     m, roots = classes(docs, spec, place)
-    m = m.join(roots, "node", "left").select("doc_id", place, "unit", F.coalesce("root", "node").alias("root"))
-    first = m.groupBy("root").agg(F.min(F.struct(place, "doc_id", "unit")).alias("first"))
-    gone = m.join(first, "root").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
+    return m.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node", "n", "cluster")
+
+
+def later(units: DataFrame, place: str) -> DataFrame:
+    """(doc_id, removed) of classed units: of each class, all but the one of the least (place, doc_id, unit)."""
+    first = units.groupBy("root").agg(F.min(F.struct(place, "doc_id", "unit")).alias("first"))
+    gone = units.join(first, "root").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("removed"))

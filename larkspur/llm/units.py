@@ -63,6 +63,7 @@ class Shingled(NamedTuple):
     end: np.ndarray
     owner: np.ndarray  # of each shingle: its unit; ascending
     shingle: np.ndarray  # distinct within the unit, ascending
+    line: np.ndarray  # of each unit: the number of its line in its text (0 for a document)
 
 
 def blocks(texts: list[str | None], most: int = BLOCK_CHARS):
@@ -153,13 +154,13 @@ def shingled(texts: list[str], spec: Spec, sets: bool = True, names: bool = Fals
         starts = lines
     else:
         doc, number, starts = np.arange(len(texts)), np.zeros(len(texts), np.int64), begin
-    n = len(starts)
+    n, line_number = len(starts), number
     if spec.shingle == "word":
         at, till, h = words(buf)
         if spec.unit == "piece":
             line = np.searchsorted(starts, at, "right") - 1
             at_cut = np.flatnonzero(cuts(h, line))
-            starts, doc = at[at_cut], doc[line[at_cut]]
+            starts, doc, line_number = at[at_cut], doc[line[at_cut]], number[line[at_cut]]
             number = np.arange(len(starts)) - np.searchsorted(doc, doc)
             n = len(starts)
     else:
@@ -203,7 +204,7 @@ def shingled(texts: list[str], spec: Spec, sets: bool = True, names: bool = Fals
         node = np.where(has, line_nodes(joined.split("\n") if spec.unit == "line" else texts), U(0))
     elif not spec.by_content and has.any():
         node[has] = mix(np.add.reduceat(mix(s + ODD[58]), (np.cumsum(count) - count)[has]) + count[has].astype(U))
-    return Shingled(doc, number, count, node.view(np.int64), left, right, o, s)
+    return Shingled(doc, number, count, node.view(np.int64), left, right, o, s, line_number)
 
 
 class MinHash:

@@ -103,3 +103,54 @@ def test_query(spark, name):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = sorted(((r[0], r[1], r.removed) for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == brute(rows, lines.line_spec() if name == "op8_lines" else lines.paragraph_spec())
+
+
+def whole(rows, size=5, percent=80):
+    """The lines that go, by comparing the word shingles of all pairs of lines; rows (id, text) of distinct ids."""
+    found = []
+    for i, t in sorted(rows):
+        for u, line in enumerate(t.split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
+            if w:
+                found.append((i, u, {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}))
+    label = list(range(len(found)))
+    for x, (_, _, p) in enumerate(found):
+        for y in range(x):
+            q = found[y][2]
+            if 100 * len(p & q) >= percent * len(p | q):
+                a, b = sorted((label[x], label[y]))
+                label = [a if k == b else k for k in label]
+    out = {i: [] for i, _ in rows}
+    for x, (i, u, _) in enumerate(found):
+        if label[x] != x:
+            out[i].append(u)
+    return out
+
+
+def test_whole_paragraphs(spark):
+    """A long paragraph with one word changed, and a short one, repeat an earlier one as a whole."""
+    r = random.Random(3)
+    new = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    a, b = new(100), new(60)
+    changed = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    rows = [(1, f"{' '.join(a)}\nTwo words\n\n{' '.join(b)}"), (2, f"{changed(a, 50)}\n two  WORDS "), (3, f"{' '.join(new(40))}\n{changed(b, 30)}\nthree other words")]
+    got = {x.doc_id: x for x in lines.paragraph_removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x.removed_paragraphs for i, x in got.items()} == {1: [], 2: [0, 1], 3: [1]} == whole(rows)
+    assert [(got[i].n_paragraphs, got[i].n_removed, got[i].removed_passages) for i in (1, 2, 3)] == [(3, 0, []), (2, 2, []), (3, 1, [])]
+
+
+def test_passages_stay_where_their_line_stays(spark):
+    """A piece that first stands in a line that goes is kept where it stands next."""
+    r = random.Random(4)
+    new = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, p, z = new(300), new(30), new(100)
+    rows = [(1, f"{a} {z}"), (2, f"{a} {p} {z}"), (3, f"{new(60)} {p} {new(60)}"), (4, f"{new(60)} {p} {new(60)}")]
+    got = {x.doc_id: x for x in lines.paragraph_removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].removed_paragraphs for i in (1, 2, 3, 4)] == [[], [0], [], []]
+    assert not got[3].removed_passages and got[3].removed and got[4].removed_passages == got[4].removed != []
+
+
+def test_whole_paragraphs_of_documents(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = lines.paragraph_removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed_paragraphs for r in got} == whole(rows)
