@@ -2,7 +2,8 @@
 
 Every text is scanned for three kinds of secret. Then its encoded parts are unwrapped, layer by layer:
 URL escapes, Unicode escapes, base64, and gzip or zlib data inside base64. Each layer is scanned again and
-unwrapped again until nothing new appears; a layer that was met before (a cycle) is not taken up again.
+unwrapped again until nothing new appears; a layer that was met before at the same place (a cycle) is not taken
+up again, the same content at another place is.
 A finding in a layer is reported at the place in the original text that it came from: the exact
 characters where a layer only replaces escapes, the whole encoded run where it is base64.
 
@@ -53,6 +54,10 @@ class Layer:
         self.text, self.parts = text, parts  # parts: start here; start and end there; whether one character stands for one
         self.starts = [p[0] for p in parts]
 
+    def mark(self) -> bytes:
+        """A digest of the text and of where it lies."""
+        return hashlib.sha256(f"{self.parts}\n{self.text}".encode("utf-8", "surrogatepass")).digest()
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
         at, a, b, alike = self.parts[bisect_right(self.starts, start) - 1]
         first = a + start - at if alike else a
@@ -126,8 +131,8 @@ def unwrapped(run: str) -> str | None:
 def layered(text: str) -> set[Span]:
     """The findings of all layers under text, at their places in text."""
     found: set[Span] = set()
-    met = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
     work = [Layer(text, [(0, 0, 0, True)])]
+    met = {work[0].mark()}
     while work:
         layer = work.pop()
         new: list[Layer | None] = []
@@ -139,14 +144,12 @@ def layered(text: str) -> set[Span]:
             if inner := unwrapped(m[0]):
                 new.append(Layer(inner, [(0, *layer.origin(m.start(), m.end()), False)]))
         for x in new:
-            if x and (mark := hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest()) not in met:
+            if x and (mark := x.mark()) not in met:
                 met.add(mark)
                 for s, kind, e in base(x.text):
                     a, b = x.origin(s, e)
                     found.add((a, kind, b))
                 work.append(x)
-            elif x and len(x.parts) == 1:  # the same content at another place: its findings hold there too
-                found |= {(x.parts[0][1], kind, x.parts[0][2]) for _, kind, _ in base(x.text)}
     return found
 
 
