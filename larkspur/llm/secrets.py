@@ -8,7 +8,9 @@ A finding in a layer is reported at the place in the original text that it came
 characters where a layer only replaces escapes, the whole encoded run where it is base64.
 
 Edge cases: null and empty texts have no findings; a text of any length is scanned whole, and decoded
-layers too (compressed data is unpacked up to ``most`` bytes a layer, 64 MB, against decompression bombs);
+layers too, whatever characters they hold: bytes that are no UTF-8 are replaced, and compressed data is unpacked
+to the end of its last member in blocks of 64 MB (only an encoded run or secret of more than 32 MB without a break
+inside compressed data may be met in parts);
 rows with null or repeated ids are scanned each by itself; further columns are not looked at.
 """
 
@@ -16,10 +18,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +37,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a greedy run of fewer would fail; runs are
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-MOST = 64 << 20
+BREAK = re.compile(r"[^A-Za-z0-9+/_.=\-\"':\x20%\\]")  # what ends a match of every pattern
+MOST, STEP = 64 << 20, 1 << 20
 
 Span = tuple[int, int, int]  # start, kind, end: in the order of the result
 
@@ -104,52 +109,104 @@ def unescaped_unicode(run: str) -> str:
     return units.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def unpacked(data: bytes, most: int = MOST) -> str | None:
-    """The text that data is, itself or compressed; None if it is neither."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        try:
-            data = zlib.decompressobj(47).decompress(data, most)
-        except zlib.error:
-            pass
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def unwrapped(run: str) -> str | None:
+def packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """What the members of data hold, a piece at a time, then what follows them; of a member that is broken, what it gives and, on a line of its own, itself."""
+    while packed(data):
+        member, d = data, zlib.decompressobj(47)
+        while not d.eof:
+            try:
+                out = d.decompress(data, STEP)
+            except zlib.error:
+                yield b"\n" + member
+                return
+            data = d.unconsumed_tail
+            if out:
+                yield out
+            elif not data:  # cut short
+                yield b"\n" + member
+                return
+        data = d.unused_data
+    yield data
+
+
+def unpacked(data: bytes, most: int = MOST) -> Iterator[str]:
+    """The text of data, unpacked if it is compressed, in blocks of about most characters; what is no UTF-8 is replaced.
+
+    A block ends where no pattern reaches over. If it has no such place, its end is repeated in the next.
+    """
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held, n = [], 0
+    for piece in inflated(data):
+        held.append(decode(piece))
+        n += len(held[-1])
+        if n >= most:
+            text = "".join(held)
+            at = last_break(text)
+            yield text[:at] if at else text
+            held = [text[at:] if at else text[-(most // 2) :]]
+            n = len(held[0])
+    if text := "".join([*held, decode(b"", True)]):
+        yield text
+
+
+def last_break(text: str) -> int:
+    """The place after the last character that no pattern can hold; 0 if there is none."""
+    for end in range(len(text), 0, -4096):
+        if found := list(BREAK.finditer(text, max(0, end - 4096), end)):
+            return found[-1].end()
+    return 0
+
+
+def decoded(run: str) -> bytes:
+    """The bytes of a base64 run; none if it is not base64."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
     try:
-        return unpacked(base64.b64decode(body + "=" * (-len(body) % 4)))
+        return b"" if len(body) % 4 == 1 else base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return None
+        return b""
+
+
+def blocks_at(data: bytes, place: tuple[int, int]) -> Iterator[Layer]:
+    return (Layer(t, [(0, *place, False)]) for t in unpacked(data))
 
 
 def layered(text: str) -> set[Span]:
     """The findings of all layers under text, at their places in text."""
     found: set[Span] = set()
-    work = [Layer(text, [(0, 0, 0, True)])]
-    met = {work[0].mark()}
+    top = Layer(text, [(0, 0, 0, True)])
+    met = {top.mark()}
+    work: list[Layer | Iterator[Layer]] = [top]
     while work:
         layer = work.pop()
+        if not isinstance(layer, Layer):
+            rest, layer = layer, next(layer, None)
+            if layer is None:
+                continue
+            work.append(rest)
+        if layer is not top:
+            if (mark := layer.mark()) in met:
+                continue
+            met.add(mark)
+            for s, kind, e in base(layer.text):
+                a, b = layer.origin(s, e)
+                found.add((a, kind, b))
         new: list[Layer | None] = []
         if "%" in layer.text:
             new.append(layer.replaced(URL, unescaped_url))
         if "\\" in layer.text:
             new.append(layer.replaced(UNICODE, unescaped_unicode))
         for m in BASE64.finditer(layer.text):
-            if inner := unwrapped(m[0]):
-                new.append(Layer(inner, [(0, *layer.origin(m.start(), m.end()), False)]))
-        for x in new:
-            if x and (mark := x.mark()) not in met:
-                met.add(mark)
-                for s, kind, e in base(x.text):
-                    a, b = x.origin(s, e)
-                    found.add((a, kind, b))
-                work.append(x)
+            if data := decoded(m[0]):
+                inner = blocks_at(data, layer.origin(m.start(), m.end()))
+                if packed(data):  # may be far larger than the run, so its blocks are made one by one
+                    work.append(inner)
+                else:
+                    new += inner
+        work += [x for x in new if x]
     return found
 
 
