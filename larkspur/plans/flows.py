@@ -58,6 +58,22 @@ def p7(d):
     return files.mime_detect(raw.withColumn("head", F.substring("content", 1, files.HEAD))).groupBy("detected").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "p7_mime_detect_whole",
+    """
+    with d as (select doc_id % 4 as i, coalesce(text, '') as t from documents), h as (select i, strlen(t) as size, substr(hex(encode(t)), 16385, 1) in ('8', '9', 'A', 'B') as torn from d)
+    select case when i = 0 then 'application/pdf' when torn or size = 0 or (i = 1 and size < 8192) then 'application/octet-stream' else 'text/plain' end as detected, count(*) as n from h group by 1
+    """,
+    "documents",
+)
+def p7_whole(d):
+    """Long and empty documents too: the head may end inside a character, or before the NUL."""
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    text = F.when(i % 4 == 0, F.concat(F.lit("%PDF-"), t)).when(i % 4 == 1, F.concat(t, F.lit("\x00"))).otherwise(t)
+    raw = d.select(F.encode(text, "UTF-8").alias("content"))
+    return files.mime_detect(raw.withColumn("head", F.substring("content", 1, files.HEAD))).groupBy("detected").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "p8_mime_gate",
     """

@@ -145,3 +145,11 @@ def test_dispatch_and_gaps(spark):
     assert sorted(x.id for x in fleet.dispatch_commands(r, c).collect()) == [0, 1, 2, 3, 4]
     b = spark.sql("select 'D' as device_code, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 5 as int)) as ts from range(2)")
     assert fleet.silent_gaps(b, 2, "2024-01-01 00:06:00").count() == 1
+
+
+def test_mime_of_long_and_empty_texts(spark):
+    from larkspur.plans import flows
+
+    for i, t, want in ((2, "a" * 8191 + "é", files.OCTETS), (2, "a" * 8190 + "é" * 9, "text/plain"), (2, "", files.OCTETS), (2, None, files.OCTETS), (1, "a" * 8191, files.OCTETS), (1, "a" * 8192, "text/plain"), (4, "é" * 9000, "application/pdf")):
+        got = flows.p7_whole(spark.createDataFrame([(i, t)], "doc_id long, text string")).collect()
+        assert [(r.detected, r.n) for r in got] == [(want, 1)]
