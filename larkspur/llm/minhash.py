@@ -26,7 +26,7 @@ def spec(shingle: int, percent: int) -> Spec:
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (the smallest id of the class), kept."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    how = spec(shingle, percent)
+    how = (spec(shingle, percent),)
     _, roots = near.classes(docs.where("doc_id IS NOT NULL"), how)
     nodes = cut(near.units(docs, how).join(roots, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("root")))
     least = nodes.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

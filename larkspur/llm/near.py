@@ -5,15 +5,22 @@
    task's nodes are packed and dealt by key. In each bucket of equal keys every node is linked to one (a
    star), so a bucket of n gives at most n - 1 candidate links, and only a spanning forest of them leaves
    the task. The components of these links are candidate clusters: two nodes that share any band are in one.
-3. The texts of one unit per node of a cluster are brought together, and all pairs within the cluster are
-   compared on full shingle sets, by counting shared shingles through postings. A large cluster is cut into
-   blocks, and pairs of blocks are compared in tasks of their own; no pair is written out, only a spanning
-   forest of the confirmed links. So a link is lost only if its nodes share no band and no chain of bands.
-4. The components of confirmed links are the classes.
+3. The texts of one unit per node of a cluster are brought together. In each band bucket of the cluster the first node is
+   compared with the others that are not yet linked to it by confirmed links, then the next (``linked``): a bucket whose
+   nodes are alike costs one comparison per node, and only nodes that stay apart are compared further.
+4. A cluster of more than BLOCK_NODES nodes is cut into blocks, each of which also gets the cluster's first node (its
+   pivot) to compare all others with. What is left are band buckets that hold nodes of different confirmed components: in
+   these, the nodes outside the component of the pivot are compared, in blocks, with all others of the bucket. So
+   the texts that move are in proportion to the nodes, but for buckets in which many nodes stay apart.
+5. The components of confirmed links are the classes. A link is lost only if its nodes share no band and no chain of links.
+
+Nodes are named by 64-bit hashes, band keys have 64 bits too. Among 1e9 distinct units a wrong equality of nodes is expected
+with a chance of 3 in 100; a wrong equality of band keys only means a comparison more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +31,10 @@ from pyspark.sql import types as T
 
 from larkspur.llm.components import components, forest
 from larkspur.llm.session import buckets, cut
-from larkspur.llm.units import MinHash, Spec, blocks, shingled
+from larkspur.llm.units import ODD, MinHash, Spec, U, blocks, mix, shingled
 
-#: Nodes, and shingles, of a cluster that are compared in one task; a larger cluster is cut into blocks.
-BLOCK_NODES, BLOCK_SHINGLES = 2000, 2_000_000
+#: Nodes, and shingles, of a cluster that are compared in one task; a larger cluster is cut into blocks. Up to FEW nodes need no bands.
+BLOCK_NODES, BLOCK_SHINGLES, FEW = 2000, 2_000_000, 8
 #: Band keys that a task packs at a time.
 PACKED = 2_000_000
 
@@ -42,71 +49,78 @@ def line_text(line: str) -> Column:
     return F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r"))
 
 
-def units(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:
-    """(doc_id, the columns places, unit, node, n; of pieces also line) of every unit; an empty one has node null and n 0. docs has doc_id (long), places and text."""
+def units(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> DataFrame:
+    """(doc_id, the columns places, kind, unit, line, node, n) of every unit of each of specs, kind being its place there; an empty one has node null and n 0. docs has doc_id (long), places and text."""
+    spec = specs[0]
     if spec.unit == "line" and spec.shingle == "char":
-        lines = docs.select("doc_id", *places, F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).withColumn("line", line_text("line"))
-        full = F.length("line") > 0
-        n = F.when(full, F.greatest(F.length("line") - spec.size + 1, F.lit(1))).otherwise(0).cast("int")
-        return lines.select("doc_id", *places, "unit", F.when(full, F.xxhash64("line")).alias("node"), n.alias("n"))
-    kinds = docs.select("doc_id", *places).schema
-    schema = T.StructType([*kinds]).add("unit", T.IntegerType()).add("node", T.LongType()).add("n", T.IntegerType())
-    if spec.unit == "piece":
-        schema = schema.add("line", T.IntegerType())
-    names = schema.names
+        lines = docs.select("doc_id", *places, F.posexplode(F.split("text", "\n", -1)).alias("unit", "text")).withColumn("text", line_text("text"))
+        full = F.length("text") > 0
+        n = F.when(full, F.greatest(F.length("text") - spec.size + 1, F.lit(1))).otherwise(0).cast("int")
+        return lines.select("doc_id", *places, F.lit(0).alias("kind"), "unit", F.col("unit").alias("line"), F.when(full, F.xxhash64("text")).alias("node"), n.alias("n"))
+    schema = T.StructType([*docs.select("doc_id", *places).schema])
+    for name, kind in (("kind", T.IntegerType()), ("unit", T.IntegerType()), ("line", T.IntegerType()), ("node", T.LongType()), ("n", T.IntegerType())):
+        schema = schema.add(name, kind)
 
     def task(batches):
         for batch in batches:
             for first, texts in blocks(batch.column(0).to_pylist()):
-                s = shingled(texts, spec, names=True)
-                of = pa.array(first + s.doc)
-                columns = [*(c.take(of) for c in batch.columns[1:]), pa.array(s.number.astype(np.int32)), pa.array(s.node, mask=s.count == 0), pa.array(s.count.astype(np.int32)), pa.array(s.line.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+                for kind, spec in enumerate(specs):
+                    s = shingled(texts, spec, names=True)
+                    of = pa.array(first + s.doc)
+                    own = (np.full(len(s.node), kind), s.number, s.line, s.count)
+                    kinds, number, line, count = (pa.array(x.astype(np.int32)) for x in own)
+                    yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[1:]), kinds, number, line, pa.array(named(s.node, kind), mask=s.count == 0), count], schema.names)
 
     return docs.select("text", "doc_id", *places).mapInArrow(task, schema)
 
 
-def packed_bands(docs: DataFrame, spec: Spec, groups: int) -> DataFrame:
-    """(bucket, payload): the band keys of one bucket and their nodes, as bytes: 4 and 8 for each. A node that a task meets again is put in twice."""
+def named(node: np.ndarray, kind: int) -> np.ndarray:
+    """Names of units of one of several kinds, so that equal units of different kinds are different nodes."""
+    return mix(node.view(U) ^ ODD[40 + kind]).view(np.int64) if kind else node
+
+
+def packed_bands(docs: DataFrame, specs: tuple[Spec, ...], groups: int) -> DataFrame:
+    """(bucket, payload): the band keys of one bucket and their nodes, as bytes: 8 each, in planes of two bytes. A node that a task meets again is put in twice."""
 
     def task(batches):
         keys, nodes, held, met, again = [], [], 0, set(), set()
 
         def flush():
             k, v = np.concatenate(keys), np.concatenate(nodes)
-            to = (k >> np.uint64(33)) % np.uint64(groups)
+            to = (k >> U(33)) % U(groups)
             order = np.lexsort((k, to))
-            k, v, to = k[order].astype(np.uint32), v[order], to[order]
+            k, v, to = k[order], v[order], to[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
-            rows = [k[a:b].tobytes() + v[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            rows = [planes(k[a:b]) + planes(v[a:b]) for a, b in zip(at, at[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(to[at[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
             for _, texts in blocks(batch.column(0).to_pylist()):
-                s = shingled(texts, spec, not spec.by_content)
-                distinct, one, times = np.unique(s.node, return_index=True, return_counts=True)
-                fresh = [x not in met for x in distinct.tolist()]
-                double = np.array([(t > 1 or not f) and x not in again for x, f, t in zip(distinct.tolist(), fresh, times.tolist(), strict=True)], bool)
-                take = np.zeros(len(s.node), bool)
-                take[one[np.array(fresh, bool) | double]] = True
-                take &= s.count > 0
-                if not take.any():
-                    continue
-                again.update(distinct[double].tolist())
-                met.update(distinct.tolist())
-                if len(met) > 1_000_000:  # forgetting only means that a node is put in again
-                    met.clear()
-                    again.clear()
-                name = np.cumsum(take) - 1
-                mine = take[s.owner]
-                m = hasher(spec.rows, spec.bands)
-                k = m.keys(m.signatures(name[s.owner[mine]], s.shingle[mine], int(take.sum())))
-                keys.append(k.ravel())
-                nodes.append(np.repeat(s.node[take], spec.bands))
-                twice = np.isin(s.node[take], distinct[double])
-                keys.append(k[twice, 0])
-                nodes.append(s.node[take][twice])
-                held += k.size
+                for kind, spec in enumerate(specs):
+                    s = shingled(texts, spec, not spec.by_content)
+                    node = named(s.node, kind)
+                    distinct, one, times = np.unique(node, return_index=True, return_counts=True)
+                    fresh = [x not in met for x in distinct.tolist()]
+                    double = np.array([(t > 1 or not f) and x not in again for x, f, t in zip(distinct.tolist(), fresh, times.tolist(), strict=True)], bool)
+                    take = np.zeros(len(node), bool)
+                    take[one[np.array(fresh, bool) | double]] = True
+                    take &= s.count > 0
+                    if not take.any():
+                        continue
+                    again.update(distinct[double].tolist())
+                    met.update(distinct.tolist())
+                    if len(met) > 1_000_000:  # forgetting only means that a node is put in again
+                        met.clear()
+                        again.clear()
+                    name = np.cumsum(take) - 1
+                    mine = take[s.owner]
+                    k = band_keys(spec, kind, name[s.owner[mine]], s.shingle[mine], int(take.sum()))
+                    keys.append(k.ravel())
+                    nodes.append(np.repeat(node[take], spec.bands))
+                    twice = np.isin(node[take], distinct[double])
+                    keys.append(k[twice, 0])
+                    nodes.append(node[take][twice])
+                    held += k.size
                 if held >= PACKED:
                     yield flush()
                     keys, nodes, held = [], [], 0
@@ -116,13 +130,30 @@ def packed_bands(docs: DataFrame, spec: Spec, groups: int) -> DataFrame:
     return docs.select("text").mapInArrow(task, "bucket int, payload binary")
 
 
+def band_keys(spec: Spec, kind: int, owner: np.ndarray, shingle: np.ndarray, count: int) -> np.ndarray:
+    """count x bands keys."""
+    m = hasher(spec.rows, spec.bands)
+    k = m.keys(m.signatures(owner, shingle, count))
+    return mix(k ^ ODD[40 + kind]) if kind else k
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, sorted ones of which compress."""
+    return np.ascontiguousarray(x.view(np.uint16).reshape(len(x), 4).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type, at: int = 0) -> np.ndarray:
+    half = len(data) // 2
+    return np.ascontiguousarray(np.frombuffer(data, np.uint16, half // 2, at * half).reshape(4, half // 8).T).view(kind).ravel()
+
+
 def stars(bands: DataFrame) -> DataFrame:
     """(src, dst): a spanning forest, by bucket, of the links between nodes that share a band key; and a link to itself for each node that several units have."""
 
     def group(table: pa.Table) -> pa.Table:
         parts = table.column("payload").to_pylist()
-        keys = np.concatenate([np.frombuffer(p, np.uint32, len(p) // 12) for p in parts])
-        nodes = np.concatenate([np.frombuffer(p, np.int64, offset=len(p) // 3) for p in parts])
+        keys = np.concatenate([unplaned(p, U) for p in parts])
+        nodes = np.concatenate([unplaned(p, np.int64, 1) for p in parts])
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         same = keys[1:] == keys[:-1]
@@ -135,100 +166,172 @@ def stars(bands: DataFrame) -> DataFrame:
     return bands.groupBy("bucket").applyInArrow(group, "src long, dst long")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in sets) whose similarity is percent or more; with side, only pairs of different sides."""
+def linked(sets: list[np.ndarray], label: np.ndarray, buckets: Iterable[np.ndarray], percent: int, side: np.ndarray | None = None, pivot: int | None = None) -> tuple[list[int], list[int], int]:
+    """Links a - b (places in sets) with a similarity of percent or more that join nodes of one bucket, and how many pairs were compared.
+
+    label tells which nodes are known to be linked, and is changed. In each bucket (ascending places) a node is compared with those after it that are not
+    yet linked to it, and only on the other side if side is given; so all pairs of a bucket are compared or linked by others. A pivot is compared with all.
+    """
     size = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        hit = 100 * both >= percent * (size.sum() - both)
-        return (np.array([0]), np.array([1])) if hit else (np.zeros(0, int), np.zeros(0, int))
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    head = np.concatenate([[True], flat[1:] != flat[:-1]])
-    group = np.cumsum(head) - 1
-    begin = np.flatnonzero(head)
-    length = np.diff(np.concatenate([begin, [len(flat)]]))
-    shared = length[group] > 1
-    mine, of = group[shared], owner[shared]
-    by = np.argsort(of, kind="stable")
-    mine, upto = mine[by], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sets)))])
-    a, b = [], []
-    for x in range(len(sets)) if side is None else np.flatnonzero(side == side[0]):
-        g = mine[upto[x] : upto[x + 1]]
-        n = length[g]
-        both = np.bincount(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[g], n)], minlength=len(sets))
-        hit = 100 * both >= percent * (size + size[x] - both)
-        hit &= np.arange(len(sets)) > x if side is None else side != side[x]
-        y = np.flatnonzero(hit)
-        a.append(np.full(len(y), x))
-        b.append(y)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def members(docs: DataFrame, spec: Spec, *places: str) -> DataFrame:
-    """(doc_id, places, unit, node, n, cluster) of the units that share a band, or their whole set, with another unit. Checkpointed: two later steps read it."""
-    links = cut(stars(packed_bands(docs, spec, buckets(docs.sparkSession))))
+    flat, begin = np.concatenate(sets), np.cumsum(size) - size
+    a, b, compared, apart = [], [], 0, {}
+
+    def star(c: int, x: np.ndarray) -> None:
+        nonlocal compared
+        x = x[label[x] != label[c]]
+        if side is not None:
+            x = x[side[x] != side[c]]
+        x = x[100 * np.minimum(size[x], size[c]) >= percent * np.maximum(size[x], size[c])]  # sets of too different sizes are not alike
+        if (known := apart.get(c)) is not None:
+            x = x[~np.isin(x, known)]
+        if not len(x):
+            return
+        n = size[x]
+        shingle = flat[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = np.minimum(np.searchsorted(sets[c], shingle), size[c] - 1)
+        both = np.add.reduceat((sets[c][at] == shingle).astype(np.int64), np.cumsum(n) - n)
+        hit = 100 * both >= percent * (n + size[c] - both)
+        compared += len(x)
+        if hit.any():
+            a.extend([c] * int(hit.sum()))
+            b.extend(x[hit].tolist())
+            label[np.isin(label, label[x[hit]])] = label[c]
+        if not hit.all():
+            apart[c] = x[~hit] if known is None else np.concatenate([known, x[~hit]])
+
+    if pivot is not None:
+        star(pivot, np.delete(np.arange(len(sets)), pivot))
+    for rest in buckets:
+        while len(rest) > 1 and (label[rest] != label[rest[0]]).any():
+            star(int(rest[0]), rest[1:])
+            rest = rest[1:]
+    return a, b, compared
+
+
+def shared(keys: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
+    """Of each band in turn, the places (ascending) that have the same key, if there are several and they are not all linked."""
+    for band in keys.T:
+        if (label == label[0]).all():
+            return
+        order = np.argsort(band, kind="stable")
+        same = band[order]
+        head = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1], [True]]))
+        for x, y in zip(head, head[1:], strict=False):
+            if y - x > 1:
+                yield order[x:y]
+
+
+def members(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> DataFrame:
+    """(doc_id, places, kind, unit, line, node, n, cluster) of the units that share a band, or their whole set, with another unit. Checkpointed: later steps read it."""
+    links = cut(stars(packed_bands(docs, specs, buckets(docs))))
     roots = components(links)
     all_nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).unionByName(links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root")))
     clusters = all_nodes.groupBy("node").agg(F.min("root").alias("cluster"))  # a node that is met twice and linked has both rows; its root is the smaller
-    return cut(units(docs, spec, *places).join(clusters, "node"))
+    return cut(units(docs, specs, *places).join(clusters, "node"))
 
 
-def confirmed(docs: DataFrame, members: DataFrame, spec: Spec) -> DataFrame:
-    """(src, dst): a spanning forest, by task, of the links between nodes of a cluster that full sets confirm."""
-    groups = buckets(docs.sparkSession)
-    one = members.groupBy("node").agg(F.min(F.struct("doc_id", "unit")).alias("at"), F.max("n").alias("n"), F.min("cluster").alias("cluster"))
-    size = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
-    size = size.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = one.join(size, "cluster").select("at.doc_id", F.struct("at.unit", "node", "cluster", "blocks").alias("x"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
+#: What rows of compared() tell: a link, a link in a cluster of several blocks, a band key (dst) of a node of such a cluster, how many pairs a task compared (dst).
+LINK, PART, KEY, COUNT = 0, 1, 2, 3
+#: Where a node is compared: the group, the pair of blocks of it (equal: within one), the node's own block, the smallest node that it is linked with so far, and whether the group is one of several blocks of a cluster.
+PLACE = "struct<group:bigint,i:int,j:int,side:int,root:bigint,part:boolean>"
+
+
+def compared(docs: DataFrame, wanted: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """(what, src, dst). wanted: doc_id, kind, unit, node, n, and to, an array of PLACE. Texts leave their documents once for each place."""
+    wanted = wanted.select("doc_id", F.struct("kind", "unit", "node", "to").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted")
-    if spec.unit == "line":
+    if specs[0].unit == "line" and specs[0].shingle == "char":
         rows = rows.select(F.split("text", "\n", -1).alias("lines"), "wanted")
-        line = lambda x: F.struct(x["node"].alias("node"), x["cluster"].alias("cluster"), x["blocks"].alias("blocks"), F.get(F.col("lines"), x["unit"]).alias("text"))
+        line = lambda x: F.struct(x["kind"].alias("kind"), x["node"].alias("node"), x["to"].alias("to"), F.get(F.col("lines"), x["unit"]).alias("text"))
         rows = rows.select(F.explode(F.transform("wanted", line)).alias("x")).select("x.*").where("text IS NOT NULL")
     else:
-        rows = rows.mapInArrow(_texts(spec), "node long, cluster long, blocks int, text string")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).cast("int"))
-    alone = Spec("document", *spec[1:])
+        rows = rows.mapInArrow(_texts(specs), f"kind int, node long, to array<{PLACE}>, text string")
+    rows = rows.select("kind", "node", "text", F.explode("to").alias("p")).select("kind", "node", "text", "p.*")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "i", "j"), F.lit(buckets(docs))).cast("int"))
+    alone = [Spec("document", *spec[1:]) for spec in specs]
 
     def group(table: pa.Table) -> pa.Table:
-        cluster, i, j, block, node = (table.column(c).to_numpy() for c in ("cluster", "i", "j", "block", "node"))
-        texts = table.column("text")
-        order = np.lexsort((node, j, i, cluster))
-        apart = np.flatnonzero((np.diff(cluster[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
-        owner, upto, shingle, good = [], [0], [], []
-        for _, part in blocks(texts.take(pa.array(order)).to_pylist()):
-            s = shingled(part, alone)
-            good.append(s.node)
-            shingle.append(s.shingle)
-            upto += (upto[-1] + np.cumsum(s.count)).tolist()
-        found, shingle = np.concatenate(good), np.concatenate(shingle)
-        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mine in np.split(np.arange(len(order)), apart):
-            mine = mine[found[mine] == node[order[mine]]]  # other rows under an id need not be the unit that was meant
-            name, once = np.unique(node[order[mine]], return_index=True)
-            mine = mine[once]
-            if len(mine) < 2:
-                continue
-            side = block[order[mine]]
-            cross = i[order[mine[0]]] != j[order[mine[0]]]
-            if cross and (side == side[0]).all():
-                continue
-            a, b = linked([shingle[upto[k] : upto[k + 1]] for k in mine], side if cross else None, spec.percent)
-            a, b = forest(name[a], name[b])
-            src.append(a)
-            dst.append(b)
-        return pa.table({"src": pa.array(np.concatenate(src)), "dst": pa.array(np.concatenate(dst))})
-
-    return rows.groupBy("bucket").applyInArrow(group, "src long, dst long")
-
-
-def _texts(spec: Spec):
+        kind, node, of, i, j, side, root, part = (table.column(c).to_numpy() for c in ("kind", "node", "group", "i", "j", "side", "root", "part"))
+        order = np.lexsort((node, j, i, of, kind))
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        total = 0
+        for k in np.unique(kind).tolist():
+            rows = order[kind[order] == k]
+            upto, shingle, good = [0], [], []
+            for _, texts in blocks(table.column("text").take(pa.array(rows)).to_pylist()):
+                s = shingled(texts, alone[k])
+                good.append(named(s.node, k))
+                shingle.append(s.shingle)
+                upto += (upto[-1] + np.cumsum(s.count)).tolist()
+            found, flat = np.concatenate(good), np.concatenate(shingle)
+            change = np.flatnonzero((np.diff(of[rows]) != 0) | (np.diff(i[rows]) != 0) | (np.diff(j[rows]) != 0)) + 1
+            for mine in np.split(np.arange(len(rows)), change):
+                mine = mine[found[mine] == node[rows[mine]]]  # other rows under an id need not be the unit that was meant
+                mine = mine[np.unique(node[rows[mine]], return_index=True)[1]]
+                if not len(mine):
+                    continue
+                at = rows[mine]
+                name, first = node[at], at[0]
+                sets = [flat[upto[x] : upto[x + 1]] for x in mine]
+                label = np.unique(root[at], return_inverse=True)[1]
+                pivot = across = None
+                if part[first] and len(own := np.flatnonzero(name == of[first])):
+                    pivot = int(own[0])
+                ties = [np.arange(len(mine))]
+                if i[first] != j[first]:
+                    across = side[at]
+                elif side[first] == WHOLE and (len(mine) > FEW or part[first]):
+                    keys = band_keys(specs[k], k, np.repeat(np.arange(len(mine)), [len(x) for x in sets]), np.concatenate(sets), len(mine))
+                    ties = shared(keys, label)
+                    if part[first]:
+                        own = name != of[first] if i[first] else np.ones(len(name), bool)  # the pivot's keys come from one block
+                        out.append((KEY, np.repeat(name[own], keys.shape[1]), keys[own].ravel().view(np.int64)))
+                a, b, n = linked(sets, label, ties, specs[k].percent, across, pivot)
+                total += n
+                if a:
+                    out.append((PART if part[first] else LINK, *forest(name[a], name[b])))
+        out.append((COUNT, np.zeros(1, np.int64), np.array([total])))
+        what = np.repeat([w for w, _, _ in out], [len(x) for _, x, _ in out])
+        return pa.table({"what": pa.array(what.astype(np.int32)), "src": pa.array(np.concatenate([x for _, x, _ in out])), "dst": pa.array(np.concatenate([y for _, _, y in out]))})
+
+    return rows.groupBy("bucket").applyInArrow(group, "what int, src long, dst long")
+
+
+#: The side of a node that is compared by the bands of its whole block.
+WHOLE = -1
+
+
+def confirmed(docs: DataFrame, members: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """(src, dst): links between nodes that full sets confirm, enough to connect all that are linked."""
+    one = members.groupBy("node").agg(F.min(F.struct("doc_id", "unit", "kind")).alias("at"), F.max("n").alias("n"), F.min("cluster").alias("cluster"))
+    size = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
+    size = size.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    one = one.select("at.*", "node", "cluster").join(size, "cluster")
+    several = F.col("blocks") > 1
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    where = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))  # a cluster is named by its pivot
+    place = lambda k: F.struct(F.col("cluster").alias("group"), k.alias("i"), k.alias("j"), F.lit(WHOLE).alias("side"), F.col("node").alias("root"), several.alias("part"))
+    first = cut(compared(docs, one.select("doc_id", "kind", "unit", "node", F.transform(where, place).alias("to")), specs))
+    links = first.where(F.col("what").isin(LINK, PART)).select("src", "dst")
+    keys = first.where(F.col("what") == KEY).select(F.col("src").alias("node"), F.col("dst").alias("key"))
+    if keys.isEmpty():
+        return links
+    # Buckets that hold nodes of several components so far: their nodes outside the component of the least node with all others.
+    roots = components(first.where(F.col("what") == PART).select("src", "dst"))
+    keys = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("last"), F.count(F.lit(1)).alias("c")).where("least != last")
+    keys = keys.join(mixed.select("key", "least"), "key").withColumn("far", F.col("root") != F.col("least"))
+    shape = keys.groupBy("key").agg(F.ceil(F.count_if("far") / BLOCK_NODES).cast("int").alias("f"), F.ceil(F.count_if(~F.col("far")) / BLOCK_NODES).cast("int").alias("p"))
+    keys = keys.join(shape, "key")
+    side = F.when(F.col("far"), F.pmod(F.xxhash64("node"), F.col("f"))).otherwise(F.col("f") + F.pmod(F.xxhash64("node"), F.col("p"))).cast("int")
+    keys = keys.withColumn("side", side).withColumn("others", F.sequence(F.lit(0), F.when(F.col("far"), F.col("f") + F.col("p") - 1).otherwise(F.col("f") - 1)))
+    pair = lambda k: F.struct(F.col("key").alias("group"), F.least("side", k).alias("i"), F.greatest("side", k).alias("j"), F.col("side"), F.col("root"), F.lit(False).alias("part"))
+    to = keys.groupBy("node").agg(F.flatten(F.collect_list(F.transform("others", pair))).alias("to"))
+    second = compared(docs, one.join(to, "node").select("doc_id", "kind", "unit", "node", "to"), specs)
+    return links.unionByName(second.where(F.col("what") == LINK).select("src", "dst"))
+
+
+def _texts(specs: tuple[Spec, ...]):
     """Of rows (text, wanted units), a row for each wanted unit with its own text."""
 
     def task(batches):
@@ -236,40 +339,44 @@ def _texts(spec: Spec):
             wanted = batch.column(1)
             size = np.diff(wanted.offsets.to_numpy())
             x = wanted.flatten()
-            fields = {name: x.field(name).to_numpy() for name in ("unit", "node", "cluster", "blocks")}
+            kind, unit, node, to = x.field("kind").to_numpy(), x.field("unit").to_numpy(), x.field("node"), x.field("to")
             upto = np.concatenate([[0], np.cumsum(size)])
             for first, texts in blocks(batch.column(0).to_pylist()):
                 a, b = upto[first], upto[first + len(texts)]
-                of, unit = np.repeat(np.arange(len(texts)), size[first : first + len(texts)]), fields["unit"][a:b]
-                if spec.unit == "document":
-                    out, ok = [texts[k] for k in of], np.ones(b - a, bool)
-                else:
-                    s = shingled(texts, spec, names=True)
-                    head = np.searchsorted(s.doc, of)
-                    ok = unit < np.searchsorted(s.doc, of, "right") - head
-                    raw = [t.encode("utf-8", "surrogatepass") for t in texts] if spec.shingle == "word" else texts
-                    out = [raw[k][s.begin[u] : s.end[u]] for k, u in zip(of[ok], (head + unit)[ok], strict=True)]
-                    if spec.shingle == "word":
-                        out = [t.decode("utf-8", "surrogatepass") for t in out]
-                yield pa.RecordBatch.from_arrays([*(pa.array(fields[name][a:b][ok]) for name in ("node", "cluster", "blocks")), pa.array(out, pa.string())], ["node", "cluster", "blocks", "text"])
+                of = np.repeat(np.arange(len(texts)), size[first : first + len(texts)])
+                for k, spec in enumerate(specs):
+                    rows = np.flatnonzero(kind[a:b] == k)
+                    if not len(rows):
+                        continue
+                    if spec.unit == "document":
+                        out = [texts[t] for t in of[rows]]
+                    else:
+                        s = shingled(texts, spec, names=True)
+                        head = np.searchsorted(s.doc, of[rows])
+                        ok = unit[a + rows] < np.searchsorted(s.doc, of[rows], "right") - head
+                        rows, head = rows[ok], head[ok]
+                        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+                        out = [raw[t][s.begin[u] : s.end[u]].decode("utf-8", "surrogatepass") for t, u in zip(of[rows], head + unit[a + rows], strict=True)]
+                    at = pa.array(a + rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), node.take(at), to.take(at), pa.array(out, pa.string())], ["kind", "node", "to", "text"])
 
     return task
 
 
-def classes(docs: DataFrame, spec: Spec, *places: str) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> tuple[DataFrame, DataFrame]:
     """members(docs), and (node, root) of the nodes that belong to a class and are not its smallest node. doc_id is not null."""
-    m = members(docs, spec, *places)
-    return m, components(confirmed(docs, m, spec))
+    m = members(docs, specs, *places)
+    return m, components(confirmed(docs, m, specs))
 
 
 def repeats(docs: DataFrame, spec: Spec, place: str) -> DataFrame:
     """(doc_id, removed: the ascending numbers of its units that repeat an earlier one): of each class of units, the one of the least (place, doc_id, unit) stays."""
-    return later(classed(docs, spec, place), place)
+    return later(classed(docs, (spec,), place), place)
 
 
-def classed(docs: DataFrame, spec: Spec, place: str) -> DataFrame:
-    """(doc_id, place, unit, of pieces also line, root) of the units that may have a like; those of one class have the same root."""
-    m, roots = classes(docs, spec, place)
+def classed(docs: DataFrame, specs: tuple[Spec, ...], place: str) -> DataFrame:
+    """(doc_id, place, kind, unit, line, root) of the units that may have a like; those of one class have the same root."""
+    m, roots = classes(docs, specs, place)
     return m.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node", "n", "cluster")
 
 

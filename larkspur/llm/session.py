@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed and written to the shared checkpoint folder, so that a lost executor does not bring back its whole past."""
     sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # as in tests; a cluster names a shared folder in spark.checkpoint.dir
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def buckets(spark: SparkSession) -> int:
-    """Into how many groups packed rows are dealt: as many as the session's shuffle partitions, so that a group is as large as a partition."""
-    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(docs: DataFrame) -> int:
+    """Into how many groups packed rows of docs are dealt: as many as the session's shuffle partitions, and twice the parts that docs is read in, so that a group stays small whatever the input."""
+    return max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())

@@ -482,7 +482,7 @@ def cut_texts(docs: DataFrame, gone: DataFrame, kind: T.DataType, length: int) -
 
 def substring_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row of documents: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay, concatenated)."""
-    groups = buckets(documents.sparkSession)
+    groups = buckets(documents)
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     place = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     docs = documents.select(key(doc_id, text).alias("key"), place.alias("place"), F.col(doc_id).alias("doc_id"), plain.alias("text"))

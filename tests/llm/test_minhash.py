@@ -114,3 +114,34 @@ def test_lines_of_characters():
     s = shingled(["  Abcdefghij \nxy\n\n", "abcdefghij"], Spec("line", "char", 5, 80, 4, 16))
     assert s.doc.tolist() == [0, 0, 0, 0, 1] and s.number.tolist() == [0, 1, 2, 3, 0]
     assert s.count.tolist() == [6, 1, 0, 0, 6] and s.shingle[s.owner == 0].tolist() == s.shingle[s.owner == 4].tolist()
+
+
+def test_comparisons_of_a_family():
+    """Nodes that are alike cost about one comparison each, and those that stay apart are compared in their buckets only."""
+    r = np.random.default_rng(2)
+    base = np.sort(r.integers(0, 2**63, 200).astype(np.uint64))
+    sets = []
+    for _ in range(1000):
+        s = base.copy()
+        s[r.integers(0, 200, 6)] = r.integers(0, 2**63, 6).astype(np.uint64)
+        sets.append(np.unique(s))
+    sets += [np.sort(r.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(200)]
+    keys = near.band_keys(minhash.spec(4, 80), 0, np.repeat(np.arange(1200), [len(s) for s in sets]), np.concatenate(sets), 1200)
+    label = np.arange(1200)
+    a, b, compared = near.linked(sets, label, near.shared(keys, label), 80)
+    assert len(np.unique(label[:1000])) == 1 and len(np.unique(label)) == 201 and len(a) == 999 and compared < 1500
+
+
+@pytest.mark.parametrize("size", [3, 7])
+def test_buckets_of_several_blocks(spark, monkeypatch, size):
+    """Clusters that are cut in many blocks, of nodes that chain through several confirmed components."""
+    r = random.Random(size)
+    rows = []
+    for family in range(6):
+        d = [f"f{family // 2}w{i}" for i in range(40)]
+        for k in range(25):
+            d = list(d)
+            d[r.randrange(40)] = f"n{r.randrange(500)}"
+            rows.append((len(rows), " ".join(d)))
+    monkeypatch.setattr(near, "BLOCK_NODES", size)
+    check(spark, rows)
