@@ -34,13 +34,13 @@ def line_spec(size: int = 8, percent: int = 80) -> Spec:
 
 
 def whole_spec(size: int = 5, percent: int = 80) -> Spec:
-    """Whole paragraphs. 6 bands of 2 rows: a pair at 0.8 shares none with a chance of 2 in 1,000, and equal paragraphs share all."""
-    return Spec("line", "word", size, percent, 2, 6, by_content=True)
+    """Whole paragraphs. 8 bands of 3 rows: a pair at 0.8 shares none with a chance of 3 in 1,000, and equal paragraphs share all."""
+    return Spec("line", "word", size, percent, 3, 8, by_content=True)
 
 
 def paragraph_spec(size: int = 5, percent: int = 80) -> Spec:
     """The pieces of paragraphs, in bands like whole ones."""
-    return Spec("piece", "word", size, percent, 2, 6, by_content=True)
+    return Spec("piece", "word", size, percent, 3, 8, by_content=True)
 
 
 def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:

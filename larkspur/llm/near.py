@@ -14,7 +14,7 @@
    the texts that move are in proportion to the nodes, but for buckets in which many nodes stay apart.
 5. The components of confirmed links are the classes. A link is lost only if its nodes share no band and no chain of links.
 
-Nodes are named by 64-bit hashes, band keys have 64 bits too. Among 1e9 distinct units a wrong equality of nodes is expected
+Nodes are named by 64-bit hashes, band keys have 48 bits within a bucket. Among 1e9 distinct units a wrong equality of nodes is expected
 with a chance of 3 in 100; a wrong equality of band keys only means a comparison more.
 """
 
@@ -37,6 +37,7 @@ from larkspur.llm.units import ODD, MinHash, Spec, U, blocks, mix, shingled
 BLOCK_NODES, BLOCK_SHINGLES, FEW = 2000, 2_000_000, 8
 #: Band keys that a task packs at a time.
 PACKED = 2_000_000
+KEY_BITS = U((1 << 48) - 1)
 
 
 @lru_cache(4)
@@ -80,7 +81,10 @@ def named(node: np.ndarray, kind: int) -> np.ndarray:
 
 
 def packed_bands(docs: DataFrame, specs: tuple[Spec, ...], groups: int) -> DataFrame:
-    """(bucket, payload): the band keys of one bucket and their nodes, as bytes: 8 each, in planes of two bytes. A node that a task meets again is put in twice."""
+    """(bucket, payload): the band keys of one bucket and their nodes, as bytes: 6 and 8, in planes of two bytes. A node that a task meets again is put in twice.
+
+    The lower 48 bits of a key are enough: a bucket's share of the input is the same at any size, and different keys that agree in them only mean a comparison more.
+    """
 
     def task(batches):
         keys, nodes, held, met, again = [], [], 0, set(), set()
@@ -88,10 +92,10 @@ def packed_bands(docs: DataFrame, specs: tuple[Spec, ...], groups: int) -> DataF
         def flush():
             k, v = np.concatenate(keys), np.concatenate(nodes)
             to = (k >> U(33)) % U(groups)
-            order = np.lexsort((k, to))
-            k, v, to = k[order], v[order], to[order]
+            order = np.lexsort((k & KEY_BITS, to))
+            k, v, to = k[order] & KEY_BITS, v[order], to[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
-            rows = [planes(k[a:b]) + planes(v[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            rows = [planes(k[a:b], 3) + planes(v[a:b], 4) for a, b in zip(at, at[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(to[at[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
@@ -137,14 +141,18 @@ def band_keys(spec: Spec, kind: int, owner: np.ndarray, shingle: np.ndarray, cou
     return mix(k ^ ODD[40 + kind]) if kind else k
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers, sorted ones of which compress."""
-    return np.ascontiguousarray(x.view(np.uint16).reshape(len(x), 4).T).tobytes()
+def planes(x: np.ndarray, many: int) -> bytes:
+    """The lower two-byte parts of 64-bit numbers, part by part, so that sorted ones compress."""
+    return np.ascontiguousarray(x.view(np.uint16).reshape(len(x), 4)[:, :many].T).tobytes()
 
 
-def unplaned(data: bytes, kind: type, at: int = 0) -> np.ndarray:
-    half = len(data) // 2
-    return np.ascontiguousarray(np.frombuffer(data, np.uint16, half // 2, at * half).reshape(4, half // 8).T).view(kind).ravel()
+def unplaned(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and nodes of a payload."""
+    n = len(data) // 14
+    x = np.zeros((2, n, 4), np.uint16)
+    parts = np.frombuffer(data, np.uint16).reshape(7, n)
+    x[0, :, :3], x[1] = parts[:3].T, parts[3:].T
+    return x[0].view(U).ravel(), x[1].view(np.int64).ravel()
 
 
 def stars(bands: DataFrame) -> DataFrame:
@@ -152,8 +160,7 @@ def stars(bands: DataFrame) -> DataFrame:
 
     def group(table: pa.Table) -> pa.Table:
         parts = table.column("payload").to_pylist()
-        keys = np.concatenate([unplaned(p, U) for p in parts])
-        nodes = np.concatenate([unplaned(p, np.int64, 1) for p in parts])
+        keys, nodes = map(np.concatenate, zip(*map(unplaned, parts), strict=True))
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         same = keys[1:] == keys[:-1]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gc
+
+from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(folder)
+    gc.collect()
+    sc._jvm.System.gc()  # Spark deletes shuffles and checkpoints of frames that nothing refers to any more; without this, those of all earlier steps stay on disk
     return df.checkpoint()
 
 
