@@ -37,7 +37,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (src, dst: long) but those that are the smallest of their component; root is that smallest node. No links give no rows; self-links and null ends are ignored."""
     e = links.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = cut(e)
+    e = cut(e, free=True)
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

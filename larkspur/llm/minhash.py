@@ -28,7 +28,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     how = (spec(shingle, percent),)
     _, roots = near.classes(docs.where("doc_id IS NOT NULL"), how)
-    nodes = cut(near.units(docs, how).join(roots, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("root")))
+    nodes = cut(near.units(docs, how).join(roots, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("root")), free=True)
     least = nodes.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     out = nodes.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))

@@ -234,7 +234,7 @@ def members(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> DataFrame
     roots = components(links)
     all_nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).unionByName(links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root")))
     clusters = all_nodes.groupBy("node").agg(F.min("root").alias("cluster"))  # a node that is met twice and linked has both rows; its root is the smaller
-    return cut(units(docs, specs, *places).join(clusters, "node"))
+    return cut(units(docs, specs, *places).join(clusters, "node"), free=True)
 
 
 #: What rows of compared() tell: a link, a link in a cluster of several blocks, a band key (dst) of a node of such a cluster, how many pairs a task compared (dst).
@@ -318,7 +318,7 @@ def confirmed(docs: DataFrame, members: DataFrame, specs: tuple[Spec, ...]) -> D
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     where = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))  # a cluster is named by its pivot
     place = lambda k: F.struct(F.col("cluster").alias("group"), k.alias("i"), k.alias("j"), F.lit(WHOLE).alias("side"), F.col("node").alias("root"), several.alias("part"))
-    first = cut(compared(docs, one.select("doc_id", "kind", "unit", "node", F.transform(where, place).alias("to")), specs))
+    first = cut(compared(docs, one.select("doc_id", "kind", "unit", "node", F.transform(where, place).alias("to")), specs), free=True)
     links = first.where(F.col("what").isin(LINK, PART)).select("src", "dst")
     keys = first.where(F.col("what") == KEY).select(F.col("src").alias("node"), F.col("dst").alias("key"))
     if keys.isEmpty():

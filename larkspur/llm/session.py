@@ -7,16 +7,17 @@ import gc
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed and written to the shared checkpoint folder, so that a lost executor does not bring back its whole past."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """df computed and written to the shared checkpoint folder, so that a lost executor does not bring back its whole past. With free, shuffles and checkpoints that only earlier frames used are deleted first."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(folder)
-    gc.collect()
-    sc._jvm.System.gc()  # Spark deletes shuffles and checkpoints of frames that nothing refers to any more; without this, those of all earlier steps stay on disk
+    if free:
+        gc.collect()
+        sc._jvm.System.gc()  # Spark deletes what belongs to frames that nothing refers to any more, but only when the driver's memory is collected
     return df.checkpoint()
 
 
