@@ -1,13 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The windows of the benchmark (``window`` consecutive words of an item; a shorter item that is not
-empty is one window) are hashed and held as a hash set inside the scan's expression. Each document is
-scanned once: its word windows are hashed, looked up, and only hits leave the scan, with their words,
-which a join then compares with the windows themselves.
+empty is one window) are hashed, and the hashes sent to every executor as a broadcast hash set. Each document is
+scanned once: its word windows are hashed and looked up, and only hits leave the scan, with their words,
+which a join then compares with the windows themselves. A set of more than SLICE hashes is looked up in slices, one scan each.
 
 Edge cases: null and empty texts have no words and are never hit; rows whose ``id`` is null or repeats
 are judged each by itself; an empty benchmark hits nothing; items without words are ignored; further
-columns of either table are not looked at.
+columns of either table are not looked at, and ``remove`` leaves them as they were, whatever their names. Texts are told
+apart by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.session import cut
+
 #: Words are runs of ASCII letters and digits and of everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Above so many distinct windows the hash set is not held in the expression; windows are joined instead.
-MAX_SET = 200_000
+#: Hashes of one broadcast set: about 50 MB.
+SLICE = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -27,7 +30,7 @@ def words(text: Column) -> Column:
 
 
 def bind(value: Column, f) -> Column:
-    """f(value) with the value computed once a row, wherever f uses it."""
+    """f(value) with the value computed once a row, wherever f uses it; a column of an earlier step can be computed again for each use."""
     return F.transform(F.array(value), f)[0]
 
 
@@ -39,30 +42,50 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int) -
     return b.select("item", "n", "w", F.xxhash64("w").alias("h")).distinct()
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """documents with row (a number of its own) and scan (n_words, and found: place, length and words of each window whose hash is held); the benchmark's windows."""
-    marks = benchmark_windows(benchmark, item, item_text, window)
-    # Driver side: the distinct hashes of each window length, if they are few; the benchmark is read, never the corpus.
-    lengths = {r["n"]: r["c"] for r in marks.groupBy("n").agg(F.countDistinct("h").alias("c")).collect()}
-    held = sum(lengths.values()) <= MAX_SET
-    known = {n: [] for n in lengths}
-    if held:
-        for r in marks.select("n", "h").distinct().collect():
-            known[r["n"]].append(r["h"])
-
-    def found(ws: Column, hs: Column, n: int) -> Column:
-        spots = F.sequence(F.lit(1), F.greatest(F.size(hs) - n + 1, F.lit(1)))
-        match = lambda i: F.xxhash64(F.slice(ws, i, n)).isin(known[n]) if held else F.lit(True)
-        spots = F.when(F.size(hs) >= n, F.filter(spots, match)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.slice(ws, i, n).alias("w")))
+def text_keys(text: Column) -> list[Column]:
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit("2"), t).alias("_k2")]
 
-    def scanned(ws: Column) -> Column:
-        parts = [found(ws, ws, n) for n in sorted(lengths)]
-        none = F.array().cast("array<struct<at:int,n:int,w:array<string>>>")
-        return F.struct(F.size(ws).cast("long").alias("n_words"), (F.concat(*parts) if parts else none).alias("found"))
 
-    rows = documents.withColumn("row", F.monotonically_increasing_id()).withColumn("scan", bind(words(F.col(text)), scanned))
-    return rows, marks
+def hits(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(docs' columns but text, n_words, at, n): a row with at null for each of docs (text and others), and one for each window of it, from the word at on, whose hash is that of a window of marks. Checkpointed."""
+    # Driver side: how many different lengths (at most the window) and hashes the benchmark has.
+    lengths = sorted(r["n"] for r in marks.select("n").distinct().collect())
+    slices = max(1, -(-marks.select("h").distinct().count() // SLICE))
+    names = [*(c for c in docs.columns if c != "text"), "n_words"]
+    count = lambda n_words, n: F.greatest(n_words - n + 1, F.lit(0)).cast("int")
+
+    def scanned(ws: Column) -> Column:
+        """The number of words, and the hashes of all windows of each length behind a null."""
+        of = lambda n: lambda i: F.xxhash64(F.slice(ws, i, n))
+        each = [F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), count(F.size(ws), n)), of(n))).otherwise(F.array().cast("array<bigint>")) for n in lengths]
+        return F.struct(F.size(ws).cast("long").alias("n_words"), F.concat(F.array(F.lit(None).cast("bigint")), *each).alias("hs"))
+
+    rows = docs.withColumn("scan", bind(words(F.col("text")), scanned)).drop("text").select("*", "scan.n_words")
+    rows = rows.select(*names, F.posexplode("scan.hs").alias("pos", "h"))  # words stay behind: they would be copied for every window
+    many = {n: count(F.col("n_words"), n) for n in lengths}
+    at, n, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
+    for size, k in many.items():  # pos counts the windows of the first length, then those of the next
+        mine = (F.col("pos") >= before) & (F.col("pos") < before + k)
+        at, n, before = F.when(mine, F.col("pos") - before).otherwise(at), F.when(mine, F.lit(size)).otherwise(n), before + k
+    out = None
+    for k in range(slices):
+        held = F.broadcast(marks.where(F.pmod("h", F.lit(slices)) == k).select(F.col("h").alias("held")).distinct())
+        found = rows.join(held, F.col("h") == F.col("held"), "inner" if k else "left")
+        found = found.where(F.col("held").isNotNull() | (F.col("pos") == 0)).select(*names, at.alias("at"), n.alias("n"))
+        out = found if out is None else out.unionByName(found)
+    return cut(out)
+
+
+def verified(docs: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_k1, _k2, spots, items) of the texts of docs of which found has a window whose words are those of a window of marks. A text that many documents have is verified once."""
+    spots = found.where("at IS NOT NULL").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "n")).alias("spots"))
+    texts = docs.select("_k1", "_k2", "text").join(spots, ["_k1", "_k2"]).groupBy("_k1", "_k2").agg(F.any_value("text").alias("text"), F.any_value("spots").alias("spots"))
+    own = bind(words(F.col("text")), lambda ws: F.transform("spots", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.slice(ws, x["at"] + 1, x["n"]).alias("w"))))
+    seen = texts.select("_k1", "_k2", F.explode(own).alias("x")).select("_k1", "_k2", "x.*")
+    m = marks.groupBy("w").agg(F.collect_set("item").alias("held"))
+    span = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
+    return seen.join(m, "w").groupBy("_k1", "_k2").agg(F.array_distinct(F.flatten(F.collect_list(span))).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("items"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -71,56 +94,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     A word is hit if it lies inside any occurrence of a benchmark window; the items are those of which a
     window occurs. ``items_sha256`` is over the sorted item ids, comma-joined.
     """
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows, marks = hits(docs, benchmark, "text", item, item_text, window)
-    # One narrow row for each document, or for each hit of it, goes through the shuffle; texts do not.
-    flat = rows.select("row", "doc_id", "scan.n_words", F.explode_outer("scan.found").alias("f")).select("row", "doc_id", "n_words", "f.at", "f.n", "f.w")
-    flat = flat.withColumn("h", F.xxhash64("w"))
-    m = marks.groupBy("h", "w").agg(F.collect_set("item").alias("held"))
-    if _small(m):
-        m = F.broadcast(m)
-    flat = flat.join(m, (flat.h == m.h) & (flat.w == m.w), "left").select("row", "doc_id", "n_words", F.when(F.col("held").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("span"), "held")
-    out = flat.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("items"))
-    return out.select(
-        "doc_id", "n_words", F.size("spots").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spots") > 0).alias("contaminated"),
-    )
-
-
-def _small(marks: DataFrame) -> bool:
-    """Whether the benchmark's windows are few enough to send to every executor."""
-    return marks.limit(MAX_SET + 1).count() <= MAX_SET
+    marks = benchmark_windows(benchmark, item, item_text, window)
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *text_keys(F.col(text)))
+    found = hits(docs, marks)
+    out = found.where("at IS NULL").join(verified(docs, found, marks), ["_k1", "_k2"], "left")
+    n_hit, items = F.coalesce(F.size("spots"), F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """The rows of documents that hold no benchmark window, with their columns as they were.
-
-    A hit of the hash set is verified in the row, against the windows' words; so a set that is small enough needs no shuffle.
-    """
-    marks = benchmark_windows(benchmark, item, item_text, window).cache()
-    lengths = [r["n"] for r in marks.select("n").distinct().collect()]
-    if not _small(marks):
-        rows, _ = hits(documents.withColumnRenamed(text, "_text"), benchmark, "_text", item, item_text, window)
-        flat = rows.select("row", F.explode("scan.found.w").alias("w"))
-        bad = flat.join(marks.select("w").distinct(), "w", "left_semi").select("row").distinct()
-        return rows.join(bad, "row", "left_anti").withColumnRenamed("_text", text).select(*documents.columns)
-    known = {n: ([], []) for n in lengths}
-    for r in marks.select("n", "h", F.array_join("w", " ").alias("s")).distinct().collect():
-        known[r["n"]][0].append(r["h"])
-        known[r["n"]][1].append(r["s"])
-    marks.unpersist()
-
-    def clean(ws: Column) -> Column:
-        out = F.lit(True)
-        for n, (hashes, texts) in sorted(known.items()):
-            spots = F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1)))
-            out = out & ~((F.size(ws) >= n) & F.exists(spots, holds(ws, n, hashes, texts)))
-        return out
-
-    def holds(ws: Column, n: int, hashes: list[int], texts: list[str]):
-        return lambda i: F.xxhash64(F.slice(ws, i, n)).isin(hashes) & F.array_join(F.slice(ws, i, n), " ").isin(texts)
-
-    return documents.where(bind(words(F.col(text)), clean))
+    """The rows of documents that hold no benchmark window, with their columns as they were."""
+    marks = benchmark_windows(benchmark, item, item_text, window)
+    docs = documents.select(F.col(text).alias("text"), *text_keys(F.col(text)))
+    bad = verified(docs, hits(docs, marks), marks).select("_k1", "_k2")
+    rows = documents.select(F.struct("*").alias("_row"), *text_keys(F.col(text)))
+    return rows.join(bad, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,10 +101,11 @@ def paragraph_removals(documents: DataFrame, doc_id: str = "doc_id", text: str =
 def line_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: Spec | None = None) -> DataFrame:
     """documents without the repeated lines; a document of which no line is left, though it had some, goes."""
     gone = near.repeats(keyed(documents, doc_id, text), spec or line_spec(), "place").select(F.col("doc_id").alias("_key"), F.col("removed").alias("_removed"))
-    out = documents.withColumn("_key", key(doc_id, text)).join(gone, "_key", "left")
-    out = out.withColumn("_left", F.when(F.col("_removed").isNull(), F.col(text)).otherwise(_kept(F.col(text), F.col("_removed"))))
+    out = documents.select(F.struct("*").alias("_row"), key(doc_id, text).alias("_key")).join(gone, "_key", "left")  # the columns as one, whatever their names
+    whole = F.col("_row")[text]
+    out = out.select("_row", "_removed", F.when(F.col("_removed").isNull(), whole).otherwise(_kept(whole, F.col("_removed"))).alias("_left"))
     out = out.where("_removed IS NULL OR _left RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.select(*(F.col("_left").alias(c) if c == text else F.col(c) for c in documents.columns))
+    return out.select(*(F.col("_left").alias(c) if c == text else F.col("_row")[c].alias(c) for c in documents.columns))
 
 
 def _kept(text: Column, removed: Column) -> Column:

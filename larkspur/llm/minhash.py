@@ -38,7 +38,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents but those near-duplicate to one with a smaller id (a null id comes last); rows equal in id and text stay or go together."""
     gone = near.repeats(keyed(documents, doc_id, text), spec(shingle, percent), "place").select(F.col("doc_id").alias("_key"))
-    return documents.withColumn("_key", key(doc_id, text)).join(gone, "_key", "left_anti").select(*documents.columns)
+    return documents.select(F.struct("*").alias("_row"), key(doc_id, text).alias("_key")).join(gone, "_key", "left_anti").select("_row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,23 +75,40 @@ ROWS = [(1, None), (2, ""), (3, "One two THREE four five six seven eight nine te
 ITEMS = [(7, "one two three four five six seven eight nine ten eleven"), (8, "Short item"), (9, None), (10, "..."), (7, "short item")]
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("most", [2_000_000, 1])
 def test_decontamination(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "MAX_SET", most)
-    docs = spark.createDataFrame([(*r, 1, 2) for r in ROWS], "doc_id long, text string, row int, h int")
+    monkeypatch.setattr(decontaminate, "SLICE", most)
+    full = [(*r, k, 2 * k) for k, r in enumerate(ROWS)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, row int, h int")
     items = spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id long, text string, doc_id int")
     found = contaminated([t for _, t in ROWS], ITEMS)
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()]
     assert sorted(got, key=str) == sorted(((i, n, h, len(x), h > 0) for (i, _), (n, h, x) in zip(ROWS, found)), key=str)
     left = decontaminate.remove(docs, items)
-    assert left.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(str(r) for r, f in zip(ROWS, found) if not f[1])
+    assert left.columns == docs.columns and sorted(str(tuple(r)) for r in left.collect()) == sorted(str(r) for r, f in zip(full, found) if not f[1])
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
     assert decontaminate.remove(docs, items.limit(0)).count() == len(ROWS)
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, items.limit(0)).collect())
 
 
+def test_many_windows(spark):
+    """More windows than a plan could hold as values."""
+    item = " ".join(f"w{k}" for k in range(210_000))
+    rows = [(1, "w5 " + " ".join(f"w{k}" for k in range(150_000, 150_012))), (1, "w1 w2"), (1, "w1 w2"), (2, " ".join(f"w{k}" for k in range(3, 12)))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("a", item), ("b", "w2")], "item_id string, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items).collect())
+    assert got == [(1, 2, 1, 1), (1, 2, 1, 1), (1, 13, 12, 1), (2, 9, 0, 0)]
+    assert [tuple(r) for r in decontaminate.remove(docs, items).collect()] == [rows[3]]
+
+
 def test_filters_keep_columns(spark):
-    rows = [(None, "the same text of some words here", 1), (2, "the same text of some words here", 2), (2, "the same text of some words here", 3), (3, None, 4), (4, "", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, root int")
-    assert sorted(r.root for r in minhash.dedup(docs).collect()) == [2, 3, 4, 5]
-    assert sorted(r.root for r in toxicity.clean(docs, ([], [0.0])).collect()) == [1, 2, 3, 4, 5]
+    same = "the same text of some words here"
+    rows = [(None, same, 1), (2, same, 2), (2, same, 3), (3, None, 4), (4, "", 5)]
+    for name in ("_key", "_removed", "_row", "node"):
+        docs = spark.createDataFrame([(*r, 7) for r in rows], f"doc_id long, text string, {name} int, line int")
+        assert sorted(tuple(r)[2:] for r in minhash.dedup(docs).collect()) == [(2, 7), (3, 7), (4, 7), (5, 7)]
+        assert sorted(tuple(r)[1:] for r in lines.line_dedup(docs).collect() if r.doc_id != 3) == [("", 5, 7), (same, 2, 7), (same, 3, 7)]
+        assert sorted(tuple(r)[2:] for r in toxicity.clean(docs, ([], [0.0])).collect()) == [(k, 7) for k in range(1, 6)]
+        if name in ("_key", "_row"):
+            none = spark.createDataFrame([], "item_id long, text string")
+            assert sorted(tuple(r)[2:] for r in decontaminate.remove(docs, none).collect()) == [(k, 7) for k in range(1, 6)]
