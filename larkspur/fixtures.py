@@ -73,6 +73,7 @@ select version_id as job_id, version_id, case when quantity % 9 = 0 then 'v0' el
        quantity % 4 as priority, quantity % 6 as attempt_count, 5 as max_attempts,
        case when l_linenumber = 2 then l_shipdate end as lease_until,
        l_shipdate as next_attempt_at, l_shipdate as updated_at,
+       case when quantity % 2 = 0 then l_shipdate - interval 3 days else l_shipdate end as created_at, case when l_linenumber = 2 then l_shipdate end as started_at,
        case when l_linenumber in (3, 5, 6) then 'e' || cast(quantity % 3 as string) else '' end as error_code
 from fx_versions""",
     "fx_file_events": """
@@ -83,8 +84,9 @@ select event_id as seq, 'DEV-' || lpad(cast(user_id as string), 6, '0') as devic
        'file' || cast(k % 5 as string) || case k % 4 when 0 then '.pdf' when 1 then '.txt' when 2 then '.tmp' else '' end as file_name,
        case k % 4 when 0 then '.pdf' when 1 then '.txt' when 2 then '.tmp' else '' end as extension,
        cast(round(value * 100) as bigint) as size_bytes, ts as updated_at, event_type = 'error' as is_deleted,
-       k % 10 as attempt_count, case when k % 3 = 0 then null else ts end as last_attempt_at,
-       case k % 3 when 0 then null when 1 then cast(round(value * 100) as bigint) else 0 end as uploaded_size_bytes
+       case when k % 2 = 0 then ts end as created_at, k % 10 as attempt_count, case when k % 3 = 0 then null else ts end as last_attempt_at,
+       case k % 3 when 0 then null when 1 then cast(round(value * 100) as bigint) else 0 end as uploaded_size_bytes,
+       case when k % 3 = 0 then null when k % 7 = 1 then ts + interval 1 day else ts end as uploaded_updated_at
 from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events) e""",
     "fx_exclusions": """
 select c_custkey as id, 'DEV-' || lpad(cast(c_custkey as string), 6, '0') as device_code,

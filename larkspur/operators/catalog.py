@@ -113,12 +113,12 @@ def exclusion_sets(exclusions: DataFrame, defaults: dict[str, list[str]]) -> Dat
 
 
 def upload_candidates(files: DataFrame, extensions: list[str], as_of: str) -> DataFrame:
-    """Live files of these extensions that changed since their last upload and whose back-off is over."""
+    """Live files of these extensions whose size or time changed since their last upload and whose back-off is over."""
     last, now = F.col("last_attempt_at"), S.ntz(as_of)
-    waited = lambda text: last <= now - F.expr(f"interval {text}")
+    waited = lambda text: last < now - F.expr(f"interval {text}")
     n = F.col("attempt_count")
     due = (n == 0) | last.isNull() | ((n <= 2) & waited("15 minutes")) | ((n <= 4) & waited("2 hours")) | ((n <= 7) & waited("12 hours")) | waited("7 days")
-    changed = F.col("uploaded_size_bytes").isNull() | (F.col("uploaded_size_bytes") != F.col("size_bytes"))
+    changed = ~F.coalesce((F.col("uploaded_size_bytes") == F.col("size_bytes")) & (F.col("uploaded_updated_at") == F.col("updated_at")), F.lit(False))
     return files.where(~F.col("is_deleted") & F.lower("extension").isin(*extensions) & changed & due)
 
 
@@ -211,35 +211,59 @@ def reconcile_storage(versions: DataFrame, inventory: DataFrame) -> DataFrame:
     return versions.join(have, "object_key", "left").withColumn("storage_status", status)
 
 
-def due_log_devices(devices: DataFrame, commands: DataFrame, as_of: str, window_minutes: int, cutoff: str, n: int) -> DataFrame:
-    """The first n devices by code that were seen within the window and have no log request open or since cutoff."""
+def due_log_devices(devices: DataFrame, commands: DataFrame, as_of: str, window_minutes: int, cutoff: str, n: int | None) -> DataFrame:
+    """The first n devices (all, if n is None) by code that were seen within the window and have no log request open or since cutoff."""
     busy = commands.where("command_type = 'REQUEST_LOGS'").where(F.col("status").isin("pending", "sent_to_agent") | (F.col("requested_at") > S.ntz(cutoff)))
     seen = devices.where("is_active").where(S.online("last_seen_at", as_of, window_minutes)).withColumn("k", F.upper("device_code"))
-    return seen.join(busy.select(F.upper("device_code").alias("k")).distinct(), "k", "left_anti").drop("k").orderBy("device_code").limit(n)
+    return seen.join(busy.select(F.upper("device_code").alias("k")).distinct(), "k", "left_anti").drop("k").orderBy("device_code").limit(n) if n is not None else seen.join(busy.select(F.upper("device_code").alias("k")).distinct(), "k", "left_anti").drop("k")
 
 
 BREAKDOWNS = {"extension": ("file_extension", "(none)"), "device": ("device_code", "(unknown)"), "department": ("department", "(unassigned)"), "source_type": ("source_type", "(unknown)")}
 
 
-def storage_stats(documents: DataFrame, versions: DataFrame, top: int = 25) -> DataFrame:
-    """A1: (breakdown, key, documents, versions, bytes): totals, and the top keys by bytes of each breakdown, from one scan."""
-    rows = versions.select("document_id", F.lower("file_extension").alias("file_extension"), "size_bytes").join(documents.select("document_id", "device_code", "department", "source_type"), "document_id")
+def storage_stats(documents: DataFrame, versions: DataFrame, top: int = 25, sources: DataFrame | None = None, spec: dict[str, Any] | None = None) -> DataFrame:
+    """A1: (breakdown, rank, key, documents, versions, bytes) of the documents that meet spec (P1; live ones if there is none): totals, and the top keys by bytes of each breakdown, from one scan. documents, with or without versions, are counted in the total only."""
+    docs = document_filter(documents, versions, sources, spec or {})
+    rows = versions.select("document_id", F.lower("file_extension").alias("file_extension"), "size_bytes").join(docs.select("document_id", "device_code", "department", "source_type"), "document_id")
     keys = [k for k, _ in BREAKDOWNS.values()]
     each = F.array(F.struct(F.lit("total").alias("breakdown"), F.lit("").alias("key")), *(F.struct(F.lit(b).alias("breakdown"), F.col(k).alias("key")) for b, (k, _) in BREAKDOWNS.items()))
-    per_doc = rows.groupBy("document_id", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"), F.max(F.lit(1)).alias("one"))
-    out = per_doc.select("document_id", "n", "b", F.explode(each).alias("e")).groupBy("e.breakdown", "e.key")
-    out = out.agg(F.sum("n").alias("versions"), F.sum("b").alias("bytes"))
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"))
+    out = per_key.select("n", "b", F.explode(each).alias("e")).groupBy("e.breakdown", "e.key").agg(F.sum("n").alias("versions"), F.sum("b").alias("bytes"))
     label = F.col("key")
     for b, (_, none) in BREAKDOWNS.items():
         label = F.when((F.col("breakdown") == b) & (F.trim("key") == ""), none).otherwise(label)
     rank = F.row_number().over(Window.partitionBy("breakdown").orderBy(F.desc("bytes"), "key"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= top).select("breakdown", "rank", label.alias("key"), "versions", "bytes")
+    out = out.withColumn("rank", rank).where(F.col("rank") <= top).join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n_documents"))))
+    return out.select("breakdown", "rank", label.alias("key"), F.when(F.col("breakdown") == "total", F.col("n_documents")).alias("documents"), "versions", "bytes")
 
 
 def extraction_overview(jobs: DataFrame, versions: DataFrame) -> DataFrame:
-    """A2: (kind, status, n) of jobs and versions."""
+    """A2: (kind, status, n) of jobs and versions; jobs that are queued, running or dead letters are counted even if there are none."""
     count = lambda df, kind, c: df.groupBy(F.col(c).alias("status")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "status", "n")
-    return count(jobs, "job", "status").unionByName(count(versions, "version", "extraction_status"))
+    named = jobs.sparkSession.createDataFrame([("job", s, 0) for s in ("queued", "running", "dead_letter")], "kind string, status string, n long")
+    return count(jobs, "job", "status").unionByName(count(versions, "version", "extraction_status")).unionByName(named).groupBy("kind", "status").agg(F.sum("n").alias("n"))
+
+
+def device_summary(devices: DataFrame, documents: DataFrame, versions: DataFrame, as_of: str, minutes: int = 2, status: str | None = None, inactive: bool = False) -> DataFrame:
+    """A3: devices (active ones, unless inactive) with status online or offline, documents, versions and bytes; with status, those of it: another than online and offline gives none. To be listed by summary_order()."""
+    out = device_rollup(devices if inactive else devices.where("is_active"), documents, versions)
+    out = out.withColumn("status", F.when(S.online("last_seen_at", as_of, minutes), "online").otherwise("offline"))
+    return out if status is None else out.where(F.col("status") == status.lower())
+
+
+def file_metadata(versions: DataFrame, documents: DataFrame, derivatives: DataFrame) -> DataFrame:
+    """Versions with their document's name, the content type that holds (detected, else declared), and their derivatives by kind and ordinal, each with a file name: the version's without its extension, kind and ordinal."""
+    x = derivatives.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("kind", "ordinal"))).alias("list"))
+    out = versions.join(documents.select("document_id", "display_name"), "document_id").join(x, "version_id", "left")
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    names = F.transform("list", lambda e: F.concat_ws("-", stem, e["kind"], e["ordinal"].cast("string")))
+    kind = F.when(F.trim("detected_content_type") != "", F.col("detected_content_type")).otherwise(F.col("declared_content_type"))
+    return out.withColumn("derivatives", F.coalesce(names, F.array().cast("array<string>"))).withColumn("content_type", kind).drop("list")
+
+
+def summary_order() -> list[Column]:
+    """The order of A3: seen or registered last first."""
+    return [F.coalesce("last_seen_at", "registered_at").desc_nulls_last(), F.asc("device_code")]
 
 
 def import_user_breakdown(files: DataFrame) -> DataFrame:
@@ -329,6 +353,7 @@ def recent_failures(jobs: DataFrame, versions: DataFrame, n: int) -> DataFrame:
 
 def sync_batches(files: DataFrame, size: int, id_column: str = "seq") -> DataFrame:
     """K4: pending files with batch, in id order, size to a batch, by device."""
+    files = files.where("sync_status = 'pending'")
     w = Window.partitionBy("device_code").orderBy(id_column)
     return files.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 

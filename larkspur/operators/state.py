@@ -21,7 +21,7 @@ def merge_file_index(current: DataFrame, batch: DataFrame, keys: tuple[str, ...]
 
 
 #: Fields whose change makes a scanned file pending again.
-WATCHED = ("directory_path", "file_name", "extension", "size_bytes", "updated_at")
+WATCHED = ("directory_path", "file_name", "extension", "size_bytes", "created_at", "updated_at")
 
 
 def merge_scan(current: DataFrame, scan: DataFrame) -> DataFrame:
@@ -114,6 +114,18 @@ def ensure_jobs(versions: DataFrame, jobs: DataFrame, pipeline: str, extracted:
     return out.select("version_id", F.lit(pipeline).alias("pipeline_version"), F.when(extracted, "completed").otherwise("queued").alias("status"), F.lit(0).alias("attempt_count"), F.lit(5).alias("max_attempts"))
 
 
+def reset_versions(versions: DataFrame, new_jobs: DataFrame) -> DataFrame:
+    """M7: versions that got a queued job are queued."""
+    fresh = new_jobs.where("status = 'queued'").select("version_id").distinct().withColumn("_new", F.lit(True))
+    return versions.join(fresh, "version_id", "left").withColumn("extraction_status", F.when(F.col("_new").isNotNull(), "queued").otherwise(F.col("extraction_status"))).drop("_new")
+
+
+def fail_versions(versions: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
+    """M8: versions whose job becomes a dead letter by sweep_expired have failed."""
+    dead = jobs.where(expired(as_of) & (F.col("attempt_count") >= F.col("max_attempts"))).select("version_id").distinct().withColumn("_dead", F.lit(True))
+    return versions.join(dead, "version_id", "left").withColumn("extraction_status", F.when(F.col("_dead").isNotNull(), "failed").otherwise(F.col("extraction_status"))).drop("_dead")
+
+
 def expired(as_of: str) -> Column:
     return (F.col("status") == "running") & (F.col("lease_until") <= S.ntz(as_of))
 
@@ -124,21 +136,26 @@ def sweep_expired(jobs: DataFrame, as_of: str) -> DataFrame:
     return jobs.withColumn("error_code", F.when(dead, "lease_expired").otherwise(F.col("error_code"))).withColumn("status", F.when(dead, "dead_letter").otherwise(F.col("status")))
 
 
-def claim_batch(jobs: DataFrame, versions: DataFrame, pipeline: str, extensions: list[str], n: int, as_of: str, owners: int = 1, lease_seconds: int = 300) -> DataFrame:
-    """The first n claimable jobs, as they are after the claim, dealt to owners. A top-k, not a sort of all."""
+def claim_batch(jobs: DataFrame, versions: DataFrame, pipeline: str, extensions: list[str], n: int, as_of: str, owners: int = 1, lease_seconds: int = 300, trusted: bool = False) -> DataFrame:
+    """The first n claimable jobs, as they are after the claim, dealt to owners, each lease with a token. A top-k, not a sort of all. trusted: only versions with a version id and a full hash."""
     due = (F.col("status").isin("queued", "retry_wait") & (F.col("next_attempt_at") <= S.ntz(as_of))) | expired(as_of)
     ok = jobs.where((F.col("pipeline_version") == pipeline) & (F.col("attempt_count") < F.col("max_attempts")) & due)
-    ok = ok.join(versions.where(F.lower("file_extension").isin(*extensions)).select("version_id"), "version_id")
-    order = [F.desc("priority"), F.asc("next_attempt_at"), F.asc("job_id")]
+    able = versions.where(F.lower("file_extension").isin(*extensions))
+    if trusted:
+        able = able.where((F.col("object_version_id") != "") & F.col("sha256").rlike("^[0-9a-fA-F]{64}$"))
+    ok = ok.join(able.select("version_id"), "version_id")
+    order = [F.desc("priority"), F.asc("next_attempt_at"), F.asc("created_at"), F.asc("job_id")]
     top = ok.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    return top.withColumns({"status": F.lit("running"), "attempt_count": F.col("attempt_count") + 1, "lease_until": S.ntz(as_of) + F.expr(f"interval {lease_seconds} seconds"), "error_code": F.lit(""), "owner": F.col("position") % owners})
+    token = F.sha2(F.concat_ws(":", "job_id", F.col("attempt_count") + 1, F.lit(as_of)), 256)
+    lease = {"lease_token": token, "lease_until": S.ntz(as_of) + F.expr(f"interval {lease_seconds} seconds"), "started_at": F.coalesce("started_at", S.ntz(as_of)), "owner": F.col("position") % owners}
+    return top.withColumns({"status": F.lit("running"), "attempt_count": F.col("attempt_count") + 1, "error_code": F.lit(""), **lease})
 
 
 def apply_failures(jobs: DataFrame, failures: DataFrame, as_of: str) -> DataFrame:
-    """M9: jobs after failures (job_id, disposition, error, token); only a failure whose token is the job's applies."""
-    f = failures.select("job_id", F.col("token").alias("f_token"), "disposition", F.col("error").alias("f_error"))
-    out = jobs.join(f, "job_id", "left")
-    hit = F.coalesce((F.col("status") == "running") & (F.col("f_token") == F.col("lease_token")), F.lit(False))
+    """M9: jobs after failures (job_id, disposition, error, token); only a failure whose token is the job's applies, one for each job."""
+    f = failures.groupBy(F.col("job_id").alias("f_job"), F.col("token").alias("f_token")).agg(F.min(F.struct("disposition", F.col("error").alias("f_error"))).alias("f"))
+    out = jobs.join(f, (F.col("job_id") == F.col("f_job")) & (F.col("lease_token") == F.col("f_token")), "left").select(*jobs.columns, "f_token", "f.*")
+    hit = (F.col("status") == "running") & F.col("f_token").isNotNull()
     d = F.col("disposition")
     new = F.when(d == "reject", "rejected").when(d == "dead_letter", "dead_letter").when((d == "release") | (F.col("attempt_count") < F.col("max_attempts")), "retry_wait").otherwise("dead_letter")
     attempts = F.when(hit & (d == "release"), F.greatest(F.col("attempt_count") - 1, F.lit(0))).otherwise(F.col("attempt_count"))
@@ -156,13 +173,49 @@ def replace_outputs(sections: DataFrame, new: DataFrame) -> DataFrame:
     return sections.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def apply_completions(jobs: DataFrame, versions: DataFrame, sections: DataFrame, derivatives: DataFrame, results: DataFrame, new_sections: DataFrame, new_derivatives: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """The four tables after results (job_id, token, object_version_id, etag, sha256, page_count) whose token is that of a running job with a live lease; outputs of other results are left out.
+
+    The outputs of their (version, pipeline) are replaced, jobs and versions completed, blank version ids and tags filled, hashes set.
+    """
+    keys = ["version_id", "pipeline_version"]
+    live = jobs.where((F.col("status") == "running") & (F.col("lease_until") > S.ntz(as_of))).select("job_id", F.col("lease_token").alias("token"), *keys)
+    one = results.groupBy("job_id", "token").agg(F.min(F.struct("object_version_id", "etag", "sha256", "page_count")).alias("r"))
+    done = one.join(live, ["job_id", "token"])
+    pairs = done.select(*keys).distinct()
+    replaced = lambda old, new: old.join(pairs, keys, "left_anti").unionByName(new.join(pairs, keys, "left_semi").select(*old.columns))
+    j = jobs.join(done.select("job_id", F.lit(True).alias("_hit")), "job_id", "left")
+    hit = F.col("_hit").isNotNull()
+    j = j.withColumns({"status": F.when(hit, "completed").otherwise(F.col("status")), "error_code": F.when(hit, "").otherwise(F.col("error_code")), "lease_until": F.when(~hit, F.col("lease_until")), "lease_token": F.when(~hit, F.col("lease_token"))}).drop("_hit")
+    count = new_sections.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+    last = done.join(count, keys, "left").groupBy("version_id").agg(F.max(F.struct("pipeline_version", F.coalesce("k", F.lit(0).cast("long")).alias("k"), "r")).alias("_n"))  # of several pipelines at once, the last by name
+    v = versions.join(last, "version_id", "left")
+    hit = F.col("_n").isNotNull()
+    fill = lambda c: F.when(hit & (F.col(c) == ""), F.col(f"_n.r.{c}")).otherwise(F.col(c))
+    put = lambda c, new: F.when(hit, new).otherwise(F.col(c))
+    v = v.withColumns({
+        "object_version_id": fill("object_version_id"), "etag": fill("etag"), "sha256": put("sha256", F.col("_n.r.sha256")), "extraction_status": put("extraction_status", F.lit("completed")), "page_count": put("page_count", F.col("_n.r.page_count")),
+        "section_count": put("section_count", F.col("_n.k")), "pipeline_version": put("pipeline_version", F.col("_n.pipeline_version")),
+    }).drop("_n")
+    return {"jobs": j, "versions": v, "sections": replaced(sections, new_sections), "derivatives": replaced(derivatives, new_derivatives)}
+
+
+def validate_derivatives(derivatives: DataFrame) -> DataFrame:
+    """(version_id, pipeline_version, kind, ordinal, problem) of derivatives that may not be stored."""
+    keys = ["version_id", "pipeline_version", "kind", "ordinal"]
+    twice = derivatives.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("duplicate ordinal").alias("problem"))
+    bad = F.when((F.col("ordinal") < 0) | (F.col("size_bytes") < 0), "negative number").when((F.trim("kind") == "") | (F.length("kind") > 64), "bad kind").when(F.trim("object_key") == "", "no object key")
+    bad = bad.when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), "bad sha")
+    return twice.unionByName(derivatives.withColumn("problem", bad).where("problem IS NOT NULL").select(*keys, "problem"))
+
+
 def validate_outputs(sections: DataFrame, longest: int = 50_000) -> DataFrame:
     """(version_id, pipeline_version, ordinal, problem) of sections that may not be stored."""
     keys = ["version_id", "pipeline_version", "ordinal"]
     twice = sections.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("duplicate ordinal").alias("problem"))
     text = F.length(F.concat("content", "ocr_content"))
     bad = F.when(F.col("ordinal") < 0, "negative ordinal").when(text == 0, "no text").when(text > longest, "too long").when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), "bad sha")
-    bad = bad.when(F.try_parse_json("locator").isNull(), "bad json")
+    bad = bad.when((F.trim("section_type") == "") | (F.length("section_type") > 64), "bad type").when(F.length("heading") > 1000, "long heading").when(F.try_parse_json("locator").isNull(), "bad json")
     return twice.unionByName(sections.withColumn("problem", bad).where("problem IS NOT NULL").select(*keys, "problem"))
 
 

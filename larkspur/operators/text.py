@@ -97,13 +97,18 @@ def active_pipeline(versions: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def read_content(sections: DataFrame, offset: int, max_chars: int, most: int = 120) -> DataFrame:
-    """The sections of each version from row offset on, most at most, while their lengths fit max_chars; at least one, cut to fit. The windows run over lengths; texts are joined back for kept rows."""
+    """The sections of each version from row offset on, most at most, while their lengths fit max_chars; at least one, cut to fit; next_offset is null when nothing is left. The windows run over lengths; texts are joined back for kept rows."""
     budget = max(500, min(max_chars, 40_000))
-    w = Window.partitionBy("version_id").orderBy("ordinal", "section_id")
+    whole = Window.partitionBy("version_id")
+    w = whole.orderBy("ordinal", "section_id")
     rows = sections.select("version_id", "section_id", "ordinal", F.length("content").alias("n")).withColumn("rn", F.row_number().over(w) - 1 - offset).where("rn >= 0")
-    rows = rows.withColumn("used", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rn") < most) & ((F.col("rn") == 0) | (F.col("used") <= budget)))
+    rows = rows.withColumn("used", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("left", F.count(F.lit(1)).over(whole))
+    rows = rows.where((F.col("rn") < most) & ((F.col("rn") == 0) | (F.col("used") <= budget))).withColumn("kept", F.count(F.lit(1)).over(whole))
     out = rows.join(sections.select("section_id", "content"), "section_id")
-    return out.select("version_id", "section_id", F.col("rn").alias("position"), F.substring("content", 1, budget).alias("content"), (F.col("n") > budget).alias("truncated"), F.least("used", F.lit(budget)).alias("consumed"))
+    return out.select(
+        "version_id", "section_id", F.col("rn").alias("position"), F.substring("content", 1, budget).alias("content"), (F.col("n") > budget).alias("truncated"), F.least("used", F.lit(budget)).alias("consumed"),
+        F.when(F.col("kept") < F.col("left"), F.col("kept") + offset).alias("next_offset"),
+    )
 
 
 def heading_path(blocks: DataFrame, levels: int = 9) -> DataFrame:
@@ -169,9 +174,9 @@ def sheet_profile(cells: DataFrame, sample: int = 10) -> DataFrame:
 
 
 def structured_json(versions: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """(version_id, json): one document with its source and its ordered sections; snake-case names."""
+    """(version_id, pipeline_version, json): for each pipeline of a version one document with its source, format, metadata, warnings and ordered sections; snake-case names. versions: also format, metadata (a map) and warnings (an array)."""
     item = F.struct("ordinal", "section_type", "heading", "content", "ocr_content")
-    s = sections.groupBy("version_id").agg(F.array_sort(F.collect_list(item)).alias("sections"), F.max("pipeline_version").alias("pipeline_version"))
-    v = versions.join(documents.select("document_id", "source_type", "device_code"), "document_id").join(s, "version_id")
+    s = sections.groupBy("version_id", "pipeline_version").agg(F.array_sort(F.collect_list(item)).alias("sections"))
+    v = versions.select("version_id", "document_id", "file_name", "format", "metadata", "warnings").join(documents.select("document_id", "source_type", "device_code"), "document_id").join(s, "version_id")
     source = F.struct("document_id", "version_id", "source_type", "device_code", "file_name")
-    return v.select("version_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), "pipeline_version", source.alias("source"), "sections")).alias("json"))
+    return v.select("version_id", "pipeline_version", F.to_json(F.struct(F.lit(1).alias("schema_version"), "pipeline_version", source.alias("source"), "format", "metadata", "warnings", "sections")).alias("json"))

@@ -174,9 +174,9 @@ def p5(x):
 @query(
     "p6_upload_candidates",
     f"""
-    select seq, device_code, full_path from fx_file_events where not is_deleted and lower(extension) in ('.pdf', '.txt') and (uploaded_size_bytes is null or uploaded_size_bytes <> size_bytes)
-      and (attempt_count = 0 or last_attempt_at is null or (attempt_count <= 2 and last_attempt_at <= timestamp '{EVENTS_AS_OF}' - interval 15 minutes) or (attempt_count <= 4 and last_attempt_at <= timestamp '{EVENTS_AS_OF}' - interval 2 hours)
-        or (attempt_count <= 7 and last_attempt_at <= timestamp '{EVENTS_AS_OF}' - interval 12 hours) or last_attempt_at <= timestamp '{EVENTS_AS_OF}' - interval 7 days)
+    select seq, device_code, full_path from fx_file_events where not is_deleted and lower(extension) in ('.pdf', '.txt') and (uploaded_size_bytes is null or uploaded_updated_at is null or uploaded_size_bytes <> size_bytes or uploaded_updated_at <> updated_at)
+      and (attempt_count = 0 or last_attempt_at is null or (attempt_count <= 2 and last_attempt_at < timestamp '{EVENTS_AS_OF}' - interval 15 minutes) or (attempt_count <= 4 and last_attempt_at < timestamp '{EVENTS_AS_OF}' - interval 2 hours)
+        or (attempt_count <= 7 and last_attempt_at < timestamp '{EVENTS_AS_OF}' - interval 12 hours) or last_attempt_at < timestamp '{EVENTS_AS_OF}' - interval 7 days)
     """,
     "fx_file_events",
 )
@@ -251,17 +251,13 @@ def j4(dev, d, v):
     f"""
     with {LIVE}, d as (select device_code, count(*) as documents from live group by 1), b as (select device_code, sum(size_bytes) as bytes from live join fx_versions using (document_id) group by 1)
     select device_code, case when coalesce(last_seen_at > timestamp '{EVENTS_AS_OF}' - interval 720 minutes, false) then 'online' else 'offline' end as status, coalesce(documents, 0) as documents, cast(coalesce(bytes, 0) as bigint) as bytes,
-      row_number() over (order by coalesce(last_seen_at, registered_at) desc nulls last, device_code) as position from fx_devices left join d using (device_code) left join b using (device_code) where is_active
+      row_number() over (order by coalesce(last_seen_at, registered_at) desc nulls last, device_code) - 1 as position from fx_devices left join d using (device_code) left join b using (device_code) where is_active order by position limit 500
     """,
     "fx_devices", "fx_documents", "fx_versions",
 )
 def a3(dev, d, v):
-    from pyspark.sql import Window
-
-    out = C.device_rollup(dev.where("is_active"), d, v)
-    status = F.when(S.online("last_seen_at", EVENTS_AS_OF, ONLINE_MINUTES), "online").otherwise("offline")
-    order = Window.orderBy(F.coalesce("last_seen_at", "registered_at").desc_nulls_last(), "device_code")
-    return out.select("device_code", status.alias("status"), "documents", "bytes", F.row_number().over(order).alias("position"))
+    out = C.device_summary(dev, d, v, EVENTS_AS_OF, ONLINE_MINUTES)
+    return C.page(out, C.summary_order(), 0, 500).select("device_code", "status", "documents", "bytes", "position")
 
 
 @query(
@@ -308,10 +304,10 @@ def j9(d, c):
 @query(
     "a1_storage_stats",
     """
-    with r as (select lower(file_extension) as e, device_code as v, department as p, source_type as s, size_bytes from fx_versions join fx_documents using (document_id)),
+    with r as (select lower(file_extension) as e, device_code as v, department as p, source_type as s, size_bytes from fx_versions join fx_documents using (document_id) where not is_deleted),
     u as (select 'total' as breakdown, '' as k, size_bytes from r union all select 'extension', e, size_bytes from r union all select 'device', v, size_bytes from r union all select 'department', p, size_bytes from r union all select 'source_type', s, size_bytes from r),
     g as (select breakdown, k, count(*) as versions, cast(sum(size_bytes) as bigint) as bytes from u group by all), n as (select *, row_number() over (partition by breakdown order by bytes desc, k) as rank from g)
-    select breakdown, rank, case when k = '' and breakdown = 'extension' then '(none)' when k = '' and breakdown = 'department' then '(unassigned)' else k end as key, versions, bytes from n where rank <= 25
+    select breakdown, rank, case when k = '' and breakdown = 'extension' then '(none)' when k = '' and breakdown = 'department' then '(unassigned)' else k end as key, case when breakdown = 'total' then (select count(*) from fx_documents where not is_deleted) end as documents, versions, bytes from n where rank <= 25
     """,
     "fx_documents", "fx_versions",
 )
@@ -319,7 +315,7 @@ def a1(d, v):
     return C.storage_stats(d, v)
 
 
-@query("a2_extraction_overview", "select 'job' as kind, status, count(*) as n from fx_jobs group by all union all select 'version', extraction_status, count(*) from fx_versions group by all", "fx_jobs", "fx_versions")
+@query("a2_extraction_overview", "select kind, status, cast(sum(n) as bigint) as n from (select 'job' as kind, status, 1 as n from fx_jobs union all select 'version', extraction_status, 1 from fx_versions union all select 'job', s, 0 from (values ('queued'), ('running'), ('dead_letter')) x(s)) group by all", "fx_jobs", "fx_versions")
 def a2(j, v):
     return C.extraction_overview(j, v)
 
@@ -402,14 +398,12 @@ def a10(d, v):
 
 @query(
     "j8_file_metadata",
-    f"select v.version_id, d.display_name, v.file_name, coalesce(x.n, 0) as derivatives, coalesce(x.names, '') as names from fx_versions v join fx_documents d using (document_id) left join (select version_id, count(*) as n, string_agg(kind || '-' || cast(ordinal as varchar), ',' order by kind, ordinal) as names from {DERIVED} group by 1) x using (version_id)",
+    f"select v.version_id, d.display_name, v.file_name, coalesce(x.n, 0) as derivatives, coalesce(x.names, '') as names, case when v.version_id % 2 = 0 then 'application/pdf' else 'text/plain' end as content_type from fx_versions v join fx_documents d using (document_id) left join (select y.version_id, count(*) as n, string_agg(regexp_replace(file_name, '[.][^.]*$', '') || '-' || kind || '-' || cast(ordinal as varchar), ',' order by kind, ordinal) as names from {DERIVED} y join fx_versions z on z.version_id = y.version_id group by 1) x on x.version_id = v.version_id",
     "fx_versions", "fx_documents",
 )
 def j8(v, d):
-    x = derivatives(v).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("kind", "ordinal"))).alias("list"))
-    names = F.array_join(F.transform("list", lambda e: F.concat_ws("-", e["kind"], e["ordinal"].cast("string"))), ",")
-    out = v.join(d.select("document_id", "display_name"), "document_id").join(x, "version_id", "left")
-    return out.select("version_id", "display_name", "file_name", F.coalesce(F.size("list"), F.lit(0)).cast("long").alias("derivatives"), F.coalesce(names, F.lit("")).alias("names"))
+    odd = v.withColumn("detected_content_type", F.when(F.col("version_id") % 2 == 0, "application/pdf").otherwise(" ")).withColumn("declared_content_type", F.lit("text/plain"))
+    return C.file_metadata(odd, d, derivatives(v)).select("version_id", "display_name", "file_name", F.size("derivatives").cast("long").alias("derivatives"), F.array_join("derivatives", ",").alias("names"), "content_type")
 
 
 @query("w1_latest_version", "select document_id, version_id, size_bytes, extraction_status from fx_versions qualify row_number() over (partition by document_id order by version_number desc) = 1", "fx_versions")
@@ -444,9 +438,9 @@ def k3(j, v):
     return C.recent_failures(j, v, 200).select("job_id", "document_id", "status", "error_code")
 
 
-@query("k4_sync_batches", "select seq, device_code, (row_number() over (partition by device_code order by seq) - 1) // 20 as batch from fx_file_events", "fx_file_events")
+@query("k4_sync_batches", "select seq, device_code, (row_number() over (partition by device_code order by seq) - 1) // 20 as batch from fx_file_events where attempt_count % 3 <> 1", "fx_file_events")
 def k4(f):
-    return C.sync_batches(f, 20).select("seq", "device_code", "batch")
+    return C.sync_batches(f.withColumn("sync_status", F.when(F.col("attempt_count") % 3 != 1, "pending").otherwise("synced")), 20).select("seq", "device_code", "batch")
 
 
 @query("k5_claimable_imports", f"select id, import_job_id, row_number() over (partition by import_job_id order by user_folder, full_path, id) as position from {ARCHIVE} where status in ('indexed', 'uploading') qualify position <= 20", "fx_sources")
@@ -466,12 +460,12 @@ def o1(s, d):
 
 @query(
     "o3_distinct_paths",
-    "select distinct device_code, trim(p) as path from (select device_code, unnest([full_path, ' ' || full_path || ' ', ' ', directory_path]) as p from fx_file_events where seq % 3 = 0) where trim(p) <> ''",
+    "select distinct device_code, trim(p) as path from (select device_code, unnest([full_path, ' ' || full_path || ' ', ' ', directory_path]) as p from fx_file_events) where trim(p) <> ''",
     "fx_file_events",
 )
 def o3(f):
     paths = F.to_json(F.array("full_path", F.concat(F.lit(" "), "full_path", F.lit(" ")), F.lit(" "), "directory_path"))
-    out = C.distinct_paths(f.where("seq % 3 = 0").select("device_code", paths.alias("requested_paths_json")))
+    out = C.distinct_paths(f.select("device_code", paths.alias("requested_paths_json")))
     return out.select("device_code", F.explode("paths").alias("path")).distinct()
 
 
@@ -487,4 +481,4 @@ def j3(s, d):
     "fx_devices", "fx_commands",
 )
 def o2(d, c):
-    return C.due_log_devices(d, c.where("status = 'pending'"), EVENTS_AS_OF, 14_400, "2030-01-01 00:00:00", 1_000_000).select("device_code")
+    return C.due_log_devices(d, c.where("status = 'pending'"), EVENTS_AS_OF, 14_400, "2030-01-01 00:00:00", None).select("device_code")

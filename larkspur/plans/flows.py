@@ -93,7 +93,7 @@ def p8(v):
 @query(
     "t1_stream_heartbeats",
     """
-    with b as (select device_code, max(struct_pack(t := created_at, h := 'h' || cast(request_id as varchar))) as m, min(created_at) as f from fx_logs group by 1), d as (select * from fx_devices where device_code < 'DEV-000100')
+    with b as (select device_code, max(struct_pack(t := created_at, h := 'h' || cast(request_id as varchar))) as m, min(created_at) as f from fx_logs group by 1), d as (select * from fx_devices)
     select coalesce(d.device_code, b.device_code) as device_code, coalesce(case when b.m is not null and (last_seen_at is null or m.t >= last_seen_at) then m.h else hostname end, '') as hostname, case when b.m is not null and (last_seen_at is null or m.t >= last_seen_at) then m.t else last_seen_at end as last_seen_at from d full outer join b on b.device_code = d.device_code
     """,
     "fx_logs", "fx_devices",
@@ -101,7 +101,7 @@ def p8(v):
 def t1(logs, d):
     spark, to = logs.sparkSession, files.shared_folder(logs.sparkSession)
     beats(logs).repartition(3).write.parquet(f"{to}/in")
-    devices = d.where("device_code < 'DEV-000100'").select("device_code", "hostname", "username", "agent_version", "last_seen_at", "registered_at")
+    devices = d.select("device_code", "hostname", "username", "agent_version", "last_seen_at", "registered_at")
     out = streams.stream_heartbeats(streams.files(spark, f"{to}/in", beats(logs).schema), devices, f"{to}/state")
     return out.select("device_code", F.coalesce("hostname", F.lit("")).alias("hostname"), "last_seen_at")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.fixtures import AS_OF, EVENTS_AS_OF, ONLINE_MINUTES
 from larkspur.functions import scalars as S
 from larkspur.operators import fleet, state
-from larkspur.plans.catalog import STORED, stored_parts
+from larkspur.plans.catalog import DERIVED, STORED, derivatives, stored_parts
 from larkspur.operators.catalog import part_plan
 from larkspur.plans.registry import query
 
@@ -36,10 +36,10 @@ def local(f):
 @query(
     "m2_merge_scan",
     f"""
-    with {LOCAL}, sc2 as (select sc.*, coalesce(case when sc.seq % 4 = 1 then cur.size_bytes end, sc.size_bytes) as z2, coalesce(case when sc.seq % 4 = 1 then cur.updated_at end, sc.updated_at) as t2 from sc left join cur using (device_code, full_path))
+    with {LOCAL}, sc2 as (select sc.*, coalesce(case when sc.seq % 4 = 1 then cur.size_bytes end, sc.size_bytes) as z2, coalesce(case when sc.seq % 4 = 1 then cur.updated_at end, sc.updated_at) as t2, case when sc.seq % 8 = 1 and cur.seq is not null then cur.created_at else sc.created_at end as c2 from sc left join cur using (device_code, full_path))
     select coalesce(c.device_code, s.device_code) as device_code, coalesce(c.full_path, s.full_path) as full_path, coalesce(s.z2, c.size_bytes) as size_bytes,
-      case when s.seq is null then c.sync_status when c.seq is null or c.is_deleted or c.size_bytes <> s.z2 or c.updated_at <> s.t2 then 'pending' else c.sync_status end as sync_status,
-      case when s.seq is null then c.attempt_count when c.seq is null or c.size_bytes <> s.z2 or c.updated_at <> s.t2 then 0 else c.attempt_count end as attempt_count, case when s.seq is null then c.is_deleted else false end as is_deleted
+      case when s.seq is null then c.sync_status when c.seq is null or c.is_deleted or c.size_bytes <> s.z2 or c.updated_at <> s.t2 or c.created_at is distinct from s.c2 then 'pending' else c.sync_status end as sync_status,
+      case when s.seq is null then c.attempt_count when c.seq is null or c.size_bytes <> s.z2 or c.updated_at <> s.t2 then 0 else c.attempt_count end as attempt_count, case when s.seq is null then c.is_deleted else false end as is_deleted, case when s.seq is null then c.created_at else s.c2 end as created_at
     from cur c full outer join sc2 s on c.device_code = s.device_code and c.full_path = s.full_path
     """,
     "fx_file_events",
@@ -47,11 +47,12 @@ def local(f):
 def m2(f):
     cur = local(f)
     scan = state.newest(f.where("seq % 2 = 1"), ["device_code", "full_path"], "seq").withColumn("last_seen", F.col("updated_at"))
-    old = cur.select("device_code", "full_path", F.col("size_bytes").alias("oz"), F.col("updated_at").alias("ot"))
+    old = cur.select("device_code", "full_path", F.col("size_bytes").alias("oz"), F.col("updated_at").alias("ot"), F.col("created_at").alias("oc"))
     scan = scan.join(old, ["device_code", "full_path"], "left")
     again = F.col("seq") % 4 == 1
-    scan = scan.withColumn("size_bytes", F.coalesce(F.when(again, F.col("oz")), "size_bytes")).withColumn("updated_at", F.coalesce(F.when(again, F.col("ot")), "updated_at")).drop("oz", "ot")
-    return state.merge_scan(cur, scan).select("device_code", "full_path", "size_bytes", "sync_status", "attempt_count", "is_deleted")
+    scan = scan.withColumn("size_bytes", F.coalesce(F.when(again, F.col("oz")), "size_bytes")).withColumn("updated_at", F.coalesce(F.when(again, F.col("ot")), "updated_at"))
+    scan = scan.withColumn("created_at", F.when((F.col("seq") % 8 == 1) & F.col("oz").isNotNull(), F.col("oc")).otherwise(F.col("created_at"))).drop("oz", "ot", "oc")
+    return state.merge_scan(cur, scan).select("device_code", "full_path", "size_bytes", "sync_status", "attempt_count", "is_deleted", "created_at")
 
 
 @query(
@@ -136,14 +137,16 @@ def m8(j):
 @query(
     "w5_claim_batch",
     f"""
-    select job_id, attempt_count + 1 as attempt_count, row_number() over (order by priority desc, next_attempt_at, job_id) as position, row_number() over (order by priority desc, next_attempt_at, job_id) % 3 as owner
-    from fx_jobs join fx_versions using (version_id) where pipeline_version = 'v1' and attempt_count < max_attempts and lower(file_extension) in ('.pdf', '.xlsx') and ((status in ('queued', 'retry_wait') and next_attempt_at <= timestamp '{AS_OF}') or (status = 'running' and lease_until <= timestamp '{AS_OF}'))
-    order by position limit 300
+    select job_id, attempt_count + 1 as attempt_count, row_number() over w as position, row_number() over w % 3 as owner, coalesce(started_at, timestamp '{AS_OF}') as started_at, sha256(job_id || ':' || (attempt_count + 1) || ':{AS_OF}') as lease_token
+    from fx_jobs join fx_versions using (version_id) where pipeline_version = 'v1' and attempt_count < max_attempts and lower(file_extension) in ('.pdf', '.xlsx') and version_id % 7 <> 0 and version_id % 11 <> 0 and ((status in ('queued', 'retry_wait') and next_attempt_at <= timestamp '{AS_OF}') or (status = 'running' and lease_until <= timestamp '{AS_OF}'))
+    window w as (order by priority desc, next_attempt_at, created_at, job_id) order by position limit 300
     """,
     "fx_jobs", "fx_versions",
 )
 def w5(j, v):
-    return state.claim_batch(j, v, "v1", [".pdf", ".xlsx"], 300, AS_OF, 3).select("job_id", "attempt_count", "position", "owner")
+    i = F.col("version_id")
+    v = v.withColumn("object_version_id", F.when(i % 7 == 0, "").otherwise("v")).withColumn("sha256", F.when(i % 11 == 0, "zz").otherwise(F.sha2(i.cast("string"), 256)))
+    return state.claim_batch(j, v, "v1", [".pdf", ".xlsx"], 300, AS_OF, 3, trusted=True).select("job_id", "attempt_count", "position", "owner", "started_at", "lease_token")
 
 
 @query(
@@ -161,6 +164,7 @@ def m9(j):
     j = j.withColumn("lease_token", F.col("job_id") % 10)
     d = F.element_at(F.array(*(F.lit(x) for x in ("reject", "dead_letter", "release", "retry"))), (F.col("job_id") % 4 + 1).cast("int"))
     f = j.where("priority < 3").select("job_id", F.when(F.col("job_id") % 5 == 0, -1).otherwise(F.col("lease_token")).alias("token"), d.alias("disposition"), F.lit("x").alias("error"))
+    f = f.unionByName(f).unionByName(f.withColumn("token", F.lit(-2).cast("long")))  # repeated, and of an earlier lease
     return state.apply_failures(j, f, AS_OF).select("job_id", "status", "attempt_count", "next_attempt_at", "version_status")
 
 
@@ -177,19 +181,79 @@ def m10(s):
 @query(
     "m11_validate_outputs",
     """
-    with s as (select version_id, pipeline_version, case when section_id % 50 = 0 then -1 else ordinal // 2 end as ordinal, case when section_id % 31 = 0 then '' else content end as content, case when section_id % 17 = 0 then 'z' else sha256(content) end as sha256, case when section_id % 13 = 0 then '{' else '{"a":1}' end as locator from fx_sections)
+    with s as (select version_id, pipeline_version, case when section_id % 50 = 0 then -1 else ordinal // 2 end as ordinal, case when section_id % 31 = 0 then '' else content end as content, case when section_id % 17 = 0 then 'z' else sha256(content) end as sha256, case when section_id % 13 = 0 then '{' else '{"a":1}' end as locator, case when section_id % 23 = 0 then ' ' else section_type end as section_type, case when section_id % 29 = 0 then repeat('h', 1001) else heading end as heading from fx_sections)
     select version_id, ordinal, 'duplicate ordinal' as problem from s group by version_id, pipeline_version, ordinal having count(*) > 1
-    union all select version_id, ordinal, case when ordinal < 0 then 'negative ordinal' when length(content) = 0 then 'no text' when length(content) > 2000 then 'too long' when length(sha256) <> 64 then 'bad sha' else 'bad json' end from s
-      where ordinal < 0 or length(content) = 0 or length(content) > 2000 or length(sha256) <> 64 or locator = '{'
+    union all select version_id, ordinal, case when ordinal < 0 then 'negative ordinal' when length(content) = 0 then 'no text' when length(content) > 2000 then 'too long' when length(sha256) <> 64 then 'bad sha' when trim(section_type) = '' then 'bad type' when length(heading) > 1000 then 'long heading' else 'bad json' end from s
+      where ordinal < 0 or length(content) = 0 or length(content) > 2000 or length(sha256) <> 64 or trim(section_type) = '' or length(heading) > 1000 or locator = '{'
     """,
     "fx_sections",
 )
 def m11(s):
     i = F.col("section_id")
-    s = s.withColumns({"ordinal": F.when(i % 50 == 0, -1).otherwise(F.floor(F.col("ordinal") / 2).cast("int")), "sha256": F.when(i % 17 == 0, "z").otherwise(F.sha2("content", 256)), "content": F.when(i % 31 == 0, "").otherwise(F.col("content")), "locator": F.when(i % 13 == 0, "{").otherwise('{"a":1}')})
+    s = s.withColumns({"ordinal": F.when(i % 50 == 0, -1).otherwise(F.floor(F.col("ordinal") / 2).cast("int")), "sha256": F.when(i % 17 == 0, "z").otherwise(F.sha2("content", 256)), "content": F.when(i % 31 == 0, "").otherwise(F.col("content")), "locator": F.when(i % 13 == 0, "{").otherwise('{"a":1}'), "section_type": F.when(i % 23 == 0, " ").otherwise(F.col("section_type")), "heading": F.when(i % 29 == 0, F.repeat(F.lit("h"), 1001)).otherwise(F.col("heading"))})
     return state.validate_outputs(s, 2000).select("version_id", "ordinal", "problem")
 
 
+@query(
+    "m11_validate_derivatives",
+    f"""
+    with d as (select version_id, 'v1' as pipeline_version, case when version_id % 5 = 0 then ' ' else 'image' end as kind, case when version_id % 3 = 0 then 0 else ordinal end as ordinal, case when version_id % 7 = 0 and ordinal = 1 then -1 else 1 end as size_bytes, case when version_id % 11 = 0 then '' else object_key end as object_key, case when version_id % 13 = 0 then 'z' else sha256(object_key) end as sha256 from {DERIVED})
+    select version_id, kind, ordinal, 'duplicate ordinal' as problem from d group by all having count(*) > 1
+    union all select version_id, kind, ordinal, case when size_bytes < 0 then 'negative number' when trim(kind) = '' then 'bad kind' when object_key = '' then 'no object key' else 'bad sha' end from d where size_bytes < 0 or trim(kind) = '' or object_key = '' or length(sha256) <> 64
+    """,
+    "fx_versions",
+)
+def m11_derivatives(v):
+    i, n = F.col("version_id"), F.col("ordinal")
+    d = derivatives(v).withColumn("sha256", F.when(i % 13 == 0, "z").otherwise(F.sha2("object_key", 256))).withColumn("size_bytes", F.when((i % 7 == 0) & (n == 1), -1).otherwise(1)).withColumn("object_key", F.when(i % 11 == 0, "").otherwise(F.col("object_key")))
+    d = d.withColumns({"pipeline_version": F.lit("v1"), "kind": F.when(i % 5 == 0, " ").otherwise("image"), "ordinal": F.when(i % 3 == 0, 0).otherwise(n)})
+    return state.validate_derivatives(d).select("version_id", "kind", "ordinal", "problem")
+
+
+def completed(j, v):
+    """Results of running jobs; one in 5 with a stale token, one in 3 of the leases over."""
+    i = F.col("job_id")
+    j = j.withColumn("lease_token", i % 10).withColumn("lease_until", F.when(i % 3 == 0, S.ntz("1990-01-01 00:00:00")).otherwise(S.ntz("2030-01-01 00:00:00")))
+    v = v.select("version_id", "extraction_status", F.when(F.col("version_id") % 2 == 0, "").otherwise("old").alias("object_version_id"), F.lit("").alias("etag"), F.lit("s").alias("sha256"), F.lit(0).alias("page_count"), F.lit(0).cast("long").alias("section_count"), F.lit("").alias("pipeline_version"))
+    r = j.where("priority < 3").select("job_id", F.when(i % 5 == 0, -1).otherwise(F.col("lease_token")).alias("token"), F.lit("new").alias("object_version_id"), F.lit("e").alias("etag"), F.sha2(i.cast("string"), 256).alias("sha256"), F.lit(7).alias("page_count"))
+    of = lambda text, n: j.select("version_id", "pipeline_version", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("ordinal"), F.lit(text).alias("content"))
+    return state.apply_completions(j, v, of("old", 1), of("old", 1), r.unionByName(r), of("new", 2), of("new", 1), AS_OF)
+
+
+HIT = "h as (select *, priority < 3 and job_id % 5 <> 0 and job_id % 3 <> 0 and status = 'running' as hit from fx_jobs)"
+
+
+@query("m10_completed_jobs", f"with {HIT} select job_id, case when hit then 'completed' else status end as status, case when hit then '' else error_code end as error_code from h", "fx_jobs", "fx_versions")
+def m10_jobs(j, v):
+    return completed(j, v)["jobs"].select("job_id", "status", "error_code")
+
+
+@query(
+    "m10_completed_versions",
+    f"with {HIT} select v.version_id, case when hit then 'completed' else extraction_status end as extraction_status, case when v.version_id % 2 = 0 then case when hit then 'new' else '' end else 'old' end as object_version_id, case when hit then 'e' else '' end as etag, case when hit then sha256(cast(job_id as varchar)) else 's' end as sha256, cast(case when hit then 7 else 0 end as int) as page_count, cast(case when hit then 2 else 0 end as bigint) as section_count, case when hit then pipeline_version else '' end as pipeline_version from fx_versions v left join h on h.version_id = v.version_id",
+    "fx_jobs", "fx_versions",
+)
+def m10_versions(j, v):
+    return completed(j, v)["versions"]
+
+
+@query("m10_completed_outputs", f"with {HIT} select 'section' as what, version_id, case when hit then 'new' else 'old' end as content, count(*) as n from h, range(2) as r(k) where hit or k = 0 group by all union all select 'derivative', version_id, case when hit then 'new' else 'old' end, 1 from h", "fx_jobs", "fx_versions")
+def m10_outputs(j, v):
+    out = completed(j, v)
+    n = lambda name, what: out[name].groupBy("version_id", "content").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "version_id", "content", "n")
+    return n("sections", "section").unionByName(n("derivatives", "derivative"))
+
+
+@query("m7_reset_versions", "select version_id, case when extraction_status <> 'completed' and version_id not in (select version_id from fx_jobs where pipeline_version = 'v1') then 'queued' else extraction_status end as extraction_status from fx_versions", "fx_versions", "fx_jobs")
+def m7_versions(v, j):
+    return state.reset_versions(v, state.ensure_jobs(v, j, "v1", F.col("extraction_status") == "completed")).select("version_id", "extraction_status")
+
+
+@query("m8_fail_versions", f"select v.version_id, case when {DEAD} then 'failed' else extraction_status end as extraction_status from fx_versions v left join fx_jobs j on j.version_id = v.version_id", "fx_versions", "fx_jobs")
+def m8_versions(v, j):
+    return state.fail_versions(v, j, AS_OF).select("version_id", "extraction_status")
+
+
 @query("m12_requeue", "select job_id, case when status = 'running' then 'refused' else 'queued' end as outcome, case when status = 'running' then status else 'queued' end as status, case when status = 'running' then attempt_count else 0 end as attempt_count from fx_jobs where job_id % 7 = 0", "fx_jobs")
 def m12(j):
     return state.requeue(j, j.where("job_id % 7 = 0").select("job_id"), AS_OF).select("job_id", "outcome", "status", "attempt_count")
@@ -216,15 +280,15 @@ def beats(logs):
 @query(
     "m14_fold_heartbeats",
     """
-    with b as (select device_code, max(struct_pack(t := created_at, h := 'h' || cast(request_id as varchar), v := '1.' || cast(id % 4 as varchar))) as m, min(created_at) as f from fx_logs where id % 2 = 0 group by 1),
-    d as (select * from fx_devices where device_code < 'DEV-000100')
+    with b as (select device_code, max(struct_pack(t := created_at, h := 'h' || cast(request_id as varchar), v := '1.' || cast(id % 4 as varchar))) as m, min(created_at) as f from fx_logs group by 1),
+    d as (select * from fx_devices)
     select coalesce(d.device_code, b.device_code) as device_code, coalesce(case when b.m is not null and (last_seen_at is null or m.t >= last_seen_at) then m.h else hostname end, '') as hostname,
       case when b.m is not null and (last_seen_at is null or m.t >= last_seen_at) then m.t else last_seen_at end as last_seen_at, coalesce(registered_at, f) as registered_at from d full outer join b on b.device_code = d.device_code
     """,
     "fx_devices", "fx_logs",
 )
 def m14(d, logs):
-    out = state.fold_heartbeats(d.where("device_code < 'DEV-000100'"), beats(logs.where("id % 2 = 0")))
+    out = state.fold_heartbeats(d, beats(logs))
     return out.select("device_code", F.coalesce("hostname", F.lit("")).alias("hostname"), "last_seen_at", "registered_at")
 
 
@@ -362,14 +426,13 @@ def t4(logs):
 @query(
     "w4_fill_hashes",
     """
-    with v as (select version_id, document_id, case version_id % 3 when 0 then '' when 1 then 'aa' else 'bb' end as sha, case version_id % 4 when 0 then '' when 1 then 'AA' else 'cc' end as got from fx_versions where version_number <= 2)
+    with v as (select version_id, document_id, case version_id % 3 when 0 then '' when 1 then 'aa' else 'bb' end as sha, case version_id % 4 when 0 then '' when 1 then 'AA' else 'cc' end as got from fx_versions)
     select version_id, case when sha = '' then lower(got) else sha end as sha256, sha <> '' and got <> '' and sha <> lower(got) as sha_conflict from v
     """,
     "fx_versions",
 )
 def w4_fill(v):
     i, k = F.col("version_id"), F.col("version_id").cast("string").alias("source_version_key")
-    v = v.where("version_number <= 2")
     old = v.select("version_id", "document_id", k, F.when(i % 3 == 0, "").when(i % 3 == 1, "aa").otherwise("bb").alias("sha256"))
     new = v.select("document_id", k, F.when(i % 4 == 0, "").when(i % 4 == 1, "AA").otherwise("cc").alias("sha256"))
     return state.fill_hashes(old, new).select("version_id", "sha256", "sha_conflict")

@@ -28,13 +28,13 @@ def d2(lines):
     return text.split_pages(f)
 
 
-SHAPES = "(select doc_id as doc, ordinal // 6 as slide, case ordinal % 6 when 4 then 'table' when 5 then 'notes' else 'box' end as part, ordinal as seq, case ordinal % 6 when 0 then 'title' when 1 then 'footer' else '' end as placeholder, left(content, 12) as text from fx_lines)"
+SHAPES = "(select doc_id as doc, ordinal // 6 as slide, case ordinal % 6 when 4 then 'table' when 5 then 'notes' else 'box' end as part, ordinal as seq, case ordinal % 6 when 0 then 'title' when 1 then 'footer' else '' end as placeholder, content as text from fx_lines)"
 
 
 def shapes(lines):
     k = F.col("ordinal") % 6
     part, place = F.when(k == 4, "table").when(k == 5, "notes").otherwise("box"), F.when(k == 0, "title").when(k == 1, "footer").otherwise("")
-    return lines.select(F.col("doc_id").alias("doc"), F.floor(F.col("ordinal") / 6).alias("slide"), part.alias("part"), F.col("ordinal").alias("seq"), place.alias("placeholder"), F.substring("content", 1, 12).alias("text"))
+    return lines.select(F.col("doc_id").alias("doc"), F.floor(F.col("ordinal") / 6).alias("slide"), part.alias("part"), F.col("ordinal").alias("seq"), place.alias("placeholder"), F.col("content").alias("text"))
 
 
 @query(
@@ -105,8 +105,9 @@ def w2(s):
 @query(
     "w3_read_content",
     """
-    with r as (select version_id, section_id, content, length(content) as n, row_number() over (partition by version_id order by ordinal, section_id) - 2 as position from fx_sections), u as (select *, sum(n) over (partition by version_id order by position rows between unbounded preceding and current row) as used from r where position >= 0)
-    select version_id, section_id, position, left(content, 3000) as content, n > 3000 as truncated, cast(least(used, 3000) as bigint) as consumed from u where position < 120 and (position = 0 or used <= 3000)
+    with r as (select version_id, section_id, content, length(content) as n, row_number() over (partition by version_id order by ordinal, section_id) - 2 as position from fx_sections), u as (select *, sum(n) over (partition by version_id order by position rows between unbounded preceding and current row) as used, count(*) over (partition by version_id) as rest from r where position >= 0),
+    k as (select *, count(*) over (partition by version_id) as kept from u where position < 120 and (position = 0 or used <= 3000))
+    select version_id, section_id, position, left(content, 3000) as content, n > 3000 as truncated, cast(least(used, 3000) as bigint) as consumed, case when kept < rest then kept + 1 end as next_offset from k
     """,
     "fx_sections",
 )
@@ -176,13 +177,16 @@ def a12(cells):
 
 @query(
     "s6_structured_json",
-    "select version_id, s.ordinal, s.content, d.source_type, v.file_name from fx_sections s join fx_versions v using (version_id) join fx_documents d on d.document_id = v.document_id",
+    "with s as (select version_id, pipeline_version, ordinal, content from fx_sections union all select version_id, 'v0', ordinal, 'old' from fx_sections where ordinal < 2) select version_id, s.pipeline_version, s.ordinal, s.content, d.source_type, v.file_name, v.file_extension as format, cast(v.size_bytes as varchar) as size, 'w' as warning from s join fx_versions v using (version_id) join fx_documents d on d.document_id = v.document_id",
     "fx_versions", "fx_documents", "fx_sections",
 )
 def s6(v, d, s):
-    shape = "struct<source:struct<source_type:string,file_name:string>,sections:array<struct<ordinal:int,content:string>>>"
-    out = text.structured_json(v, d, s).select("version_id", F.from_json("json", shape).alias("j"))
-    return out.select("version_id", F.explode("j.sections").alias("x"), "j.source").select("version_id", "x.ordinal", "x.content", "source.source_type", "source.file_name")
+    shape = "struct<source:struct<source_type:string,file_name:string>,format:string,metadata:map<string,string>,warnings:array<string>,sections:array<struct<ordinal:int,content:string>>>"
+    v = v.withColumns({"format": F.col("file_extension"), "metadata": F.create_map(F.lit("size"), F.col("size_bytes").cast("string")), "warnings": F.array(F.lit("w"))})
+    both = s.unionByName(s.where("ordinal < 2").withColumn("content", F.lit("old")).withColumn("pipeline_version", F.lit("v0")))
+    out = text.structured_json(v, d, both).select("version_id", "pipeline_version", F.from_json("json", shape).alias("j"))
+    out = out.select("version_id", "pipeline_version", F.explode("j.sections").alias("x"), "j")
+    return out.select("version_id", "pipeline_version", "x.ordinal", "x.content", "j.source.source_type", "j.source.file_name", "j.format", F.col("j.metadata")["size"].alias("size"), F.get("j.warnings", 0).alias("warning"))
 
 
 TOKENS = "tok as (select section_id, document_id, unnest(regexp_extract_all(lower(concat_ws(' ', heading, content, ocr_content)), '[\\p{L}\\p{N}]+')) as term, generate_subscripts(regexp_extract_all(lower(concat_ws(' ', heading, content, ocr_content)), '[\\p{L}\\p{N}]+'), 1) as pos from fx_sections)"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -54,8 +53,10 @@ LOOSE = (".csv", ".tsv", ".md")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share, below spark.checkpoint.dir."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 

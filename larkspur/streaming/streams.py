@@ -16,17 +16,30 @@ from larkspur.operators import state
 
 
 def fold(stream: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], folder: str) -> DataFrame:
-    """The state table after all that is available: start, merged with each micro-batch in turn."""
+    """The state table after all that is available: start, merged with each micro-batch in turn. A later call on the same folder goes on from the state that the last one left; start counts only in the first.
+
+    Each version names its batch: a batch that is run again reads the version before it. Two versions are kept.
+    """
     spark = stream.sparkSession
-    start.write.mode("overwrite").parquet(f"{folder}/v0")
+    if latest(spark, folder) is None:
+        start.write.mode("overwrite").parquet(f"{folder}/v0")
 
     def step(batch: DataFrame, n: int) -> None:
         merge(batch.sparkSession.read.parquet(f"{folder}/v{n}"), batch).write.mode("overwrite").parquet(f"{folder}/v{n + 1}")
+        if n >= 1:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{n - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max((p["batchId"] + 1 for p in q.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.parquet(f"{folder}/v{last}")
+    return spark.read.parquet(f"{folder}/v{latest(spark, folder)}")
+
+
+def latest(spark: SparkSession, folder: str) -> int | None:
+    """The number of the last whole version in folder: a write that was cut short leaves no _SUCCESS."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or []
+    return max((int(s.getPath().getParent().getName()[1:]) for s in found), default=None)
 
 
 def files(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:

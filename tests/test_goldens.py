@@ -132,7 +132,7 @@ def test_exclusions(spark):
 
 
 def test_claims_and_sweeps(spark):
-    j = spark.sql("select * from values (1, 1, 'v1', 'running', 0, 5, 5, timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:00:00', ''), (2, 2, 'v1', 'queued', 0, 0, 5, cast(null as timestamp_ntz), timestamp_ntz'2024-01-01 00:00:00', 'x'), (3, 3, 'v1', 'queued', 9, 0, 5, cast(null as timestamp_ntz), timestamp_ntz'2025-01-01 00:00:00', '') as t(job_id, version_id, pipeline_version, status, priority, attempt_count, max_attempts, lease_until, next_attempt_at, error_code)")
+    j = spark.sql("select * from values (1, 1, 'v1', 'running', 0, 5, 5, timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:00:00', ''), (2, 2, 'v1', 'queued', 0, 0, 5, cast(null as timestamp_ntz), timestamp_ntz'2024-01-01 00:00:00', 'x'), (3, 3, 'v1', 'queued', 9, 0, 5, cast(null as timestamp_ntz), timestamp_ntz'2025-01-01 00:00:00', '') as t(job_id, version_id, pipeline_version, status, priority, attempt_count, max_attempts, lease_until, next_attempt_at, error_code)").withColumns({"created_at": F.col("next_attempt_at"), "started_at": F.col("lease_until")})
     v = spark.sql("select * from values (1, '.pdf'), (2, '.PDF'), (3, '.pdf') as t(version_id, file_extension)")
     got = state.claim_batch(j, v, "v1", [".pdf"], 10, "2024-06-01 00:00:00").collect()
     assert [(r.job_id, r.status, r.attempt_count, r.error_code) for r in got] == [(2, "running", 1, "")]
@@ -153,3 +153,17 @@ def test_mime_of_long_and_empty_texts(spark):
     for i, t, want in ((2, "a" * 8191 + "é", files.OCTETS), (2, "a" * 8190 + "é" * 9, "text/plain"), (2, "", files.OCTETS), (2, None, files.OCTETS), (1, "a" * 8191, files.OCTETS), (1, "a" * 8192, "text/plain"), (4, "é" * 9000, "application/pdf")):
         got = flows.p7_whole(spark.createDataFrame([(i, t)], "doc_id long, text string")).collect()
         assert [(r.detected, r.n) for r in got] == [(want, 1)]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from larkspur.streaming import streams
+
+    schema = "device_code string, full_path string, seq long, size_bytes long"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: sorted(map(tuple, streams.stream_file_index(streams.files(spark, f"{tmp_path}/in", schema), spark.createDataFrame([], schema), f"{tmp_path}/state").collect()))
+    put(("D", "a", 1, 1))
+    put(("D", "b", 2, 2))
+    assert run() == run() == [("D", "a", 1, 1), ("D", "b", 2, 2)]
+    put(("D", "a", 3, 9))
+    assert run() == run() == [("D", "a", 3, 9), ("D", "b", 2, 2)]
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("v")]) == 2
