@@ -97,11 +97,8 @@ class Layer:
         return Layer("".join(out), parts)
 
 
-def unescaped_url(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except ValueError:
-        return None
+def unescaped_url(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
 def unescaped_unicode(run: str) -> str:
@@ -162,14 +159,27 @@ def last_break(text: str) -> int:
 
 
 def decoded(run: str) -> bytes:
-    """The bytes of a base64 run; none if it is not base64."""
+    """The bytes of a base64 run; none if it is not base64. A last character that stands for no whole byte is left out."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[:-1] if len(body) % 4 == 1 else body
     try:
-        return b"" if len(body) % 4 == 1 else base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return b""
 
 
+def starts(run: str) -> list[int]:
+    """Where base64 may begin in a run that may have a path before it: at its begin, and after slashes: the first of each place modulo 4 (later ones give the end of the same bytes), and all that compressed data follows."""
+    out, met = [0], {0}
+    at = run.find("/") + 1
+    while 0 < at <= len(run) - 20:
+        if at % 4 not in met or packed(decoded(run[at : at + 4])):
+            met.add(at % 4)
+            out.append(at)
+        at = run.find("/", at) + 1
+    return out
+
+
 def blocks_at(data: bytes, place: tuple[int, int]) -> Iterator[Layer]:
     return (Layer(t, [(0, *place, False)]) for t in unpacked(data))
 
@@ -200,12 +210,13 @@ def layered(text: str) -> set[Span]:
         if "\\" in layer.text:
             new.append(layer.replaced(UNICODE, unescaped_unicode))
         for m in BASE64.finditer(layer.text):
-            if data := decoded(m[0]):
-                inner = blocks_at(data, layer.origin(m.start(), m.end()))
-                if packed(data):  # may be far larger than the run, so its blocks are made one by one
-                    work.append(inner)
-                else:
-                    new += inner
+            for start in starts(m[0]):
+                if data := decoded(m[0][start:]):
+                    inner = blocks_at(data, layer.origin(m.start() + start, m.end()))
+                    if packed(data):  # may be far larger than the run, so its blocks are made one by one
+                        work.append(inner)
+                    else:
+                        new += inner
         work += [x for x in new if x]
     return found
 

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 
@@ -92,3 +93,42 @@ def test_query_against_plain(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in QUERIES["op9_secrets"](spark, "/root/testdata/sf0.001").collect():
         assert r.base_sha256 == hashlib.sha256(",".join(plain(texts[r.doc_id] or "")).encode()).hexdigest()
+
+
+WRAPS = (
+    lambda t: base64.b64encode(t.encode()).decode(),
+    lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+    lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+    lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+)
+
+
+def test_random_nestings_at_every_place():
+    """Secrets wrapped up to four times, some of them repeated: each place is found, and nothing else."""
+    r = random.Random(6)
+    for _ in range(60):
+        made = []
+        for k in range(r.randrange(1, 4)):
+            t = f"token=abcdefgh{k:08d}"
+            for _ in range(r.randrange(1, 5)):
+                t = r.choice(WRAPS)(t if r.random() < 0.7 else f"some words {t} more")
+            made.append(t)
+        made += r.choices(made, k=r.randrange(3))
+        text, places = "", []
+        for t in made:
+            text += "words é "
+            places.append((len(text), len(text) + len(t)))
+            text += t + r.choice(" \n")
+        found = {(a, b) for a, kind, b in S.layered(text) if kind == 0}
+        inside = lambda a, b: [p for p in places if p[0] <= a and b <= p[1]]
+        assert all(inside(a, b) for a, b in found) and {p for a, b in found for p in inside(a, b)} == set(places)
+
+
+def test_odd_escapes_and_paths():
+    secret = "token=abcdefgh12345678"
+    url = "%E9" + "".join(f"%{b:02x}" for b in secret.encode())
+    assert any(k == 0 and b == len(url) for _, k, b in S.layered(url))
+    for run in (WRAPS[0](secret), WRAPS[1](secret), WRAPS[0](WRAPS[1](secret))):
+        for path in ("https://h/x/", "/a/bc/def/ghij/", "a+b/c/"):
+            text = f"see {path}{run} end"
+            assert any(k == 0 and 4 <= a and b == 4 + len(path + run) for a, k, b in S.layered(text)), (path, run)
