@@ -42,7 +42,7 @@ def test_factor_one_is_exact(spark):
     x = r.standard_normal((900, 8)) * r.uniform(0.2, 3, (900, 1))
     x[300:420] = x[5]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = collected(N.nearest(df, lambda i: i % 7 == 0, factor=1.0, shard=300, block=50))
+    got = collected(N.nearest(df, lambda i: i % 7 == 0, factor=1.0, shard=100, each=8))
     want = brute(np.arange(900), x, 7)
     assert {q: [i for i, _ in w] for q, w in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
     tree = N.Tree(np.concatenate([x, np.sqrt((x * x).sum(1).max() - (x * x).sum(1))[:, None]], 1), 20)
@@ -59,3 +59,20 @@ def test_edges(spark):
     assert collected(N.nearest(df, lambda i: i % 20 == 0)) == {0: [(20, 1.0), (1, 0.5), (2, 0.5)], 20: [(0, 1.0), (1, 1.0), (2, 1.0)]}
     assert N.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
     assert N.nearest(df.where("vec_id = 0"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_shards_are_left_out():
+    """Vectors in far groups: a query looks at few leaves, and at factor 1 none of its nearest is lost."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.standard_normal((200, 6)) * 0.05 + c for c in r.standard_normal((12, 6)) * 4])
+    ids = np.arange(len(x))
+    longest = float((x * x).sum(1).max())
+    routes = N.Routes(ids[::8], x[::8], longest, 16)
+    leaf, above = routes.leaf(x)
+    ranges = {int(k): (np.min([above[i] for i in np.flatnonzero(leaf == k)], 0).tolist(), np.max([above[i] for i in np.flatnonzero(leaf == k)], 0).tolist()) for k in np.unique(leaf)}
+    q = ids[::20]
+    known, looks = routes.looks(q, x[q], 20, 1.0, ranges)
+    want = brute(ids, x, 20)
+    for i, w, y in zip(q, known, looks):
+        assert w <= want[i][-1][1] + 1e-9 and {int(leaf[j]) for j, _ in want[i]} <= set(y.tolist())
+    assert np.mean([len(y) for y in looks]) < 0.7 * len(ranges)
