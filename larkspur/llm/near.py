@@ -325,7 +325,8 @@ def confirmed(docs: DataFrame, members: DataFrame, specs: tuple[Spec, ...]) -> D
         return links
     # Buckets that hold nodes of several components so far: their nodes outside the component of the least node with all others.
     roots = components(first.where(F.col("what") == PART).select("src", "dst"))
-    keys = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = keys.groupBy("node").agg(F.collect_list("key").alias("keys")).join(roots, "node", "left")  # a row for each node, not for each key
+    keys = keys.select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     mixed = keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("last"), F.count(F.lit(1)).alias("c")).where("least != last")
     keys = keys.join(mixed.select("key", "least"), "key").withColumn("far", F.col("root") != F.col("least"))
     shape = keys.groupBy("key").agg(F.ceil(F.count_if("far") / BLOCK_NODES).cast("int").alias("f"), F.ceil(F.count_if(~F.col("far")) / BLOCK_NODES).cast("int").alias("p"))
