@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import near
 from larkspur.llm.lines import key, keyed
 from larkspur.llm.session import cut
+from larkspur.llm.skew import with_least
 from larkspur.llm.units import Spec
 
 
@@ -29,9 +30,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     how = (spec(shingle, percent),)
     _, roots = near.classes(docs.where("doc_id IS NOT NULL"), how)
     nodes = cut(near.units(docs, how).join(roots, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("root")), free=True)
-    least = nodes.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    out = nodes.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = with_least(nodes, "root", F.col("doc_id"), "least", "doc_id").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.components import components, forest
 from larkspur.llm.session import buckets, cut
+from larkspur.llm.skew import with_least
 from larkspur.llm.units import ODD, MinHash, Spec, U, blocks, mix, shingled
 
 #: Nodes, and shingles, of a cluster that are compared in one task; a larger cluster is cut into blocks. Up to FEW nodes need no bands.
@@ -390,6 +391,5 @@ def classed(docs: DataFrame, specs: tuple[Spec, ...], place: str) -> DataFrame:
 
 def later(units: DataFrame, place: str) -> DataFrame:
     """(doc_id, removed) of classed units: of each class, all but the one of the least (place, doc_id, unit)."""
-    first = units.groupBy("root").agg(F.min(F.struct(place, "doc_id", "unit")).alias("first"))
-    gone = units.join(first, "root").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
+    gone = with_least(units, "root", F.struct(place, "doc_id", "unit"), "first", "doc_id", "unit").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("removed"))
