@@ -208,13 +208,18 @@ SCORED = f"""{MATCHES}, w as (select * from (values (1, 'the'), (1, 'of'), (2, '
 
 def scored(s, q):
     clauses, wanted = search.query_clauses(q)
-    index = search.term_index(s)
-    return search.search_score(index, search.search_match(index, clauses), wanted)
+    index = search.term_index(s, search.clause_words(clauses))
+    return search.search_score(index, search.search_match(index, clauses), wanted, search.collection_size(s))
+
+
+def matched(s, q):
+    clauses = search.query_clauses(q)[0]
+    return search.search_match(search.term_index(s, search.clause_words(clauses)), clauses)
 
 
 @query("f3_search_match", f"with {MATCHES} select query_id, section_id from m", "fx_sections", "fx_queries")
 def f3(s, q):
-    return search.search_match(search.term_index(s), search.query_clauses(q)[0])
+    return matched(s, q)
 
 
 @query("f4_search_score", f"with {SCORED} select query_id, section_id, score from sc", "fx_sections", "fx_queries")
@@ -224,7 +229,7 @@ def f4(s, q):
 
 @query("a9_search_totals", f"with {MATCHES} select query_id, count(*) as sections, count(distinct document_id) as documents from m group by 1", "fx_sections", "fx_queries")
 def a9(s, q):
-    return search.search_totals(search.search_match(search.term_index(s), search.query_clauses(q)[0]), s)
+    return search.search_totals(matched(s, q), s)
 
 
 @query("f5_rank_flat", f"with {SCORED} select query_id, section_id, row_number() over (partition by query_id order by score desc, section_id) as rank from sc qualify rank <= 20", "fx_sections", "fx_queries")
@@ -275,6 +280,26 @@ def f9(q, s, v, d, x):
     return search.search(q, s, v, d, x).drop("snippet")
 
 
+PICKED = """pv as (select version_id, section_id, case when section_id % 5 < 2 then 'v0' else 'v1' end as p from fx_sections where version_id in (select v.version_id from fx_versions v join fx_documents d using (document_id) where not is_deleted and source_type = 'old_user_data' and lower(display_name) like '%1%')),
+    pn as (select version_id, p, count(*) as n from pv group by all), pb as (select version_id, p from pn qualify row_number() over (partition by version_id order by p <> (case when version_id % 3 = 0 then 'v9' else 'v0' end), n desc, p) = 1)"""
+
+
+@query(
+    "f9_search_flat",
+    f"""
+    with {PICKED}, {SCORED.replace("from fx_sections)", "from fx_sections where section_id in (select section_id from pv join pb using (version_id, p)))")}, r as (select *, row_number() over (partition by query_id order by score desc, section_id) as rank from sc qualify rank <= 20)
+    select query_id, rank, r.document_id, r.section_id, score, display_name, coalesce(full_path, '') as source_path, cast(true as boolean) as has_text from r join fx_documents d on d.document_id = r.document_id left join fx_sources x on x.id = d.source_record_id and x.source_type = d.source_type
+    """,
+    "fx_queries", "fx_sections", "fx_versions", "fx_documents", "fx_sources",
+)
+def f9_flat(q, s, v, d, x):
+    """A document filter, the active pipeline of each version, sections instead of documents, and highlights."""
+    s = s.withColumn("pipeline_version", F.when(F.col("section_id") % 5 < 2, "v0").otherwise("v1"))
+    declared = v.select("version_id", F.when(F.col("version_id") % 3 == 0, "v9").otherwise("v0").alias("declared"))
+    out = search.search(q, s, v, d, x, spec={"source_type": "OLD_user_data", "name": "1"}, declared=declared, grouped=False, highlights=True)
+    return out.withColumn("has_text", F.length("highlight") > 0).drop("snippet", "highlight", "matches")
+
+
 @query(
     "j2_search_hits",
     f"with {SCORED}, p as (select query_id, section_id from sc qualify row_number() over (partition by query_id order by score desc, section_id) <= 20) select p.query_id, p.section_id, s.content, v.file_name, d.display_name from p join fx_sections s using (section_id) join fx_versions v on v.version_id = s.version_id join fx_documents d on d.document_id = v.document_id where not is_deleted",
