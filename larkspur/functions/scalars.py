@@ -48,6 +48,17 @@ def norm_ext(ext: Column | str, name: Column | str | None = None) -> Column:
     return F.when(known == "", own).otherwise(known)
 
 
+def norm_ext_catalogue(ext: Column | str) -> Column:
+    """U2, catalogue form: trimmed, in lower case, a dot in front if there is none; further leading dots stay."""
+    v = F.lower(F.trim(c(ext)))
+    return F.when((v == "") | F.startswith(v, F.lit(".")), v).otherwise(F.concat(F.lit("."), v))
+
+
+def norm_ext_list(exts: Column | str) -> Column:
+    """U2, list form: the extensions of an array, normalised, distinct, sorted, blank ones left out."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(c(exts), norm_ext), lambda e: e != "")))
+
+
 def path_identity(path: Column | str) -> Column:
     """Slashes forward, none at the end, upper case."""
     return F.upper(F.regexp_replace(F.translate(F.trim(c(path)), "\\", "/"), "/+$", ""))
@@ -79,6 +90,14 @@ def object_key(prefix: str, user: Column | str, relative: Column | str) -> Colum
     return F.concat_ws("/", F.lit(prefix), c(user), F.array_join(safe, "/"))
 
 
+def hashed_object_key(device: Column | str, path: Column | str, name: Column | str, size: Column | str, modified_at: Column | str, sha256: Column | str) -> Column:
+    """U5, hashed form: devices/code/hash of the path identity/hash of size:ticks:sha/name. Ticks are tenths of microseconds since the year 1."""
+    code = F.regexp_replace(c(device), r"[^\p{L}\p{N}\-_.]", "_")
+    ticks = F.unix_micros(c(modified_at).cast("timestamp")) * 10 + F.lit(621_355_968_000_000_000)
+    revision = F.concat_ws(":", c(size).cast("string"), ticks.cast("string"), c(sha256))
+    return F.concat_ws("/", F.lit("devices"), code, F.sha2(path_identity(path), 256), F.sha2(revision, 256), c(name))
+
+
 def length_prefixed_sha256(*parts: Column | str) -> Column:
     """SHA-256 of len:value of each part; null counts as blank."""
     values = [F.coalesce(c(p).cast("string"), F.lit("")) for p in parts]
@@ -175,6 +194,12 @@ def column_name(i: Column | str) -> Column:
     return F.when(i < 26, letter(i)).when(i < 702, two).otherwise(three)
 
 
+def column_index(reference: Column | str) -> Column:
+    """U13, inverse: the letters that a cell reference starts with, as a number from 0; -1 if there are none."""
+    letters = F.upper(F.regexp_extract(c(reference), "^[A-Za-z]+", 0))
+    return F.aggregate(F.filter(F.split(letters, ""), lambda x: x != ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64) - 1
+
+
 def contains_ci(text: Column | str, part: str) -> Column:
     """ILIKE %part% with part taken literally."""
     return F.contains(F.lower(c(text)), F.lit(part.lower()))

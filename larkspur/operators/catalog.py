@@ -98,12 +98,27 @@ def exclude_files(files: DataFrame, exclusions: DataFrame, skip_dot_folders: boo
     return kept.join(exts, ["device_code", "ext"], "left_anti").drop("ext")
 
 
+#: Other names of the exclusion types.
+EXCLUSION_NAMES = {
+    "folder_path": ("excludedfolders", "excluded_folder", "excluded_folders", "folder", "folder_path", "path"),
+    "folder_name": ("excludedfoldernames", "excluded_folder_name", "excluded_folder_names", "folder_name", "name"),
+    "file_extension": ("excludedfileextensions", "excluded_file_extension", "excluded_file_extensions", "file_extension", "extension"),
+}
+
+
+def exclusion_type(name: Column) -> Column:
+    """P5: the type that a name stands for, case and - or _ aside; null if none."""
+    plain = F.translate(F.lower(F.trim(name)), "-", "_")
+    return F.coalesce(*(F.when(plain.isin(*names), kind) for kind, names in EXCLUSION_NAMES.items()))
+
+
 def exclusion_sets(exclusions: DataFrame, defaults: dict[str, list[str]]) -> DataFrame:
-    """P5: (device_code, exclusion_type, ordinal, value): active exclusions and the defaults, cleaned, distinct ignoring case, ordered."""
+    """P5: (device_code, exclusion_type, ordinal, value): active exclusions and the defaults, cleaned, distinct ignoring case, ordered. Types may go by their other names; unknown ones are left out."""
     spark = exclusions.sparkSession
     base = spark.createDataFrame([(k, v) for k, vs in defaults.items() for v in vs], "exclusion_type string, value string")
     devices = exclusions.select("device_code").distinct()
     both = exclusions.where("is_active").select("device_code", "exclusion_type", "value").unionByName(devices.crossJoin(F.broadcast(base)).select("device_code", "exclusion_type", "value"))
+    both = both.withColumn("exclusion_type", exclusion_type(F.col("exclusion_type"))).where("exclusion_type IS NOT NULL")
     clean = F.regexp_replace(F.trim("value"), r"[\\/]+$", "")
     clean = F.when(F.col("exclusion_type") == "file_extension", S.norm_ext(clean)).otherwise(clean)
     both = both.withColumn("value", clean).where("value <> ''")

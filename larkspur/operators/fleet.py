@@ -43,6 +43,16 @@ def active_commands(commands: DataFrame) -> DataFrame:
     return open_.groupBy("device_code", "command_type").agg(F.max_by("id", F.struct("requested_at", "id")).alias("id"), F.count(F.lit(1)).alias("open_count"))
 
 
+def admit_commands(commands: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request_id, device_code, command_type, requested_at) with outcome and twin: a duplicate names the open command of its device and type, or the request of this batch before it; others are admitted."""
+    keys = ["device_code", "command_type"]
+    w = Window.partitionBy(*keys).orderBy("requested_at", "request_id")
+    first = F.first("request_id").over(w)
+    out = requests.withColumn("_first", first).join(active_commands(commands).select(*keys, F.col("id").alias("_open")), keys, "left")
+    twin = F.coalesce("_open", F.when(F.col("_first") != F.col("request_id"), F.col("_first")))
+    return out.withColumn("twin", twin).withColumn("outcome", F.when(F.col("twin").isNull(), "admitted").otherwise("duplicate")).drop("_first", "_open")
+
+
 def recent_per_device(rows: DataFrame, n: int, ts: str = "created_at") -> DataFrame:
     """The newest n rows of each device; the group limit is pushed below the shuffle."""
     w = Window.partitionBy("device_code").orderBy(F.desc(ts), F.desc("id"))

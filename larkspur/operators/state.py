@@ -50,17 +50,20 @@ def mark_missing(current: DataFrame, gone: DataFrame) -> DataFrame:
     return out.withColumns({"is_deleted": hit | F.col("is_deleted"), "sync_status": F.when(hit, "pending").otherwise(F.col("sync_status")), "upload_status": F.when(hit, "missing").otherwise(F.col("upload_status"))}).drop("_gone")
 
 
-def decide_uploads(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def decide_uploads(current: DataFrame, incoming: DataFrame, archive: bool = False) -> DataFrame:
     """M4: skip, resume or start for each incoming file, and whether an open upload is aborted.
 
-    The same revision has equal size and time, and equal hashes where both are known.
+    The same revision has equal size and time, and equal hashes where both are known. Files of an archive go by
+    (import_job_id, full_path), and an aborted one with an open upload resumes.
     """
-    c = current.select("device_code", "path_identity", F.struct("size_bytes", "modified_at", "sha256", "status", "multipart_id").alias("c"))
-    out = incoming.join(c, ["device_code", "path_identity"], "left")
+    keys = ["import_job_id", "full_path"] if archive else ["device_code", "path_identity"]
+    c = current.select(*keys, F.struct("size_bytes", "modified_at", "sha256", "status", "multipart_id").alias("c"))
+    out = incoming.join(c, keys, "left")
     sha = (F.col("sha256") == "") | (F.col("c.sha256") == "") | (F.lower("sha256") == F.lower("c.sha256"))
     same = F.col("c").isNotNull() & F.col("c.size_bytes").eqNullSafe(F.col("size_bytes")) & F.col("c.modified_at").eqNullSafe(F.col("modified_at")) & sha
-    open_ = F.coalesce(F.col("c.multipart_id") != "", F.lit(False))
-    decision = F.when(same & (F.col("c.status") == "completed"), "skip").when(same & (F.col("c.status") != "aborted") & open_, "resume").otherwise("start")
+    open_ = F.coalesce(F.trim("c.multipart_id") != "", F.lit(False))
+    goes_on = F.lit(True) if archive else F.col("c.status") != "aborted"
+    decision = F.when(same & (F.col("c.status") == "completed"), "skip").when(same & goes_on & open_, "resume").otherwise("start")
     return out.withColumn("decision", decision).withColumn("abort_open", (F.col("decision") == "start") & open_).drop("c")
 
 
@@ -226,6 +229,34 @@ def requeue(jobs: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
     return out.withColumns({"status": F.when(free, "queued").otherwise(F.col("status")), "attempt_count": F.when(free, 0).otherwise(F.col("attempt_count")), "error_code": F.when(free, "").otherwise(F.col("error_code")), "next_attempt_at": F.when(free, S.ntz(as_of)).otherwise(F.col("next_attempt_at"))})
 
 
+def requeue_versions(jobs: DataFrame, versions: DataFrame, ids: DataFrame, as_of: str, pipeline: str) -> DataFrame:
+    """(version_id, job_id, pipeline_version, status, attempt_count, error_code, lease_token, next_attempt_at, outcome) of the asked versions: refused where a job runs, else their least job queued anew without lease, or a job created under the version's own pipeline (pipeline if blank). Unknown ids have no row."""
+    v = versions.join(ids.select("version_id").distinct(), "version_id", "left_semi").select("version_id", F.when(F.trim("pipeline_version") == "", pipeline).otherwise(F.col("pipeline_version")).alias("own"))
+    kept = F.struct("job_id", "pipeline_version", "status", "attempt_count", "error_code", "lease_token", "next_attempt_at")
+    j = jobs.groupBy("version_id").agg(F.min(F.struct(F.col("status") != "running", kept.alias("kept"))).alias("m")).select("version_id", "m.kept")
+    out = v.join(j, "version_id", "left").withColumn("outcome", F.when(F.col("kept").isNull(), "created").when(F.col("kept.status") == "running", "refused").otherwise("queued"))
+    put = lambda new, old: F.when(F.col("outcome") == "refused", F.col(f"kept.{old}")).otherwise(new).alias(old)
+    return out.select(
+        "version_id", F.coalesce(F.col("kept.job_id").cast("string"), F.sha2(F.concat_ws(":", "version_id", "own"), 256)).alias("job_id"), F.coalesce("kept.pipeline_version", "own").alias("pipeline_version"),
+        put(F.lit("queued"), "status"), put(F.lit(0), "attempt_count"), put(F.lit(""), "error_code"), put(F.lit(""), "lease_token"), put(S.ntz(as_of), "next_attempt_at"), "outcome",
+    )
+
+
+def resume_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """Import files after their jobs are resumed: failed and missing ones of a job that goes on uploading are indexed again, without error."""
+    on = jobs.where("status <> 'completed' AND scan_done").select("import_job_id", F.lit(True).alias("_on"))
+    again = F.col("_on").isNotNull() & F.col("status").isin("failed", "missing")
+    out = files.join(on, "import_job_id", "left")
+    return out.withColumns({"error": F.when(again, "").otherwise(F.col("error")), "status": F.when(again, "indexed").otherwise(F.col("status"))}).drop("_on")
+
+
+def pause_import(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Import jobs after those asked for are paused; finished ones are left as they are."""
+    asked = ids.select("import_job_id").distinct().withColumn("_asked", F.lit(True))
+    hit = F.col("_asked").isNotNull() & ~F.col("status").isin("completed", "completed_with_errors")
+    return jobs.join(asked, "import_job_id", "left").withColumn("outcome", F.when(F.col("_asked").isNull(), "").when(hit, "paused").otherwise("refused")).withColumn("status", F.when(hit, "paused").otherwise(F.col("status"))).drop("_asked")
+
+
 def resume_import(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Import jobs (import_job_id, status, scan_done) after resume, with the number of files that are tried again."""
     bad = files.where(F.col("status").isin("failed", "missing")).groupBy("import_job_id").agg(F.count(F.lit(1)).alias("again"))
@@ -255,25 +286,59 @@ def index_archive(scan: DataFrame, extensions: list[str], max_size: int, part_si
     )
 
 
-def apply_command_results(commands: DataFrame, results: DataFrame) -> DataFrame:
-    """Commands after results (command_id, device_code, kind, error, seq): completed is final; else the last failure counts."""
+#: The types that a complete result may end, besides the one that removes the agent.
+COMPLETABLE = ("START_SCAN", "STOP_SCAN", "START_FILE_UPLOAD", "STOP_FILE_UPLOAD")
+
+
+def apply_command_results(commands: DataFrame, results: DataFrame, removal: str = "REMOVE_AGENT") -> DataFrame:
+    """Commands (with completed_at) after results (command_id, device_code, kind, error, seq, at) in the order of seq: completed is final, else the last failure counts.
+
+    logs and diagnostics complete a command of their own type; complete needs one of five types (removal is the name of the one that removes the agent) and a command that was sent or has failed, be it by an earlier result.
+    """
     c = commands.select(F.col("id").alias("command_id"), F.upper("device_code").alias("owner"), "command_type", F.col("status").alias("old"))
-    r = results.join(c, "command_id")
-    r = r.where(F.upper("device_code") == F.col("owner"))
-    able = F.col("old").isin("sent_to_agent", "failed", "completed")
+    r = results.join(c, "command_id").where(F.upper(F.trim("device_code")) == F.col("owner"))
+    failed = F.min(F.when(F.col("kind") == "fail", F.col("seq"))).over(Window.partitionBy("command_id"))
+    able = F.col("command_type").isin(removal, *COMPLETABLE) & (F.col("old").isin("sent_to_agent", "failed", "completed") | F.coalesce(F.col("seq") > failed, F.lit(False)))
     done = ((F.col("kind") == "logs") & (F.col("command_type") == "REQUEST_LOGS")) | ((F.col("kind") == "diagnostics") & (F.col("command_type") == "RUN_DIAGNOSTICS")) | ((F.col("kind") == "complete") & able)
-    f = r.groupBy("command_id").agg(F.bool_or(done).alias("done"), F.max_by(F.when(F.col("kind") == "fail", F.col("error")), F.when(F.col("kind") == "fail", F.col("seq"))).alias("error"))
-    out = commands.join(f.withColumnRenamed("command_id", "id"), "id", "left")
-    status = F.when((F.col("status") == "completed") | F.coalesce("done", F.lit(False)), "completed").when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))
-    return out.withColumn("status", status).withColumn("error", F.when(F.col("status") == "failed", F.coalesce("error", F.lit(""))).otherwise("")).drop("done")
+    r = r.withColumn("ends", done)
+    ok, bad = F.col("ends"), F.col("kind") == "fail"
+    f = r.groupBy(F.col("command_id").alias("id")).agg(F.min_by(F.when(ok, F.col("at")), F.when(ok, F.col("seq"))).alias("done_at"), F.bool_or("ends").alias("done"), F.max_by(F.when(bad, F.struct(F.coalesce("error", F.lit("")).alias("error"), "at")), F.when(bad, F.col("seq"))).alias("bad"))
+    out = commands.join(f, "id", "left")
+    final, done, bad = F.col("status") == "completed", F.coalesce("done", F.lit(False)), F.col("bad").isNotNull()
+    pick = lambda kept, ended, failed: F.when(final, kept).when(done, ended).when(bad, failed).otherwise(kept)
+    error = pick(F.lit(""), F.lit(""), F.col("bad.error"))
+    out = out.withColumns({"error": error, "completed_at": pick(F.col("completed_at"), F.col("done_at"), F.col("bad.at")), "_status": pick(F.col("status"), F.lit("completed"), F.lit("failed"))})
+    return out.withColumn("status", F.col("_status")).drop("_status", "done", "done_at", "bad")
+
+
+def dispatch_requests(requests: DataFrame, as_of: str, n: int = 5) -> DataFrame:
+    """File requests after dispatch: the oldest n pending of each device are sent_to_agent, started at as_of."""
+    w = Window.partitionBy("device_code", "status").orderBy("requested_at", "id")
+    out = requests.withColumn("_n", F.row_number().over(w))
+    hit = (F.col("status") == "pending") & (F.col("_n") <= n)
+    return out.withColumns({"started_at": F.when(hit, S.ntz(as_of)).otherwise(F.col("started_at")), "status": F.when(hit, "sent_to_agent").otherwise(F.col("status"))}).drop("_n")
 
 
 def apply_request_results(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """File requests after results (id, outcome, error, seq); the last wins."""
-    r = newest(results, ["id"], "seq").select("id", F.struct("outcome", "error").alias("r"))
+    """File requests (with file_name, server_path, completed_at) after results (id, outcome, error, file_name, server_path, at, seq); the last wins. A completed one gets name and path and loses its error; a failed one keeps what it had."""
+    r = newest(results, ["id"], "seq").select("id", F.struct("outcome", "error", "file_name", "server_path", "at").alias("r"))
     out = requests.join(r, "id", "left")
-    status = F.when(F.col("r").isNull(), F.col("status")).when(F.col("r.outcome") == "completed", "completed").otherwise("failed")
-    return out.withColumn("status", status).withColumn("error", F.when(F.col("status") == "failed", F.coalesce("r.error", F.lit(""))).otherwise("")).drop("r")
+    done, any_ = F.coalesce(F.col("r.outcome") == "completed", F.lit(False)), F.col("r").isNotNull()
+    status = F.when(done, "completed").when(any_, "failed").otherwise(F.col("status"))
+    put = lambda c: F.when(done, F.col(f"r.{c}")).otherwise(F.col(c))
+    out = out.withColumns({"file_name": put("file_name"), "server_path": put("server_path"), "completed_at": F.when(any_, F.col("r.at")).otherwise(F.col("completed_at")), "status": status})
+    return out.withColumn("error", F.when(F.col("status") == "failed", F.coalesce("r.error", F.lit(""))).otherwise("")).drop("r")
+
+
+def insert_agent_versions(versions: DataFrame, new: DataFrame) -> DataFrame:
+    """New versions (version, created_at, is_active) with outcome: refused if the version exists or came earlier in new, else added. The newest of the added ones that asks to be active is it; the others are not."""
+    old = versions.select("version").distinct().withColumn("_old", F.lit(True))
+    first = F.row_number().over(Window.partitionBy("version").orderBy("created_at")) == 1
+    out = new.withColumn("_first", first).join(old, "version", "left")
+    out = out.withColumn("outcome", F.when(F.col("_old").isNotNull() | ~F.col("_first"), "refused").otherwise("added")).drop("_old", "_first")
+    asks = F.when((F.col("outcome") == "added") & F.col("is_active"), F.struct("created_at", "version"))
+    best = out.agg(F.max(asks).alias("_best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("is_active", F.coalesce((F.col("outcome") == "added") & (F.col("version") == F.col("_best.version")), F.lit(False))).drop("_best")
 
 
 def activate_version(versions: DataFrame, version: str) -> DataFrame:

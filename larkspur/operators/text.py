@@ -83,6 +83,14 @@ def extraction_summary(sections: DataFrame) -> DataFrame:
     return sections.groupBy("version_id").agg(F.count(F.lit(1)).alias("sections"), F.max("section_number").alias("pages"), F.sum(F.length("content")).alias("characters"))
 
 
+def extraction_report(versions: DataFrame, sections: DataFrame) -> DataFrame:
+    """(version_id, format, sections, page_count, metadata, warnings) of each version, those without sections too. versions: version_id, format, metadata (a map), warnings; page_count is what the metadata say, null if that is no number."""
+    n = sections.groupBy("version_id").agg(F.count(F.lit(1)).alias("sections"))
+    out = versions.select("version_id", "format", "metadata", "warnings").join(n, "version_id", "left")
+    page = F.try_element_at("metadata", F.lit("page_count")).try_cast("int")
+    return out.select("version_id", "format", F.coalesce("sections", F.lit(0).cast("long")).alias("sections"), page.alias("page_count"), "metadata", "warnings")
+
+
 def text_budget(rows: DataFrame, most: int, column: str = "content") -> DataFrame:
     """Text cut to most characters, and whether it was."""
     return rows.withColumn("truncated", F.length(column) > most).withColumn(column, F.substring(column, 1, most))
@@ -149,7 +157,7 @@ def header_names(header: DataFrame, *keys: str) -> DataFrame:
 
 
 def csv_profile(cells: DataFrame, most: int = 100_000) -> DataFrame:
-    """(file, col_no, name, type, rows, boundary) of each column; types over all data rows, by an or of type bits. A file of more than most rows has boundary error."""
+    """(file, col_no, name, type, rows, boundary) of each column of the header; types over all data rows, by an or of type bits. Cells beyond the header are left out. A file of more than most rows has boundary error."""
     names = header_names(cells.where("row_no = 0"), "file")
     data = cells.where("row_no > 0")
     types = data.groupBy("file", "col_no").agg(F.bit_or(S.type_bits("value")).alias("bits"))
@@ -160,19 +168,56 @@ def csv_profile(cells: DataFrame, most: int = 100_000) -> DataFrame:
     return out.select("file", "col_no", "name", S.merged_type(F.coalesce("bits", F.lit(0))).alias("type"), "rows", bound.alias("boundary"))
 
 
-def sheet_profile(cells: DataFrame, sample: int = 10) -> DataFrame:
-    """As csv_profile for sheets (file, sheet, row_no, col_no, value), but blank rows do not count, the first other row is the header, and types come from the first sample rows after it."""
+def sample_rows(cells: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sample_rows): for each table its rows of cells in order, as JSON objects from name to value; a missing cell is null. cells hold the rows to show only."""
+    at = cells.select(*keys, "row_no").distinct().join(names, keys).join(cells.select(*keys, "row_no", "col_no", "value"), [*keys, "row_no", "col_no"], "left")
+    row = at.groupBy(*keys, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "name", "value"))).alias("c"))
+    row = row.withColumn("row", F.to_json(F.map_from_entries(F.transform("c", lambda x: F.struct(x["name"], x["value"]))), {"ignoreNullFields": "false"}))
+    return row.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("sample_rows"))
+
+
+def csv_sections(files: DataFrame, cells: DataFrame, sample: int = 10) -> DataFrame:
+    """(file, content, sample_rows, warning) of each of files (file): the section text with the columns' names and the first sample rows; an empty file has a warning and neither."""
+    names = header_names(cells.where("row_no = 0"), "file")
+    content = names.groupBy("file").agg(F.concat(F.lit("Columns: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "name"))), lambda x: x["name"]), ", ")).alias("content"))
+    rows = sample_rows(cells.where((F.col("row_no") > 0) & (F.col("row_no") <= sample)), names, ["file"])
+    out = files.select("file").join(content, "file", "left").join(rows, "file", "left")
+    warning = F.when(F.col("content").isNull(), "The file is empty.").otherwise("")
+    return out.select("file", "content", F.when(F.col("content").isNotNull(), F.coalesce("sample_rows", F.array().cast("array<string>"))).alias("sample_rows"), warning.alias("warning"))
+
+
+def sheet_parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of the rows of a sheet that are not blank, with their rank among these, and the names of all columns up to the largest; those beyond the header are ColumnN."""
     keys = ["file", "sheet"]
     full = cells.where(F.trim("value") != "").select(*keys, "row_no").distinct()
     full = full.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("row_no")))
     c = cells.join(full, [*keys, "row_no"])
-    names = header_names(c.where("rank = 1"), *keys)
+    columns = c.groupBy(*keys).agg(F.max("col_no").alias("last")).select(*keys, F.explode(F.sequence(F.lit(0), "last")).alias("col_no"))
+    header = columns.join(c.where("rank = 1").select(*keys, "col_no", "value"), [*keys, "col_no"], "left")
+    return c, header_names(header.withColumn("value", F.coalesce("value", F.lit(""))), *keys)
+
+
+def sheet_profile(cells: DataFrame, sample: int = 10) -> DataFrame:
+    """As csv_profile for sheets (file, sheet, row_no, col_no, value), but blank rows do not count, the first other row is the header, columns reach to the largest, and types come from the first sample rows after the header."""
+    keys = ["file", "sheet"]
+    c, names = sheet_parts(cells)
     types = c.where((F.col("rank") > 1) & (F.col("rank") <= sample + 1)).groupBy(*keys, "col_no").agg(F.bit_or(S.type_bits("value")).alias("bits"))
-    rows = full.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("rows"))
+    rows = c.groupBy(*keys).agg((F.max("rank") - 1).cast("long").alias("rows"))
     out = names.join(types, [*keys, "col_no"], "left").join(rows, keys)
     return out.select(*keys, "col_no", "name", S.merged_type(F.coalesce("bits", F.lit(0))).alias("type"), "rows")
 
 
+def sheet_sections(cells: DataFrame, sample: int = 10) -> DataFrame:
+    """(file, sheet, content, column_count, sample_rows) of each sheet that has a row that is not blank."""
+    keys = ["file", "sheet"]
+    c, names = sheet_parts(cells)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "name"))), lambda x: x["name"]), ", ")
+    content = names.groupBy(*keys).agg(F.concat(F.lit("Sheet: "), F.col("sheet"), F.lit("\nColumns: "), listed).alias("content"), F.count(F.lit(1)).alias("column_count"))
+    shown = c.where((F.col("rank") > 1) & (F.col("rank") <= sample + 1))
+    out = content.join(sample_rows(shown, names, keys), keys, "left")
+    return out.withColumn("sample_rows", F.coalesce("sample_rows", F.array().cast("array<string>")))
+
+
 def structured_json(versions: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
     """(version_id, pipeline_version, json): for each pipeline of a version one document with its source, format, metadata, warnings and ordered sections; snake-case names. versions: also format, metadata (a map) and warnings (an array)."""
     item = F.struct("ordinal", "section_type", "heading", "content", "ocr_content")

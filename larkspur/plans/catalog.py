@@ -171,6 +171,22 @@ def p5(x):
     return C.exclusion_sets(x, {"folder_name": ["Temp", "signup"], "file_extension": [".tmp"]})
 
 
+@query(
+    "p5_exclusion_names",
+    """
+    with x as (select device_code, case id % 8 when 0 then 'path' when 1 then ' Excluded-Folders ' when 2 then 'name' when 3 then 'excluded_folder_name' when 4 then 'Extension' when 5 then 'excludedFileExtensions' when 6 then 'folder-path' else 'other' end as t, '..' || value || '/' as value from fx_exclusions where is_active),
+    n as (select device_code, case when t in ('path', ' Excluded-Folders ', 'folder-path') then 'folder_path' when t in ('name', 'excluded_folder_name') then 'folder_name' else 'file_extension' end as exclusion_type, value from x where t <> 'other'),
+    c as (select device_code, exclusion_type, case when exclusion_type = 'file_extension' then '.' || lower(ltrim(rtrim(value, chr(92) || '/'), '.')) else rtrim(value, chr(92) || '/') end as value from n)
+    select device_code, exclusion_type, cast(row_number() over (partition by device_code, exclusion_type order by lower(value)) as int) as ordinal, value from c
+    """,
+    "fx_exclusions",
+)
+def p5_names(x):
+    names = F.array(*(F.lit(n) for n in ("path", " Excluded-Folders ", "name", "excluded_folder_name", "Extension", "excludedFileExtensions", "folder-path", "other")))
+    x = x.withColumns({"exclusion_type": F.element_at(names, (F.col("id") % 8 + 1).cast("int")), "value": F.concat(F.lit(".."), "value", F.lit("/"))})
+    return C.exclusion_sets(x, {"folder_name": []})
+
+
 @query(
     "p6_upload_candidates",
     f"""
@@ -482,3 +498,24 @@ def j3(s, d):
 )
 def o2(d, c):
     return C.due_log_devices(d, c.where("status = 'pending'"), EVENTS_AS_OF, 14_400, "2030-01-01 00:00:00", None).select("device_code")
+
+
+@query(
+    "u_keys_and_names",
+    """
+    with s as (select *, case id % 4 when 0 then '' when 1 then ' ..PDF ' when 2 then 'Txt' else '.Csv' end as e, substr('ABCXYZ', cast(1 + id % 6 as int), 1) || case when id % 2 = 0 then '' else substr('AMZ', cast(1 + id % 3 as int), 1) end as l from fx_sources)
+    select id, case id % 4 when 0 then '' when 1 then '..pdf' when 2 then '.txt' else '.csv' end as ext, case id % 4 when 1 then '.csv,.pdf' when 2 then '.csv,.txt' else '.csv' end as exts, case when length(l) = 1 then ascii(l) - 65 else (ascii(l[1:1]) - 64) * 26 + ascii(l[2:2]) - 65 end as col,
+      'devices/' || device_code || '/' || sha256(upper(replace(full_path, chr(92), '/'))) || '/' || sha256(size_bytes || ':' || (cast(epoch_us(modified_at) as bigint) * 10 + 621355968000000000) || ':' || sha256) || '/' || file_name as object_key from s
+    """,
+    "fx_sources",
+)
+def u_keys(s):
+    """U2 in its catalogue and list forms, U5 hashed, U13 inverse."""
+    i = F.col("id")
+    pick = lambda text, n: F.substring(F.lit(text), (i % n + 1).cast("int"), F.lit(1))
+    ext = F.when(i % 4 == 0, "").when(i % 4 == 1, " ..PDF ").when(i % 4 == 2, "Txt").otherwise(".Csv")
+    cell = F.concat(pick("ABCXYZ", 6), F.when(i % 2 == 0, "").otherwise(pick("AMZ", 3)), F.lit("12"))
+    return s.select(
+        "id", S.norm_ext_catalogue(ext).alias("ext"), F.array_join(S.norm_ext_list(F.array(ext, F.lit("CSV"), F.lit(" "))), ",").alias("exts"), S.column_index(cell).alias("col"),
+        S.hashed_object_key("device_code", "full_path", "file_name", "size_bytes", "modified_at", "sha256").alias("object_key"),
+    )

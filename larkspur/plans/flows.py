@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur import fixtures
+from larkspur.fixtures import ONLINE_MINUTES
 from larkspur.plans.registry import query
 from larkspur.plans.state import INDEX, beats
 from larkspur.sources import files
@@ -124,6 +125,21 @@ def t3(logs):
     return streams.stream_logs(streams.files(spark, f"{to}/in", logs.schema), f"{to}/out").select("id", "device_code", "level")
 
 
+@query(
+    "t4_stream_offline",
+    f"""
+    with b as (select device_code, created_at as ts from fx_logs), g as (select *, case when ts > lag(ts) over w + interval {ONLINE_MINUTES} minutes then 1 else 0 end as cut from b window w as (partition by device_code order by ts)), s as (select *, sum(cut) over (partition by device_code order by ts) as k from g)
+    select device_code, min(ts) as online_at, max(ts) + interval {ONLINE_MINUTES} minutes as offline_at, count(*) as beats from s group by device_code, k having max(ts) + interval {ONLINE_MINUTES} minutes <= (select max(ts) from b) - interval 1 hour
+    """,
+    "fx_logs",
+)
+def t4_stream(logs):
+    spark, to = logs.sparkSession, files.shared_folder(logs.sparkSession)
+    logs.select("device_code", F.col("created_at").cast("timestamp").alias("ts")).write.parquet(f"{to}/in")
+    out = streams.stream_offline(streams.files(spark, f"{to}/in", "device_code string, ts timestamp", 1000), f"{to}/out", ONLINE_MINUTES)
+    return out.select("device_code", F.col("online_at").cast("timestamp_ntz").alias("online_at"), F.col("offline_at").cast("timestamp_ntz").alias("offline_at"), "beats")
+
+
 @query("s3_read_raw", "select cast(sum(strlen(p_name) + 1) as bigint) as bytes from part", "part")
 def s3(part):
     spark, to = part.sparkSession, files.shared_folder(part.sparkSession)

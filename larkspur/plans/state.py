@@ -81,6 +81,24 @@ def m4(s):
     return state.decide_uploads(cur, inc).select("id", "decision", "abort_open")
 
 
+@query(
+    "m4_decide_archive",
+    """
+    with s as (select *, case when id % 8 = 1 then 'aborted' else status end as st from fx_sources where source_type = 'old_user_data'), cur as (select import_job_id, full_path, size_bytes, modified_at, sha256, st, case when id % 3 = 0 then '' else 'm' end as multi from s where id % 4 <> 3),
+    inc as (select id, import_job_id, full_path, size_bytes + case when id % 5 = 0 then 1 else 0 end as size_bytes, modified_at, case when id % 7 = 0 then 'x' else upper(sha256) end as sha256 from s),
+    j as (select i.id, c.full_path is not null and c.size_bytes = i.size_bytes and c.modified_at = i.modified_at and (i.sha256 = '' or c.sha256 = '' or lower(i.sha256) = lower(c.sha256)) as same, c.st, coalesce(c.multi, '') <> '' as open from inc i left join cur c using (import_job_id, full_path))
+    select id, case when same and st = 'completed' then 'skip' when same and open then 'resume' else 'start' end as decision, open and not same as abort_open from j
+    """,
+    "fx_sources",
+)
+def m4_archive(s):
+    i = F.col("id")
+    s = s.where("source_type = 'old_user_data'").withColumn("status", F.when(i % 8 == 1, "aborted").otherwise(F.col("status")))
+    cur = s.where("id % 4 <> 3").withColumn("multipart_id", F.when(i % 3 == 0, "").otherwise("m"))
+    inc = s.select("id", "import_job_id", "full_path", (F.col("size_bytes") + F.when(i % 5 == 0, 1).otherwise(0)).alias("size_bytes"), "modified_at", F.when(i % 7 == 0, "x").otherwise(F.upper("sha256")).alias("sha256"))
+    return state.decide_uploads(cur, inc, archive=True).select("id", "decision", "abort_open")
+
+
 @query(
     "m5_validate_parts",
     f"""
@@ -273,6 +291,48 @@ def m13(s):
     return state.resume_import(j, f).select("import_job_id", "outcome", "again")
 
 
+@query(
+    "m12_requeue_versions",
+    f"""
+    with j as (select * from fx_jobs where priority <> 3), v as (select version_id, case when version_id % 2 = 0 then 'v9' else 'v0' end as own from fx_versions where version_id % 7 = 0)
+    select v.version_id, case when j.job_id is null then sha256(v.version_id || ':' || own) else cast(j.job_id as varchar) end as job_id, coalesce(j.pipeline_version, own) as pipeline_version, case when status = 'running' then 'running' else 'queued' end as status, case when status = 'running' then attempt_count else 0 end as attempt_count,
+      case when status = 'running' then 't' else '' end as lease_token, case when status = 'running' then next_attempt_at else timestamp '{AS_OF}' end as next_attempt_at, case when j.job_id is null then 'created' when status = 'running' then 'refused' else 'queued' end as outcome from v left join j using (version_id)
+    """,
+    "fx_jobs", "fx_versions",
+)
+def m12_versions(j, v):
+    v = v.withColumn("pipeline_version", F.when(F.col("version_id") % 2 == 0, " ").otherwise("v0"))
+    out = state.requeue_versions(j.where("priority <> 3").withColumn("lease_token", F.lit("t")), v, v.where("version_id % 7 = 0").select("version_id"), AS_OF, "v9")
+    return out.drop("error_code")
+
+
+def imports(s):
+    """Files dealt to import jobs, some finished, some with their scan under way."""
+    f = s.where("source_type = 'old_user_data'").withColumn("import_job_id", F.col("import_job_id") * 100 + F.col("id") % 60).withColumn("error", F.lit("e"))
+    i = F.col("import_job_id")
+    status = F.when(i % 5 == 0, "completed").when(i % 7 == 0, "completed_with_errors").otherwise("paused")
+    return f, f.select("import_job_id").distinct().select("import_job_id", status.alias("status"), (i % 3 != 0).alias("scan_done"))
+
+
+IMPORTS = "f as (select *, import_job_id * 100 + id % 60 as job from fx_sources where source_type = 'old_user_data')"
+
+
+@query("m13_resume_files", f"with {IMPORTS}, g as (select *, job % 5 <> 0 and job % 3 <> 0 and status in ('failed', 'missing') as again from f) select id, case when again then 'indexed' else status end as status, case when again then '' else 'e' end as error from g", "fx_sources")
+def m13_files(s):
+    f, j = imports(s)
+    return state.resume_files(j, f).select("id", "status", "error")
+
+
+@query(
+    "m13_pause_import",
+    f"with {IMPORTS}, j as (select distinct job, case when job % 5 = 0 then 'completed' when job % 7 = 0 then 'completed_with_errors' else 'uploading' end as status from f) select job as import_job_id, case when job % 2 = 0 and status = 'uploading' then 'paused' else status end as status, case when job % 2 <> 0 then '' when status = 'uploading' then 'paused' else 'refused' end as outcome from j",
+    "fx_sources",
+)
+def m13_pause(s):
+    j = imports(s)[1].withColumn("status", F.regexp_replace("status", "^paused$", "uploading"))
+    return state.pause_import(j, j.where("import_job_id % 2 = 0")).select("import_job_id", "status", "outcome")
+
+
 def beats(logs):
     return logs.select("device_code", F.concat(F.lit("h"), F.col("request_id").cast("string")).alias("hostname"), F.lit("u").alias("username"), F.concat(F.lit("1."), (F.col("id") % 4).cast("string")).alias("agent_version"), F.col("created_at").alias("ts"))
 
@@ -307,29 +367,62 @@ def m15(s):
 @query(
     "m16_command_results",
     """
-    with r as (select id as command_id, case when id % 6 = 0 then 'x' else device_code end as d, case n when 0 then case id % 4 when 0 then 'logs' when 1 then 'complete' when 2 then 'fail' else 'diagnostics' end else 'fail' end as kind, 'e' || cast(n as varchar) as error, n as seq from fx_commands, (values (0), (1)) as x(n) where id % 3 <> 1 and (n = 0 or id % 5 = 0)),
-    f as (select c.id, bool_or((kind = 'logs' and command_type = 'REQUEST_LOGS') or (kind = 'diagnostics' and command_type = 'RUN_DIAGNOSTICS') or (kind = 'complete' and status in ('sent_to_agent', 'failed', 'completed'))) as done, max_by(error, seq) filter (kind = 'fail') as e from r join fx_commands c on c.id = r.command_id and upper(r.d) = upper(c.device_code) group by 1)
-    select id, case when status = 'completed' or coalesce(done, false) then 'completed' when e is not null then 'failed' else status end as status, case when status = 'completed' or coalesce(done, false) then '' when e is not null then e else '' end as error from fx_commands left join f using (id)
+    with r as (select c.*, n as seq, case n when 0 then case id % 4 when 0 then 'logs' when 1 then 'complete' when 2 then 'fail' else 'diagnostics' end when 1 then 'fail' else 'complete' end as kind, 'e' || n as error, requested_at + to_hours(n) as tm from fx_commands c, (values (0), (1), (2)) as x(n) where id % 3 <> 1 and id % 6 <> 0 and (n = 0 or (n = 1 and id % 5 = 0) or (n = 2 and id % 7 = 0))),
+    k as (select *, min(case when kind = 'fail' then seq end) over (partition by id) as ff from r),
+    d as (select *, (kind = 'logs' and command_type = 'REQUEST_LOGS') or (kind = 'diagnostics' and command_type = 'RUN_DIAGNOSTICS') or (kind = 'complete' and command_type in ('START_SCAN', 'STOP_SCAN', 'START_FILE_UPLOAD') and (status in ('sent_to_agent', 'failed', 'completed') or coalesce(seq > ff, false))) as ends from k),
+    f as (select id, bool_or(ends) as done, min_by(tm, seq) filter (ends) as done_at, max_by(error, seq) filter (kind = 'fail') as e, max_by(tm, seq) filter (kind = 'fail') as bad_at from d group by 1), c as (select *, case when status in ('completed', 'failed') then requested_at end as ca from fx_commands)
+    select id, case when status = 'completed' or coalesce(done, false) then 'completed' when e is not null then 'failed' else status end as status, case when status = 'completed' or coalesce(done, false) or e is null then '' else e end as error, case when status = 'completed' then ca when coalesce(done, false) then done_at when e is not null then bad_at else ca end as completed_at from c left join f using (id)
     """,
     "fx_commands",
 )
 def m16(c):
-    i = F.col("id")
-    r = c.where("id % 3 <> 1").withColumn("seq", F.explode(F.when(i % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    kind = F.when(F.col("seq") == 1, "fail").when(i % 4 == 0, "logs").when(i % 4 == 1, "complete").when(i % 4 == 2, "fail").otherwise("diagnostics")
-    r = r.select(i.alias("command_id"), F.when(i % 6 == 0, "x").otherwise(F.col("device_code")).alias("device_code"), kind.alias("kind"), F.concat(F.lit("e"), F.col("seq").cast("string")).alias("error"), "seq")
-    return state.apply_command_results(c, r).select("id", "status", "error")
+    """Up to three results a command: a first one of any kind, a failure, a completion."""
+    i, n = F.col("id"), F.col("seq")
+    r = c.where("id % 3 <> 1").withColumn("seq", F.explode(F.filter(F.array(F.lit(0), F.when(i % 5 == 0, 1), F.when(i % 7 == 0, 2)), lambda x: x.isNotNull())))
+    kind = F.when(n == 1, "fail").when(n == 2, "complete").when(i % 4 == 0, "logs").when(i % 4 == 1, "complete").when(i % 4 == 2, "fail").otherwise("diagnostics")
+    r = r.select(i.alias("command_id"), F.when(i % 6 == 0, "x").otherwise(F.col("device_code")).alias("device_code"), kind.alias("kind"), F.concat(F.lit("e"), n.cast("string")).alias("error"), "seq", (F.col("requested_at") + F.make_dt_interval(hours=n)).alias("at"))
+    c = c.withColumn("completed_at", F.when(F.col("status").isin("completed", "failed"), F.col("requested_at")))
+    return state.apply_command_results(c, r).select("id", "status", "error", "completed_at")
 
 
 @query(
     "m17_request_results",
-    "with r as (select id, max_by(case when k % 2 = 0 then 'completed' else 'failed' end, k) as o from (select id, unnest([request_id, request_id + id % 3]) as k from fx_logs where id % 4 = 0) group by 1) select id, case when o is null then 'pending' else o end as status, case when o = 'failed' then 'bad' else '' end as error from fx_logs left join r using (id)",
+    "with r as (select id, max(k) as k, max_by(case when k % 2 = 0 then 'completed' else 'failed' end, k) as o from (select id, unnest([request_id, request_id + id % 3]) as k from fx_logs where id % 4 = 0) group by 1) select id, case when o is null then 'pending' else o end as status, case when o = 'failed' then 'bad' else '' end as error, case when o = 'completed' then 'f' || k else '' end as file_name, case when o = 'completed' then 'up/f' || k else '' end as server_path, case when o is not null then created_at end as completed_at from fx_logs left join r using (id)",
     "fx_logs",
 )
 def m17(logs):
-    r = logs.where("id % 4 = 0").select("id", F.explode(F.array(F.col("request_id").cast("long"), F.col("request_id") + F.col("id") % 3)).alias("seq"))
-    r = r.select("id", "seq", F.when(F.col("seq") % 2 == 0, "completed").otherwise("failed").alias("outcome"), F.lit("bad").alias("error"))
-    return state.apply_request_results(logs.select("id", F.lit("pending").alias("status")), r).select("id", "status", "error")
+    r = logs.where("id % 4 = 0").select("id", F.col("created_at").alias("at"), F.explode(F.array(F.col("request_id").cast("long"), F.col("request_id") + F.col("id") % 3)).alias("seq"))
+    name = F.concat(F.lit("f"), F.col("seq").cast("string"))
+    r = r.select("id", "seq", "at", F.when(F.col("seq") % 2 == 0, "completed").otherwise("failed").alias("outcome"), F.lit("bad").alias("error"), name.alias("file_name"), F.concat(F.lit("up/"), name).alias("server_path"))
+    q = logs.select("id", F.lit("pending").alias("status"), F.lit("").alias("file_name"), F.lit("").alias("server_path"), F.lit(None).cast(logs.schema["created_at"].dataType).alias("completed_at"))
+    return state.apply_request_results(q, r).select("id", "status", "error", "file_name", "server_path", "completed_at")
+
+
+@query(
+    "m17_dispatch_requests",
+    f"with r as (select id, created_at, request_id % 2 = 0 as due, row_number() over (partition by device_code, request_id % 2 order by created_at, id) as n from fx_logs) select id, case when not due then 'completed' when n <= 5 then 'sent_to_agent' else 'pending' end as status, case when due and n <= 5 then timestamp '{EVENTS_AS_OF}' when not due then created_at end as started_at from r",
+    "fx_logs",
+)
+def m17_dispatch(logs):
+    due = F.col("request_id") % 2 == 0
+    r = logs.select("id", "device_code", F.when(due, "pending").otherwise("completed").alias("status"), F.col("created_at").alias("requested_at"), F.when(~due, F.col("created_at")).alias("started_at"))
+    return state.dispatch_requests(r, EVENTS_AS_OF).select("id", "status", "started_at")
+
+
+@query(
+    "m18_insert_versions",
+    """
+    with p as (select p_partkey as k, '1.' || p_partkey % 50 || '.' || p_size as version, p_partkey % 4 = 1 as asks from part), o as (select distinct version from p where k % 3 = 0),
+    n as (select *, case when version in (select version from o) or row_number() over (partition by version order by k) > 1 then 'refused' else 'added' end as outcome from p where k % 3 <> 0)
+    select k, version, outcome, outcome = 'added' and k = (select max(k) from n where asks and outcome = 'added') as is_active from n
+    """,
+    "part",
+)
+def m18_insert(part):
+    v = F.concat(F.lit("1."), (F.col("p_partkey") % 50).cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    p = part.select(v.alias("version"), F.col("p_partkey").alias("created_at"), (F.col("p_partkey") % 4 == 1).alias("is_active"))
+    out = state.insert_agent_versions(p.where("created_at % 3 = 0"), p.where("created_at % 3 <> 0"))
+    return out.select(F.col("created_at").alias("k"), "version", "outcome", "is_active")
 
 
 AGENT = "(select '1.' || cast(n_nationkey % 3 as varchar) || '.' || cast(n_regionkey as varchar) as version, n_nationkey as k, n_nationkey % 2 = 0 as is_active from nation where n_nationkey < 12)"
@@ -383,6 +476,20 @@ def w7(c):
     return fleet.active_commands(c)
 
 
+@query(
+    "w7_admit_commands",
+    """
+    with o as (select device_code, command_type, max_by(id, struct_pack(t := requested_at, i := id)) as id from fx_commands where status in ('pending', 'sent_to_agent') and id % 3 = 0 group by all),
+    r as (select *, first_value(id) over (partition by device_code, command_type order by requested_at, id) as f from fx_commands where id % 3 = 1)
+    select r.id as request_id, coalesce(o.id, case when f <> r.id then f end) as twin, case when o.id is null and f = r.id then 'admitted' else 'duplicate' end as outcome from r left join o using (device_code, command_type)
+    """,
+    "fx_commands",
+)
+def w7_admit(c):
+    r = c.where("id % 3 = 1").select(F.col("id").alias("request_id"), "device_code", "command_type", "requested_at")
+    return fleet.admit_commands(c.where("id % 3 = 0"), r).select("request_id", "twin", "outcome")
+
+
 @query("w8_recent_logs", "select id, device_code, row_number() over (partition by device_code order by created_at desc, id desc) as position from fx_logs qualify position <= 10", "fx_logs")
 def w8(logs):
     return fleet.recent_per_device(logs, 10).select("id", "device_code", "position")

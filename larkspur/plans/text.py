@@ -83,6 +83,18 @@ def d6(s):
     return text.extraction_summary(s.withColumn("section_number", F.floor(F.col("ordinal") / 2)))
 
 
+@query(
+    "d6_extraction_report",
+    "select v.version_id, lower(file_extension) as format, count(s.version_id) as sections, case when v.version_id % 3 = 0 then v.quantity end as page_count, case when v.version_id % 2 = 0 then 'w' else '' end as warnings from fx_versions v left join fx_sections s on s.version_id = v.version_id group by v.version_id, file_extension, v.quantity",
+    "fx_versions", "fx_sections",
+)
+def d6_report(v, s):
+    i = F.col("version_id")
+    pages = F.when(i % 3 == 0, F.create_map(F.lit("page_count"), F.col("quantity").cast("string"))).when(i % 3 == 1, F.create_map(F.lit("page_count"), F.lit("many"))).otherwise(F.create_map().cast("map<string,string>"))
+    v = v.withColumns({"format": F.lower("file_extension"), "metadata": pages, "warnings": F.when(i % 2 == 0, F.array(F.lit("w"))).otherwise(F.array().cast("array<string>"))})
+    return text.extraction_report(v, s).select("version_id", "format", "sections", "page_count", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("d7_text_budget", "select section_id, left(content, 500) as content, length(content) > 500 as truncated from fx_sections", "fx_sections")
 def d7(s):
     return text.text_budget(s, 500).select("section_id", "content", "truncated")
@@ -175,6 +187,63 @@ def a12(cells):
     return text.sheet_profile(both).drop("sheet")
 
 
+CELLS = "c as (select file, row_no, col_no, value from fx_cells where not (col_no = 4 and row_no % 3 = 2) union all select file, row_no, 7, 'beyond' from fx_cells where col_no = 0 and row_no % 4 = 1)"
+
+
+def uneven(cells):
+    """Some rows are short, some have a cell beyond the header."""
+    short = cells.where("NOT (col_no = 4 AND row_no % 3 = 2)").select("file", "row_no", "col_no", "value")
+    return short.unionByName(cells.where("col_no = 0 AND row_no % 4 = 1").select("file", "row_no", F.lit(7).alias("col_no"), F.lit("beyond").alias("value")))
+
+
+@query(
+    "a11_csv_sections",
+    f"""
+    with n as ({NAMED}), {CELLS}, r as (select distinct file, row_no from fx_cells where row_no between 1 and 10), j as (select file, row_no, '{{' || string_agg('"' || name || '":' || coalesce('"' || c.value || '"', 'null'), ',' order by col_no) || '}}' as row from r join n using (file) left join c using (file, row_no, col_no) group by all),
+    s as (select file, string_agg(row, '|' order by row_no) as sample_rows from j group by 1), t as (select file, 'Columns: ' || string_agg(name, ', ' order by col_no) as content from n group by 1)
+    select file, content, sample_rows, '' as warning from t join s using (file) union all select file + 1000, null, null, 'The file is empty.' from t
+    """,
+    "fx_cells",
+)
+def a11_sections(cells):
+    files = cells.select("file").distinct()
+    out = text.csv_sections(files.unionByName(files.select((F.col("file") + 1000).alias("file"))), uneven(cells))
+    return out.withColumn("sample_rows", F.array_join("sample_rows", "|"))
+
+
+WIDE = f"n0 as ({NAMED}), n as (select file, col_no, name from n0 union all select file, k, 'Column' || (k + 1) from (select distinct file from fx_cells where row_no = 12), (values (5), (6)) as x(k))"
+
+
+def wide(cells):
+    """A cell of the seventh column in row 12, after the sample; blank rows between."""
+    sheet = cells.select("file", "row_no", "col_no", "value").unionByName(cells.where("row_no = 12 AND col_no = 0").select("file", "row_no", F.lit(6).alias("col_no"), F.lit("x").alias("value"))).withColumn("sheet", F.lit("s"))
+    return sheet.withColumn("row_no", F.col("row_no") * 2).unionByName(sheet.withColumn("row_no", F.col("row_no") * 2 + 1).withColumn("value", F.lit(" ")))
+
+
+@query(
+    "a12_sheet_profile_wide",
+    f"""
+    with {WIDE}, t as (select file, col_no, bit_or({TYPE}) as bits from fx_cells where row_no between 1 and 10 group by all), r as (select file, max(row_no) as rows from fx_cells group by 1)
+    select file, col_no, name, case coalesce(bits, 0) when 0 then 'null' when 2 then 'integer' when 4 then 'number' when 6 then 'number' else 'string' end as type, rows from n left join t using (file, col_no) join r using (file)
+    """,
+    "fx_cells",
+)
+def a12_wide(cells):
+    return text.sheet_profile(wide(cells)).drop("sheet")
+
+
+@query(
+    "a12_sheet_sections",
+    f"""
+    with {WIDE}, r as (select distinct file, row_no from fx_cells where row_no between 1 and 10), j as (select file, row_no, '{{' || string_agg('"' || name || '":' || coalesce('"' || c.value || '"', 'null'), ',' order by col_no) || '}}' as row from r join n using (file) left join fx_cells c using (file, row_no, col_no) group by all),
+    s as (select file, string_agg(row, '|' order by row_no) as sample_rows from j group by 1), t as (select file, 'Sheet: s' || chr(10) || 'Columns: ' || string_agg(name, ', ' order by col_no) as content, count(*) as column_count from n group by 1) select file, content, column_count, sample_rows from t join s using (file)
+    """,
+    "fx_cells",
+)
+def a12_sections(cells):
+    return text.sheet_sections(wide(cells)).drop("sheet").withColumn("sample_rows", F.array_join("sample_rows", "|"))
+
+
 @query(
     "s6_structured_json",
     "with s as (select version_id, pipeline_version, ordinal, content from fx_sections union all select version_id, 'v0', ordinal, 'old' from fx_sections where ordinal < 2) select version_id, s.pipeline_version, s.ordinal, s.content, d.source_type, v.file_name, v.file_extension as format, cast(v.size_bytes as varchar) as size, 'w' as warning from s join fx_versions v using (version_id) join fx_documents d on d.document_id = v.document_id",

@@ -62,3 +62,13 @@ def stream_logs(stream: DataFrame, folder: str) -> DataFrame:
     q = out.writeStream.format("parquet").partitionBy("day").option("path", f"{folder}/logs").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/logs")
+
+
+def stream_offline(stream: DataFrame, folder: str, minutes: int, late: str = "1 hour") -> DataFrame:
+    """T4: (device_code, online_at, offline_at, beats) of each session of heartbeats that is over: a device falls silent for minutes at offline_at, and its next session brings it back. A session is given out once the watermark, late behind the newest beat, has passed its end; beats behind the watermark are left out."""
+    session = F.session_window("ts", f"{minutes} minutes")
+    out = stream.withWatermark("ts", late).groupBy("device_code", session).agg(F.count(F.lit(1)).alias("beats"))
+    out = out.select("device_code", F.col("session_window.start").alias("online_at"), F.col("session_window.end").alias("offline_at"), "beats")
+    q = out.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(out.schema).parquet(f"{folder}/alerts")
