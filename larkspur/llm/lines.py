@@ -86,12 +86,12 @@ def paragraph_removals(documents: DataFrame, doc_id: str = "doc_id", text: str =
     that repeat an earlier line as a whole; removed_passages, the numbers of its pieces, in lines that stay, that repeat an earlier one in a
     line that stays, so what goes is always kept elsewhere; removed, all pieces that repeat an earlier one, whatever becomes of their lines."""
     docs, none = keyed(documents, doc_id, text), F.array().cast("array<int>")
-    both = cut(near.classed(docs, (whole_spec(size, percent), paragraph_spec(size, percent)), "place"), free=True)  # lines and pieces are classed apart, in one pass
-    whole = cut(near.later(both.where("kind = 0"), "place")).withColumnRenamed("removed", "removed_paragraphs")
+    both, roots = near.classes(docs, (whole_spec(size, percent), paragraph_spec(size, percent)), "place")  # lines and pieces are classed apart, in one pass
+    whole = cut(near.later(both.where("kind = 0"), roots, "place"), free=True).withColumnRenamed("removed", "removed_paragraphs")
     pieces = both.where("kind = 1")
     left = pieces.join(whole, "doc_id", "left").where(~F.coalesce(F.array_contains("removed_paragraphs", F.col("line")), F.lit(False)))
-    passages = near.later(left.drop("removed_paragraphs"), "place").withColumnRenamed("removed", "removed_passages")
-    gone = near.later(pieces, "place").join(passages, "doc_id", "full").join(whole, "doc_id", "full").withColumnRenamed("doc_id", "key")
+    passages = near.later(left.drop("removed_paragraphs"), roots, "place").withColumnRenamed("removed", "removed_passages")
+    gone = near.later(pieces, roots, "place").join(passages, "doc_id", "full").join(whole, "doc_id", "full").withColumnRenamed("doc_id", "key")
     out = counted(documents, paragraph_spec(size, percent), doc_id, text).join(gone, "key", "left")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("removed_paragraphs", "removed_passages", "removed")})
     n = (F.size("removed_paragraphs") + F.size("removed_passages")).cast("long")

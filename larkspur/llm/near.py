@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 
 from larkspur.llm.components import components, forest
 from larkspur.llm.session import buckets, cut
-from larkspur.llm.skew import with_least
 from larkspur.llm.units import ODD, MinHash, Spec, U, blocks, mix, shingled
 
 #: Nodes, and shingles, of a cluster that are compared in one task; a larger cluster is cut into blocks. Up to FEW nodes need no bands.
@@ -380,16 +379,17 @@ def classes(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> tuple[Dat
 
 def repeats(docs: DataFrame, spec: Spec, place: str) -> DataFrame:
     """(doc_id, removed: the ascending numbers of its units that repeat an earlier one): of each class of units, the one of the least (place, doc_id, unit) stays."""
-    return later(classed(docs, (spec,), place), place)
+    return later(*classes(docs, (spec,), place), place)
 
 
-def classed(docs: DataFrame, specs: tuple[Spec, ...], place: str) -> DataFrame:
-    """(doc_id, place, kind, unit, line, root) of the units that may have a like; those of one class have the same root."""
-    m, roots = classes(docs, specs, place)
-    return m.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node", "n", "cluster")
+def later(units: DataFrame, roots: DataFrame, place: str) -> DataFrame:
+    """(doc_id, removed) of units (doc_id, place, unit, node) in the classes of roots: of each class, all but the one of the least (place, doc_id, unit).
 
-
-def later(units: DataFrame, place: str) -> DataFrame:
-    """(doc_id, removed) of classed units: of each class, all but the one of the least (place, doc_id, unit)."""
-    gone = with_least(units, "root", F.struct(place, "doc_id", "unit"), "first", "doc_id", "unit").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("removed"))
+    The least units are found by node and then by class, before anything is joined, and meet the others in their own document:
+    so a class or a node, however large, is one row where it is joined.
+    """
+    least = units.groupBy("node").agg(F.min(F.struct(place, "doc_id", "unit")).alias("least")).join(roots, "node", "left")
+    kept = least.groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("least").alias("least"))
+    rows = units.select("doc_id", F.col("unit").alias("any"), F.lit(None).cast("int").alias("kept")).unionByName(kept.select("least.doc_id", F.lit(None).cast("int").alias("any"), F.col("least.unit").alias("kept")))
+    out = rows.groupBy("doc_id").agg(F.array_except(F.collect_set("any"), F.collect_set("kept")).alias("removed"))
+    return out.where(F.size("removed") > 0).select("doc_id", F.array_sort("removed").alias("removed"))
