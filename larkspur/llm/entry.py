@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, lines, minhash, neighbours, quality, secrets, sentencepiece_codec, substrings, toxicity
+from larkspur.llm import decontaminate, infill, lines, minhash, neighbours, quality, secrets, sentencepiece_codec, substrings, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_lines": lines.op8,
     "op9_secrets": secrets.op9,
     "op10_paragraphs": lines.op10,
+    "op11_fill_in_middle": infill.op11,
 }
-SQL = {"op7_decontaminate": decontaminate.OP7_SQL}
+SQL = {"op7_decontaminate": decontaminate.OP7_SQL, "op11_fill_in_middle": infill.OP11_SQL}
