@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The address of the folder that the driver and all executors share."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
