@@ -359,7 +359,8 @@ def read_records(located: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
     stretch = (F.col("start") / STRETCH).cast("long")
-    dealt = located.select("path", "member", "start", "length").repartition("path", stretch).sortWithinPartitions("path", "start")
+    tasks = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a set number: rows of located are small, what they point to is not
+    dealt = located.select("path", "member", "start", "length").repartition(tasks, "path", stretch).sortWithinPartitions("path", "start")
     return dealt.mapInArrow(task, RECORD)
 
 
