@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, infill, lines, minhash, neighbours, quality, secrets, sentencepiece_codec, substrings, toxicity, warc
+from larkspur.llm import alignment, decontaminate, infill, lines, minhash, neighbours, quality, secrets, sentencepiece_codec, substrings, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9,
     "op10_paragraphs": lines.op10,
     "op11_fill_in_middle": infill.op11,
+    "op12_alignment": alignment.op12,
     "op13_warc": warc.op13,
 }
 SQL = {"op7_decontaminate": decontaminate.OP7_SQL, "op11_fill_in_middle": infill.OP11_SQL, "op13_warc": warc.OP13_SQL}
