@@ -15,9 +15,11 @@ def newest(rows: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
 
 
 def merge_file_index(current: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("device_code", "full_path")) -> DataFrame:
-    """M1: blank paths are dropped, the last of a batch wins (by seq), all fields are overwritten, untouched rows stay. One shuffle on the keys."""
-    tagged = current.withColumn("_gen", F.lit(0)).unionByName(batch.where(F.trim(keys[1]) != "").withColumn("_gen", F.lit(1)))
-    return newest(tagged, [*keys], F.struct("_gen", "seq")).drop("_gen")
+    """M1: blank paths are dropped, the last of a batch wins (by seq), all fields are overwritten, untouched rows stay. current has one row a key, without nulls; a current that is bucketed by the keys is not shuffled."""
+    new = newest(batch.where(F.trim(keys[1]) != ""), [*keys], "seq")
+    c = current.select(*keys, F.struct(*(x for x in current.columns if x not in keys)).alias("_old"))
+    b = new.select(*keys, F.struct(*(x for x in current.columns if x not in keys)).alias("_new"))
+    return c.join(b, [*keys], "full_outer").select(*keys, F.coalesce("_new", "_old").alias("r")).select(*keys, "r.*").select(*current.columns)
 
 
 #: Fields whose change makes a scanned file pending again.

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import search, text
+from larkspur.operators import postings, search, text
 from larkspur.plans.registry import query
+from larkspur.sources import files
 
 
 @query("d1_plain_sections", "select doc_id, length(text) as characters, case when length(text) = 0 then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end as lines from documents", "documents")
@@ -337,18 +338,36 @@ def f8(s, q):
 FOUND = SCORED.replace("from fx_sections)", "from fx_sections where version_id in (select v.version_id from fx_versions v join fx_documents d using (document_id) where not is_deleted))")
 
 
-@query(
-    "f9_search",
-    f"""
+F9 = f"""
     with {FOUND}, g as (select query_id, document_id, max_by(section_id, struct_pack(s := score, i := -section_id)) as section_id, max(score) as score, count(*) as matches from sc group by all), r as (select *, row_number() over (partition by query_id order by score desc, section_id) as rank from g qualify rank <= 20)
     select query_id, rank, r.document_id, r.section_id, score, matches, display_name, coalesce(full_path, '') as source_path from r join fx_sections s on s.section_id = r.section_id join fx_versions v on v.version_id = s.version_id join fx_documents d on d.document_id = v.document_id left join fx_sources x on x.id = d.source_record_id and x.source_type = d.source_type
-    """,
-    "fx_queries", "fx_sections", "fx_versions", "fx_documents", "fx_sources",
-)
+    """
+
+
+@query("f9_search", F9, "fx_queries", "fx_sections", "fx_versions", "fx_documents", "fx_sources")
 def f9(q, s, v, d, x):
     return search.search(q, s, v, d, x).drop("snippet")
 
 
+def kept_up(s):
+    """A stored index of all sections, reached by two rounds of changes: versions that first had other texts or were not there, some of them removed in between."""
+    old = s.where("document_id % 3 = 0").unionByName(s.where("document_id % 3 = 1").withColumn("content", F.lit("the old text of the licensed words")))
+    index = postings.build(old, files.shared_folder(s.sparkSession))
+    index = postings.update(index, s.where("document_id % 3 = 1 or document_id % 5 = 0").select("version_id"), s.where("document_id % 3 = 1 and document_id % 5 <> 0"))
+    return postings.update(index, s.where("document_id % 3 = 2 or document_id % 5 = 0").select("version_id"), s, writes=2)
+
+
+@query("f1_stored_index", f"with {TOKENS} select section_id, term, count(*) as tf, min(pos) - 1 as first_position, cast(sum(pos - 1) as bigint) as position_sum from tok group by all", "fx_sections")
+def f1_stored(s):
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return postings.postings(s.sparkSession, kept_up(s)).select("section_id", "term", "tf", F.array_min("positions").alias("first_position"), total.alias("position_sum"))
+
+
+@query("f9_search_stored", F9, "fx_queries", "fx_sections", "fx_versions", "fx_documents", "fx_sources")
+def f9_stored(q, s, v, d, x):
+    return postings.search_stored(q, kept_up(s), v, d, x).drop("snippet")
+
+
 PICKED = """pv as (select version_id, section_id, case when section_id % 5 < 2 then 'v0' else 'v1' end as p from fx_sections where version_id in (select v.version_id from fx_versions v join fx_documents d using (document_id) where not is_deleted and source_type = 'old_user_data' and lower(display_name) like '%1%')),
     pn as (select version_id, p, count(*) as n from pv group by all), pb as (select version_id, p from pn qualify row_number() over (partition by version_id order by p <> (case when version_id % 3 = 0 then 'v9' else 'v0' end), n desc, p) = 1)"""
 
