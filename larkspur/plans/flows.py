@@ -48,7 +48,17 @@ def s5(s):
     s = s.select("section_id", "version_id", "pipeline_version", "document_id", "ordinal", "content")
     files.write_outputs(s, to)
     files.write_outputs(s.where("document_id % 5 = 0 and ordinal = 0").withColumn("content", F.lit("new")), to)
-    return spark.read.parquet(to).select("section_id", "version_id", "content")
+    return files.read_outputs(spark, to).select("section_id", "version_id", "content")
+
+
+@query("s5_outputs_removed", "select section_id, version_id, content from fx_sections where document_id % 7 <> 3", "fx_sections")
+def s5_removed(s):
+    """Pairs that are replaced by nothing, among others that are replaced by themselves."""
+    spark, to = s.sparkSession, files.shared_folder(s.sparkSession)
+    s = s.select("section_id", "version_id", "pipeline_version", "document_id", "content")
+    files.write_outputs(s, to)
+    files.write_outputs(s.where("document_id % 7 = 4"), to, replaced=s.where("document_id % 7 = 3"))
+    return files.read_outputs(spark, to).select("section_id", "version_id", "content")
 
 
 @query("p7_mime_detect", "select case when doc_id % 4 = 0 then 'application/pdf' when doc_id % 4 = 1 then 'application/octet-stream' else 'text/plain' end as detected, count(*) as n from documents where length(text) > 0 and strlen(text) < 8000 group by 1", "documents")
@@ -111,10 +121,10 @@ def t1(logs, d):
 def t2(f):
     spark, to = f.sparkSession, files.shared_folder(f.sparkSession)
     rows = f.select(*INDEX)
-    for k in range(3):  # files in arrival order
-        n = rows.agg(F.max("seq")).first()[0] // 3 + 1
-        rows.where(F.floor(F.col("seq") / n) == k).coalesce(1).write.mode("append").parquet(f"{to}/in")
-    out = streams.stream_file_index(streams.files(spark, f"{to}/in", rows.schema), rows.limit(0), f"{to}/state")
+    n = rows.agg(F.max("seq")).first()[0] // 3 + 1
+    for k in range(3):  # arrivals in order, each one micro-batch of several files; the stream goes on from where it was
+        rows.where(F.floor(F.col("seq") / n) == k).repartition(8).write.mode("append").parquet(f"{to}/in")
+        out = streams.stream_file_index(streams.files(spark, f"{to}/in", rows.schema, 1000), rows.limit(0), f"{to}/state")
     return out.select("device_code", "full_path", "seq", "size_bytes", "is_deleted")
 
 

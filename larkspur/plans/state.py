@@ -10,6 +10,8 @@ from larkspur.operators import fleet, state
 from larkspur.plans.catalog import DERIVED, STORED, derivatives, stored_parts
 from larkspur.operators.catalog import part_plan
 from larkspur.plans.registry import query
+from larkspur.sources import store
+from larkspur.sources.files import shared_folder
 
 INDEX = ["device_code", "full_path", "seq", "size_bytes", "is_deleted", "updated_at"]
 
@@ -20,10 +22,16 @@ INDEX = ["device_code", "full_path", "seq", "size_bytes", "is_deleted", "updated
     "fx_file_events",
 )
 def m1(f):
-    cur = state.newest(f.where("seq % 2 = 0").select(*INDEX), ["device_code", "full_path"], "seq")
+    cur = bucketed(state.newest(f.where("seq % 2 = 0").select(*INDEX), ["device_code", "full_path"], "seq"))
     return state.merge_file_index(cur, f.where("seq % 2 = 1").select(*INDEX)).select("device_code", "full_path", "seq", "size_bytes", "is_deleted")
 
 
+def bucketed(current, keys=("device_code", "full_path")):
+    """current as a table dealt by its keys, which merges leave where it is."""
+    spark = current.sparkSession
+    return store.save_bucketed(current, shared_folder(spark), keys, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 LOCAL = """cur as (select *, case when attempt_count % 2 = 0 then 'synced' else 'pending' end as sync_status from fx_file_events where seq % 2 = 0 qualify row_number() over (partition by device_code, full_path order by seq desc) = 1),
     sc as (select *, case when seq % 5 = 0 then size_bytes else 1 end as z from fx_file_events where seq % 2 = 1 qualify row_number() over (partition by device_code, full_path order by seq desc) = 1)"""
 
@@ -45,7 +53,7 @@ def local(f):
     "fx_file_events",
 )
 def m2(f):
-    cur = local(f)
+    cur = bucketed(local(f))
     scan = state.newest(f.where("seq % 2 = 1"), ["device_code", "full_path"], "seq").withColumn("last_seen", F.col("updated_at"))
     old = cur.select("device_code", "full_path", F.col("size_bytes").alias("oz"), F.col("updated_at").alias("ot"), F.col("created_at").alias("oc"))
     scan = scan.join(old, ["device_code", "full_path"], "left")

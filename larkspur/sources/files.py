@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
+from larkspur.sources import store
 
 MAX_COLUMNS, MAX_CELL, HEAD = 2048, 1_000_000, 8192
 OCTETS = "application/octet-stream"
@@ -175,21 +176,25 @@ def read_agent_log(spark: SparkSession, glob: str) -> DataFrame:
     return lines.where(F.col("value").rlike(S.LOG_LINE)).select(*S.parse_log_line("value"))
 
 
-def write_outputs(rows: DataFrame, path: str, groups: int = 16) -> None:
-    """Replace all rows of the (version, pipeline) pairs in rows. Only the buckets that hold them are rewritten, each as a whole, by dynamic partition overwrite; publish by updating versions afterwards."""
+PAIR = ("version_id", "pipeline_version")
+
+
+def write_outputs(rows: DataFrame, path: str, replaced: DataFrame | None = None, groups: int = 64) -> store.Snapshot:
+    """Replace all rows of the (version, pipeline) pairs in rows, and in replaced, by what rows has of them; a pair that is in replaced alone is emptied. Pairs with nulls cannot be replaced and are left out.
+
+    The buckets of the pairs are written anew and published together: readers see all of the old outputs or all of the new ones, and those who
+    opened a state (``store.snapshot``) go on seeing it. groups counts for a new path only; choose it so that a bucket fits a task.
+    """
     spark = rows.sparkSession
-    new = rows.withColumn("version_bucket", F.pmod(F.xxhash64("version_id"), F.lit(groups)).cast("int"))
-    touched = [r[0] for r in new.select("version_bucket").distinct().collect()]  # as many as groups at most
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        keys = ["version_id", "pipeline_version"]
-        kept = old.where(F.col("version_bucket").isin(touched)).select(*new.columns).join(new.select(*keys).distinct(), keys, "left_anti")
-        held = shared_folder(spark)  # what is written may not depend on files that the write replaces
-        kept.select(*new.columns).unionByName(new).write.parquet(held)
-        new = spark.read.parquet(held)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pipeline_version", "version_bucket").parquet(path)
+    rows = rows.dropna(subset=[*PAIR])
+    now = store.snapshot(spark, path)
+    if now is None:
+        return store.create(rows, path, [PAIR[0]], groups, PAIR)
+    pairs = rows.select(*PAIR)
+    pairs = (pairs.unionByName(replaced.select(*PAIR).dropna()) if replaced is not None else pairs).distinct()
+    return store.rewrite(spark, now, lambda old: old.join(pairs, [*PAIR], "left_anti").unionByName(rows.select(*old.columns)), store.touched(pairs, now), PAIR)
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """The outputs that are published at path now."""
+    return store.read(spark, store.snapshot(spark, path)).drop("bucket")

@@ -1,7 +1,7 @@
 """Arriving batches: heartbeats and file metadata folded into state tables, logs appended.
 
-State is kept as numbered versions in a shared folder. Micro-batch n reads version n and writes version n + 1, so a batch
-that is run again after a failure gives the same version again.
+State is a bucketed table (``sources.store``). A micro-batch reads and writes the buckets that its keys fall in and publishes them by one
+manifest that names the batch, so a batch that is run again after a failure changes nothing twice, and what it writes goes with what it touches.
 """
 
 from __future__ import annotations
@@ -13,33 +13,31 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
 from larkspur.operators import state
+from larkspur.sources import store
 
 
-def fold(stream: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], folder: str) -> DataFrame:
-    """The state table after all that is available: start, merged with each micro-batch in turn. A later call on the same folder goes on from the state that the last one left; start counts only in the first.
+def fold(stream: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], folder: str, keys: tuple[str, ...], groups: int = 64, kept: int = 2) -> DataFrame:
+    """The state table after all that is available: start, merged with each micro-batch in turn. A later call on the same folder goes on from the state that the last one left; start and groups count only in the first.
 
-    Each version names its batch: a batch that is run again reads the version before it. Two versions are kept.
+    merge takes rows of the state and of a batch and may look at rows with equal keys only. A batch that was published is left out if the stream
+    hands it over again. The last kept states can be read; choose groups so that a bucket fits a task.
     """
     spark = stream.sparkSession
-    if latest(spark, folder) is None:
-        start.write.mode("overwrite").parquet(f"{folder}/v0")
+    if store.snapshot(spark, folder) is None:
+        store.create(start, folder, keys, groups, keys, {"batch": -1})
 
     def step(batch: DataFrame, n: int) -> None:
-        merge(batch.sparkSession.read.parquet(f"{folder}/v{n}"), batch).write.mode("overwrite").parquet(f"{folder}/v{n + 1}")
-        if n >= 1:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{n - 1}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        session = batch.sparkSession
+        now = store.snapshot(session, folder)
+        if now.note["batch"] < n:
+            batch = batch.persist()  # its buckets first, then its rows
+            store.rewrite(session, now, lambda old: merge(old, batch), store.touched(batch, now), keys, {"batch": n})
+            batch.unpersist()
+            store.vacuum(session, folder, kept)
 
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/v{latest(spark, folder)}")
-
-
-def latest(spark: SparkSession, folder: str) -> int | None:
-    """The number of the last whole version in folder: a write that was cut short leaves no _SUCCESS."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
-    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or []
-    return max((int(s.getPath().getParent().getName()[1:]) for s in found), default=None)
+    return store.read(spark, store.snapshot(spark, folder)).drop("bucket")
 
 
 def files(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:
@@ -48,12 +46,12 @@ def files(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFra
 
 def stream_heartbeats(stream: DataFrame, devices: DataFrame, folder: str) -> DataFrame:
     """Devices after all heartbeats; ordered by event time, so a late beat does not move last_seen_at back."""
-    return fold(stream, devices, state.fold_heartbeats, folder)
+    return fold(stream, devices, state.fold_heartbeats, folder, ("device_code",))
 
 
 def stream_file_index(stream: DataFrame, current: DataFrame, folder: str) -> DataFrame:
     """The file index after all metadata batches; within a batch the last by seq wins, a later batch over an earlier one."""
-    return fold(stream, current, state.merge_file_index, folder)
+    return fold(stream, current, state.merge_file_index, folder, ("device_code", "full_path"))
 
 
 def stream_logs(stream: DataFrame, folder: str) -> DataFrame:

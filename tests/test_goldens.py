@@ -166,4 +166,47 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert run() == run() == [("D", "a", 1, 1), ("D", "b", 2, 2)]
     put(("D", "a", 3, 9))
     assert run() == run() == [("D", "a", 3, 9), ("D", "b", 2, 2)]
-    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("v")]) == 2
+    assert len([p for p in (tmp_path / "state" / "manifest").iterdir() if p.suffix == ".json"]) == 2
+
+
+def test_a_batch_writes_what_it_touches_and_only_once(spark, tmp_path, monkeypatch):
+    from larkspur.sources import store
+    from larkspur.streaming import streams
+
+    schema = "device_code string, full_path string, seq long, size_bytes long"
+    start = spark.createDataFrame([("D", f"p{k}", k, k) for k in range(3000)], schema)
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "state" / "data").rglob("*.parquet"))
+    run = lambda: streams.fold(streams.files(spark, f"{tmp_path}/in", schema), start, state.merge_file_index, f"{tmp_path}/state", ("device_code", "full_path"), kept=9)
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put(("D", "p1", 5000, 1))
+    assert run().count() == 3000
+    before = size()
+    put(("D", "p2", 5001, 7), ("D", "p2", 5002, 8), ("D", "new", 5003, 9))
+    out = run()
+    assert size() - before < before / 10
+    assert out.count() == 3001 and {r.size_bytes for r in out.where("full_path = 'p2'").collect()} == {8}
+    put(("D", "p3", 5004, 1))
+    with monkeypatch.context() as m:  # the batch is published, then the stream fails before it is noted
+        m.setattr(store, "vacuum", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            run()
+    at = store.snapshot(spark, f"{tmp_path}/state")
+    assert at.note["batch"] == 2
+    out = run()
+    assert store.snapshot(spark, f"{tmp_path}/state") == at and {r.seq for r in out.where("full_path = 'p3'").collect()} == {5004}
+
+
+def test_outputs_are_published_together(spark, tmp_path):
+    schema = "version_id long, pipeline_version string, ordinal int, content string"
+    rows = [(v, p, k, "old") for v in range(30) for p in ("v0", "v1") for k in range(2)]
+    to, key = str(tmp_path / "o"), lambda df: sorted(map(str, df.collect()))
+    files.write_outputs(spark.createDataFrame(rows, schema), to, groups=8)
+    opened = files.read_outputs(spark, to)
+    bad = spark.createDataFrame([(3, "v1", 0, "new"), (4, "v1", 0, "new")], schema)
+    with pytest.raises(Exception, match="stop here"):
+        files.write_outputs(bad.withColumn("content", F.when(F.col("version_id") == 4, F.raise_error(F.lit("stop here"))).otherwise(F.col("content"))), to)
+    assert key(files.read_outputs(spark, to)) == key(spark.createDataFrame(rows, schema))
+    empty = spark.createDataFrame([(5, "v0"), (6, "v1"), (77, "v1"), (None, "v1")], "version_id long, pipeline_version string")
+    files.write_outputs(spark.createDataFrame([(3, "v1", 9, "new"), (None, "v1", 1, "x")], schema), to, replaced=empty)
+    want = [r for r in rows if r[:2] not in ((3, "v1"), (5, "v0"), (6, "v1"))] + [(3, "v1", 9, "new")]
+    assert key(files.read_outputs(spark, to)) == key(spark.createDataFrame(want, schema)) and key(opened) == key(spark.createDataFrame(rows, schema))
