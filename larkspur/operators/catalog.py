@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -342,22 +343,47 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return rows.withColumn("next_offset", F.when(F.col("total_count") > offset + limit, F.lit(offset + limit)).cast("long"))
 
 
+def after(df: DataFrame, order: list[tuple[str, bool]], key: str | None) -> DataFrame:
+    """K1: the rows that come after a continuation key in order, a list of (column, descending) that ends in a unique column; all rows if key is null. Nulls come first ascending and last descending."""
+    if key is None:
+        return df
+    known = json.loads(key)
+    past, same = F.lit(False), F.lit(True)
+    for name, descending in order:
+        c, v = F.col(name), F.lit(known.get(name)).cast(df.schema[name].dataType)
+        if known.get(name) is None:
+            step = F.lit(False) if descending else c.isNotNull()
+        else:
+            step = (c < v) | c.isNull() if descending else c > v
+        past, same = past | (same & step), same & c.eqNullSafe(v)
+    return df.where(past)
+
+
+def seek_page(df: DataFrame, order: list[tuple[str, bool]], limit: int, key: str | None = None) -> DataFrame:
+    """K1 by continuation: the first limit rows after key, each with the key that goes on after it (of the last row: the next page). A top-k over the rows after the key, however deep the page; rows that arrive before the key shift nothing."""
+    rows = after(df, order, key).orderBy(*(F.col(c).desc() if d else F.col(c).asc() for c, d in order)).limit(limit)
+    return rows.withColumn("continuation", F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c, _ in order))))
+
+
 SORTS = {"updated": "updated_at", "created": "created_at", "name": "display_name", "size": "max_size"}
 
 
-def list_documents(documents: DataFrame, versions: DataFrame, sources: DataFrame, spec: dict[str, Any], sort: str = "updated", descending: bool = True) -> DataFrame:
-    """K2: filtered documents with what a listing shows; the whole relation, with rank by sort."""
+def listing_order(sort: str = "updated", descending: bool = True) -> list[tuple[str, bool]]:
+    """K2: the order of a listing, for seek_page."""
+    return [(SORTS[sort], descending), ("document_id", False)]
+
+
+def list_documents(documents: DataFrame, versions: DataFrame, sources: DataFrame, spec: dict[str, Any]) -> DataFrame:
+    """K2: filtered documents with what a listing shows, in no order; page and seek_page cut pages from it."""
     docs = document_filter(documents, versions, sources, spec)
     item = F.struct("file_name", "file_extension", "size_bytes", "extraction_status", "source_modified_at")
     per = versions.groupBy("document_id").agg(F.count(F.lit(1)).alias("version_count"), F.max("size_bytes").alias("max_size"), F.max_by(item, "version_number").alias("v"))
     out = source_paths(docs, sources).join(per, "document_id", "left")
-    out = out.select(
+    return out.select(
         "document_id", "display_name", "created_at", "updated_at", "source_path", F.coalesce("version_count", F.lit(0).cast("long")).alias("version_count"), F.coalesce("max_size", F.lit(0).cast("long")).alias("max_size"),
         F.coalesce("v.file_name", "display_name").alias("file_name"), F.coalesce("v.file_extension", F.lit("")).alias("file_extension"),
         F.coalesce("v.size_bytes", F.lit(0).cast("long")).alias("size_bytes"), F.coalesce("v.extraction_status", F.lit("none")).alias("extraction_status"), F.col("v.source_modified_at").alias("modified_at"),
     )
-    key = F.col(SORTS[sort])
-    return out.orderBy(key.desc() if descending else key.asc(), "document_id")
 
 
 def recent_failures(jobs: DataFrame, versions: DataFrame, n: int) -> DataFrame:
@@ -394,10 +420,16 @@ def attach_document_ids(feed: DataFrame, documents: DataFrame) -> DataFrame:
     return feed.join(docs, ["source_type", "id"], "left")
 
 
-def ingestion_feed(sources: DataFrame, documents: DataFrame) -> DataFrame:
-    """O1: both kinds of source in one shape, newest first, with the document made of each."""
+FEED_ORDER = [("at", True), ("id", False), ("source_type", False)]
+
+
+def ingestion_feed(sources: DataFrame, documents: DataFrame, source: str | None = None, device: str | None = None, status: str | None = None) -> DataFrame:
+    """O1: both kinds of source in one shape with the document made of each, in no order; newest first by FEED_ORDER, paged with total by page or by seek_page. Filters: kind of source and status in lower case, device in upper case; blank ones do not filter."""
     feed = sources.select("id", "source_type", "device_code", "file_name", "size_bytes", "status", F.col("updated_at").alias("at"))
-    return attach_document_ids(feed, documents).orderBy(F.desc("at"), "id")
+    for column, value in (("source_type", (source or "").strip().lower()), ("device_code", (device or "").strip().upper()), ("status", (status or "").strip().lower())):
+        if value:
+            feed = feed.where(F.col(column) == value)
+    return attach_document_ids(feed, documents)
 
 
 def distinct_paths(requests: DataFrame, column: str = "requested_paths_json", most: int = 200) -> DataFrame:

@@ -157,8 +157,9 @@ def claim_batch(jobs: DataFrame, versions: DataFrame, pipeline: str, extensions:
 
 
 def apply_failures(jobs: DataFrame, failures: DataFrame, as_of: str) -> DataFrame:
-    """M9: jobs after failures (job_id, disposition, error, token); only a failure whose token is the job's applies, one for each job."""
-    f = failures.groupBy(F.col("job_id").alias("f_job"), F.col("token").alias("f_token")).agg(F.min(F.struct("disposition", F.col("error").alias("f_error"))).alias("f"))
+    """M9: jobs after failures (job_id, disposition, error, token, and message if there is one); only a failure whose token is the job's applies, one for each job. The job's lease ends with it, so a late completion finds no token; what is not tried again is over at as_of."""
+    message = F.col("message") if "message" in failures.columns else F.lit("")
+    f = failures.groupBy(F.col("job_id").alias("f_job"), F.col("token").alias("f_token")).agg(F.min(F.struct("disposition", F.col("error").alias("f_error"), message.alias("f_message"))).alias("f"))
     out = jobs.join(f, (F.col("job_id") == F.col("f_job")) & (F.col("lease_token") == F.col("f_token")), "left").select(*jobs.columns, "f_token", "f.*")
     hit = (F.col("status") == "running") & F.col("f_token").isNotNull()
     d = F.col("disposition")
@@ -166,10 +167,16 @@ def apply_failures(jobs: DataFrame, failures: DataFrame, as_of: str) -> DataFram
     attempts = F.when(hit & (d == "release"), F.greatest(F.col("attempt_count") - 1, F.lit(0))).otherwise(F.col("attempt_count"))
     wait = F.make_dt_interval(secs=S.retry_delay("attempt_count").cast("decimal(18,6)"))
     out = out.withColumn("_new", F.when(hit, new).otherwise(F.col("status")))
-    later = F.when(hit & (F.col("_new") == "retry_wait"), S.ntz(as_of) + wait).otherwise(F.col("next_attempt_at"))
+    again = F.col("_new") == "retry_wait"
+    later = F.when(hit & again, S.ntz(as_of) + wait).when(hit, S.ntz(as_of)).otherwise(F.col("next_attempt_at"))
+    kept = lambda c, kind: F.col(c) if c in jobs.columns else F.lit(None).cast(kind)
+    out = out.withColumns({
+        "error_message": F.when(hit, F.col("f_message")).otherwise(kept("error_message", "string")), "completed_at": F.when(hit & ~again, S.ntz(as_of)).when(~hit, kept("completed_at", "timestamp_ntz")),
+        "lease_until": F.when(~hit, kept("lease_until", "timestamp_ntz")), "lease_token": F.when(~hit, F.col("lease_token")),
+    })
     out = out.withColumn("next_attempt_at", later).withColumn("attempt_count", attempts).withColumn("error_code", F.when(hit, F.col("f_error")).otherwise(F.col("error_code")))
     version = F.when(~hit, "").when(F.col("_new") == "retry_wait", "queued").when(F.col("_new") == "rejected", "rejected").otherwise("failed")
-    return out.withColumn("version_status", version).withColumn("status", F.col("_new")).drop("_new", "f_token", "disposition", "f_error")
+    return out.withColumn("version_status", version).withColumn("status", F.col("_new")).drop("_new", "f_token", "disposition", "f_error", "f_message")
 
 
 def replace_outputs(sections: DataFrame, new: DataFrame) -> DataFrame:
@@ -225,22 +232,33 @@ def validate_outputs(sections: DataFrame, longest: int = 50_000) -> DataFrame:
 
 
 def requeue(jobs: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
-    """The asked jobs with outcome: refused if running, else queued anew."""
+    """The asked jobs with outcome: refused if running, else queued anew, without lease, error, heartbeat and time of completion."""
     out = jobs.join(ids.select("job_id").distinct(), "job_id", "left_semi").withColumn("outcome", F.when(F.col("status") == "running", "refused").otherwise("queued"))
     free = F.col("outcome") == "queued"
-    return out.withColumns({"status": F.when(free, "queued").otherwise(F.col("status")), "attempt_count": F.when(free, 0).otherwise(F.col("attempt_count")), "error_code": F.when(free, "").otherwise(F.col("error_code")), "next_attempt_at": F.when(free, S.ntz(as_of)).otherwise(F.col("next_attempt_at"))})
+    put = {"attempt_count": 0, "error_code": "", "error_message": "", "lease_owner": ""}
+    none = ("lease_token", "lease_until", "heartbeat_at", "completed_at")
+    out = out.withColumns({c: F.when(free, v).otherwise(F.col(c)) for c, v in put.items() if c in jobs.columns} | {c: F.when(~free, F.col(c)) for c in none if c in jobs.columns})
+    return out.withColumns({"status": F.when(free, "queued").otherwise(F.col("status")), "next_attempt_at": F.when(free, S.ntz(as_of)).otherwise(F.col("next_attempt_at"))})
+
+
+def reset_requeued(versions: DataFrame, requeued: DataFrame) -> DataFrame:
+    """Versions after requeue or requeue_versions: those of which a job was queued or created are queued, without error code and message."""
+    hit = requeued.where(F.col("outcome") != "refused").select("version_id").distinct().withColumn("_hit", F.lit(True))
+    on = F.col("_hit").isNotNull()
+    blank = {c: F.when(on, "").otherwise(F.col(c)) for c in ("error_code", "error_message") if c in versions.columns}
+    return versions.join(hit, "version_id", "left").withColumns({"extraction_status": F.when(on, "queued").otherwise(F.col("extraction_status")), **blank}).drop("_hit")
 
 
 def requeue_versions(jobs: DataFrame, versions: DataFrame, ids: DataFrame, as_of: str, pipeline: str) -> DataFrame:
-    """(version_id, job_id, pipeline_version, status, attempt_count, error_code, lease_token, next_attempt_at, outcome) of the asked versions: refused where a job runs, else their least job queued anew without lease, or a job created under the version's own pipeline (pipeline if blank). Unknown ids have no row."""
+    """(version_id, job_id, pipeline_version, status, attempt_count, error_code, lease_token, lease_until, next_attempt_at, outcome) of the asked versions: refused where a job runs, else their least job queued anew without lease, or a job created under the version's own pipeline (pipeline if blank). Unknown ids have no row."""
     v = versions.join(ids.select("version_id").distinct(), "version_id", "left_semi").select("version_id", F.when(F.trim("pipeline_version") == "", pipeline).otherwise(F.col("pipeline_version")).alias("own"))
-    kept = F.struct("job_id", "pipeline_version", "status", "attempt_count", "error_code", "lease_token", "next_attempt_at")
+    kept = F.struct("job_id", "pipeline_version", "status", "attempt_count", "error_code", "lease_token", "lease_until", "next_attempt_at")
     j = jobs.groupBy("version_id").agg(F.min(F.struct(F.col("status") != "running", kept.alias("kept"))).alias("m")).select("version_id", "m.kept")
     out = v.join(j, "version_id", "left").withColumn("outcome", F.when(F.col("kept").isNull(), "created").when(F.col("kept.status") == "running", "refused").otherwise("queued"))
     put = lambda new, old: F.when(F.col("outcome") == "refused", F.col(f"kept.{old}")).otherwise(new).alias(old)
     return out.select(
         "version_id", F.coalesce(F.col("kept.job_id").cast("string"), F.sha2(F.concat_ws(":", "version_id", "own"), 256)).alias("job_id"), F.coalesce("kept.pipeline_version", "own").alias("pipeline_version"),
-        put(F.lit("queued"), "status"), put(F.lit(0), "attempt_count"), put(F.lit(""), "error_code"), put(F.lit(""), "lease_token"), put(S.ntz(as_of), "next_attempt_at"), "outcome",
+        put(F.lit("queued"), "status"), put(F.lit(0), "attempt_count"), put(F.lit(""), "error_code"), put(F.lit(""), "lease_token"), put(F.lit(None), "lease_until"), put(S.ntz(as_of), "next_attempt_at"), "outcome",
     )
 
 

@@ -26,7 +26,7 @@ INLIST = "('.pdf', '.docx', '.xlsx', '.txt')"
       case when size_bytes >= 1048576 then regexp_replace(cast(cast(floor(cast(size_bytes as double) / 1048576 * 10 + 0.5) as bigint) // 10 as varchar) || '.' || cast(cast(floor(cast(size_bytes as double) / 1048576 * 10 + 0.5) as bigint) % 10 as varchar), '[.]0$', '') || ' MB'
         when size_bytes >= 1024 then regexp_replace(cast(cast(floor(cast(size_bytes as double) / 1024 * 10 + 0.5) as bigint) // 10 as varchar) || '.' || cast(cast(floor(cast(size_bytes as double) / 1024 * 10 + 0.5) as bigint) % 10 as varchar), '[.]0$', '') || ' KB' else cast(size_bytes as varchar) || ' B' end as human,
       trim(regexp_replace(replace(file_name, '_', '  '), '\\s+', ' ', 'g')) as collapsed,
-      least(30 * pow(2, least(greatest(id % 12 - 1, 0), 30)), 1800)::bigint as delay_s, cast(ceil(size_bytes / 5000000.0) as bigint) as parts
+      least(30 * pow(2, least(greatest(id % 12 - 1, 0), 30)), 1800)::bigint as delay_s, cast(ceil(size_bytes / 5000000.0) as bigint) as parts, case when id % 5 = 0 then timestamp '1998-06-01 00:00:00' else modified_at end as loaded_at
     from fx_sources
     """,
     "fx_sources",
@@ -36,6 +36,7 @@ def u_scalars(s):
         "id", S.norm_device("device_code").alias("device"), S.path_identity("full_path").alias("path_identity"), S.user_folder("relative_path").alias("user_folder"), S.below_user_folder("relative_path").alias("rest"),
         S.object_key("archive", "user_folder", "relative_path").alias("object_key"), S.length_prefixed_sha256("source_type", "id", "sha256").alias("version_key"), S.content_type("extension").alias("content_type"),
         S.human_size("size_bytes").alias("human"), S.collapse_ws(F.regexp_replace("file_name", "_", "  ")).alias("collapsed"), S.retry_delay(F.col("id") % 12).alias("delay_s"), S.part_count("size_bytes", F.lit(5_000_000)).alias("parts"),
+        S.to_utc(F.when(F.col("id") % 5 != 0, F.col("modified_at")), AS_OF).alias("loaded_at"),
     )
 
 
@@ -436,17 +437,24 @@ def k1(v):
     return C.page(v, [F.desc("size_bytes"), F.asc("version_id")], 40, 20).select("version_id", "total_count", "position", "next_offset")
 
 
-@query(
-    "k2_list_documents",
-    """
+K2 = """
     with p as (select document_id, count(*) as version_count, max(size_bytes) as max_size from fx_versions group by 1), l as (select * from fx_versions qualify row_number() over (partition by document_id order by version_number desc) = 1)
     select d.document_id, display_name, coalesce(full_path, '') as source_path, coalesce(version_count, 0) as version_count, coalesce(max_size, 0) as max_size, coalesce(l.file_name, display_name) as file_name, coalesce(file_extension, '') as file_extension,
       coalesce(l.size_bytes, 0) as size_bytes, coalesce(l.extraction_status, 'none') as extraction_status from fx_documents d left join fx_sources s on s.id = d.source_record_id and s.source_type = d.source_type left join p using (document_id) left join l using (document_id) where not is_deleted
-    """,
-    "fx_documents", "fx_versions", "fx_sources",
-)
+"""
+
+
+@query("k2_list_documents", K2, "fx_documents", "fx_versions", "fx_sources")
 def k2(d, v, s):
-    return C.list_documents(d, v, s, {}, "size").drop("created_at", "updated_at", "modified_at")
+    return C.list_documents(d, v, s, {}).drop("created_at", "updated_at", "modified_at")
+
+
+@query("k2_seek_page", f"with k as ({K2}) select document_id, max_size from k qualify row_number() over (order by max_size desc, document_id) between 101 and 200", "fx_documents", "fx_versions", "fx_sources")
+def k2_seek(d, v, s):
+    """The page after the first 100."""
+    rows, order = C.list_documents(d, v, s, {}), C.listing_order("size")
+    key = C.seek_page(rows, order, 100).orderBy("max_size", F.desc("document_id")).select("continuation").first()[0]
+    return C.seek_page(rows, order, 100, key).select("document_id", "max_size")
 
 
 @query("k3_recent_failures", "select job_id, document_id, status, error_code from fx_jobs j join fx_versions v using (version_id) where status in ('dead_letter', 'retry_wait') or error_code <> '' order by j.updated_at desc, job_id limit 200", "fx_jobs", "fx_versions")
@@ -474,6 +482,20 @@ def o1(s, d):
     return C.ingestion_feed(s, d.where("document_id % 4 <> 1")).select("id", "source_type", "status", F.coalesce("document_id", F.lit(-1).cast("long")).alias("document_id"), "at")
 
 
+@query(
+    "o1_feed_page",
+    """
+    with f as (select s.id, s.source_type, status, coalesce(document_id, -1) as document_id, s.updated_at as "at" from fx_sources s left join fx_documents d on d.source_type = s.source_type and d.source_record_id = s.id where s.source_type = 'automatic_upload' and status = 'completed')
+    select *, (select count(*) from f) as total_count, row_number() over (order by "at" desc, id) - 1 as position, case when (select count(*) from f) > 120 then 120 end as next_offset from f qualify position between 20 and 119
+    """,
+    "fx_sources", "fx_documents",
+)
+def o1_page(s, d):
+    feed = C.ingestion_feed(s, d, source=" Automatic_Upload", status="completed").select("id", "source_type", "status", F.coalesce("document_id", F.lit(-1).cast("long")).alias("document_id"), "at")
+    out = C.page(feed, [F.col(c).desc() if down else F.col(c).asc() for c, down in C.FEED_ORDER], 20, 100)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("position", "total_count", "next_offset")})
+
+
 @query(
     "o3_distinct_paths",
     "select distinct device_code, trim(p) as path from (select device_code, unnest([full_path, ' ' || full_path || ' ', ' ', directory_path]) as p from fx_file_events) where trim(p) <> ''",
@@ -485,9 +507,9 @@ def o3(f):
     return out.select("device_code", F.explode("paths").alias("path")).distinct()
 
 
-@query("j3_attach_document_ids", "select s.id, s.source_type, coalesce(document_id, -1) as document_id from fx_sources s left join (select * from fx_documents where document_id % 3 = 0) d on d.source_type = s.source_type and d.source_record_id = s.id where s.status <> 'completed'", "fx_sources", "fx_documents")
+@query("j3_attach_document_ids", "select s.id, s.source_type, coalesce(document_id, -1) as document_id from fx_sources s left join (select * from fx_documents where document_id % 3 = 0) d on d.source_type = s.source_type and d.source_record_id = s.id", "fx_sources", "fx_documents")
 def j3(s, d):
-    out = C.attach_document_ids(s.where("status <> 'completed'").select("id", "source_type"), d.where("document_id % 3 = 0"))
+    out = C.attach_document_ids(s.select("id", "source_type"), d.where("document_id % 3 = 0"))
     return out.select("id", "source_type", F.coalesce("document_id", F.lit(-1).cast("long")).alias("document_id"))
 
 

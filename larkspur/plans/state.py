@@ -181,7 +181,8 @@ def w5(j, v):
     with j as (select *, job_id % 10 as token from fx_jobs), f as (select job_id, case job_id % 4 when 0 then 'reject' when 1 then 'dead_letter' when 2 then 'release' else 'retry' end as d, case when job_id % 5 = 0 then -1 else token end as ft from j where priority < 3),
     k as (select j.*, d, coalesce(status = 'running' and ft = token, false) as hit, case when d = 'reject' then 'rejected' when d = 'dead_letter' then 'dead_letter' when d = 'release' or attempt_count < max_attempts then 'retry_wait' else 'dead_letter' end as ns from j left join f using (job_id))
     select job_id, case when hit then ns else status end as status, case when hit and d = 'release' then greatest(attempt_count - 1, 0) else attempt_count end as attempt_count,
-      case when hit and ns = 'retry_wait' then timestamp '{AS_OF}' + to_seconds(cast(least(30 * pow(2, least(greatest(attempt_count - 1, 0), 30)), 1800) as int)) else next_attempt_at end as next_attempt_at,
+      case when hit and ns = 'retry_wait' then timestamp '{AS_OF}' + to_seconds(cast(least(30 * pow(2, least(greatest(attempt_count - 1, 0), 30)), 1800) as int)) when hit then timestamp '{AS_OF}' else next_attempt_at end as next_attempt_at,
+      case when not hit then token end as lease_token, case when not hit then lease_until end as lease_until, case when hit and ns <> 'retry_wait' then timestamp '{AS_OF}' end as completed_at, case when hit then 'why' end as error_message,
       case when not hit then '' when ns = 'retry_wait' then 'queued' when ns = 'rejected' then 'rejected' else 'failed' end as version_status from k
     """,
     "fx_jobs",
@@ -189,9 +190,9 @@ def w5(j, v):
 def m9(j):
     j = j.withColumn("lease_token", F.col("job_id") % 10)
     d = F.element_at(F.array(*(F.lit(x) for x in ("reject", "dead_letter", "release", "retry"))), (F.col("job_id") % 4 + 1).cast("int"))
-    f = j.where("priority < 3").select("job_id", F.when(F.col("job_id") % 5 == 0, -1).otherwise(F.col("lease_token")).alias("token"), d.alias("disposition"), F.lit("x").alias("error"))
+    f = j.where("priority < 3").select("job_id", F.when(F.col("job_id") % 5 == 0, -1).otherwise(F.col("lease_token")).alias("token"), d.alias("disposition"), F.lit("x").alias("error"), F.lit("why").alias("message"))
     f = f.unionByName(f).unionByName(f.withColumn("token", F.lit(-2).cast("long")))  # repeated, and of an earlier lease
-    return state.apply_failures(j, f, AS_OF).select("job_id", "status", "attempt_count", "next_attempt_at", "version_status")
+    return state.apply_failures(j, f, AS_OF).select("job_id", "status", "attempt_count", "next_attempt_at", "lease_token", "lease_until", "completed_at", "error_message", "version_status")
 
 
 @query(
@@ -280,9 +281,16 @@ def m8_versions(v, j):
     return state.fail_versions(v, j, AS_OF).select("version_id", "extraction_status")
 
 
-@query("m12_requeue", "select job_id, case when status = 'running' then 'refused' else 'queued' end as outcome, case when status = 'running' then status else 'queued' end as status, case when status = 'running' then attempt_count else 0 end as attempt_count from fx_jobs where job_id % 7 = 0", "fx_jobs")
+@query("m12_requeue", "select job_id, case when status = 'running' then 'refused' else 'queued' end as outcome, case when status = 'running' then status else 'queued' end as status, case when status = 'running' then attempt_count else 0 end as attempt_count, case when status = 'running' then 't' end as lease_token, case when status = 'running' then lease_until end as lease_until from fx_jobs where job_id % 7 = 0", "fx_jobs")
 def m12(j):
-    return state.requeue(j, j.where("job_id % 7 = 0").select("job_id"), AS_OF).select("job_id", "outcome", "status", "attempt_count")
+    j = j.withColumn("lease_token", F.lit("t"))
+    return state.requeue(j, j.where("job_id % 7 = 0").select("job_id"), AS_OF).select("job_id", "outcome", "status", "attempt_count", "lease_token", "lease_until")
+
+
+@query("m12_reset_requeued", "select v.version_id, case when j.job_id is not null then 'queued' else extraction_status end as extraction_status, case when j.job_id is null then 'e' else '' end as error_code from fx_versions v left join (select * from fx_jobs where job_id % 7 = 0 and status <> 'running') j on j.version_id = v.version_id", "fx_jobs", "fx_versions")
+def m12_reset(j, v):
+    asked = state.requeue(j, j.where("job_id % 7 = 0").select("job_id"), AS_OF)
+    return state.reset_requeued(v.withColumn("error_code", F.lit("e")), asked).select("version_id", "extraction_status", "error_code")
 
 
 @query(
@@ -304,7 +312,7 @@ def m13(s):
     f"""
     with j as (select * from fx_jobs where priority <> 3), v as (select version_id, case when version_id % 2 = 0 then 'v9' else 'v0' end as own from fx_versions where version_id % 7 = 0)
     select v.version_id, case when j.job_id is null then sha256(v.version_id || ':' || own) else cast(j.job_id as varchar) end as job_id, coalesce(j.pipeline_version, own) as pipeline_version, case when status = 'running' then 'running' else 'queued' end as status, case when status = 'running' then attempt_count else 0 end as attempt_count,
-      case when status = 'running' then 't' else '' end as lease_token, case when status = 'running' then next_attempt_at else timestamp '{AS_OF}' end as next_attempt_at, case when j.job_id is null then 'created' when status = 'running' then 'refused' else 'queued' end as outcome from v left join j using (version_id)
+      case when status = 'running' then 't' else '' end as lease_token, case when status = 'running' then lease_until end as lease_until, case when status = 'running' then next_attempt_at else timestamp '{AS_OF}' end as next_attempt_at, case when j.job_id is null then 'created' when status = 'running' then 'refused' else 'queued' end as outcome from v left join j using (version_id)
     """,
     "fx_jobs", "fx_versions",
 )
@@ -433,17 +441,17 @@ def m18_insert(part):
     return out.select(F.col("created_at").alias("k"), "version", "outcome", "is_active")
 
 
-AGENT = "(select '1.' || cast(n_nationkey % 3 as varchar) || '.' || cast(n_regionkey as varchar) as version, n_nationkey as k, n_nationkey % 2 = 0 as is_active from nation where n_nationkey < 12)"
+AGENT = "(select '1.' || cast(p_partkey % 3 as varchar) || '.' || cast(p_size as varchar) as version, p_partkey as k, p_partkey % 2 = 0 as is_active from part)"
 
 
-def agent_versions(nation):
-    v = F.concat(F.lit("1."), (F.col("n_nationkey") % 3).cast("string"), F.lit("."), F.col("n_regionkey").cast("string"))
-    return nation.where("n_nationkey < 12").select(v.alias("version"), F.col("n_nationkey").alias("created_at"), (F.col("n_nationkey") % 2 == 0).alias("is_active"))
+def agent_versions(part):
+    v = F.concat(F.lit("1."), (F.col("p_partkey") % 3).cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    return part.select(v.alias("version"), F.col("p_partkey").alias("created_at"), (F.col("p_partkey") % 2 == 0).alias("is_active"))
 
 
-@query("m18_activate_version", f"select k, version, version = '1.1.1' as is_active from {AGENT}", "nation")
-def m18(n):
-    return state.activate_version(agent_versions(n), "1.1.1").select(F.col("created_at").alias("k"), "version", "is_active")
+@query("m18_activate_version", f"select k, version, version = '1.1.7' as is_active from {AGENT}", "part")
+def m18(p):
+    return state.activate_version(agent_versions(p), "1.1.7").select(F.col("created_at").alias("k"), "version", "is_active")
 
 
 UPDATE = f"""n as (select max_by(version, k) as newest from {AGENT} where is_active), d as (select *, case when regexp_matches(trim(agent_version), '^[0-9]{{1,9}}([.][0-9]{{1,9}}){{1,3}}$') then list_resize(cast(string_split(trim(agent_version), '.') as int[]), 4, -1) end as v from fx_devices),
@@ -451,7 +459,7 @@ UPDATE = f"""n as (select max_by(version, k) as newest from {AGENT} where is_act
       coalesce(last_seen_at > timestamp '{EVENTS_AS_OF}' - interval 720 minutes, false) as online from d, n)"""
 
 
-@query("p12_update_status", f"with {UPDATE} select * from u", "fx_devices", "nation")
+@query("p12_update_status", f"with {UPDATE} select * from u", "fx_devices", "part")
 def p12(d, n):
     return fleet.device_update_status(d, agent_versions(n), EVENTS_AS_OF, ONLINE_MINUTES)
 
@@ -459,7 +467,7 @@ def p12(d, n):
 @query(
     "a4_version_summary",
     f"with {UPDATE} select 'total' as kind, case when online then 'online' else 'offline' end as name, count(*) as n from u group by all union all select 'status', update_status, count(*) from u group by all union all select 'version', case when trim(agent_version) = '' then 'unknown' else trim(agent_version) end, count(*) from u group by all",
-    "fx_devices", "nation",
+    "fx_devices", "part",
 )
 def a4(d, n):
     return fleet.version_summary(d, agent_versions(n), EVENTS_AS_OF, ONLINE_MINUTES)
@@ -487,7 +495,7 @@ def w7(c):
 @query(
     "w7_admit_commands",
     """
-    with o as (select device_code, command_type, max_by(id, struct_pack(t := requested_at, i := id)) as id from fx_commands where status in ('pending', 'sent_to_agent') and id % 3 = 0 group by all),
+    with o as (select device_code, command_type, max_by(id, struct_pack(t := requested_at, i := id)) as id from fx_commands where status in ('pending', 'sent_to_agent') and id % 3 <> 1 group by all),
     r as (select *, first_value(id) over (partition by device_code, command_type order by requested_at, id) as f from fx_commands where id % 3 = 1)
     select r.id as request_id, coalesce(o.id, case when f <> r.id then f end) as twin, case when o.id is null and f = r.id then 'admitted' else 'duplicate' end as outcome from r left join o using (device_code, command_type)
     """,
@@ -495,7 +503,7 @@ def w7(c):
 )
 def w7_admit(c):
     r = c.where("id % 3 = 1").select(F.col("id").alias("request_id"), "device_code", "command_type", "requested_at")
-    return fleet.admit_commands(c.where("id % 3 = 0"), r).select("request_id", "twin", "outcome")
+    return fleet.admit_commands(c.where("id % 3 <> 1"), r).select("request_id", "twin", "outcome")
 
 
 @query("w8_recent_logs", "select id, device_code, row_number() over (partition by device_code order by created_at desc, id desc) as position from fx_logs qualify position <= 10", "fx_logs")

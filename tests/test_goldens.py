@@ -125,6 +125,33 @@ def test_pages_make_up_the_whole(spark):
     assert [{r.next_offset for r in p} for p in pages] == [{10}, {20}, {None}]
 
 
+def test_seek_pages_make_up_the_whole(spark):
+    rows = [(k, None if k % 7 == 0 else k % 4, None if k % 5 == 0 else f"n{k % 3}") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, k int, name string").withColumn("at", F.expr("timestamp_ntz'2024-01-01 00:00:00.123456' + make_dt_interval(0, 0, 0, cast(k as decimal(18,6)) / 1000000)"))
+    for order in ([("k", False), ("id", False)], [("at", True), ("name", False), ("id", True)], [("name", True), ("k", True), ("id", False)]):
+        want = [r.id for r in df.orderBy(*(F.col(c).desc() if d else F.col(c).asc() for c, d in order)).collect()]
+        got, key = [], None
+        while True:
+            page = catalog.seek_page(df, order, 17, key).collect()
+            if not page:
+                break
+            got, key = got + [r.id for r in page], page[-1].continuation
+        assert got == want
+    assert "TakeOrderedAndProject" in catalog.seek_page(df, [("id", False)], 5, '{"id": "9"}')._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_failed_or_requeued_job_has_no_lease(spark):
+    j = spark.sql("select * from values (1, 7L, 'running', 't', timestamp_ntz'2024-01-01 00:00:00', 1, 5, timestamp_ntz'2024-01-01 00:00:00', '', 'old'), (2, 8L, 'failed', 's', timestamp_ntz'2024-01-01 00:00:00', 1, 5, timestamp_ntz'2024-01-01 00:00:00', 'x', 'old') as t(job_id, version_id, status, lease_token, lease_until, attempt_count, max_attempts, next_attempt_at, error_code, error_message)")
+    f = spark.createDataFrame([(1, "t", "reject", "bad", "why")], "job_id int, token string, disposition string, error string, message string")
+    got = {r.job_id: r for r in state.apply_failures(j, f, "2024-06-01 00:00:00").collect()}
+    assert got[1].lease_token is got[1].lease_until is None and got[1].error_message == "why" and got[1].completed_at == got[1].next_attempt_at and got[2].lease_token == "s" and got[2].error_message == "old"
+    again = state.requeue(j, j.select("job_id"), "2024-06-01 00:00:00")
+    got = {r.job_id: r for r in again.collect()}
+    assert got[1].outcome == "refused" and got[1].lease_token == "t" and got[2].lease_token is got[2].lease_until is None and (got[2].status, got[2].error_message) == ("queued", "")
+    v = spark.createDataFrame([(7, "failed", "e"), (8, "failed", "e"), (9, "failed", "e")], "version_id long, extraction_status string, error_code string")
+    assert sorted(map(tuple, state.reset_requeued(v, again).collect())) == [(7, "failed", "e"), (8, "queued", ""), (9, "failed", "e")]
+
+
 def test_exclusions(spark):
     f = spark.createDataFrame([("D", p.rsplit("\\", 1)[0], p, p.rsplit("\\", 1)[1], "." + p.rsplit(".", 1)[1]) for p in ("C:\\A\\x.txt", "C:\\A\\Temp\\x.txt", "C:\\A\\.git\\x.txt", "C:\\B\\C\\x.txt", "C:\\A\\x.TMP", "C:\\A\\.x.txt", "C:\\BB\\x.txt")], "device_code string, directory_path string, full_path string, file_name string, extension string")
     x = spark.createDataFrame([("D", "folder_path", "temp", True), ("D", "folder_path", "c:\\b\\", True), ("D", "file_extension", "tmp", True), ("D", "folder_name", "A", False), ("E", "folder_name", "BB", True)], "device_code string, exclusion_type string, value string, is_active boolean")
