@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is scanned for three kinds of secret. Then its encoded parts are unwrapped, layer by layer:
-URL escapes, Unicode escapes, base64, and gzip or zlib data inside base64. Each layer is scanned again and
+URL escapes, Unicode escapes, base64 (also broken into lines), and gzip or zlib data in any of them or in one another. Layers stay
+bytes until no compression is left. Each layer is scanned again and
 unwrapped again until nothing new appears; a layer that was met before at the same place (a cycle) is not taken
 up again, the same content at another place is.
 A finding in a layer is reported at the place in the original text that it came from: the exact
@@ -24,6 +25,8 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +41,13 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 BREAK = re.compile(r"[^A-Za-z0-9+/_.=\-\"':\x20%\\]")  # what ends a match of every pattern
-MOST, STEP = 64 << 20, 1 << 20
+#: Escaped bytes that begin as compressed data does, with the characters that such escapes leave as they are.
+PACKED_URL = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)(?:%01|%5[eE]|\^|%9[cC]|%[dD][aA]))(?:%[0-9A-Fa-f]{2}|[^%\s\"'<>\x80-\U0010ffff])*")
+PACKED_UNICODE = re.compile(r"(?:\\(?:x|u00)1[fF]\\(?:x|u00)8[bB]|(?:\\(?:x|u00)78|x)(?:\\(?:x|u00)(?:01|5[eE]|9[cC]|[dD][aA])|\^))(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[nrt\\'\"0]|[^\\\x00-\x1f\"\x80-\U0010ffff])*")
+ESCAPE = re.compile(r"\\(?:(?:x|u00)([0-9A-Fa-f]{2})|(.))")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+MOST, STEP, HEAD = 64 << 20, 1 << 20, 1 << 16
 
 Span = tuple[int, int, int]  # start, kind, end: in the order of the result
 
@@ -110,44 +119,95 @@ def packed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
 
 
-def inflated(data: bytes) -> Iterator[bytes]:
-    """What the members of data hold, a piece at a time, then what follows them; of a member that is broken, what it gives and, on a line of its own, itself."""
-    while packed(data):
-        member, d = data, zlib.decompressobj(47)
+def inflated(pieces: Iterator[bytes], ends: list[int] | None = None) -> Iterator[bytes]:
+    """One layer of a stream of bytes: what its members hold, a piece at a time, then what follows them; of a member that is broken, what it gives and, on a line of its own, itself (of more than one piece, the first megabyte). ends gets the number of bytes given at the end of each member."""
+    given, data = 0, b""
+    while True:
+        while len(data) < 3 and (more := next(pieces, None)) is not None:
+            data += more
+        if not packed(data):
+            break
+        d, raw, kept = zlib.decompressobj(47), [data], len(data)
         while not d.eof:
             try:
                 out = d.decompress(data, STEP)
             except zlib.error:
-                yield b"\n" + member
-                return
+                out, d = b"", None
+                break
             data = d.unconsumed_tail
             if out:
+                given += len(out)
                 yield out
-            elif not data:  # cut short
-                yield b"\n" + member
-                return
+            elif not data:
+                if (more := next(pieces, None)) is None:  # cut short
+                    d = None
+                    break
+                data = more
+                if kept < STEP:
+                    raw.append(more)
+                    kept += len(more)
+        if ends is not None:
+            ends.append(given)
+        if d is None:
+            data = b"\n" + b"".join(raw)
+            break
         data = d.unused_data
     yield data
+    yield from pieces
+
+
+def opened(pieces: Iterator[bytes], above: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """A long stream of bytes with all its layers open. A layer that begins as one above it is a cycle and is given as it is."""
+    head = b""
+    while len(head) < HEAD and (more := next(pieces, None)) is not None:
+        head += more
+    mark = hashlib.sha256(head[:HEAD]).digest()
+    rest = chain([head], pieces)
+    yield from opened(inflated(rest), above | {mark}) if packed(head) and mark not in above else rest
+
+
+def layers_of(data: bytes) -> Iterator[Iterator[bytes]]:
+    """The contents of data as streams, all compression open: to any depth; data that was met before (a cycle) is given as it is."""
+    work, met = [data], set()
+    while work:
+        data = work.pop()
+        mark = hashlib.sha256(data).digest()
+        if mark in met or not packed(data):
+            yield (data[k : k + STEP] for k in range(0, len(data), STEP))
+            continue
+        met.add(mark)
+        held, n, ends = [], 0, []
+        pieces = inflated(iter([data]), ends)
+        for piece in pieces:
+            held.append(piece)
+            n += len(piece)
+            if n > MOST:  # larger than what is held: as a stream
+                yield opened(chain(held, pieces))
+                break
+        else:
+            whole = b"".join(held)
+            work += [whole, *(whole[e:] for e in ends if e and packed(whole[e:]))]  # later members may be compressed once more
 
 
 def unpacked(data: bytes, most: int = MOST) -> Iterator[str]:
-    """The text of data, unpacked if it is compressed, in blocks of about most characters; what is no UTF-8 is replaced.
+    """The texts of data, unpacked if it is compressed, in blocks of about most characters; what is no UTF-8 is replaced.
 
     A block ends where no pattern reaches over. If it has no such place, its end is repeated in the next.
     """
-    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
-    held, n = [], 0
-    for piece in inflated(data):
-        held.append(decode(piece))
-        n += len(held[-1])
-        if n >= most:
-            text = "".join(held)
-            at = last_break(text)
-            yield text[:at] if at else text
-            held = [text[at:] if at else text[-(most // 2) :]]
-            n = len(held[0])
-    if text := "".join([*held, decode(b"", True)]):
-        yield text
+    for pieces in layers_of(data):
+        decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+        held, n = [], 0
+        for piece in pieces:
+            held.append(decode(piece))
+            n += len(held[-1])
+            if n >= most:
+                text = "".join(held)
+                at = last_break(text)
+                yield text[:at] if at else text
+                held = [text[at:] if at else text[-(most // 2) :]]
+                n = len(held[0])
+        if text := "".join([*held, decode(b"", True)]):
+            yield text
 
 
 def last_break(text: str) -> int:
@@ -184,6 +244,36 @@ def blocks_at(data: bytes, place: tuple[int, int]) -> Iterator[Layer]:
     return (Layer(t, [(0, *place, False)]) for t in unpacked(data))
 
 
+def lines_joined(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 broken into lines of one length, the last not longer, and filled up to whole groups of four: begin, end, and the run without the breaks."""
+    for m in WRAPPED.finditer(text):
+        rows = list(LINE.finditer(text, m.start(), m.end()))
+        k = 0
+        while k < len(rows):
+            size, to = len(rows[k][0]), k + 1
+            while to < len(rows) and len(rows[to][0]) == size:
+                to += 1
+            last = to + (to < len(rows) and len(rows[to][0]) < size)
+            for end in {last, to}:  # what seems to be the last line may be a word that follows
+                run = "".join(r[0] for r in rows[k:end])
+                if end - k > 1 and size >= 20 and len(run) % 4 == 0:
+                    yield rows[k].start(), rows[end - 1].end(), run
+            k = to
+
+
+def escaped_bytes(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Compressed data that is escaped byte by byte: begin, end, and the bytes."""
+    if "%" in text:
+        for m in PACKED_URL.finditer(text):
+            yield m.start(), m.end(), unquote_to_bytes(m[0])
+            if "+" in m[0]:
+                yield m.start(), m.end(), unquote_to_bytes(m[0].replace("+", " "))
+    if "\\" in text:
+        short = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
+        for m in PACKED_UNICODE.finditer(text):
+            yield m.start(), m.end(), ESCAPE.sub(lambda x: chr(int(x[1], 16)) if x[1] else short.get(x[2], x[2]), m[0]).encode("latin-1")
+
+
 def layered(text: str) -> set[Span]:
     """The findings of all layers under text, at their places in text."""
     found: set[Span] = set()
@@ -217,6 +307,11 @@ def layered(text: str) -> set[Span]:
                         work.append(inner)
                     else:
                         new += inner
+        for start, end, data in escaped_bytes(layer.text):
+            work.append(blocks_at(data, layer.origin(start, end)))
+        for start, end, run in lines_joined(layer.text) if "\n" in layer.text else ():
+            if data := decoded(run):
+                work.append(blocks_at(data, layer.origin(start, end)))
         work += [x for x in new if x]
     return found
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 
 from larkspur.llm import secrets as S
 
@@ -132,3 +133,55 @@ def test_odd_escapes_and_paths():
         for path in ("https://h/x/", "/a/bc/def/ghij/", "a+b/c/"):
             text = f"see {path}{run} end"
             assert any(k == 0 and 4 <= a and b == 4 + len(path + run) for a, k, b in S.layered(text)), (path, run)
+
+
+def wrapped(data, r):
+    t = base64.b64encode(data).decode()
+    size = r.choice([60, 64, 76])
+    return r.choice(["\n", "\r\n", "\n  "]).join(t[k : k + size] for k in range(0, len(t), size))
+
+
+def test_random_nestings_with_compression_at_any_depth():
+    """gzip and zlib in any order and depth, in base64 of one or many lines, percent escapes (of all bytes or as a URL has them) and backslash escapes: every place is found, nothing else."""
+    r = random.Random(9)
+    packs = (lambda b: gzip.compress(b, mtime=0), zlib.compress, lambda b: gzip.compress(b, mtime=0) + b"\nmore", lambda b: gzip.compress(b"first\n", mtime=0) + gzip.compress(b, mtime=0))
+    texts = (
+        lambda b: base64.b64encode(b).decode(), lambda b: wrapped(b, r), lambda b: "".join(f"%{x:02x}" for x in b), lambda b: urllib.parse.quote(b, safe=""), lambda b: "".join(f"\\x{x:02x}" for x in b),
+    )
+    for n in range(150):
+        data = secret = f"token=abcdefgh{n:08d}".encode()
+        for _ in range(r.randrange(1, 5)):
+            for _ in range(r.randrange(4)):
+                data = r.choice(packs)(data)
+            run = r.choice(texts)(data)
+            data = run.encode()
+        before = "words é\n"
+        text = f"{before}{run}\n-- end {n}"
+        found = {(a, b) for a, kind, b in S.layered(text) if kind == 0}
+        assert found, (n, text[:200])
+        # a line of base64 may give the secret alone, and an escape of single characters its exact place
+        assert all(len(before) <= a and b <= len(before) + len(run) for a, b in found), (n, secret)
+
+
+def test_compression_in_compression():
+    secret = b"token=abcdefgh12345678"
+    deep = secret
+    for k in range(1500):  # deeper than Python's stack
+        deep = zlib.compress(deep) if k % 2 else gzip.compress(deep, mtime=0)
+    for data in (gzip.compress(gzip.compress(secret)), zlib.compress(gzip.compress(secret)), gzip.compress(b"a") + zlib.compress(gzip.compress(secret)), deep, gzip.compress(gzip.compress(secret)[:-8] + b"??")):
+        run = base64.b64encode(data).decode()
+        assert S.layered(run) == {(0, 0, len(run))}
+    body = base64.b64encode(bytes(range(256)) + b"\n" + secret + b"\n" + bytes(range(256))).decode()
+    lines = "\n".join(body[k : k + 76] for k in range(0, len(body), 76))
+    assert (2, 0, 2 + len(lines)) in S.layered(f"a {lines}\nThe end")
+
+
+def test_large_compression_in_compression(monkeypatch):
+    monkeypatch.setattr(S, "MOST", 10_000)
+    secret = "\ntoken=abcdefgh12345678\n"
+    noise = random.Random(1).randbytes(60_000).hex().encode()
+    inner = gzip.compress(noise[:60_000] + secret.encode() + noise[60_000:], 1)
+    for data in (inner, gzip.compress(inner, 0), gzip.compress(zlib.compress(inner, 0), 0)):
+        assert len(data) > 3 * S.MOST
+        run = base64.b64encode(data).decode()
+        assert {(0, 0, len(run))} == {x for x in S.layered(run) if x[1] == 0}
