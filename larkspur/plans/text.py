@@ -368,6 +368,11 @@ def f9_stored(q, s, v, d, x):
     return postings.search_stored(q, kept_up(s), v, d, x).drop("snippet")
 
 
+@query("f5_top_sections", f"with {SCORED} select query_id, section_id, row_number() over (partition by query_id order by score desc, section_id) as rank from sc qualify rank <= 20", "fx_sections", "fx_queries")
+def f5_top(s, q):
+    return postings.top_sections(q, kept_up(s), 20).rows.select("query_id", "section_id", "rank")
+
+
 PICKED = """pv as (select version_id, section_id, case when section_id % 5 < 2 then 'v0' else 'v1' end as p from fx_sections where version_id in (select v.version_id from fx_versions v join fx_documents d using (document_id) where not is_deleted and source_type = 'old_user_data' and lower(display_name) like '%1%')),
     pn as (select version_id, p, count(*) as n from pv group by all), pb as (select version_id, p from pn qualify row_number() over (partition by version_id order by p <> (case when version_id % 3 = 0 then 'v9' else 'v0' end), n desc, p) = 1)"""
 
