@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
 from larkspur.sources import store
+from larkspur.sources.delimited import read_delimited  # noqa: F401
 
-MAX_COLUMNS, MAX_CELL, HEAD = 2048, 1_000_000, 8192
+HEAD = 8192
 OCTETS = "application/octet-stream"
 #: First bytes and type, in the order of the tests.
 MAGIC = (
@@ -67,68 +68,6 @@ def read_tables(spark: SparkSession, path: str, names: list[str], schemas: dict
     return {n: read(n).parquet(f"{path}/{n}.parquet") for n in names}
 
 
-def records(text: str, delimiter: str) -> Iterator[list[str]]:
-    """Records of a delimited text. Quotes are doubled inside quotes; CR, LF and CRLF end a record; a blank line is one empty field. ValueError on text after a closing quote, an open quote, or a limit."""
-    row, cell, state, i, n = [], [], "start", 0, len(text)
-
-    def close() -> None:
-        if len(row) >= MAX_COLUMNS or len(cell) > MAX_CELL:
-            raise ValueError("a limit is exceeded")
-        row.append("".join(cell))
-        cell.clear()
-
-    while i < n:
-        ch = text[i]
-        if state == "quoted":
-            if ch != '"':
-                cell.append(ch)
-            elif i + 1 < n and text[i + 1] == '"':
-                cell.append('"')
-                i += 1
-            else:
-                state = "closed"
-        elif ch == delimiter:
-            close()
-            state = "start"
-        elif ch in "\r\n":
-            i += ch == "\r" and i + 1 < n and text[i + 1] == "\n"
-            close()
-            yield row
-            row, state = [], "start"
-        elif state == "closed":
-            if ch not in " \t":
-                raise ValueError("text after a closing quote")
-        elif ch == '"' and state == "start":
-            state = "quoted"
-        else:
-            cell.append(ch)
-            state = "plain"
-        i += 1
-    if state == "quoted":
-        raise ValueError("a quote is not closed")
-    if row or cell or state != "start":
-        close()
-        yield row
-
-
-def read_delimited(spark: SparkSession, glob: str) -> DataFrame:
-    """(file, row_no, col_no, value, error) of CSV and TSV files; one file is one task's row, many run in parallel. A rejected file is one row with error."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                out: list[tuple] = []
-                try:
-                    for r, row in enumerate(records(bytes(content).decode("utf-8-sig"), "\t" if path.lower().endswith(".tsv") else ",")):
-                        out += [(path, r, k, v, "") for k, v in enumerate(row)]
-                except ValueError as e:
-                    out = [(path, -1, -1, "", str(e))]
-                yield pd.DataFrame(out, columns=["file", "row_no", "col_no", "value", "error"])
-
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInPandas(parse, "file string, row_no int, col_no int, value string, error string")
-
-
 def read_raw(spark: SparkSession, glob: str) -> DataFrame:
     """S3: path, length, content and head (the bytes that are enough to tell the type)."""
     raw = spark.read.format("binaryFile").load(glob)
