@@ -61,14 +61,6 @@ def s5_removed(s):
     return files.read_outputs(spark, to).select("section_id", "version_id", "content")
 
 
-@query("p7_mime_detect", "select case when doc_id % 4 = 0 then 'application/pdf' when doc_id % 4 = 1 then 'application/octet-stream' else 'text/plain' end as detected, count(*) as n from documents where length(text) > 0 and strlen(text) < 8000 group by 1", "documents")
-def p7(d):
-    i = F.col("doc_id")
-    text = F.when(i % 4 == 0, F.concat(F.lit("%PDF-"), "text")).when(i % 4 == 1, F.concat("text", F.lit("\x00"))).otherwise(F.col("text"))
-    raw = d.where("length(text) > 0 and octet_length(text) < 8000").select(F.encode(text, "UTF-8").alias("content"))
-    return files.mime_detect(raw.withColumn("head", F.substring("content", 1, files.HEAD))).groupBy("detected").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "p7_mime_detect_whole",
     """
@@ -150,6 +142,22 @@ def t4_stream(logs):
     return out.select("device_code", F.col("online_at").cast("timestamp_ntz").alias("online_at"), F.col("offline_at").cast("timestamp_ntz").alias("offline_at"), "beats")
 
 
+@query(
+    "s3_read_heads",
+    "select case when k = 0 then 'application/pdf' when k = 1 then 'image/gif' else 'text/plain' end as detected, count(*) as n, sum(strlen(text) + 7) as bytes from (select p_partkey % 3 as k, string_agg(p_name, '') as text from part group by p_partkey // 50, p_partkey % 3) group by all",
+    "part",
+)
+def s3_heads(part):
+    """A file of each 50 parts and kind, told by its first bytes."""
+    spark, to = part.sparkSession, files.shared_folder(part.sparkSession)
+    k = F.col("p_partkey") % 3
+    mark = F.when(k == 0, "%PDF-1").when(k == 1, "GIF89a").otherwise("words:")
+    text = part.groupBy(F.floor(F.col("p_partkey") / 50).alias("f"), k.alias("k"), mark.alias("mark")).agg(F.array_join(F.collect_list("p_name"), "").alias("t"))
+    text.select("f", "k", F.concat("mark", "t").alias("value")).repartition("f", "k").write.partitionBy("f", "k").text(to)
+    found = files.mime_detect(files.read_heads(spark, f"{to}/*/*/*.txt"))
+    return found.groupBy("detected").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+
+
 @query("s3_read_raw", "select cast(sum(strlen(p_name) + 1) as bigint) as bytes from part", "part")
 def s3(part):
     spark, to = part.sparkSession, files.shared_folder(part.sparkSession)

@@ -8,18 +8,19 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.sources import store
+from larkspur.sources import ranges, store
 from larkspur.sources.delimited import read_delimited  # noqa: F401
 
 HEAD = 8192
 OCTETS = "application/octet-stream"
 #: First bytes and type, in the order of the tests.
 MAGIC = (
-    ("25504446", "application/pdf"),
+    ("255044462D", "application/pdf"),
     ("89504E470D0A1A0A", "image/png"),
     ("FFD8FF", "image/jpeg"),
     ("474946383761", "image/gif"),
@@ -52,6 +53,8 @@ EXPECTED = {
     ".bmp": "image/bmp",
 }
 LOOSE = (".csv", ".tsv", ".md")
+ZIPS = tuple(magic for magic, kind in MAGIC if kind == "application/zip")
+MAX_ENTRIES = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,27 +77,86 @@ def read_raw(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select("path", "length", "content", F.substring("content", 1, HEAD).alias("head"))
 
 
-def mime_detect(raw: DataFrame) -> DataFrame:
-    """Raw files with detected: by first bytes; else text if not empty, without NUL and valid UTF-8; else octet-stream. Only zips go through Python, for the names of their entries."""
+def entries_of(file: io.RawIOBase | io.BytesIO, most: int) -> tuple[list[str] | None, str]:
+    """The names in a zip, from its directory, and why it is rejected."""
+    try:
+        names = [x.filename for x in zipfile.ZipFile(file).infolist()]
+    except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+        return None, "invalid_archive"
+    return (None, "archive_entry_limit_exceeded") if len(names) > most else (names, "")
+
+
+class Window(io.RawIOBase):
+    """A ranges.File as zipfile reads one: it seeks to the end and to the directory there."""
+
+    def __init__(self, file: ranges.File) -> None:
+        self.f, self.at = file, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = to + (0, self.at, self.f.size)[whence]
+        return self.at
+
+    def readinto(self, into: memoryview) -> int:
+        data = self.f.get(self.at, len(into))
+        into[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+HEADS = "path string, length long, head binary, entries array<string>, rejected string, bytes_read long"
+
+
+def read_heads(spark: SparkSession, glob: str, most: int = MAX_ENTRIES) -> DataFrame:
+    """S3 for mime_detect: path, length, head (the first 8,192 bytes), entries (the names in a zip), rejected (why a zip is not taken: no directory, or more than most entries) and bytes_read, which does not depend on how large a file is. Files in stores that only Spark can open: read_raw."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                f = ranges.File(path)
+                head = f.get(0, HEAD)
+                names, rejected = entries_of(Window(f), most) if head[:2] == b"PK" and head[:4].hex().upper() in ZIPS else (None, "")
+                rows.append({"path": path, "length": length, "head": head, "entries": names, "rejected": rejected, "bytes_read": f.read})
+            yield pa.RecordBatch.from_pylist(rows, out)
+
+    out = pa.schema([("path", pa.string()), ("length", pa.int64()), ("head", pa.binary()), ("entries", pa.list_(pa.string())), ("rejected", pa.string()), ("bytes_read", pa.int64())])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.listed(spark, glob).repartition(tasks, "path").mapInArrow(task, HEADS)
+
+
+def mime_detect(raw: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
+    """Raw files with detected: by first bytes; else text if not empty, without NUL and valid UTF-8; else octet-stream; and rejected, a code for zips that are broken or have more than most entries.
+
+    raw is of read_heads, or has content and head (read_raw); then the names in zips are read from content. Their case does not matter, and a backslash counts as a slash.
+    """
     kind = F.when(F.hex(F.substring("head", 9, 4)) == "57454250", F.when(F.startswith(F.hex("head"), F.lit("52494646")), "image/webp"))
     for magic, name in MAGIC:
         kind = F.coalesce(F.when(F.startswith(F.hex(F.substring("head", 1, 16)), F.lit(magic)), name), kind)
     is_text = (F.length("head") > 0) & ~F.hex("head").rlike("^(..)*00") & F.is_valid_utf8(F.col("head").cast("string"))
     out = raw.withColumn("detected", F.coalesce(kind, F.when(is_text, "text/plain"), F.lit(OCTETS)))
 
-    @F.pandas_udf("string")
-    def refined(contents: pd.Series) -> pd.Series:
-        def one(data: bytes) -> str:
-            try:
-                names = set(zipfile.ZipFile(io.BytesIO(data)).namelist())
-            except zipfile.BadZipFile:
-                return "application/zip"
-            return next((t for part, t in ZIP_PARTS.items() if part in names), "application/zip")
-
-        return contents.map(one)
+    @F.pandas_udf("entries array<string>, rejected string")
+    def looked(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([entries_of(io.BytesIO(c), most) for c in contents], columns=["entries", "rejected"])
 
     zips = F.col("detected") == "application/zip"
-    return out.where(~zips).unionByName(out.where(zips).withColumn("detected", refined("content")))
+    rest, packed = out.where(~zips), out.where(zips)
+    if "entries" not in raw.columns:
+        rest = rest.withColumn("rejected", F.lit(""))
+        packed = packed.withColumn("_zip", looked("content")).withColumns({"entries": F.col("_zip.entries"), "rejected": F.col("_zip.rejected")}).drop("_zip")
+    names = F.transform("entries", lambda e: F.lower(F.replace(e, F.lit("\\"), F.lit("/"))))
+    office = F.coalesce(*(F.when(F.array_contains(names, part), name) for part, name in ZIP_PARTS.items()), F.lit("application/zip"))
+    packed = packed.withColumn("detected", F.when(F.col("rejected") == "", office).otherwise(F.col("detected")))
+    return rest.unionByName(packed.select(*rest.columns))
 
 
 def mime_gate(files: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def can_range(address: str) -> bool:
 
 
 def listed(spark: SparkSession, glob: str) -> DataFrame:
-    """path and length of the files, without their contents."""
+    """path and length of the files, without their contents; Spark leaves out empty files."""
     return spark.read.format("binaryFile").load(glob).select("path", "length")
 
 

@@ -91,6 +91,34 @@ def test_mime(spark):
     assert got["e.txt"][0] == files.OCTETS and got["f.txt"][0] == files.OCTETS and got["g.txt"][1] == "declared_mime_mismatch" and got["h.png"][1] == "accepted"
 
 
+def test_heads_are_read_by_ranges(spark, tmp_path):
+    def packed(name, *entries, front=0):
+        with open(tmp_path / name, "wb") as f:
+            with zipfile.ZipFile(f, "w") as z:
+                z.writestr("a/first", b"x")
+                if front:  # a sparse gap, as if of a large member
+                    f.seek(front)
+                    z.start_dir = front
+                for e in entries:
+                    z.writestr(e, b"<x/>")
+
+    packed("a.docx", "Word\\Document.XML")
+    packed("b.xlsx", "xl/workbook.xml", front=3 << 30)
+    packed("c.zip", "other")
+    packed("d.zip", *(f"e{k}" for k in range(60)))
+    (tmp_path / "e.zip").write_bytes(b"PK\x03\x04 no zip")
+    (tmp_path / "f.pdf").write_bytes(b"%PDF-" + b"x" * 100_000)
+    (tmp_path / "g.pdf").write_bytes(b"%PDF")
+    heads = files.mime_detect(files.read_heads(spark, str(tmp_path), most=50))
+    got = {r.path.rsplit("/", 1)[1]: (r.detected, r.rejected, r.bytes_read) for r in heads.collect()}
+    zipped, word, sheet = "application/zip", files.ZIP_PARTS["word/document.xml"], files.ZIP_PARTS["xl/workbook.xml"]
+    want = {"a.docx": (word, ""), "b.xlsx": (sheet, ""), "c.zip": (zipped, ""), "d.zip": (zipped, "archive_entry_limit_exceeded"), "e.zip": (zipped, "invalid_archive"), "f.pdf": ("application/pdf", ""), "g.pdf": ("text/plain", "")}
+    assert {k: v[:2] for k, v in got.items()} == want and all(v[2] < 100_000 for v in got.values())
+    (tmp_path / "b.xlsx").unlink()
+    raw = files.mime_detect(files.read_raw(spark, str(tmp_path)), most=50)
+    assert {r.path.rsplit("/", 1)[1]: (r.detected, r.rejected) for r in raw.collect()} == {k: v for k, v in want.items() if k != "b.xlsx"}
+
+
 def test_parse_query():
     assert search.parse_query('a "b c" -d OR -"e f" G') == [search.Clause(("a", "b", "c"), (("b", "c"),), (("d",),)), search.Clause(("g",), (), (("e", "f"),))]
     for blank in ("", '""', "-x", "OR"):
