@@ -6,21 +6,52 @@ from pyspark.sql import functions as F
 
 from larkspur import fixtures
 from larkspur.fixtures import ONLINE_MINUTES
-from larkspur.plans.registry import query
+from larkspur.plans.registry import query, source
 from larkspur.plans.state import INDEX, beats
-from larkspur.sources import files
+from larkspur.sources import files, tables
 from larkspur.streaming import streams
 
 
-@query("s1_read_tables", " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in fixtures.TABLES), *fixtures.TABLES)
-def s1(*tables):
+def counted(tables):
+    """name, n and filled: rows, and values that are not null, of each table."""
     out = None
-    for name, t in zip(fixtures.TABLES, tables, strict=True):
-        n = t.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    for name, t in tables.items():
+        filled = sum((F.count(c) for c in t.columns), F.lit(0)).cast("long")
+        n = t.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), filled.alias("filled"))
         out = n if out is None else out.unionByName(n)
     return out
 
 
+def filled_sql(tables):
+    """The same in SQL, for a table or view and its columns."""
+    return " union all ".join(f"select '{name}' as name, count(*) as n, {' + '.join(f'count({c})' for c in columns)} as filled from {view}" for name, view, columns in tables)
+
+
+@source("s1_read_tables", filled_sql((t, t, [c.split()[0] for c in ddl.split(", ")]) for t, ddl in fixtures.GIVEN.items()))
+def s1(spark, sf_dir):
+    return counted(tables.read_tables(spark, sf_dir, fixtures.TABLES, fixtures.GIVEN))
+
+
+#: Tables of the catalogue that the fixtures have, and which of their columns.
+STORED_AS = (
+    ("devices", "fx_devices", ("device_code", "nickname", "hostname", "username", "agent_version", "last_seen_at", "registered_at", "is_active")),
+    ("documents", "fx_documents", ("document_id", "source_type", "source_record_id", "device_code", "display_name", "classification", "department", "is_deleted", "created_at", "updated_at")),
+    ("versions", "fx_versions", ("version_id", "document_id", "version_number", "file_name", "file_extension", "size_bytes", "source_modified_at", "extraction_status")),
+    ("jobs", "fx_jobs", ("job_id", "version_id", "pipeline_version", "status", "priority", "attempt_count", "max_attempts", "lease_until", "next_attempt_at", "error_code", "created_at", "updated_at", "started_at")),
+    ("sections", "fx_sections", ("section_id", "version_id", "pipeline_version", "ordinal", "section_type", "heading", "content", "ocr_content")),
+)
+
+
+@query("s1_catalogue_tables", filled_sql(STORED_AS), *(view for _, view, _ in STORED_AS))
+def s1_catalogue(*views):
+    """Tables written with ids as text, read again with the fixed schemas: columns that are not there are null."""
+    spark, to = views[0].sparkSession, files.shared_folder(views[0].sparkSession)
+    for (name, _, columns), v in zip(STORED_AS, views, strict=True):
+        kinds = dict(x.split() for x in tables.SCHEMAS[name].split(", "))
+        v.select(*(F.col(c).cast(kinds[c]).alias(c) for c in columns)).write.parquet(f"{to}/{name}.parquet")
+    return counted(tables.read_tables(spark, to, [name for name, _, _ in STORED_AS]))
+
+
 @query("s2_read_delimited", "select cast(k as int) as col_no, v as value, count(*) as n from (select unnest([0, 1, 2]) as k, unnest([p_name, 'a \"q\", ' || p_brand, '']) as v from part) group by all", "part")
 def s2(part):
     spark, to = part.sparkSession, files.shared_folder(part.sparkSession)

@@ -37,3 +37,13 @@ def query(name: str, sql: str | None, *tables: str):
         return build
 
     return register
+
+
+def source(name: str, sql: str):
+    """Register read(spark, sf_dir) as query name, for queries that read files themselves."""
+
+    def register(read: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name], SQL[name] = read, fixtures.oracle(sql)
+        return read
+
+    return register

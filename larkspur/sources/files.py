@@ -1,4 +1,4 @@
-"""Sources and sinks: tables, delimited files, raw files and their types, agent logs, and replace-together writes."""
+"""Sources and sinks: delimited files, raw files and their types, agent logs, and replace-together writes."""
 
 from __future__ import annotations
 
@@ -65,12 +65,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def read_tables(spark: SparkSession, path: str, names: list[str], schemas: dict | None = None) -> dict[str, DataFrame]:
-    """The named tables under path; with the schemas given, no schema is read from files."""
-    read = lambda n: spark.read.schema(schemas[n]) if schemas and n in schemas else spark.read
-    return {n: read(n).parquet(f"{path}/{n}.parquet") for n in names}
-
-
 def read_raw(spark: SparkSession, glob: str) -> DataFrame:
     """S3: path, length, content and head (the bytes that are enough to tell the type)."""
     raw = spark.read.format("binaryFile").load(glob)
