@@ -189,6 +189,22 @@ def s3_heads(part):
     return found.groupBy("detected").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
 
 
+@query(
+    "t4_stream_alerts",
+    f"""
+    with d as (select distinct device_code, created_at as ts from fx_logs), b as (select *, lag(ts) over w as before, lead(ts) over w as after from d window w as (partition by device_code order by ts))
+    select device_code, ts as at_time, 'online' as status from b where before is null or ts > before + interval {ONLINE_MINUTES} minutes
+    union all select device_code, ts + interval {ONLINE_MINUTES} minutes, 'offline' from b where after > ts + interval {ONLINE_MINUTES} minutes or (after is null and ts + interval {ONLINE_MINUTES} minutes < (select max(ts) from d) - interval 10 seconds)
+    """,
+    "fx_logs",
+)
+def t4_alerts(logs):
+    spark, to = logs.sparkSession, files.shared_folder(logs.sparkSession)
+    logs.select("device_code", F.col("created_at").cast("timestamp").alias("ts")).write.parquet(f"{to}/in")
+    out = streams.stream_alerts(streams.files(spark, f"{to}/in", "device_code string, ts timestamp", 1000), f"{to}/out", ONLINE_MINUTES)
+    return out.select("device_code", F.col("at").cast("timestamp_ntz").alias("at_time"), "status")
+
+
 @query("s3_read_raw", "select cast(sum(strlen(p_name) + 1) as bigint) as bytes from part", "part")
 def s3(part):
     spark, to = part.sparkSession, files.shared_folder(part.sparkSession)

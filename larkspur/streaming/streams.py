@@ -6,10 +6,14 @@ manifest that names the batch, so a batch that is run again after a failure chan
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.functions import scalars as S
 from larkspur.operators import state
@@ -70,3 +74,51 @@ def stream_offline(stream: DataFrame, folder: str, minutes: int, late: str = "1
     q = out.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(out.schema).parquet(f"{folder}/alerts")
+
+
+ALERT = "device_code string, at timestamp, status string"
+
+
+def alerts(beats: DataFrame, minutes: int, late: str = "10 seconds") -> DataFrame:
+    """T4 by timers, a stream of (device_code, at, status) from beats (device_code, ts): online at the first beat and at every beat after a silence longer than minutes, offline when a silence has become longer than minutes.
+
+    Each device has a timer at its newest beat plus minutes. It goes off once the watermark (late behind the newest beat of all devices) has passed it, so an alert comes about late after it is due, whether the device
+    is heard again or not. Beats behind the watermark are left out; others may come in any order within a micro-batch. A device that is offline holds no state.
+    """
+    gap = minutes * 60_000_000
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last = held.get[0] if held.exists else None
+        found: list[tuple[int, str]] = []
+        if held.hasTimedOut:
+            found.append((last + gap, "offline"))
+            last = None
+        else:
+            for at in np.sort(np.concatenate([f["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for f in frames])).tolist():
+                if last is not None and at > last + gap:
+                    found.append((last + gap, "offline"))
+                    last = None
+                if last is None:
+                    found.append((at, "online"))
+                last = at if last is None else max(last, at)
+            if last + gap < held.getCurrentWatermarkMs() * 1000:
+                found.append((last + gap, "offline"))
+                last = None
+        if last is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((last,))
+            held.setTimeoutTimestamp(-(-(last + gap) // 1000))
+        at, status = zip(*found, strict=True) if found else ((), ())
+        yield pd.DataFrame({"device_code": [key[0]] * len(found), "at": np.array(at, dtype="datetime64[us]"), "status": list(status)})
+
+    marked = beats.select("device_code", "ts").where("device_code is not null and ts is not null").withWatermark("ts", late)
+    return marked.groupBy("device_code").applyInPandasWithState(step, ALERT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_alerts(stream: DataFrame, folder: str, minutes: int, late: str = "10 seconds") -> DataFrame:
+    """All alerts that the beats available so far give, written to folder; a later call goes on from there."""
+    q = alerts(stream, minutes, late).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(ALERT).parquet(f"{folder}/alerts")

@@ -265,3 +265,32 @@ def test_outputs_are_published_together(spark, tmp_path):
     files.write_outputs(spark.createDataFrame([(3, "v1", 9, "new"), (None, "v1", 1, "x")], schema), to, replaced=empty)
     want = [r for r in rows if r[:2] not in ((3, "v1"), (5, "v0"), (6, "v1"))] + [(3, "v1", 9, "new")]
     assert key(files.read_outputs(spark, to)) == key(spark.createDataFrame(want, schema)) and key(opened) == key(spark.createDataFrame(rows, schema))
+
+
+def test_alerts_come_by_timer(spark, tmp_path):
+    from larkspur.operators import fleet
+    from larkspur.streaming import streams
+
+    schema = "device_code string, ts timestamp"
+
+    def put(*rows):
+        values = ", ".join(f"('{d}', timestamp'2024-01-01 {t}')" for d, t in rows)
+        spark.sql(f"select * from values {values} as x(device_code, ts)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        out = streams.stream_alerts(streams.files(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", 2)
+        return sorted((r.device_code, f"{r.at:%H:%M:%S}", r.status) for r in out.collect())
+
+    put(("A", "10:00:00"), ("B", "10:00:30"), ("A", "10:01:00"), ("A", "10:00:20"))
+    first = [("A", "10:00:00", "online"), ("B", "10:00:30", "online")]
+    assert run() == first
+    put(("B", "10:01:30"))
+    assert run() == first
+    put(("B", "10:03:11"))  # the watermark passes A's timer though A is silent
+    assert run() == sorted([*first, ("A", "10:03:00", "offline")])
+    put(("A", "10:03:05"), ("A", "09:00:00"), ("B", "10:09:00"))  # back; a beat behind the watermark; a silence of B between two beats
+    want = sorted([*first, ("A", "10:03:00", "offline"), ("A", "10:03:05", "online"), ("A", "10:05:05", "offline"), ("B", "10:05:11", "offline"), ("B", "10:09:00", "online")])
+    assert run() == want and run() == want
+    beats = spark.read.parquet(f"{tmp_path}/in").where("ts > '2024-01-01 09:30:00'").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    gaps = fleet.silent_gaps(beats, 2, "2024-01-01 10:09:00").collect()
+    assert {(g.device_code, f"{g.offline_at:%H:%M:%S}") for g in gaps} == {x[:2] for x in want if x[2] == "offline"}
