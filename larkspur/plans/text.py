@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import postings, search, text
 from larkspur.plans.registry import query
-from larkspur.sources import files
+from larkspur.sources import documents, files
 
 
 @query("d1_plain_sections", "select doc_id, length(text) as characters, case when length(text) = 0 then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end as lines from documents", "documents")
@@ -245,20 +245,37 @@ def a12_sections(cells):
     return text.sheet_sections(wide(cells)).drop("sheet").withColumn("sample_rows", F.array_join("sample_rows", "|"))
 
 
-@query(
-    "s6_structured_json",
-    "with s as (select version_id, pipeline_version, ordinal, content from fx_sections union all select version_id, 'v0', ordinal, 'old' from fx_sections where ordinal < 2) select version_id, s.pipeline_version, s.ordinal, s.content, d.source_type, v.file_name, v.file_extension as format, cast(v.size_bytes as varchar) as size, 'w' as warning from s join fx_versions v using (version_id) join fx_documents d on d.document_id = v.document_id",
-    "fx_versions", "fx_documents", "fx_sections",
-)
-def s6(v, d, s):
-    shape = "struct<source:struct<source_type:string,file_name:string>,format:string,metadata:map<string,string>,warnings:array<string>,sections:array<struct<ordinal:int,content:string>>>"
+S6 = "with s as (select version_id, pipeline_version, ordinal, content from fx_sections union all select version_id, 'v0', ordinal, 'old' from fx_sections where ordinal < 2) select version_id, s.pipeline_version, s.ordinal, s.content, d.source_type, v.file_name, v.file_extension as format, cast(v.size_bytes as varchar) as size, 'w' as warning from s join fx_versions v using (version_id) join fx_documents d on d.document_id = v.document_id"
+
+
+def structured(v, d, s):
+    """S6 of two pipelines, the older one with the first sections alone."""
     v = v.withColumns({"format": F.col("file_extension"), "metadata": F.create_map(F.lit("size"), F.col("size_bytes").cast("string")), "warnings": F.array(F.lit("w"))})
     both = s.unionByName(s.where("ordinal < 2").withColumn("content", F.lit("old")).withColumn("pipeline_version", F.lit("v0")))
-    out = text.structured_json(v, d, both).select("version_id", "pipeline_version", F.from_json("json", shape).alias("j"))
+    return text.structured_json(v, d, both)
+
+
+def opened(rows):
+    shape = "struct<source:struct<source_type:string,file_name:string>,format:string,metadata:map<string,string>,warnings:array<string>,sections:array<struct<ordinal:int,content:string>>>"
+    out = rows.select("version_id", "pipeline_version", F.from_json("json", shape).alias("j"))
     out = out.select("version_id", "pipeline_version", F.explode("j.sections").alias("x"), "j")
     return out.select("version_id", "pipeline_version", "x.ordinal", "x.content", "j.source.source_type", "j.source.file_name", "j.format", F.col("j.metadata")["size"].alias("size"), F.get("j.warnings", 0).alias("warning"))
 
 
+@query("s6_structured_json", S6, "fx_versions", "fx_documents", "fx_sections")
+def s6(v, d, s):
+    return opened(structured(v, d, s))
+
+
+@query("s6_document_files", S6, "fx_versions", "fx_documents", "fx_sections")
+def s6_files(v, d, s):
+    """Written as one file for each version and pipeline, and read back."""
+    spark, to = s.sparkSession, files.shared_folder(s.sparkSession)
+    documents.write_documents(structured(v, d, s), to)
+    back = documents.read_documents(spark, to)
+    return opened(back.withColumn("version_id", F.col("version_id").cast("long")))
+
+
 TOKENS = "tok as (select section_id, document_id, unnest(regexp_extract_all(lower(concat_ws(' ', heading, content, ocr_content)), '[\\p{L}\\p{N}]+')) as term, generate_subscripts(regexp_extract_all(lower(concat_ws(' ', heading, content, ocr_content)), '[\\p{L}\\p{N}]+'), 1) as pos from fx_sections)"
 
 

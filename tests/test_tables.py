@@ -28,3 +28,23 @@ def test_files_and_database(spark, tmp_path):
     assert two.select(F.spark_partition_id().alias("p")).groupBy("p").count().count() == 5, "every part has rows"
     whole = tables.read_tables(spark, db._replace(column="none"), ["documents"])["documents"]
     assert whole.rdd.getNumPartitions() == 1 and key(whole) == key(one)
+
+
+def test_documents_are_published_together(spark, tmp_path):
+    import pytest
+
+    from larkspur.sources import documents
+
+    path, key = str(tmp_path / "d"), lambda df: sorted(map(tuple, df.collect()))
+    rows = [(f"v/{k} %é~"[:-1], "p 1", f'{{"k": {k}, "t": "é\\n"}}') for k in range(40)]
+    df = spark.createDataFrame(rows, "version_id string, pipeline_version string, json string").repartition(3)
+    documents.write_documents(df, path)
+    assert key(documents.read_documents(spark, path)) == sorted(rows)
+    bad = df.withColumn("json", F.when(F.col("json").contains("7"), F.raise_error(F.lit("stop here"))).otherwise(F.lit("{}")))
+    with pytest.raises(Exception, match="stop here"):
+        documents.write_documents(bad, path)
+    assert key(documents.read_documents(spark, path)) == sorted(rows)
+    documents.write_documents(df.limit(2), path)
+    assert documents.read_documents(spark, path).count() == 2
+    documents.write_documents(df.limit(0), path)
+    assert documents.read_documents(spark, path).count() == 0
