@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting among latent-semantic vectors.
 
-A text's terms are the shapes of its words (letters by case, digits and marks as they are, whether the word before is
-repeated) and pairs of neighbouring shapes, hashed. Term counts are weighted by how rare a term is among all documents
+A text's terms are its words in lower case, the shapes of its words (letters by case, digits and marks as they are, whether the word before is
+repeated) and pairs of neighbouring shapes, hashed, words apart from shapes. Term counts are weighted by how rare a term is among all documents
 and projected on the leading singular directions of the labelled texts' matrix (latent semantic analysis). The labelled
 vectors, bounded in number, are sent to every executor; every document is compared with all of them by exact blocked
 cosine products, and its nearest neighbours vote with their similarity as weight.
@@ -23,29 +23,33 @@ from pyspark.sql import types as T
 
 from larkspur.llm.labelled import remainder, sample
 
-#: Labelled documents that are learned from at most, hashed terms, dimensions and voting neighbours.
-BOUND, TERMS, RANK, NEIGHBOURS = 6000, 2048, 48, 15
+#: Labelled documents that are learned from at most, hashed terms (half of them of words), dimensions, voting neighbours, and the weight of words against shapes.
+BOUND, TERMS, RANK, NEIGHBOURS, WORDS = 6000, 4096, 48, 15, 0.5
 LETTERS = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "9"))
 
 
 def shape(word: str) -> str:
     for pattern, to in LETTERS:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
+
+
+def letters(word: str) -> str:
+    return " ".join(LETTERS[0][0].findall(word.lower()))
 
 
 class Terms:
     """Counts of the hashed terms of texts."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.shapes, self.codes = size, {}, {}
-        self.pairs: dict[int, int] = {}
+        self.size, self.half, self.codes = size, size // 2, {}
 
     def code(self, word: str) -> int:
-        if len(self.shapes) > 500_000:
-            self.shapes.clear()
-        s = shape(word)
-        c = self.shapes[word] = self.codes.setdefault(s, zlib.crc32(s.encode()))
+        """Hashes of a word's shape and, in the lower half, of its letters (0: it has none)."""
+        if len(self.codes) > 500_000:
+            self.codes.clear()
+        text = letters(word)
+        c = self.codes[word] = zlib.crc32(shape(word).encode()) << 32 | (zlib.crc32(text.encode()) or 1 if text else 0)
         return c
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +57,12 @@ class Terms:
         words = text.split()
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = self.shapes
-        c = np.fromiter((known[w] if w in known else self.code(w) for w in words), np.int64, len(words))
+        known = self.codes
+        both = np.fromiter((known[w] if w in known else self.code(w) for w in words), np.uint64, len(words))
+        c, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         again = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), bool, len(words) - 1)
         pairs = (c[:-1] * 1_000_003 + c[1:] + 77) % (2**31 - 1)
-        terms = np.concatenate([c, pairs, np.full(int(again.sum()), 12345)]) % self.size
+        terms = np.concatenate([np.concatenate([c, pairs, np.full(int(again.sum()), 12345)]) % self.half, self.half + w[w > 0] % self.half])
         n = np.bincount(terms, minlength=self.size)
         at = np.flatnonzero(n)
         return at, n[at]
@@ -82,12 +87,17 @@ def frequencies(documents: DataFrame, text: str, size: int) -> tuple[int, np.nda
 
 
 def weighted(terms: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
-    """A row of unit length for each text: square roots of its terms' shares, by rarity."""
-    out = np.zeros((len(terms), len(idf)), np.float32)
+    """A row of unit length for each text: square roots of its terms' shares, by rarity; words together weigh WORDS times what shapes do."""
+    out, half = np.zeros((len(terms), len(idf)), np.float32), len(idf) // 2
     for k, (at, n) in enumerate(terms):
-        if len(at):
-            v = np.sqrt(n / n.sum()) * idf[at]
-            out[k, at] = v / max(np.sqrt((v * v).sum()), 1e-12)
+        edge, norm = int(np.searchsorted(at, half)), 0.0
+        for x, weight in ((slice(0, edge), 1.0), (slice(edge, None), WORDS)):
+            if len(at[x]):
+                v = np.sqrt(n[x] / n[x].sum()) * idf[at[x]]
+                out[k, at[x]] = weight * v / max(np.sqrt((v * v).sum()), 1e-12)
+                norm += weight * weight
+        if norm:
+            out[k] /= np.sqrt(norm)
     return out
 
 
@@ -108,7 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bound:
     """The weights of terms, the directions, and the labelled vectors with their labels. labels: (doc_id, label) of the documents to learn from."""
     total, df = frequencies(documents, "text", terms)
     idf = (np.log((1 + total) / (1 + df)) + 0.1).astype(np.float32)
-    rows = sample(documents, labels, label, bound)
+    rows = sample(documents, labels, label, bound).groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # one row of an id, however many there are
 
     def encode(batches):
         t = Terms(terms)

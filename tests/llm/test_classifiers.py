@@ -81,3 +81,15 @@ def test_noisy_or_learns_the_offending_instance():
     y = np.bincount(doc, feature == 7, 200) > 0
     w = toxicity.trained(y.astype(float), doc, np.arange(1000), feature, 30)
     assert w[7] == w[:-1].max() and w[7] > np.sort(w[:-1])[-2] + 2
+
+
+def test_wording_enters_the_quality_space(spark):
+    good, bad = "The kind teacher gave a useful answer.", "The vile monster gave a stupid insult."
+    t = quality.Terms(quality.TERMS)
+    assert t.of(good)[0].tolist() != t.of(bad)[0].tolist() and t.of("Good, good!")[0][-1] == t.of("good")[0][-1]
+    docs = spark.createDataFrame([(k, f"{good if k % 2 else bad} {k % 10}") for k in range(80)] + [(1, "again " * k) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    m = quality.fit(docs, labels)
+    assert len(m["y"]) == 60, "one row of an id"
+    got = {r.doc_id: r.score for r in quality.score(docs.where("doc_id >= 60"), m).collect()}
+    assert all((s > 0.9) == bool(k % 2) and (s < 0.1) == (k % 2 == 0) for k, s in got.items())
