@@ -121,13 +121,13 @@ select id, device_code,
        created_at as requested_at
 from fx_logs""",
     "fx_snapshots": """
-select user_id % 5 as job_id, ts as taken_at, 1000000 as indexed_count,
-       row_number() over (partition by user_id % 5 order by ts, event_id) * 10 as uploaded_count,
-       sum(cast(round(value * 100) as bigint)) over (partition by user_id % 5 order by ts, event_id
+select user_id - user_id % 10 as job_id, ts as taken_at, 1000000 as indexed_count,
+       row_number() over (partition by user_id - user_id % 10 order by ts, event_id) * 10 as uploaded_count,
+       sum(cast(round(value * 100) as bigint)) over (partition by user_id - user_id % 10 order by ts, event_id
            rows between unbounded preceding and current row) as uploaded_bytes
 from events""",
     "fx_cells": """
-with r as (select p_partkey % 10 as file, row_number() over (partition by p_partkey % 10 order by p_partkey) as row_no, * from part)
+with p as (select cast(floor(p_partkey / 200) as bigint) as file, * from part), r as (select row_number() over (partition by file order by p_partkey) as row_no, * from p)
 select file, 0 as row_no, c.col_no, c.name as value
   from (select distinct file from r) f
   cross join (select 0 as col_no, 'Name' as name union all select 1, 'name' union all select 2, '' union all select 3, 'Size' union all select 4, 'Price') c
@@ -195,4 +195,6 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not views:
         return sql
+    if sql[:15].lower() == "with recursive ":
+        return f"with recursive {views}, {sql[15:]}"
     return f"with {views}, {sql[5:]}" if sql[:5].lower() == "with " else f"with {views}\n{sql}"

@@ -59,9 +59,27 @@ def d4(s):
     return c.agg(whole.alias("w")).select("section_id", "version_id", F.length("w").alias("characters"), F.sha2("w", 256).alias("hash"))
 
 
-@query("d4_chunk_sections", None, "fx_sections")
+def chunks_sql(source):
+    """Chunks of 2,000 characters of source (section_id, content), one after the other: cut after the last line feed among the last 500, if there is one."""
+    feed = "strpos(reverse(substring(content, {0} + 1501, 500)), chr(10))"
+    end = f"case when length(content) - {{0}} <= 2000 then length(content) when {feed} > 0 then {{0}} + 2001 - {feed} else {{0}} + 2000 end"
+    return f"""with recursive s as ({source}), c(section_id, k, a, b) as (select section_id, 0, 0, {end.format("0")} from s union all select c.section_id, k + 1, c.b, {end.format("c.b")} from c join s on s.section_id = c.section_id where c.b < length(content))
+    select c.section_id, k as chunk_index, cast(count(*) over (partition by c.section_id) as int) as chunk_count, cast(b - a as int) as characters, sha256(substring(content, a + 1, b - a)) as hash from c join s on s.section_id = c.section_id"""
+
+
+def chunks(s):
+    return text.chunk_sections(s, 2000).select("section_id", "chunk_index", "chunk_count", F.length("content").alias("characters"), F.sha2("content", 256).alias("hash"))
+
+
+@query("d4_chunk_sections", chunks_sql("select section_id, content from fx_sections"), "fx_sections")
 def d4_chunks(s):
-    return text.chunk_sections(s, 2000).select("section_id", "chunk_index", "chunk_count", F.length("content").alias("characters"))
+    return chunks(s)
+
+
+@query("d4_chunk_documents", chunks_sql("select doc_id as section_id, text as content from documents"), "documents")
+def d4_documents(d):
+    """Whole documents, which have line feeds to be cut at."""
+    return chunks(d.select(F.col("doc_id").alias("section_id"), F.col("text").alias("content")))
 
 
 @query(
@@ -202,13 +220,13 @@ def uneven(cells):
     f"""
     with n as ({NAMED}), {CELLS}, r as (select distinct file, row_no from fx_cells where row_no between 1 and 10), j as (select file, row_no, '{{' || string_agg('"' || name || '":' || coalesce('"' || c.value || '"', 'null'), ',' order by col_no) || '}}' as row from r join n using (file) left join c using (file, row_no, col_no) group by all),
     s as (select file, string_agg(row, '|' order by row_no) as sample_rows from j group by 1), t as (select file, 'Columns: ' || string_agg(name, ', ' order by col_no) as content from n group by 1)
-    select file, content, sample_rows, '' as warning from t join s using (file) union all select file + 1000, null, null, 'The file is empty.' from t
+    select file, content, sample_rows, '' as warning from t join s using (file) union all select -1 - file, null, null, 'The file is empty.' from t
     """,
     "fx_cells",
 )
 def a11_sections(cells):
     files = cells.select("file").distinct()
-    out = text.csv_sections(files.unionByName(files.select((F.col("file") + 1000).alias("file"))), uneven(cells))
+    out = text.csv_sections(files.unionByName(files.select((-1 - F.col("file")).alias("file"))), uneven(cells))
     return out.withColumn("sample_rows", F.array_join("sample_rows", "|"))
 
 
