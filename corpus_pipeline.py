@@ -2,6 +2,11 @@
 
 Toxic documents go; repeated lines go, and documents of which no line is left; of each group of near-duplicates one
 document stays; documents that hold a benchmark passage go; what is left is encoded in pieces.
+
+Edge cases: texts that are null or empty have no lines, shingles and windows and are clean; they pass all stages and end with no pieces; a null
+doc_id is kept by the filters and comes out null; rows that repeat an id are judged each by its text, equal rows lose all but one where a stage removes
+repeats; texts of any length are taken whole; an empty table gives an empty result; further columns, whatever their names, go through the first four stages
+as they are (n_chars, if there, follows the text), and the last gives doc_id and the pieces only.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = lines.line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
