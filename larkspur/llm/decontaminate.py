@@ -5,7 +5,7 @@ empty is one window) are hashed, and the hashes sent to every executor as a broa
 scanned once: its word windows are hashed and looked up, and only hits leave the scan, with their words,
 which a join then compares with the windows themselves. A set of more than SLICE hashes is looked up in slices, one scan each.
 
-Edge cases: null and empty texts have no words and are never hit; rows whose ``id`` is null or repeats
+Edge cases: null and empty texts have no words and are never hit; texts of any length are taken whole; rows whose ``id`` is null or repeats
 are judged each by itself; an empty benchmark hits nothing; items without words are ignored; further
 columns of either table are not looked at, and ``remove`` leaves them as they were, whatever their names. Texts are told
 apart by 128 bits of hashes.

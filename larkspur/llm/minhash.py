@@ -4,7 +4,7 @@ buckets, star-shaped candidate links, confirmation on full sets, components (see
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has one shingle of all its words; texts of any length are taken whole; a row with a
 null id has no class (component_id null) and is kept; rows with the same id are classed each by its text;
-further columns are not looked at.
+an empty table gives no rows; further columns are not looked at, and ``dedup`` leaves them as they were, whatever their names.
 """
 
 from __future__ import annotations

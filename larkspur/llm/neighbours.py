@@ -16,7 +16,7 @@ them at a factor that keeps the recall; README gives figures.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
 another length than the most frequent (of equally frequent lengths, the largest); of several rows with one id the least
-vector counts; null ids take no part; a query with fewer candidates gets all of them; ties go to the smaller id.
+vector counts; null ids take no part; a query with fewer candidates gets all of them; ties go to the smaller id; an empty table gives no rows; further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

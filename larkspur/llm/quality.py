@@ -7,7 +7,8 @@ vectors, bounded in number, are sent to every executor; every document is compar
 cosine products, and its nearest neighbours vote with their similarity as weight.
 
 Edge cases: null, empty and blank texts have no terms and score the share of good labels; texts of any length are scored
-whole; without labels every score is 0.5; repeated rows are scored alike; further columns are not looked at.
+whole; without labels every score is 0.5; repeated rows are scored alike, and count once where they are learned from; an empty table gives no rows;
+further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ Edge cases: null and empty texts have no findings; a text of any length is scann
 layers too, whatever characters they hold: bytes that are no UTF-8 are replaced, and compressed data is unpacked
 to the end of its last member in blocks of 64 MB (only an encoded run or secret of more than 32 MB without a break
 inside compressed data may be met in parts);
-rows with null or repeated ids are scanned each by itself; further columns are not looked at.
+rows with null or repeated ids are scanned each by itself; an empty table gives no rows; further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ SentencePiece library, while the work grows with the text and not with the squar
 Edge cases: null and empty texts have no ids; characters that are not in the vocabulary become byte pieces
 (or the unknown piece, if the model has no byte pieces); a text of any length is encoded whole; the lower
 one-eighth block character, which stands for a space inside the model, decodes to a space, as in the
-library, and is the one case in which a text does not come back exactly.
+library, and is the one case in which a text does not come back exactly; null and repeated ids are rows of their own; an empty table gives
+no rows; further columns are not used by ``encode`` and left as they were by ``decode``, whatever their names.
 """
 
 from __future__ import annotations

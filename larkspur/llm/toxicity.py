@@ -9,8 +9,8 @@ a bounded sample of labelled documents: the ``features`` that tell toxic documen
 A sentence with none of them is clean.
 
 Edge cases: null, empty and blank texts score 0 and have no worst sentence; documents of any length are scored
-whole; without labels of both kinds every score is 0; repeated rows are scored alike; further columns are not
-looked at.
+whole; without labels of both kinds every score is 0; repeated rows are scored alike; an empty table gives no rows; further columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations

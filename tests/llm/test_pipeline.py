@@ -112,3 +112,29 @@ def test_filters_keep_columns(spark):
         if name in ("_key", "_row"):
             none = spark.createDataFrame([], "item_id long, text string")
             assert sorted(tuple(r)[2:] for r in decontaminate.remove(docs, none).collect()) == [(k, 7) for k in range(1, 6)]
+
+
+def staged(spark, docs, tmp_path):
+    """All stages on docs, each written and read again, with no benchmark but one passage and labels of other documents."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(10_000 + k, k % 2, k % 2) for k in range(4)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("b", "a passage of the benchmark that has ten words and more")], "item_id string, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.mode("overwrite").parquet(f"{folder}/stage{k}")
+        docs = spark.read.parquet(f"{folder}/stage{k}")
+    return docs
+
+
+def test_whole_pipeline_on_odd_tables(spark, tmp_path):
+    base = "doc_id long, text string"
+    assert staged(spark, spark.createDataFrame([], f"{base}, n_chars long"), tmp_path).count() == 0
+    long_text = " ".join(f"word{k}" for k in range(60))
+    near = long_text.replace("word59", "other")
+    rows = [(1, None), (2, ""), (None, "a text without an id"), (4, long_text), (5, near), (6, "a line\nanother line of words"), (7, "a line\nits own words"), (8, "x A passage of the benchmark that has ten words and more y")]
+    clash = "_key int, _removed int, _row int, node int, unit int, cluster int, ids int, removed string, root int"
+    docs = spark.createDataFrame([(*r, *range(7), "s", 9) for r in rows], f"{base}, {clash}")
+    for d in (docs, docs.select("doc_id", "text")):
+        got = {r.doc_id: r.ids for r in staged(spark, d, tmp_path).collect()}
+        assert set(got) == {1, 2, None, 4, 6, 7} and got[1] == got[2] == [] and len(got[4]) > 60
+    kept = spark.read.parquet(f"{tmp_path}/stage3")
+    assert kept.columns == ["doc_id", "text"] and {r.doc_id: r.text for r in kept.collect()}[7] == "its own words"
