@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -93,3 +95,45 @@ def test_wording_enters_the_quality_space(spark):
     assert len(m["y"]) == 60, "one row of an id"
     got = {r.doc_id: r.score for r in quality.score(docs.where("doc_id >= 60"), m).collect()}
     assert all((s > 0.9) == bool(k % 2) and (s < 0.1) == (k % 2 == 0) for k, s in got.items())
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """The noisy-or of the stored weights, sentence by sentence and word by word."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    features, weights = toxicity.fit(docs, labels, least=2)
+    weight = dict(zip(features, weights[:-1], strict=True))
+    assert weight
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        clean, worst = 1.0, None
+        for m in re.finditer(r"[^.!?\n]+", r.text or ""):
+            known = {f for w in re.findall(r"\w+", m[0].lower()) for f in toxicity.names(w)} & set(weight)
+            if known:
+                p = 1 / (1 + math.exp(-(weights[-1] + sum(weight[f] for f in known))))
+                clean *= 1 - p
+                worst = max(worst or (0.0, 0, 0), (p, -m.start(), m.end()))
+        want[r.doc_id] = (1 - clean, worst)
+    got = {r.doc_id: r for r in toxicity.score(docs, (features, weights)).collect()}
+    assert got.keys() == want.keys() and any(w for _, w in want.values())
+    for i, (s, w) in want.items():
+        assert abs(got[i].score - s) < 2e-6
+        assert (w is None) == (got[i].worst_start is None) and (w is None or abs(got[i].worst_score - w[0]) < 2e-6)
+
+
+def test_training_lowers_the_noisy_or_loss():
+    """The weights lie where the loss, written out, has no slope left to speak of in any weight."""
+    r = np.random.default_rng(4)
+    doc, feature = np.repeat(np.arange(120), 4), r.integers(0, 12, 480)
+    y = (np.bincount(doc, feature < 2, 120) > 0).astype(float)
+    y[:6] = 1 - y[:6]
+
+    def loss(x):
+        p = 1 / (1 + np.exp(-(x[-1] + x[feature])))
+        clean = np.array([np.prod(1 - p[doc == k]) for k in range(120)])
+        return -(y * np.log(1 - clean) + (1 - y) * np.log(clean)).sum() + 0.15 * (x[:-1] ** 2).sum()
+
+    w = toxicity.trained(y, doc, np.arange(480), feature, 12, rounds=4000)
+    start = np.append(np.zeros(12), -4.0)
+    slope = lambda x: np.array([(loss(x + e) - loss(x - e)) / 2e-5 for e in 1e-5 * np.eye(13)])
+    assert loss(w) < 0.5 * loss(start) and np.abs(slope(w)).max() < 0.02 * np.abs(slope(start)).max()

@@ -76,3 +76,15 @@ def test_shards_are_left_out():
     for i, w, y in zip(q, known, looks):
         assert w <= want[i][-1][1] + 1e-9 and {int(leaf[j]) for j, _ in want[i]} <= set(y.tolist())
     assert np.mean([len(y) for y in looks]) < 0.7 * len(ranges)
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_several_shards_at_the_factor_of_the_query(spark, dim):
+    """Routing, leaves and shards of a leaf, on vectors without structure."""
+    r = np.random.default_rng(dim)
+    x = r.standard_normal((4000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = collected(N.nearest(df, lambda i: i % 20 == 0, shard=300, each=40)), brute(np.arange(4000), x, 20)
+    assert got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
+    assert recall(got, want) >= 0.9
