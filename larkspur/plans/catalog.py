@@ -486,7 +486,7 @@ def o1(s, d):
     "o1_feed_page",
     """
     with f as (select s.id, s.source_type, status, coalesce(document_id, -1) as document_id, s.updated_at as "at" from fx_sources s left join fx_documents d on d.source_type = s.source_type and d.source_record_id = s.id where s.source_type = 'automatic_upload' and status = 'completed')
-    select *, (select count(*) from f) as total_count, row_number() over (order by "at" desc, id) - 1 as position, case when (select count(*) from f) > 120 then 120 end as next_offset from f qualify position between 20 and 119
+    select *, (select count(*) from f) as total_count, row_number() over (order by "at" desc, id) - 1 as position, case when (select count(*) from f) > 120 then cast(120 as bigint) end as next_offset from f qualify position between 20 and 119
     """,
     "fx_sources", "fx_documents",
 )

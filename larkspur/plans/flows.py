@@ -175,7 +175,7 @@ def t4_stream(logs):
 
 @query(
     "s3_read_heads",
-    "select case when k = 0 then 'application/pdf' when k = 1 then 'image/gif' else 'text/plain' end as detected, count(*) as n, sum(strlen(text) + 7) as bytes from (select p_partkey % 3 as k, string_agg(p_name, '') as text from part group by p_partkey // 50, p_partkey % 3) group by all",
+    "select case when k = 0 then 'application/pdf' when k = 1 then 'image/gif' else 'text/plain' end as detected, count(*) as n, cast(sum(strlen(text) + 7) as bigint) as bytes from (select p_partkey % 3 as k, string_agg(p_name, '') as text from part group by p_partkey // 50, p_partkey % 3) group by all",
     "part",
 )
 def s3_heads(part):
