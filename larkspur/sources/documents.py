@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -74,15 +76,37 @@ def write_documents(rows: DataFrame, path: str) -> None:
     rows.select(F.col("version_id").cast("string").alias("version_id"), F.col("pipeline_version").cast("string").alias("pipeline_version"), "json").write.format("version_files").mode("append").save(path)
 
 
+#: How many characters of documents a task hands over at once.
+BATCH = 4_000_000
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The files that are published at path: (version_id, pipeline_version, json)."""
+    """The files that are published at path: (version_id, pipeline_version, json). The driver knows the folders of the write's tasks only; what is in a folder is listed and read by a task."""
     fs, top = place(path)
     with fs.open_input_stream(f"{top}/{PUBLISHED}") as f:
         folders = sorted(json.loads(f.read()))
+    schema, root = "version_id string, pipeline_version string, json string", path.rstrip("/")
     if not folders:
-        return spark.createDataFrame([], "version_id string, pipeline_version string, json string")
-    files = spark.read.text([f"{path.rstrip('/')}/{d}" for d in folders], wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1)
-    part = F.split(F.url_decode(name), "~")  # Spark gives the name with its % escaped once more
-    plain = lambda c: F.url_decode(c)
-    return files.select(plain(part[0]).alias("version_id"), plain(part[1]).alias("pipeline_version"), F.col("value").alias("json"))
+        return spark.createDataFrame([], schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                fs, at = place(f"{root}/{folder}")
+                rows, size = [], 0
+                for file in fs.get_file_info(FileSelector(at)):
+                    if not file.base_name.endswith(".json"):
+                        continue
+                    with fs.open_input_stream(file.path) as f:
+                        text = f.read().decode()
+                    version, pipeline = map(unquote, file.base_name[:-5].split("~")[:2])
+                    rows.append({"version_id": version, "pipeline_version": pipeline, "json": text})
+                    size += len(text)
+                    if size > BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, out)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, out)
+
+    out = pa.schema([(c, pa.string()) for c in ("version_id", "pipeline_version", "json")])
+    each = spark.sparkContext.parallelize([(d,) for d in folders], len(folders))  # a task for each folder
+    return spark.createDataFrame(each, "folder string").mapInArrow(task, schema)
