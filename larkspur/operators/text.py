@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions import scalars as S
 
@@ -50,19 +53,44 @@ def cut_text(text: str, most: int) -> list[str]:
     return out
 
 
-def chunk_sections(sections: DataFrame, most: int = CHUNK) -> DataFrame:
-    """Sections with long contents cut; chunk_index and chunk_count added. Only long rows go through Python, in Arrow batches."""
+#: How many characters of chunks a task hands over at once.
+BATCH = 2_000_000
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut_text(t, most))
+
+def chunk_sections(sections: DataFrame, most: int = CHUNK) -> DataFrame:
+    """Sections with long contents cut; chunk_index and chunk_count added. Only long rows go through Python, one text after the other; chunks leave in small batches."""
+    names = sections.columns
+    at = names.index("content")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            parts: list[str] = []
+            index: list[int] = []
+            count: list[int] = []
+            size = 0
+
+            def packed() -> pa.RecordBatch:
+                kept = [pa.array(parts, c.type) if k == at else c.take(pa.array(rows, pa.int32())) for k, c in enumerate(batch.columns)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), pa.array(count, pa.int32())], [*names, "chunk_index", "chunk_count"])  # noqa: B023
+
+            for row in range(batch.num_rows):
+                found = cut_text(batch.column(at)[row].as_py(), most)
+                for k, part in enumerate(found):
+                    rows.append(row)
+                    parts.append(part)
+                    index.append(k)
+                    count.append(len(found))
+                    size += len(part)
+                    if size > BATCH:
+                        yield packed()
+                        rows, parts, index, count, size = [], [], [], [], 0
+            yield packed()
 
     long_ = F.length("content") > most
     whole = sections.where(~long_).withColumns({"chunk_index": F.lit(0), "chunk_count": F.lit(1)})
-    parts = sections.where(long_).withColumn("_parts", cut("content"))
-    others = [c for c in sections.columns if c != "content"]
-    parts = parts.select(*others, F.size("_parts").alias("chunk_count"), F.posexplode("_parts").alias("chunk_index", "content"))
-    return whole.unionByName(parts.select(*whole.columns))
+    shape = T.StructType([*(T.StructField(f.name, f.dataType) for f in sections.schema), T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_count", T.IntegerType())])
+    return whole.unionByName(sections.where(long_).mapInArrow(cut, shape))
 
 
 def map_sections(sections: DataFrame) -> DataFrame:
@@ -221,7 +249,8 @@ def sheet_sections(cells: DataFrame, sample: int = 10) -> DataFrame:
 def structured_json(versions: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
     """(version_id, pipeline_version, json): for each pipeline of a version one document with its source, format, metadata, warnings and ordered sections; snake-case names. versions: also format, metadata (a map) and warnings (an array)."""
     item = F.struct("ordinal", "section_type", "heading", "content", "ocr_content")
-    s = sections.groupBy("version_id", "pipeline_version").agg(F.array_sort(F.collect_list(item)).alias("sections"))
+    dealt = sections.select("version_id", "pipeline_version", item.alias("item")).repartition("version_id")  # grouping and join then find each version's texts in place
+    s = dealt.groupBy("version_id", "pipeline_version").agg(F.array_sort(F.collect_list("item")).alias("sections"))
     v = versions.select("version_id", "document_id", "file_name", "format", "metadata", "warnings").join(documents.select("document_id", "source_type", "device_code"), "document_id").join(s, "version_id")
     source = F.struct("document_id", "version_id", "source_type", "device_code", "file_name")
     return v.select("version_id", "pipeline_version", F.to_json(F.struct(F.lit(1).alias("schema_version"), "pipeline_version", source.alias("source"), "format", "metadata", "warnings", "sections")).alias("json"))
