@@ -8,7 +8,7 @@ from larkspur import fixtures
 from larkspur.fixtures import ONLINE_MINUTES
 from larkspur.plans.registry import query, source
 from larkspur.plans.state import INDEX, beats
-from larkspur.sources import files, tables
+from larkspur.sources import documents, files, tables
 from larkspur.streaming import streams
 
 
@@ -184,8 +184,8 @@ def s3_heads(part):
     k = F.col("p_partkey") % 3
     mark = F.when(k == 0, "%PDF-1").when(k == 1, "GIF89a").otherwise("words:")
     text = part.groupBy(F.floor(F.col("p_partkey") / 50).alias("f"), k.alias("k"), mark.alias("mark")).agg(F.array_join(F.collect_list("p_name"), "").alias("t"))
-    text.select("f", "k", F.concat("mark", "t").alias("value")).repartition("f", "k").write.partitionBy("f", "k").text(to)
-    found = files.mime_detect(files.read_heads(spark, f"{to}/*/*/*.txt"))
+    documents.write_documents(text.select(F.col("f").alias("version_id"), F.col("k").alias("pipeline_version"), F.concat("mark", "t", F.lit("\n")).alias("json")), to)
+    found = files.mime_detect(files.read_heads(spark, f"{to}/[0-9a-f]*"))  # the folders of the write's tasks
     return found.groupBy("detected").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
 
 
