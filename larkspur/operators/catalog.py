@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from typing import Any
 
@@ -207,15 +208,19 @@ def part_plan(uploads: DataFrame) -> DataFrame:
 
 
 def backfill_candidates(sources: DataFrame, documents: DataFrame, versions: DataFrame, jobs: DataFrame, pipeline: str, budget: int) -> DataFrame:
-    """Completed sources without a matching version that has a job of the pipeline; blank ids, tags and hashes of a source match any. The first budget, uploads before imports."""
-    done = versions.join(jobs.where(F.col("pipeline_version") == pipeline).select("version_id").distinct(), "version_id", "left_semi")
-    v = done.join(documents.select("document_id", "source_type", "source_record_id"), "document_id").alias("v")
-    s = sources.where("status = 'completed'").alias("s")
-    wild = lambda name: (F.col(f"s.{name}") == "") | (F.col(f"s.{name}") == F.col(f"v.{name}"))
-    same = [F.col("s.source_type") == F.col("v.source_type"), F.col("s.id") == F.col("v.source_record_id"), F.col("s.object_key") == F.col("v.object_key"), F.col("s.size_bytes") == F.col("v.size_bytes"), F.col("s.modified_at") == F.col("v.source_modified_at")]
-    for name in ("object_version_id", "etag", "sha256"):
-        same.append(wild(name))
-    missing = s.join(v, same, "left_anti").withColumn("priority", F.when(F.col("source_type") == "automatic_upload", 0).otherwise(1))
+    """Completed sources, whose key is (source_type, id), without a matching version that has a job of the pipeline; blank ids, tags and hashes of a source match any. The first budget, uploads before imports."""
+    v, wanted = versions.alias("v"), ("object_key", "size_bytes", "modified_at", "object_version_id", "etag", "sha256")
+    s = sources.where("status = 'completed'")
+    # What each document's source asks of its versions is found first, so that versions move at most once, and as ids from then on.
+    asked = documents.select("document_id", "source_type", F.col("source_record_id").alias("id")).join(s.select("source_type", "id", F.struct(*wanted).alias("_s")), ["source_type", "id"])
+    asked = asked.select(F.col("document_id").alias("_document"), F.col("source_type").alias("_type"), F.col("id").alias("_id"), "_s")
+    wild = lambda name: (F.col(f"_s.{name}") == "") | (F.col(f"_s.{name}") == F.col(f"v.{name}"))
+    same = [F.col("v.document_id") == F.col("_document"), F.col("_s.object_key") == F.col("v.object_key"), F.col("_s.size_bytes") == F.col("v.size_bytes"), F.col("_s.modified_at") == F.col("v.source_modified_at")]
+    same += [wild(name) for name in ("object_version_id", "etag", "sha256")]
+    match = F.coalesce(functools.reduce(lambda x, y: x & y, same[1:]), F.lit(False))  # no keys of the join: versions that are dealt by their document stay where they are
+    found = v.join(asked, same[0]).where(match).select("v.version_id", F.col("_type").alias("source_type"), F.col("_id").alias("id"))
+    have = found.join(jobs.where(F.col("pipeline_version") == pipeline).select("version_id").distinct(), "version_id")  # a semi-join would be moved before the other join, where versions are wide
+    missing = s.join(have, ["source_type", "id"], "left_anti").withColumn("priority", F.when(F.col("source_type") == "automatic_upload", 0).otherwise(1))
     top = missing.orderBy("priority", "updated_at", "id").limit(budget)
     return top.withColumn("position", F.row_number().over(Window.orderBy("priority", "updated_at", "id")))
 

@@ -291,7 +291,7 @@ def a3(dev, d, v):
 def j6(s, d, v, j):
     key = s.select(F.col("id").alias("source_record_id"), "object_key", "object_version_id", F.lit("").alias("etag"), "sha256")
     million = F.col("size_bytes") - F.col("size_bytes") % 1_000_000
-    v = v.join(d.select("document_id", "source_record_id"), "document_id").join(key, "source_record_id").drop("source_record_id")
+    v = v.join(d.select("document_id", "source_record_id").join(key, "source_record_id").drop("source_record_id"), "document_id")
     v = v.withColumn("object_version_id", F.when(F.col("version_id") % 3 == 0, "").otherwise(F.col("object_version_id"))).withColumn("size_bytes", million).withColumn("source_modified_at", S.ntz(AS_OF))
     s = s.withColumn("size_bytes", million).withColumn("modified_at", S.ntz(AS_OF)).withColumn("etag", F.lit(""))
     return C.backfill_candidates(s, d, v, j, "v1", 500).select("id", "source_type", "position")

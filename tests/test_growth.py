@@ -1,8 +1,10 @@
 """What plans and tasks must not do as tables grow."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from larkspur.operators import text
+from larkspur.operators import catalog, text
 from larkspur.sources import documents
 
 
@@ -35,3 +37,25 @@ def test_structured_texts_move_once(spark):
     moved = [x for x in plan(out).splitlines() if "Exchange hashpartitioning(version_id" in x]
     assert len(moved) == 2 and not any("pipeline_version" in x for x in moved), "sections by their version, and versions"
     assert out.where(F.get_json_object("json", "$.sections[2].content") == "c2").count() == 1
+
+
+def test_backfill_moves_versions_as_ids(spark):
+    cols = "object_key string, size_bytes long, {} timestamp_ntz, object_version_id string, etag string, sha256 string"
+    at = datetime(2024, 1, 1)
+    s = [(k, "automatic_upload" if k % 2 else "old_user_data", "completed" if k < 8 else "failed", at, f"o{k}", k, at, "", "e", "h") for k in range(9)]
+    s[7] = (*s[7][:7], None, "e", "h")
+    d = [(k, r[1], k) for k, r in enumerate(s)]
+    v = [(k, k, f"o{k}", k + (k == 3), at, "any", "e" if k != 4 else "f", "h") for k in range(9)] + [(20, 3, "o3", 3, at, "v", "e", "h")]
+    s = spark.createDataFrame(s, "id long, source_type string, status string, updated_at timestamp_ntz, " + cols.format("modified_at"))
+    d = spark.createDataFrame(d, "document_id long, source_type string, source_record_id long")
+    v = spark.createDataFrame(v, "version_id long, document_id long, " + cols.format("source_modified_at")).repartition(4, "document_id")
+    j = spark.createDataFrame([(k, "v0" if k == 6 else "v1") for k in (0, 1, 1, 3, 4, 5, 6, 7, 20)], "version_id long, pipeline_version string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.backfill_candidates(s, d, v, j, "v1", 10)
+        moved = [x for x in plan(out).splitlines() if "Exchange hashpartitioning" in x]
+        assert not any("object_key" in x for x in moved) and sum("REPARTITION" in x for x in moved) == 1 and sum("version_id" in x for x in moved) == 2, "only ids of versions move"
+        assert [(r.id, r.position) for r in out.orderBy("position").collect()] == [(7, 1), (2, 2), (4, 3), (6, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
