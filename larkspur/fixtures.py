@@ -188,6 +188,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def parts(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Into how many parts rows of these views are dealt so that a part stays small whatever the input: as many as the session's shuffle partitions, and eight times the parts that their largest table is read in."""
+    have = definitions("spark")
+    text = " ".join(have.get(v, v) for name in names for v in (name, *needed(name, "spark")))
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), *(8 * spark.read.parquet(f"{sf_dir}/{t}.parquet").rdd.getNumPartitions() for t in used))
+
+
 def oracle(sql: str) -> str:
     """sql for DuckDB, with the fixture views that it uses as common table expressions."""
     have = definitions("duckdb")

@@ -242,14 +242,13 @@ def due_log_devices(devices: DataFrame, commands: DataFrame, as_of: str, window_
 BREAKDOWNS = {"extension": ("file_extension", "(none)"), "device": ("device_code", "(unknown)"), "department": ("department", "(unassigned)"), "source_type": ("source_type", "(unknown)")}
 
 
-def storage_stats(documents: DataFrame, versions: DataFrame, top: int = 25, sources: DataFrame | None = None, spec: dict[str, Any] | None = None) -> DataFrame:
-    """A1: (breakdown, rank, key, documents, versions, bytes) of the documents that meet spec (P1; live ones if there is none): totals, and the top keys by bytes of each breakdown, from one scan. documents, with or without versions, are counted in the total only."""
+def storage_stats(documents: DataFrame, versions: DataFrame, top: int = 25, sources: DataFrame | None = None, spec: dict[str, Any] | None = None, parts: int | None = None) -> DataFrame:
+    """A1: (breakdown, rank, key, documents, versions, bytes) of the documents that meet spec (P1; live ones if there is none): totals, and the top keys by bytes of each breakdown, from one scan. documents, with or without versions, are counted in the total only. With parts, versions meet documents in so many tasks."""
     docs = document_filter(documents, versions, sources, spec or {})
-    rows = versions.select("document_id", F.lower("file_extension").alias("file_extension"), "size_bytes").join(docs.select("document_id", "device_code", "department", "source_type"), "document_id")
-    keys = [k for k, _ in BREAKDOWNS.values()]
+    deal = lambda df, *by: df.repartition(parts, *by) if parts else df
+    rows = deal(versions.select("document_id", F.lower("file_extension").alias("file_extension"), "size_bytes"), "document_id").join(deal(docs.select("document_id", "device_code", "department", "source_type"), "document_id"), "document_id")
     each = F.array(F.struct(F.lit("total").alias("breakdown"), F.lit("").alias("key")), *(F.struct(F.lit(b).alias("breakdown"), F.col(k).alias("key")) for b, (k, _) in BREAKDOWNS.items()))
-    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"))
-    out = per_key.select("n", "b", F.explode(each).alias("e")).groupBy("e.breakdown", "e.key").agg(F.sum("n").alias("versions"), F.sum("b").alias("bytes"))
+    out = rows.select("size_bytes", F.explode(each).alias("e")).groupBy("e.breakdown", "e.key").agg(F.count(F.lit(1)).alias("versions"), F.sum("size_bytes").alias("bytes"))  # the keys of all breakdowns together would be nearly as many as rows
     label = F.col("key")
     for b, (_, none) in BREAKDOWNS.items():
         label = F.when((F.col("breakdown") == b) & (F.trim("key") == ""), none).otherwise(label)

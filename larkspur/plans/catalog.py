@@ -326,10 +326,10 @@ def j9(d, c):
     g as (select breakdown, k, count(*) as versions, cast(sum(size_bytes) as bigint) as bytes from u group by all), n as (select *, row_number() over (partition by breakdown order by bytes desc, k) as rank from g)
     select breakdown, rank, case when k = '' and breakdown = 'extension' then '(none)' when k = '' and breakdown = 'department' then '(unassigned)' else k end as key, case when breakdown = 'total' then (select count(*) from fx_documents where not is_deleted) end as documents, versions, bytes from n where rank <= 25
     """,
-    "fx_documents", "fx_versions",
+    "fx_documents", "fx_versions", dealt=True,
 )
-def a1(d, v):
-    return C.storage_stats(d, v)
+def a1(d, v, parts):
+    return C.storage_stats(d, v, parts=parts)
 
 
 @query("a2_extraction_overview", "select kind, status, cast(sum(n) as bigint) as n from (select 'job' as kind, status, 1 as n from fx_jobs union all select 'version', extraction_status, 1 from fx_versions union all select 'job', s, 0 from (values ('queued'), ('running'), ('dead_letter')) x(s)) group by all", "fx_jobs", "fx_versions")

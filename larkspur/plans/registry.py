@@ -21,12 +21,13 @@ AS_LONG = {
 AS_INT = {"d6_extraction_summary": ["pages"]} | {n: ["query_id"] for n in ("f3_search_match", "f4_search_score", "a9_search_totals", "f5_rank_flat", "f6_rank_grouped", "f9_search", "f9_search_flat", "f9_search_stored", "f5_top_sections")}
 
 
-def query(name: str, sql: str | None, *tables: str):
-    """Register build(*tables as DataFrames) as query name; sql is for DuckDB and may use the fixture views."""
+def query(name: str, sql: str | None, *tables: str, dealt: bool = False):
+    """Register build(*tables as DataFrames) as query name; sql is for DuckDB and may use the fixture views. If dealt, build also takes parts (fixtures.parts)."""
 
     def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = build(*(fixtures.table(spark, sf_dir, t) for t in tables))
+            how = {"parts": fixtures.parts(spark, sf_dir, *tables)} if dealt else {}
+            df = build(*(fixtures.table(spark, sf_dir, t) for t in tables), **how)
             for kind, columns in (("long", AS_LONG), ("int", AS_INT)):
                 df = df.withColumns({c: df[c].cast(kind) for c in columns.get(name, [])})
             return df

@@ -1,9 +1,11 @@
 """What plans and tasks must not do as tables grow."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from larkspur import fixtures, plans
 from larkspur.operators import catalog, text
 from larkspur.sources import documents
 
@@ -59,3 +61,26 @@ def test_backfill_moves_versions_as_ids(spark):
         assert [(r.id, r.position) for r in out.orderBy("position").collect()] == [(7, 1), (2, 2), (4, 3), (6, 4)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def dealt(df):
+    """The numbers of parts of the shuffles that are asked for, and all shuffles."""
+    moved = [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x]
+    return [int(re.search(r", (\d+)\), REPARTITION_BY_NUM", x)[1]) for x in moved if "REPARTITION_BY_NUM" in x], moved
+
+
+def test_joins_are_dealt_by_the_size_of_the_input(spark):
+    where = "/root/testdata/sf0.001"
+    assert fixtures.parts(spark, where, "fx_jobs", "fx_versions") == 8 * spark.read.parquet(f"{where}/lineitem.parquet").rdd.getNumPartitions()
+    for name in ("a1_storage_stats",):
+        assert set(dealt(plans.QUERIES[name](spark, where))[0]) == {fixtures.parts(spark, where, "fx_documents", "fx_versions")}, name
+
+
+def test_storage_is_counted_by_breakdown(spark):
+    d = spark.createDataFrame([(k, f"d{k % 3}", "", "s", k == 5) for k in range(6)], "document_id long, device_code string, department string, source_type string, is_deleted boolean")
+    v = spark.createDataFrame([(k % 6, ".PDF" if k % 2 else "", k) for k in range(60)], "document_id long, file_extension string, size_bytes long")
+    out = catalog.storage_stats(d, v, parts=3)
+    assert not any("file_extension" in x and "device_code" in x for x in dealt(out)[1]), "no shuffle of rows by all keys at once"
+    got = {(r.breakdown, r.key): (r.documents, r.versions, r.bytes) for r in out.collect()}
+    assert got[("total", "")] == (5, 50, sum(k for k in range(60) if k % 6 != 5)) and got[("device", "d2")] == (None, 10, sum(k for k in range(60) if k % 6 == 2))
+    assert got == {(r.breakdown, r.key): (r.documents, r.versions, r.bytes) for r in catalog.storage_stats(d, v).collect()} and len(got) == 8
