@@ -185,17 +185,20 @@ def replace_outputs(sections: DataFrame, new: DataFrame) -> DataFrame:
     return sections.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def apply_completions(jobs: DataFrame, versions: DataFrame, sections: DataFrame, derivatives: DataFrame, results: DataFrame, new_sections: DataFrame, new_derivatives: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def apply_completions(jobs: DataFrame, versions: DataFrame, sections: DataFrame, derivatives: DataFrame, results: DataFrame, new_sections: DataFrame, new_derivatives: DataFrame, as_of: str, parts: int | None = None) -> dict[str, DataFrame]:
     """The four tables after results (job_id, token, object_version_id, etag, sha256, page_count) whose token is that of a running job with a live lease; outputs of other results are left out.
 
     The outputs of their (version, pipeline) are replaced, jobs and versions completed, blank version ids and tags filled, hashes set.
+    With parts, results meet jobs, and outputs the pairs that are replaced, in so many tasks.
     """
+    deal = lambda df, *by: df.repartition(parts, *by) if parts else df
     keys = ["version_id", "pipeline_version"]
     live = jobs.where((F.col("status") == "running") & (F.col("lease_until") > S.ntz(as_of))).select("job_id", F.col("lease_token").alias("token"), *keys)
     one = results.groupBy("job_id", "token").agg(F.min(F.struct("object_version_id", "etag", "sha256", "page_count")).alias("r"))
     done = one.join(live, ["job_id", "token"])
-    pairs = done.select(*keys).distinct()
-    replaced = lambda old, new: old.join(pairs, keys, "left_anti").unionByName(new.join(pairs, keys, "left_semi").select(*old.columns))
+    ids = ("job_id", "token")
+    pairs = deal(deal(live, *ids).join(deal(results.select(*ids), *ids), [*ids], "left_semi").select(*keys), *keys)
+    replaced = lambda old, new: deal(old, *keys).join(pairs, keys, "left_anti").unionByName(deal(new, *keys).join(pairs, keys, "left_semi").select(*old.columns))
     j = jobs.join(done.select("job_id", F.lit(True).alias("_hit")), "job_id", "left")
     hit = F.col("_hit").isNotNull()
     j = j.withColumns({"status": F.when(hit, "completed").otherwise(F.col("status")), "error_code": F.when(hit, "").otherwise(F.col("error_code")), "lease_until": F.when(~hit, F.col("lease_until")), "lease_token": F.when(~hit, F.col("lease_token"))}).drop("_hit")

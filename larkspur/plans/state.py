@@ -237,14 +237,14 @@ def m11_derivatives(v):
     return state.validate_derivatives(d).select("version_id", "kind", "ordinal", "problem")
 
 
-def completed(j, v):
+def completed(j, v, parts=None):
     """Results of running jobs; one in 5 with a stale token, one in 3 of the leases over."""
     i = F.col("job_id")
     j = j.withColumn("lease_token", i % 10).withColumn("lease_until", F.when(i % 3 == 0, S.ntz("1990-01-01 00:00:00")).otherwise(S.ntz("2030-01-01 00:00:00")))
     v = v.select("version_id", "extraction_status", F.when(F.col("version_id") % 2 == 0, "").otherwise("old").alias("object_version_id"), F.lit("").alias("etag"), F.lit("s").alias("sha256"), F.lit(0).alias("page_count"), F.lit(0).cast("long").alias("section_count"), F.lit("").alias("pipeline_version"))
     r = j.where("priority < 3").select("job_id", F.when(i % 5 == 0, -1).otherwise(F.col("lease_token")).alias("token"), F.lit("new").alias("object_version_id"), F.lit("e").alias("etag"), F.sha2(i.cast("string"), 256).alias("sha256"), F.lit(7).alias("page_count"))
     of = lambda text, n: j.select("version_id", "pipeline_version", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("ordinal"), F.lit(text).alias("content"))
-    return state.apply_completions(j, v, of("old", 1), of("old", 1), r.unionByName(r), of("new", 2), of("new", 1), AS_OF)
+    return state.apply_completions(j, v, of("old", 1), of("old", 1), r.unionByName(r), of("new", 2), of("new", 1), AS_OF, parts)
 
 
 HIT = "h as (select *, priority < 3 and job_id % 5 <> 0 and job_id % 3 <> 0 and status = 'running' as hit from fx_jobs)"
@@ -264,10 +264,10 @@ def m10_versions(j, v):
     return completed(j, v)["versions"]
 
 
-@query("m10_completed_outputs", f"with {HIT} select 'section' as what, version_id, case when hit then 'new' else 'old' end as content, count(*) as n from h, range(2) as r(k) where hit or k = 0 group by all union all select 'derivative', version_id, case when hit then 'new' else 'old' end, 1 from h", "fx_jobs", "fx_versions")
-def m10_outputs(j, v):
-    out = completed(j, v)
-    n = lambda name, what: out[name].groupBy("version_id", "content").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "version_id", "content", "n")
+@query("m10_completed_outputs", f"with {HIT} select 'section' as what, version_id, case when hit then 'new' else 'old' end as content, count(*) as n from h, range(2) as r(k) where hit or k = 0 group by all union all select 'derivative', version_id, case when hit then 'new' else 'old' end, 1 from h", "fx_jobs", "fx_versions", dealt=True)
+def m10_outputs(j, v, parts):
+    out = completed(j, v, parts)
+    n = lambda name, what: out[name].repartition(parts, "version_id", "content").groupBy("version_id", "content").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "version_id", "content", "n")
     return n("sections", "section").unionByName(n("derivatives", "derivative"))
 
 

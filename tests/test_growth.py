@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from larkspur import fixtures, plans
-from larkspur.operators import catalog, text
+from larkspur.operators import catalog, state, text
 from larkspur.sources import documents
 
 
@@ -72,7 +72,7 @@ def dealt(df):
 def test_joins_are_dealt_by_the_size_of_the_input(spark):
     where = "/root/testdata/sf0.001"
     assert fixtures.parts(spark, where, "fx_jobs", "fx_versions") == 8 * spark.read.parquet(f"{where}/lineitem.parquet").rdd.getNumPartitions()
-    for name in ("a1_storage_stats",):
+    for name in ("a1_storage_stats", "m10_completed_outputs"):
         assert set(dealt(plans.QUERIES[name](spark, where))[0]) == {fixtures.parts(spark, where, "fx_documents", "fx_versions")}, name
 
 
@@ -84,3 +84,16 @@ def test_storage_is_counted_by_breakdown(spark):
     got = {(r.breakdown, r.key): (r.documents, r.versions, r.bytes) for r in out.collect()}
     assert got[("total", "")] == (5, 50, sum(k for k in range(60) if k % 6 != 5)) and got[("device", "d2")] == (None, 10, sum(k for k in range(60) if k % 6 == 2))
     assert got == {(r.breakdown, r.key): (r.documents, r.versions, r.bytes) for r in catalog.storage_stats(d, v).collect()} and len(got) == 8
+
+
+def test_completed_outputs_in_parts(spark):
+    at, late = "2024-01-01 00:00:00", datetime(2030, 1, 1)
+    j = spark.createDataFrame([(k, k % 4, "p" if k < 4 else "q", "running" if k != 2 else "queued", late, k, "") for k in range(8)], "job_id long, version_id long, pipeline_version string, status string, lease_until timestamp_ntz, lease_token long, error_code string")
+    v = spark.createDataFrame([(k, "queued", "", "", "", 0, 0, "") for k in range(4)], "version_id long, extraction_status string, object_version_id string, etag string, sha256 string, page_count int, section_count long, pipeline_version string")
+    of = lambda text, n: j.select("version_id", "pipeline_version", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("ordinal"), F.lit(text).alias("content"))
+    r = j.where("job_id % 2 = 0").select("job_id", F.when(F.col("job_id") == 6, -1).otherwise(F.col("lease_token")).alias("token"), F.lit("o").alias("object_version_id"), F.lit("e").alias("etag"), F.lit("h").alias("sha256"), F.lit(1).alias("page_count"))
+    for parts in (None, 3):
+        out = state.apply_completions(j, v, of("old", 1), of("old", 1), r.unionByName(r), of("new", 2), of("new", 1), at, parts)
+        hit = {(0, "p"), (0, "q")}  # of 2 the job does not run, of 6 the token is stale
+        want = sorted((x, p, n, "new" if (x, p) in hit else "old") for x in range(4) for p in "pq" for n in ((1, 2) if (x, p) in hit else (1,)))
+        assert sorted(map(tuple, out["sections"].collect())) == want and out["derivatives"].where("content = 'new'").count() == 2
