@@ -56,8 +56,8 @@ def key(doc_id: str, text: str) -> Column:
 def counted(documents: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
     """Per row of documents: doc_id, key, n_units (that are not left alone); of pieces also n_lines (that are not blank)."""
     if spec.unit == "line":
-        lines = F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
-        return documents.select(F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key"), F.size(lines).cast("long").alias("n_units"))
+        n = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r][^\n]*"))  # from a line's first ink to its end
+        return documents.select(F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key"), n.cast("long").alias("n_units"))
     kind = documents.schema[doc_id].dataType
 
     def task(batches):

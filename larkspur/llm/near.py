@@ -92,7 +92,7 @@ def packed_bands(docs: DataFrame, specs: tuple[Spec, ...], groups: int) -> DataF
         def flush():
             k, v = np.concatenate(keys), np.concatenate(nodes)
             to = (k >> U(33)) % U(groups)
-            order = np.lexsort((k & KEY_BITS, to))
+            order = np.argsort(to << U(48) | k & KEY_BITS) if groups <= 1 << 16 else np.lexsort((k & KEY_BITS, to))
             k, v, to = k[order] & KEY_BITS, v[order], to[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             rows = [planes(k[a:b], 3) + planes(v[a:b], 4) for a, b in zip(at, at[1:], strict=False)]
@@ -161,6 +161,10 @@ def stars(bands: DataFrame) -> DataFrame:
     def group(table: pa.Table) -> pa.Table:
         parts = table.column("payload").to_pylist()
         keys, nodes = map(np.concatenate, zip(*map(unplaned, parts), strict=True))
+        order = np.argsort(keys)
+        same = np.diff(keys[order]) == 0
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # most keys stand alone
+        keys, nodes = keys[order], nodes[order]
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         same = keys[1:] == keys[:-1]
@@ -243,18 +247,21 @@ LINK, PART, KEY, COUNT = 0, 1, 2, 3
 PLACE = "struct<group:bigint,i:int,j:int,side:int,root:bigint,part:boolean>"
 
 
-def compared(docs: DataFrame, wanted: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
-    """(what, src, dst). wanted: doc_id, kind, unit, node, n, and to, an array of PLACE. Texts leave their documents once for each place."""
+def texts(docs: DataFrame, wanted: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """(kind, node, to, text) of the units of wanted: doc_id, kind, unit, node, n, and to, an array of PLACE."""
     wanted = wanted.select("doc_id", F.struct("kind", "unit", "node", "to").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted")
     if specs[0].unit == "line" and specs[0].shingle == "char":
         rows = rows.select(F.split("text", "\n", -1).alias("lines"), "wanted")
         line = lambda x: F.struct(x["kind"].alias("kind"), x["node"].alias("node"), x["to"].alias("to"), F.get(F.col("lines"), x["unit"]).alias("text"))
-        rows = rows.select(F.explode(F.transform("wanted", line)).alias("x")).select("x.*").where("text IS NOT NULL")
-    else:
-        rows = rows.mapInArrow(_texts(specs), f"kind int, node long, to array<{PLACE}>, text string")
+        return rows.select(F.explode(F.transform("wanted", line)).alias("x")).select("x.*").where("text IS NOT NULL")
+    return rows.mapInArrow(_texts(specs), f"kind int, node long, to array<{PLACE}>, text string")
+
+
+def compared(rows: DataFrame, groups: int, specs: tuple[Spec, ...]) -> DataFrame:
+    """(what, src, dst) of rows of texts(), dealt into groups. A text moves once for each place."""
     rows = rows.select("kind", "node", "text", F.explode("to").alias("p")).select("kind", "node", "text", "p.*")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "i", "j"), F.lit(buckets(docs))).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group", "i", "j"), F.lit(groups)).cast("int"))
     alone = [Spec("document", *spec[1:]) for spec in specs]
 
     def group(table: pa.Table) -> pa.Table:
@@ -312,17 +319,21 @@ def confirmed(docs: DataFrame, members: DataFrame, specs: tuple[Spec, ...]) -> D
     """(src, dst): links between nodes that full sets confirm, enough to connect all that are linked."""
     one = members.groupBy("node").agg(F.min(F.struct("doc_id", "unit", "kind")).alias("at"), F.max("n").alias("n"), F.min("cluster").alias("cluster"))
     size = one.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1")
-    size = size.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    size = cut(size.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     one = one.select("at.*", "node", "cluster").join(size, "cluster")
     several = F.col("blocks") > 1
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     where = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))  # a cluster is named by its pivot
     place = lambda k: F.struct(F.col("cluster").alias("group"), k.alias("i"), k.alias("j"), F.lit(WHOLE).alias("side"), F.col("node").alias("root"), several.alias("part"))
-    first = cut(compared(docs, one.select("doc_id", "kind", "unit", "node", F.transform(where, place).alias("to")), specs), free=True)
+    rows, groups = texts(docs, one.select("doc_id", "kind", "unit", "node", F.transform(where, place).alias("to")), specs), buckets(docs)
+    large = not size.where("blocks > 1").isEmpty()
+    if large:  # the texts are wanted again; the documents move once all the same
+        rows = cut(rows, free=True)
+    first = cut(compared(rows, groups, specs), free=True)
     links = first.where(F.col("what").isin(LINK, PART)).select("src", "dst")
-    keys = first.where(F.col("what") == KEY).select(F.col("src").alias("node"), F.col("dst").alias("key"))
-    if keys.isEmpty():
+    if not large:
         return links
+    keys = first.where(F.col("what") == KEY).select(F.col("src").alias("node"), F.col("dst").alias("key"))
     # Buckets that hold nodes of several components so far: their nodes outside the component of the least node with all others.
     roots = components(first.where(F.col("what") == PART).select("src", "dst"))
     keys = keys.groupBy("node").agg(F.collect_list("key").alias("keys")).join(roots, "node", "left")  # a row for each node, not for each key
@@ -335,7 +346,7 @@ def confirmed(docs: DataFrame, members: DataFrame, specs: tuple[Spec, ...]) -> D
     keys = keys.withColumn("side", side).withColumn("others", F.sequence(F.lit(0), F.when(F.col("far"), F.col("f") + F.col("p") - 1).otherwise(F.col("f") - 1)))
     pair = lambda k: F.struct(F.col("key").alias("group"), F.least("side", k).alias("i"), F.greatest("side", k).alias("j"), F.col("side"), F.col("root"), F.lit(False).alias("part"))
     to = keys.groupBy("node").agg(F.flatten(F.collect_list(F.transform("others", pair))).alias("to"))
-    second = compared(docs, one.join(to, "node").select("doc_id", "kind", "unit", "node", "to"), specs)
+    second = compared(rows.drop("to").join(to, "node"), groups, specs)
     return links.unionByName(second.where(F.col("what") == LINK).select("src", "dst"))
 
 
