@@ -53,11 +53,15 @@ def key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def n_lines(text: Column) -> Column:
+    """How many lines of text are not blank (long)."""
+    return F.size(F.filter(F.split(text, "\n", -1), lambda line: near.trimmed(line) != "")).cast("long")
+
+
 def counted(documents: DataFrame, spec: Spec, doc_id: str, text: str) -> DataFrame:
     """Per row of documents: doc_id, key, n_units (that are not left alone); of pieces also n_lines (that are not blank)."""
     if spec.unit == "line":
-        n = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r][^\n]*"))  # from a line's first ink to its end
-        return documents.select(F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key"), n.cast("long").alias("n_units"))
+        return documents.select(F.col(doc_id).alias("doc_id"), key(doc_id, text).alias("key"), n_lines(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("n_units"))
     kind = documents.schema[doc_id].dataType
 
     def task(batches):

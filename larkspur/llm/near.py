@@ -21,7 +21,8 @@ with a chance of 3 in 100; a wrong equality of band keys only means a comparison
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.components import components, forest
 from larkspur.llm.session import buckets, cut
-from larkspur.llm.units import ODD, MinHash, Spec, U, blocks, mix, shingled
+from larkspur.llm.units import ODD, MinHash, Spec, U, blocks, mix, shingled, spelled
 
 #: Nodes, and shingles, of a cluster that are compared in one task; a larger cluster is cut into blocks. Up to FEW nodes need no bands.
 BLOCK_NODES, BLOCK_SHINGLES, FEW = 2000, 2_000_000, 8
@@ -47,7 +48,14 @@ def hasher(rows: int, bands: int) -> MinHash:
 
 def line_text(line: str) -> Column:
     """A line without white space at its ends, whose hash names it."""
-    return F.btrim(F.col(line), F.lit(" \t\n\x0b\f\r"))
+    return trimmed(F.col(line))
+
+
+def trimmed(line: Column) -> Column:
+    """line without white space at its ends; lines that have none are left as they are, which is cheaper than trimming them."""
+    white = " \t\n\x0b\f\r"
+    some = reduce(or_, [f(line, F.lit(x)) for x in white for f in (F.startswith, F.endswith)])
+    return F.when(some, F.btrim(line, F.lit(white))).otherwise(line)
 
 
 def units(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> DataFrame:
@@ -55,8 +63,8 @@ def units(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> DataFrame:
     spec = specs[0]
     if spec.unit == "line" and spec.shingle == "char":
         lines = docs.select("doc_id", *places, F.posexplode(F.split("text", "\n", -1)).alias("unit", "text")).withColumn("text", line_text("text"))
-        full = F.length("text") > 0
-        n = F.when(full, F.greatest(F.length("text") - spec.size + 1, F.lit(1))).otherwise(0).cast("int")
+        full = F.col("text") != ""
+        n = F.when(full, F.greatest(F.octet_length("text") - spec.size + 1, F.lit(1))).otherwise(0).cast("int")  # not less than its shingles; to count characters takes longer
         return lines.select("doc_id", *places, F.lit(0).alias("kind"), "unit", F.col("unit").alias("line"), F.when(full, F.xxhash64("text")).alias("node"), n.alias("n"))
     schema = T.StructType([*docs.select("doc_id", *places).schema])
     for name, kind in (("kind", T.IntegerType()), ("unit", T.IntegerType()), ("line", T.IntegerType()), ("node", T.LongType()), ("n", T.IntegerType())):
@@ -65,8 +73,9 @@ def units(docs: DataFrame, specs: tuple[Spec, ...], *places: str) -> DataFrame:
     def task(batches):
         for batch in batches:
             for first, texts in blocks(batch.column(0).to_pylist()):
+                spelt = spelled(texts) if specs[0].shingle == "word" else None
                 for kind, spec in enumerate(specs):
-                    s = shingled(texts, spec, names=True)
+                    s = shingled(texts, spec, names=True, spelt=spelt)
                     of = pa.array(first + s.doc)
                     own = (np.full(len(s.node), kind), s.number, s.line, s.count)
                     kinds, number, line, count = (pa.array(x.astype(np.int32)) for x in own)
@@ -92,16 +101,26 @@ def packed_bands(docs: DataFrame, specs: tuple[Spec, ...], groups: int) -> DataF
         def flush():
             k, v = np.concatenate(keys), np.concatenate(nodes)
             to = (k >> U(33)) % U(groups)
-            order = np.argsort(to << U(48) | k & KEY_BITS) if groups <= 1 << 16 else np.lexsort((k & KEY_BITS, to))
-            k, v, to = k[order] & KEY_BITS, v[order], to[order]
+            k &= KEY_BITS
+            if groups <= 1 << 16:
+                k |= to << U(48)
+                order = np.argsort(k)
+                k = k[order]
+                to = k >> U(48)
+                k &= KEY_BITS
+            else:
+                order = np.lexsort((k, to))
+                k, to = k[order], to[order]
+            v = v[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             rows = [planes(k[a:b], 3) + planes(v[a:b], 4) for a, b in zip(at, at[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(to[at[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
             for _, texts in blocks(batch.column(0).to_pylist()):
+                spelt = spelled(texts) if specs[0].shingle == "word" else None
                 for kind, spec in enumerate(specs):
-                    s = shingled(texts, spec, not spec.by_content)
+                    s = shingled(texts, spec, not spec.by_content, spelt=spelt)
                     node = named(s.node, kind)
                     distinct, one, times = np.unique(node, return_index=True, return_counts=True)
                     fresh = [x not in met for x in distinct.tolist()]
@@ -116,9 +135,11 @@ def packed_bands(docs: DataFrame, specs: tuple[Spec, ...], groups: int) -> DataF
                     if len(met) > 1_000_000:  # forgetting only means that a node is put in again
                         met.clear()
                         again.clear()
-                    name = np.cumsum(take) - 1
-                    mine = take[s.owner]
-                    k = band_keys(spec, kind, name[s.owner[mine]], s.shingle[mine], int(take.sum()))
+                    owner, shingle = s.owner, s.shingle
+                    if not take.all():
+                        mine = take[owner]
+                        owner, shingle = (np.cumsum(take) - 1)[owner[mine]], shingle[mine]
+                    k = band_keys(spec, kind, owner, shingle, int(take.sum()))
                     keys.append(k.ravel())
                     nodes.append(np.repeat(node[take], spec.bands))
                     twice = np.isin(node[take], distinct[double])
@@ -183,36 +204,70 @@ def linked(sets: list[np.ndarray], label: np.ndarray, buckets: Iterable[np.ndarr
     label tells which nodes are known to be linked, and is changed. In each bucket (ascending places) a node is compared with those after it that are not
     yet linked to it, and only on the other side if side is given; so all pairs of a bucket are compared or linked by others. A pivot is compared with all.
     """
-    size = np.array([len(s) for s in sets])
-    flat, begin = np.concatenate(sets), np.cumsum(size) - size
-    a, b, compared, apart = [], [], 0, {}
+    many = [len(s) for s in sets]
+    size = np.array(many)
+    a, b, compared, apart, coded = [], [], 0, {}, []
+
+    def alike(c: int, x: int) -> bool:
+        at = sets[c].searchsorted(sets[x])
+        both = np.count_nonzero(sets[c].take(at, mode="clip") == sets[x])
+        return 100 * both >= percent * (many[c] + many[x] - both)
+
+    def alikes(c: int, x: np.ndarray) -> np.ndarray:
+        if len(x) <= FEW:
+            return np.array([alike(c, y) for y in x.tolist()])
+        if not coded:  # shingles by number, so that those of c can be marked
+            codes, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            coded.extend((inverse, np.cumsum(size) - size, np.zeros(len(codes), bool)))
+        code, begin, mark = coded
+        own = code[begin[c] : begin[c] + many[c]]
+        mark[own] = True
+        n = size[x]
+        to = np.cumsum(n) - n
+        both = np.add.reduceat(mark[code[np.repeat(begin[x] - to, n) + np.arange(n.sum())]], to, dtype=np.int64)
+        mark[own] = False
+        return 100 * both >= percent * (n + many[c] - both)
+
+    def pair(c: int, x: int) -> None:
+        nonlocal compared
+        if label[c] == label[x] or side is not None and side[c] == side[x] or 100 * min(many[c], many[x]) < percent * max(many[c], many[x]) or c in apart and apart[c][x]:
+            return
+        compared += 1
+        if alike(c, x):
+            a.append(c)
+            b.append(x)
+            label[label == label[x]] = label[c]
+        else:
+            apart.setdefault(c, np.zeros(len(sets), bool))[x] = True
 
     def star(c: int, x: np.ndarray) -> None:
         nonlocal compared
         x = x[label[x] != label[c]]
         if side is not None:
             x = x[side[x] != side[c]]
-        x = x[100 * np.minimum(size[x], size[c]) >= percent * np.maximum(size[x], size[c])]  # sets of too different sizes are not alike
-        if (known := apart.get(c)) is not None:
-            x = x[~np.isin(x, known)]
+        x = x[100 * np.minimum(size[x], many[c]) >= percent * np.maximum(size[x], many[c])]  # sets of too different sizes are not alike
+        if c in apart:
+            x = x[~apart[c][x]]
         if not len(x):
             return
-        n = size[x]
-        shingle = flat[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        at = np.minimum(np.searchsorted(sets[c], shingle), size[c] - 1)
-        both = np.add.reduceat((sets[c][at] == shingle).astype(np.int64), np.cumsum(n) - n)
-        hit = 100 * both >= percent * (n + size[c] - both)
+        hit = alikes(c, x)
         compared += len(x)
         if hit.any():
-            a.extend([c] * int(hit.sum()))
-            b.extend(x[hit].tolist())
-            label[np.isin(label, label[x[hit]])] = label[c]
+            good = x[hit]
+            a.extend([c] * len(good))
+            b.extend(good.tolist())
+            merged = np.zeros(int(label.max()) + 1, bool)
+            merged[label[good]] = True
+            label[merged[label]] = label[c]
         if not hit.all():
-            apart[c] = x[~hit] if known is None else np.concatenate([known, x[~hit]])
+            apart.setdefault(c, np.zeros(len(sets), bool))[x[~hit]] = True
 
     if pivot is not None:
         star(pivot, np.delete(np.arange(len(sets)), pivot))
     for rest in buckets:
+        if len(rest) == 2:  # most buckets
+            pair(*rest.tolist())
+            continue
         while len(rest) > 1 and (label[rest] != label[rest[0]]).any():
             star(int(rest[0]), rest[1:])
             rest = rest[1:]
@@ -278,24 +333,27 @@ def compared(rows: DataFrame, groups: int, specs: tuple[Spec, ...]) -> DataFrame
                 shingle.append(s.shingle)
                 upto += (upto[-1] + np.cumsum(s.count)).tolist()
             found, flat = np.concatenate(good), np.concatenate(shingle)
-            change = np.flatnonzero((np.diff(of[rows]) != 0) | (np.diff(i[rows]) != 0) | (np.diff(j[rows]) != 0)) + 1
-            for mine in np.split(np.arange(len(rows)), change):
-                mine = mine[found[mine] == node[rows[mine]]]  # other rows under an id need not be the unit that was meant
-                mine = mine[np.unique(node[rows[mine]], return_index=True)[1]]
-                if not len(mine):
+            held = np.flatnonzero(found == node[rows])  # other rows under an id need not be the unit that was meant
+            at = rows[held]
+            change = (np.diff(of[at]) != 0) | (np.diff(i[at]) != 0) | (np.diff(j[at]) != 0)
+            once = np.concatenate([[True], change | (np.diff(node[at]) != 0)])[: len(at)]
+            held, at = held[once], at[once]
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(of[at]) != 0) | (np.diff(i[at]) != 0) | (np.diff(j[at]) != 0)])[: len(at)])
+            links: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {PART: [], LINK: []}
+            for mine, at in zip(np.split(held, head[1:]), np.split(at, head[1:]), strict=True):
+                if not len(at) or len(at) == 1 and not part[at[0]]:
                     continue
-                at = rows[mine]
                 name, first = node[at], at[0]
-                sets = [flat[upto[x] : upto[x + 1]] for x in mine]
-                label = np.unique(root[at], return_inverse=True)[1]
+                sets = [flat[upto[x] : upto[x + 1]] for x in mine.tolist()]
+                label = np.arange(len(at)) if (root[at] == name).all() else np.unique(root[at], return_inverse=True)[1]
                 pivot = across = None
                 if part[first] and len(own := np.flatnonzero(name == of[first])):
                     pivot = int(own[0])
-                ties = [np.arange(len(mine))]
+                ties = [np.arange(len(at))]
                 if i[first] != j[first]:
                     across = side[at]
-                elif side[first] == WHOLE and (len(mine) > FEW or part[first]):
-                    keys = band_keys(specs[k], k, np.repeat(np.arange(len(mine)), [len(x) for x in sets]), np.concatenate(sets), len(mine))
+                elif side[first] == WHOLE and (len(at) > FEW or part[first]):
+                    keys = band_keys(specs[k], k, np.repeat(np.arange(len(at)), [len(x) for x in sets]), np.concatenate(sets), len(at))
                     ties = shared(keys, label)
                     if part[first]:
                         own = name != of[first] if i[first] else np.ones(len(name), bool)  # the pivot's keys come from one block
@@ -303,7 +361,10 @@ def compared(rows: DataFrame, groups: int, specs: tuple[Spec, ...]) -> DataFrame
                 a, b, n = linked(sets, label, ties, specs[k].percent, across, pivot)
                 total += n
                 if a:
-                    out.append((PART if part[first] else LINK, *forest(name[a], name[b])))
+                    links[PART if part[first] else LINK].append((name[a], name[b]))
+            for w, pairs in links.items():
+                if pairs:
+                    out.append((w, *forest(*map(np.concatenate, zip(*pairs, strict=True)))))
         out.append((COUNT, np.zeros(1, np.int64), np.array([total])))
         what = np.repeat([w for w, _, _ in out], [len(x) for _, x, _ in out])
         return pa.table({"what": pa.array(what.astype(np.int32)), "src": pa.array(np.concatenate([x for _, x, _ in out])), "dst": pa.array(np.concatenate([y for _, _, y in out]))})
@@ -363,6 +424,7 @@ def _texts(specs: tuple[Spec, ...]):
             for first, texts in blocks(batch.column(0).to_pylist()):
                 a, b = upto[first], upto[first + len(texts)]
                 of = np.repeat(np.arange(len(texts)), size[first : first + len(texts)])
+                spelt = spelled(texts) if specs[0].shingle == "word" and specs[0].unit != "document" and b > a else None
                 for k, spec in enumerate(specs):
                     rows = np.flatnonzero(kind[a:b] == k)
                     if not len(rows):
@@ -370,7 +432,7 @@ def _texts(specs: tuple[Spec, ...]):
                     if spec.unit == "document":
                         out = [texts[t] for t in of[rows]]
                     else:
-                        s = shingled(texts, spec, names=True)
+                        s = shingled(texts, spec, names=True, spelt=spelt)
                         head = np.searchsorted(s.doc, of[rows])
                         ok = unit[a + rows] < np.searchsorted(s.doc, of[rows], "right") - head
                         rows, head = rows[ok], head[ok]

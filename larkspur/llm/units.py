@@ -15,18 +15,22 @@ _R = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _R.integers(0, 2**64, 256, dtype=U)
 ODD = _R.integers(0, 2**64, 64, dtype=U) | U(1)
 BASE = 0x9E3779B97F4A7C15 | 5
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LETTER = BYTE.copy()  # of a byte, A-Z as a-z
+LETTER[65:91] = BYTE[97:123]
+WHITE = " \t\n\x0b\x0c\r"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 _powers: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, U)]
@@ -108,100 +112,145 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
-    np.cumsum(BYTE[LOWER[buf]] * up[: len(buf)], out=total[1:])
+    np.cumsum(LETTER[buf] * up[: len(buf)], out=total[1:])
     return start, end, mix((total[end] - total[start]) * down[start])
 
 
+class Words(NamedTuple):
+    begin: np.ndarray  # where each text of a block begins in it, in bytes
+    lines: np.ndarray  # where each line begins
+    at: np.ndarray  # start, end and hash of each word
+    till: np.ndarray
+    hash: np.ndarray
+
+
+def spelled(texts: list[str]) -> Words:
+    """The words of a block of texts, for all specs that compare words."""
+    size = np.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
+    buf = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    return Words(np.cumsum(size + 1) - size - 1, np.concatenate([[0], np.flatnonzero(buf == 10) + 1]).astype(np.int64), *words(buf))
+
+
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """The sum of h[i + j] * BASE**j for j below size, at every i where size elements follow, put together from runs of 1, 2, 4, ... elements."""
+    out, done, run, n = np.zeros(0, U), 0, h, 1
+    if len(h) < size:
+        return out
+    while True:
+        if size & n:
+            many = len(h) - done - n + 1
+            out = out[:many] + run[done : done + many] * U(pow(BASE, done, 2**64)) if done else run
+            done += n
+        if 2 * n > size:
+            return out
+        run = run[:-n] + run[n:] * U(pow(BASE, n, 2**64))
+        n *= 2
+
+
 def windows(h: np.ndarray, owner: np.ndarray, n_units: int, size: int, by_content: bool, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner and hash of each run of size elements of one owner (an owner with fewer, but not none, has one run of all); and, by_content, a hash of all elements of each owner. With names, only that hash."""
     n = np.bincount(owner, minlength=n_units)
     first = np.cumsum(n) - n
-    up, down = powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    node = mix((total[first + n] - total[first]) * down[first] + n.astype(U) * ODD[54]) if by_content else np.zeros(n_units, U)
+    node = np.zeros(n_units, U)
+    if by_content:
+        up, down = powers(len(h) + 1)
+        total = np.zeros(len(h) + 1, U)
+        np.cumsum(h * up[: len(h)], out=total[1:])
+        node = mix((total[first + n] - total[first]) * down[first] + n.astype(U) * ODD[54])
     if names:
         return np.zeros(0, np.int64), np.zeros(0, U), node
     full = max(0, len(h) - size + 1)
-    at = np.flatnonzero(owner[:full] == owner[size - 1 :]) if full else np.zeros(0, np.int64)
+    inside = owner[:full] == owner[size - 1 :] if full else np.zeros(0, bool)
+    o, s = owner[:full][inside], rolled(h, size)[inside]
     short = np.flatnonzero((n > 0) & (n < size))
-    f = first[short]
-    s = np.concatenate([(total[at + size] - total[at]) * down[at], (total[f + n[short]] - total[f]) * down[f] + n[short].astype(U) * ODD[60]])
-    return np.concatenate([owner[at], short]), mix(s), node
+    if len(short):
+        many = n[short]
+        begin = np.cumsum(many) - many
+        place = np.arange(many.sum()) - np.repeat(begin, many)
+        whole = np.add.reduceat(h[np.repeat(first[short], many) + place] * powers(size)[0][place], begin)
+        o, s = np.concatenate([o, short]), np.concatenate([s, whole + many.astype(U) * ODD[60]])
+    return o, mix(s), node
+
+
+def sort_sets(o: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and shingles by owner, each owner's shingles ascending and distinct."""
+    if len(o) and (o[1:] < o[:-1]).any():
+        order = np.argsort(o, kind="stable")
+        o, s = o[order], s[order]
+    if not len(o):
+        return o, s
+    head = np.append(np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])), len(o))
+    if len(o) > 16 * len(head):
+        s = s.copy()
+        edge = head.tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            s[a:b].sort()
+    else:
+        order = np.lexsort((s, o))
+        s = s[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
+    return (o, s) if new.all() else (o[new], s[new])
 
 
 def line_nodes(lines: list[str]) -> np.ndarray:
-    """What Spark's xxhash64 gives for near.line_text(): XXH64 of the line without white space at its ends."""
-    clean = (t.strip(" \t\n\x0b\x0c\r").encode("utf-8", "surrogatepass") for t in lines)
-    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in clean), U, len(lines))
+    """What Spark's xxhash64 gives for near.line_text(): XXH64 of lines that have no white space at their ends."""
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in lines), U, len(lines))
 
 
-def shingled(texts: list[str], spec: Spec, sets: bool = True, names: bool = False) -> Shingled:
-    """The shingle sets of the units of texts; not sets: in any order and with repeats; names: without shingles, if nodes are by content."""
-    joined = "\n".join(texts)
-    if spec.shingle == "word":
-        buf = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
-        size = np.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-    else:
-        buf = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(size + 1) - size - 1
-    if spec.unit != "document":
-        lines = np.concatenate([[0], np.flatnonzero(buf == 10) + 1]).astype(np.int64)
-        doc = np.searchsorted(begin, lines, "right") - 1
-        first = np.searchsorted(lines, begin)
-        number = np.arange(len(lines)) - first[doc]
-        starts = lines
-    else:
-        doc, number, starts = np.arange(len(texts)), np.zeros(len(texts), np.int64), begin
-    n, line_number = len(starts), number
+def shingled(texts: list[str], spec: Spec, sets: bool = True, names: bool = False, spelt: Words | None = None) -> Shingled:
+    """The shingle sets of the units of texts; not sets: in any order and with repeats; names: without shingles, if nodes are by content; spelt: spelled(texts), if it is known."""
+    clean: list[str] = []
     if spec.shingle == "word":
-        at, till, h = words(buf)
+        begin, lines, at, till, h = spelt or spelled(texts)
+        if spec.unit != "document":
+            doc = np.searchsorted(begin, lines, "right") - 1
+            number, starts = np.arange(len(lines)) - np.searchsorted(lines, begin)[doc], lines
+        else:
+            doc, number, starts = np.arange(len(texts)), np.zeros(len(texts), np.int64), begin
+        line_number = number
+        inner = np.diff(np.append(np.searchsorted(at, starts), len(at)))
         if spec.unit == "piece":
-            line = np.searchsorted(starts, at, "right") - 1
+            line = np.repeat(np.arange(len(starts)), inner)
             at_cut = np.flatnonzero(cuts(h, line))
-            starts, doc, line_number = at[at_cut], doc[line[at_cut]], number[line[at_cut]]
-            number = np.arange(len(starts)) - np.searchsorted(doc, doc)
-            n = len(starts)
+            doc, line_number = doc[line[at_cut]], number[line[at_cut]]
+            number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            inner = np.diff(np.append(at_cut, len(at)))
+        n = len(doc)
+        left, right, has = np.zeros(n, np.int64), np.zeros(n, np.int64), inner > 0
+        f = (np.cumsum(inner) - inner)[has]
+        left[has], right[has] = at[f] - begin[doc[has]], till[f + inner[has] - 1] - begin[doc[has]]
     else:
         # Characters of a line, without white space at either end; runs of them are what is compared.
-        low = np.where((buf >= 65) & (buf <= 90), buf + np.uint32(32), buf)
-        gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
-        where = np.repeat(np.arange(n), np.diff(np.append(starts, len(buf))))
-        ink = np.flatnonzero(~gap)
-        of = where[ink]
-        lo, hi = np.full(n, len(buf)), np.full(n, -1)
-        if len(ink):
-            change = np.flatnonzero(np.diff(of)) + 1
-            f, t = np.concatenate([[0], change]), np.concatenate([change, [len(ink)]]) - 1
-            lo[of[f]], hi[of[f]] = ink[f], ink[t]
-        inner = np.maximum(hi - lo + 1, 0)  # of each line, from its first to its last character that is no space
-        at = np.arange(inner.sum()) + np.repeat(lo - (np.cumsum(inner) - inner), inner)
-        h, till = (low[at].astype(U) + U(1)) * ODD[59], at + 1
-        owner = where[at]
-    if spec.shingle == "word":
-        owner = np.searchsorted(starts, at, "right") - 1
-    size = np.bincount(owner, minlength=n)
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    has = size > 0
-    f = (np.cumsum(size) - size)[has]
-    left[has], right[has] = at[f] - begin[doc[has]], till[f + size[has] - 1] - begin[doc[has]]
+        parts = [t.split("\n") for t in texts] if spec.unit != "document" else [[t] for t in texts]
+        many = np.array([len(x) for x in parts], np.int64)
+        doc, n = np.repeat(np.arange(len(texts)), many), int(many.sum())
+        number = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
+        line_number = number
+        raw = [x for part in parts for x in part]
+        clean = [t.strip(WHITE) for t in raw]
+        size, inner = (np.fromiter(map(len, x), np.int64, n) for x in (raw, clean))
+        lead = np.array([len(t) - len(t.lstrip(WHITE)) if len(t) > len(c) > 0 else 0 for t, c in zip(raw, clean, strict=True)], np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        left = np.where(inner > 0, start - start[(np.cumsum(many) - many)[doc]] + lead, 0)
+        right = left + inner
+        low = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = low + ((low - np.uint32(65) < 26).view(np.uint8) << np.uint8(5))
+        h = low.astype(U)
+        h += U(1)
+        h *= ODD[59]
+    owner = np.repeat(np.arange(n), inner)
     if spec.unit == "piece":
-        enough = (size >= spec.size)[owner]
+        enough = (inner >= spec.size)[owner]
         owner, h = owner[enough], h[enough]
     names = names and spec.by_content
     length = np.bincount(owner, minlength=n)
     o, s, node = windows(h, owner, n, spec.size, spec.by_content and spec.shingle == "word", names)
     if sets and not names:
-        order = np.lexsort((s, o))
-        o, s = o[order], s[order]
-    if sets and not names and len(s):
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
-        o, s = o[new], s[new]
-    count = np.where(length > 0, np.maximum(length - spec.size + 1, 1), 0) if names else np.bincount(o, minlength=n)
+        o, s = sort_sets(o, s)
+    count = np.bincount(o, minlength=n) if sets and not names else np.where(length > 0, np.maximum(length - spec.size + 1, 1), 0)
     has = count > 0
     if spec.shingle == "char":
-        node = np.where(has, line_nodes(joined.split("\n") if spec.unit == "line" else texts), U(0))
+        node = np.where(has, line_nodes(clean), U(0))
     elif not spec.by_content and has.any():
         node[has] = mix(np.add.reduceat(mix(s + ODD[58]), (np.cumsum(count) - count)[has]) + count[has].astype(U))
     return Shingled(doc, number, count, node.view(np.int64), left, right, o, s, line_number)
@@ -213,45 +262,47 @@ class MinHash:
     def __init__(self, rows: int, bands: int) -> None:
         self.rows, self.bands, self.bins = rows, bands, rows * bands
         r = np.random.Generator(np.random.PCG64(77))
-        self.order = np.stack([r.permutation(self.bins) for _ in range(self.bins)], axis=1)  # [attempt, bin]
-        self.rank = np.argsort(self.order, axis=0).T.astype(np.int32)  # [bin, other]: when bin tries other
+        order = np.stack([r.permutation(self.bins) for _ in range(self.bins)], axis=1)  # [attempt, bin]
+        rank = np.argsort(order, axis=0).T + 1  # [bin, other]: when bin tries other, after itself
+        np.fill_diagonal(rank, 0)
+        self.shift = 8 if self.bins < 255 else 16
+        kind = np.uint16 if self.bins < 255 else np.uint32
+        code = (rank << self.shift | np.arange(self.bins)).astype(kind)  # the least of the filled ones is what a bin takes
+        held = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+        self.least = []  # for every eight bins: of each set of them, the least code for each bin
+        for k in range(0, self.bins, 8):
+            part = code[:, k : k + 8]
+            self.least.append(np.where(held[:, None, : part.shape[1]], part, np.iinfo(kind).max).min(2))
 
     def signatures(self, owner: np.ndarray, shingle: np.ndarray, units: int) -> np.ndarray:
         """units x bins; owner counts from 0 and every unit has a shingle."""
         none = np.uint32(0xFFFFFFFF)
-        t = shingle  # already mixed
-        place = ((t >> U(32)) * U(self.bins)) >> U(32)
+        place = shingle >> U(32)  # already mixed
+        place *= U(self.bins)
+        place >>= U(32)
+        at = place.view(np.int64)
+        at += owner * self.bins
+        low = shingle.astype(np.uint32)
+        np.minimum(low, none - np.uint32(1), out=low)
         sig = np.full(units * self.bins, none, np.uint32)
-        np.minimum.at(sig, owner * self.bins + place.astype(np.int64), np.minimum(t & U(0xFFFFFFFF), U(0xFFFFFFFE)).astype(np.uint32))
+        np.minimum.at(sig, at, low)
         sig = sig.reshape(units, self.bins)
         full = sig != none
-        held = full.sum(1)
-        # Few filled bins: of those, take the one that each bin tries first.
-        few = np.flatnonzero(held <= 16)
-        if len(few):
-            rows, cols = np.nonzero(full[few])
-            begin = np.cumsum(held[few]) - held[few]
-            best, source = np.full((len(few), self.bins), self.bins, np.int32), np.zeros((len(few), self.bins), np.int64)
-            for k in range(int(held[few].max())):
-                has = np.flatnonzero(held[few] > k)
-                f = cols[begin[has] + k]
-                tried = self.rank[:, f].T
-                better = tried < best[has]
-                best[has] = np.where(better, tried, best[has])
-                source[has] = np.where(better, f[:, None], source[has])
-            taken = np.take_along_axis(sig[few], source, 1)
-            sig[few] = np.where(full[few], sig[few], taken)
-        r, j = np.nonzero(~full & (held > 16)[:, None])
-        for attempt in self.order:
-            if not len(r):
-                break
-            c = attempt[j]
-            ok = full[r, c]
-            sig[r[ok], j[ok]] = sig[r[ok], c[ok]]
-            r, j = r[~ok], j[~ok]
+        rows = np.flatnonzero(~full.all(1))
+        if len(rows):
+            bits = np.packbits(full[rows], axis=1, bitorder="little")
+            best = self.least[0][bits[:, 0]]
+            for k in range(1, len(self.least)):
+                np.minimum(best, self.least[k][bits[:, k]], out=best)
+            source = (best & best.dtype.type((1 << self.shift) - 1)).astype(np.int64)
+            source += (rows * self.bins)[:, None]
+            sig[rows] = sig.ravel()[source]
         return sig
 
     def keys(self, sig: np.ndarray) -> np.ndarray:
         """units x bands: a hash of each band."""
-        s = sig.reshape(len(sig), self.bands, self.rows).astype(U)
-        return mix((s * ODD[: self.rows]).sum(2, dtype=U) + np.arange(self.bands, dtype=U) * ODD[56])
+        s = sig.reshape(len(sig), self.bands, self.rows)
+        k = np.arange(self.bands, dtype=U) * ODD[56]
+        for row in range(self.rows):
+            k = k + s[:, :, row] * ODD[row]
+        return mix(k)
