@@ -4,6 +4,7 @@ import cProfile
 import pstats
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import lines, near, units
@@ -61,6 +62,24 @@ def test_empty_bins_take_the_first_filled_one_of_their_order(rows, bands):
         assert sig.tolist() == [own[k] if k in own else own[next(c for c in order[:, k].tolist() if c in own)] for k in range(rows * bands)]
 
 
+class Held:
+    """Takes the function that a frame would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, task, schema):
+        return task
+
+
+def test_lines_and_pieces_share_the_words_of_a_block(monkeypatch):
+    calls, words = [], units.words
+    monkeypatch.setattr(units, "words", lambda buf: calls.append(len(buf)) or words(buf))
+    task = near.packed_bands(Held(), (lines.whole_spec(), lines.paragraph_spec()), 4)
+    out = list(task(iter([pa.RecordBatch.from_arrays([pa.array(["one two three four five six seven\nand so on", None, ""])], ["text"])])))
+    assert len(calls) == 1 and sum(b.num_rows for b in out)
+
+
 def test_lines_are_counted_and_trimmed_as_a_loop_would(spark):
     r = np.random.default_rng(2)
     texts = ["".join(r.choice(list(" \t\n\n\x0b\x0c\r\x1c\x85aé一"), r.integers(0, 12))) for _ in range(400)] + ["", "\n", "a\n\nb"]
