@@ -18,6 +18,7 @@ no rows; further columns are not used by ``encode`` and left as they were by ``d
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
@@ -30,8 +31,9 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of text that are encoded at a time, and chunks whose ids a task remembers between blocks.
-BLOCK_CHARS, MEMORY = 1 << 21, 600_000
+#: Characters of text that are encoded at a time, those of new chunks that are learned at a time, chunks whose ids a process remembers between
+#: blocks, and pairs of pieces that it remembers beside the slots. What a process holds is in proportion to these, not to the texts it has met.
+BLOCK_CHARS, LEARNED_CHARS, MEMORY, PAIRS = 1 << 19, 1 << 17, 200_000, 100_000
 
 
 class Vocabulary(NamedTuple):
@@ -78,7 +80,7 @@ class Codec:
         self.normal, self.length = np.array(normal), np.array([len(v.pieces[i]) for i in normal])
         inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
         line = not inner and not any("\n" in p for p in self.id)
-        self.chunk = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+        self.chunk = re.compile(".+" if inner else " *[^ \n]+| +|\n" if line else " *[^ ]+| +", re.DOTALL)
         self.fits: dict[int, bool] = {}
         self.slots = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
         self.forget()
@@ -90,6 +92,19 @@ class Codec:
         self.seen: dict[str, int] = {}
         self.upto, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def remember(self, chunks: list[str], n: np.ndarray, ids: np.ndarray) -> None:
+        """Add chunks, the number of ids of each, and all ids to what is remembered."""
+        self.seen.update(zip(chunks, range(len(self.upto) - 1, len(self.upto) - 1 + len(chunks)), strict=True))
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(n)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def recalled(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of chunks, and all ids; all are remembered."""
+        at = np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+        begin = self.upto[at]
+        n = self.upto[at + 1] - begin
+        return n, self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging pairs, best score first, then leftmost."""
         parts, score, none = list(text), self.score, -float("inf")
@@ -114,7 +129,7 @@ class Codec:
             if known is None:
                 p, i = divmod(k, len(self.v.pieces))
                 a, b = (self.v.pieces[p - 1] if p else ""), self.v.pieces[i]
-                if len(self.fits) > 2_000_000:
+                if len(self.fits) >= PAIRS:
                     self.fits.clear()
                 known = self.fits[k] = self.merged(a + b) == ([a, b] if a else [b])
             at = (k * 0x9E3779B1) & (len(keys) - 1)
@@ -138,8 +153,9 @@ class Codec:
         return start, self.normal[which], self.length[which]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks and remember their ids."""
+        """Encode chunks, which have spaces where pieces have SPACE, and remember their ids."""
         joined = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = np.where(joined == ord(" "), np.uint32(ord(SPACE)), joined)
         codes = self.code[joined]
         size = np.array([len(c) for c in chunks])
         ends = np.cumsum(size) + np.arange(len(chunks))
@@ -175,10 +191,7 @@ class Codec:
         chunk, ids = chunk[order], ids[order]
         if (ids < 0).any():
             chunk, ids = self.spelled(chunk, ids)
-        n = np.bincount(chunk, minlength=len(chunks))
-        self.seen.update(zip(chunks, range(len(self.upto) - 1, len(self.upto) - 1 + len(chunks)), strict=True))
-        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(n)])
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.remember(chunks, np.bincount(chunk, minlength=len(chunks)), ids)
 
     def spelled(self, chunk: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that are no pieces (-1 - character) as byte pieces, or as the unknown piece."""
@@ -192,16 +205,18 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the last ends), and all ids."""
-        split = [self.chunk.findall((SPACE if self.v.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.seen) > MEMORY:
-            self.forget()
+        split = [self.chunk.findall((" " if self.v.dummy_prefix else "") + t.replace(SPACE, " ")) if t else [] for t in texts]
         flat = list(chain.from_iterable(split))
-        if new := list(set(flat).difference(self.seen)):
-            self.learn(new)
-        at = np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
-        begin = self.upto[at]
-        n = self.upto[at + 1] - begin
-        values = self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+        distinct = set(flat)
+        new = distinct.difference(self.seen)
+        if len(self.seen) + len(new) > MEMORY:  # those of these texts are kept, so what is remembered is never more than MEMORY chunks and those of a block
+            kept = list(distinct.difference(new))
+            n, ids = self.recalled(kept)
+            self.forget()
+            self.remember(kept, n, ids)
+        for part in blocks(sorted(new, key=len), LEARNED_CHARS):  # those of one length together, as the longest of a part decides its steps
+            self.learn(part)
+        n, values = self.recalled(flat)
         upto = np.concatenate([[0], np.cumsum(n)])
         return upto[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)], values
 
@@ -217,7 +232,7 @@ def codec(v: Vocabulary) -> Codec:
     return Codec(v)
 
 
-def blocks(texts: list[str | None], most: int = BLOCK_CHARS):
+def blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS):
     """Consecutive texts of most characters together, or one longer text."""
     out, n = [], 0
     for t in texts:
@@ -240,7 +255,8 @@ def encode(documents: DataFrame, model: str = MODEL, doc_id: str = "doc_id", tex
         c = codec(held.value)
         for batch in batches:
             at = 0
-            for part in blocks(batch.column(1).to_pylist()):
+            texts = batch.column(1)
+            for part in blocks(chain.from_iterable(texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))):
                 starts, ids = c.encode(part)
                 same = [c.decode(ids[a:b].tolist()) == t for a, b, t in zip(starts, starts[1:], part, strict=False)]
                 yield pa.RecordBatch.from_arrays(

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -40,3 +41,28 @@ def test_frame(spark):
     assert [(r.doc_id, r.n_tokens > 0, r.round_trip) for r in out] == [(1, True, True), (1, True, True), (None, False, True), (3, False, True), (4, True, True)]
     assert [r.text for r in S.decode(S.encode(df)).collect()] == ["a b", "a b", "", "", "中" * 5000]
     assert S.encode(df.limit(0)).count() == 0
+
+
+def test_memory_is_bounded(both, monkeypatch):
+    """A process that meets ever new words holds a bounded number of them and of pairs, and needs little to learn them; frequent words are kept when others are forgotten."""
+    sp, codec, r = both[1], S.Codec(S.load()), random.Random(7)
+    words = lambda n: " ".join("the" if k % 3 else "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(5, 12))) for k in range(n))
+    tracemalloc.start()
+    try:
+        peaks = []
+        for n in (1, 4):  # one and four times the words
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+            for part in S.blocks([words(1500) for _ in range(60 * n)]):
+                codec.encode(part)
+            peaks.append((tracemalloc.get_traced_memory()[1] - before) / 1e6)
+    finally:
+        tracemalloc.stop()
+    assert max(peaks) < 130, peaks
+    assert len(codec.fits) <= 100_000
+    monkeypatch.setattr(S, "MEMORY", 2000)
+    codec.forget()
+    for _ in range(5):
+        texts = [words(600) for _ in range(6)] + ["", "a▁b c", "▁"]
+        assert ids(codec, texts) == [sp.encode(t) for t in texts]
+        assert len(codec.seen) <= 2000
