@@ -5,17 +5,18 @@ first pass of the radix sort is done on a digit that is the same for equal windo
 neighbours: the least hash of the ``gram``-byte strings inside the window. Neighbouring windows with the same
 least hash form a segment, of about 16 windows, and only segments are moved:
 
-1. Each task cuts its texts into segments and deals (digit, document, segment number), packed, by digit. A digit
-   that occurs in one document only ends here: none of its windows repeats.
-2. The other segments are dealt by digit again, with a hash of their bytes: equal segments, the bulk of copied text,
+1. The texts are dealt into groups of documents once, packed and compressed, for all passes. Each group cuts its texts
+   into segments and deals its digits, each once and in order, so that about three bytes of each move; it is told
+   which of them another document has too. None of the windows of the other segments repeats.
+2. Segments with these digits are dealt by digit, with a hash of their bytes: equal segments, the bulk of copied text,
    are decided at once, all but those of the earliest document.
 3. Where different segments share a digit, the bytes of one of each are fetched from the documents and their windows
    sorted by most-significant-digit passes of eight bytes, each pass on the groups of the pass before that still have
    two members, until all 50 bytes are used. Equal groups are exactly the repeated windows.
 4. The windows to remove go back to their documents, which are cut.
 
-A digit or segment that very many documents share is reduced to one entry by each task before it is dealt, so a
-group grows with the number of tasks and not with the documents.
+A digit or segment that very many documents share is reduced to one entry by each group of documents before it is
+dealt, so what one digit's group gets grows with the number of groups and not with the documents.
 
 Edge cases: null and empty texts have no bytes; texts shorter than a window never match; a null id comes after all
 others; rows equal in id and text are one document, rows of one id never match each other; texts of any length are
@@ -35,8 +36,8 @@ from larkspur.llm.session import buckets
 from larkspur.llm.units import BYTE, U, mix, powers
 
 LENGTH, GRAM = 50, 20
-#: Windows of one segment at most, bytes of text that are hashed at a time, and segments (and texts) that a task packs at a time.
-RUN, BLOCK, PACK, PACK_TEXTS = 64, 1 << 20, 1_500_000, 60_000
+#: Windows of one segment at most, bytes of text that are hashed at a time, segments that a task packs at a time, and bytes of text that it deals at a time.
+RUN, BLOCK, PACK, DEAL = 64, 1 << 20, 1_500_000, 1 << 25
 
 
 def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -75,20 +76,15 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return mix(digit[first]) >> U(16), text[first], place[first], run, content
 
 
-def numbered(text: np.ndarray) -> np.ndarray:
-    """Place of each segment in its text; text ascends."""
-    return np.arange(len(text)) - np.searchsorted(text, text)
-
-
 def bucket_of(digit: np.ndarray, groups: int) -> np.ndarray:
     return ((digit >> U(16)) * U(groups) >> U(32)).astype(np.int64)
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length in two-byte planes, so that what is zero or ascends slowly compresses."""
+    """Columns of equal length in planes of bytes, so that what is zero or ascends slowly compresses."""
     out = [np.array([len(columns[0])], np.int64).tobytes()]
     for c in columns:
-        planes = np.ascontiguousarray(c).view(np.uint16).reshape(len(c), c.itemsize // 2)
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize)
         out.append(np.ascontiguousarray(planes.T).tobytes())
     return b"".join(out)
 
@@ -97,24 +93,38 @@ def unpack(data: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
     """The columns of pack(), of these kinds, and what follows them."""
     n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
     for kind in kinds:
-        wide = np.dtype(kind).itemsize // 2
-        planes = np.frombuffer(data, np.uint16, n * wide, at).reshape(wide, n)
+        wide = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * wide, at).reshape(wide, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += 2 * n * wide
+        at += n * wide
     return out, data[at:]
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """The differences of ascending numbers, from zero on; np.cumsum() undoes it."""
+    return np.diff(ascending, prepend=U(0))
+
+
+def squeezed(data: bytes) -> bytes:
+    """data, compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def opened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def gathered(parts: list[bytes], *kinds: type) -> list[np.ndarray]:
-    columns = [unpack(p, *kinds)[0] for p in parts]
+    columns = [unpack(opened(p), *kinds)[0] for p in parts]
     return [np.concatenate([c[k] for c in columns]) if columns else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
 def dealt(to: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
-    """(bucket, packed columns) for each bucket in to."""
+    """(bucket, packed and compressed columns) for each bucket in to."""
     order = np.argsort(to, kind="stable")
     to, columns = to[order], [c[order] for c in columns]
     at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else [0]
-    return [(int(to[a]), pack(*(c[a:b] for c in columns))) for a, b in zip(at, at[1:], strict=False)]
+    return [(int(to[a]), squeezed(pack(*(c[a:b] for c in columns)))) for a, b in zip(at, at[1:], strict=False)]
 
 
 def home(document: np.ndarray, groups: int) -> np.ndarray:
@@ -133,78 +143,132 @@ PACKED = "bucket int, kind int, payload binary"
 OPEN, DECIDED, ASKED = 0, 1, 2
 
 
-def with_documents(document: np.ndarray, place: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns packed with the documents they are of; each document is named once."""
+def with_documents(document: np.ndarray, place: np.ndarray, digit: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns packed with the documents they are of; each document is named once. digit ascends."""
     used, first, index = np.unique(document, return_index=True, return_inverse=True)
-    return pack(*columns, index.astype(np.uint32)) + pack(used, place[first])
+    return pack(steps(digit), *columns, index.astype(np.uint32)) + pack(used, place[first])
 
 
-def of_documents(data: bytes, *kinds: type) -> list[np.ndarray]:
-    """Document, place and columns of with_documents()."""
-    columns, rest = unpack(data, *kinds, np.uint32)
-    (used, place), _ = unpack(rest, np.int64, np.int64)
-    return [used[columns[-1]], place[columns[-1]], *columns[:-1]]
+def of_documents(data: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
+    """Document, place, digit and columns of with_documents(), and what follows them."""
+    columns, rest = unpack(data, np.uint64, *kinds, np.uint32)
+    (used, place), rest = unpack(rest, np.int64, np.int64)
+    return [used[columns[-1]], place[columns[-1]], np.cumsum(columns[0]), *columns[1:-1]], rest
 
 
 def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def digits(docs: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
-    """Pass 1, in the tasks that read: segments by digit. Of a digit that several documents of a pack share, one entry goes on, marked, and the others are decided."""
-
-    def flush(held: list, documents: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        digit, text, number = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((places[text], digit))
-        digit, text, number = digit[order], text[order], number[order]
-        head = np.concatenate([[True], digit[1:] != digit[:-1]])
-        group = np.cumsum(head) - 1
-        last = np.concatenate([np.flatnonzero(head)[1:], [len(digit)]]) - 1
-        shared = (places[text[np.flatnonzero(head)]] != places[text[last]])[group]
-        out = []
-        known = shared & ~head
-        d = documents[text[known]]
-        out += [(b, DECIDED, p) for b, p in dealt(home(d, groups), [d, number[known].astype(np.uint32)])]
-        keep = head | ~shared
-        to = bucket_of(digit[keep], groups)
-        own = text[keep]
-        for b in np.unique(to):
-            mine = slice(*np.searchsorted(to, [b, b + 1]))
-            used, index = np.unique(own[mine], return_inverse=True)
-            body = pack(digit[keep][mine], index.astype(np.uint16), number[keep][mine].astype(np.uint32), shared[keep][mine].astype(np.uint16))
-            out.append((int(b), OPEN, body + pack(documents[used], places[used])))
-        return rows(out)
+def packed_texts(docs: DataFrame, groups: int) -> DataFrame:
+    """The texts of docs (key, place, doc_id, text) by the bucket of their document, several in a pack, compressed."""
 
     def task(batches):
-        held, count, documents, places = [], 0, [], []
-
-        def whole():
-            return flush(held, np.concatenate(documents), np.concatenate(places))
+        held: list[pa.RecordBatch] = []
+
+        def whole() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            to = home(table.column("key").to_numpy(), groups)
+            order = np.argsort(to, kind="stable")
+            table, to = table.take(order), to[order]
+            at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
+            out = []
+            for a, b in zip(at, at[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                    stream.write_table(table.slice(a, b - a).combine_chunks())
+                out.append((int(to[a]), sink.getvalue().to_pybytes()))
+            b, p = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["home", "pack"])
 
         for batch in batches:
-            ids, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, texts in byte_blocks(batch.column(2).to_pylist()):
-                base = sum(map(len, documents))
-                digit, text, _, _, _ = segments(texts, length, gram)
-                held.append((digit, text + base, numbered(text)))
-                documents.append(ids[first : first + len(texts)])
-                places.append(order[first : first + len(texts)])
-                count += len(digit)
-                if count >= PACK or base + len(texts) >= PACK_TEXTS:
-                    if count:
-                        yield whole()
-                    held, count, documents, places = [], 0, [], []
-        if count:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= DEAL:
+                yield whole()
+                held = []
+        if held:
             yield whole()
 
-    return docs.select("key", "place", "text").mapInArrow(task, PACKED)
+    return docs.mapInArrow(task, "home int, pack binary")
+
+
+def unpacked(packs: pa.ChunkedArray):
+    """(key, place, texts, doc_id) of the packs, one after the other."""
+    for p in packs:
+        t = pa.ipc.open_stream(p.as_buffer()).read_all()
+        yield t.column("key").to_numpy(), t.column("place").to_numpy(), t.column("text").to_pylist(), t.column("doc_id")
+
+
+def of_one(digit: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """The digits once and in order, each with its least and its greatest place."""
+    order = np.argsort(digit, kind="stable")
+    digit = digit[order]
+    begin = np.flatnonzero(np.concatenate([[True], digit[1:] != digit[:-1]])) if len(digit) else np.zeros(0, np.int64)
+    if not len(begin):
+        return [digit, low, high]
+    return [digit[begin], np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)]
+
+
+#: Bits of a digit that do not move in pass 1: digits that differ in them alone pass for the same there, and go on to pass 2.
+SHORT = U(8)
+
+
+def digits(texts: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
+    """Pass 1, by document: the digits of a group of documents, by digit, each once, and marked if several of the documents have it."""
+
+    def group(table: pa.Table) -> pa.Table:
+        found = []
+        for _, places, whole, _ in unpacked(table.column("pack")):
+            parts = []
+            for first, block in byte_blocks(whole):
+                digit, text, _, _, _ = segments(block, length, gram)
+                own = places[first + text]
+                parts.append(of_one(digit >> SHORT, own, own))
+            found.append(of_one(*joined(parts)))
+        digit, low, high = of_one(*joined(found))
+        own, out = np.array([table.column("home")[0].as_py()], np.int64).tobytes(), []
+        to = bucket_of(digit << SHORT, groups)
+        for b in np.unique(to):
+            k = slice(*np.searchsorted(to, [b, b + 1]))
+            out.append((int(b), OPEN, squeezed(own + pack(steps(digit[k]), (low[k] != high[k]).astype(np.uint8)))))
+        return pa.Table.from_batches([rows(out)])
+
+    return texts.groupBy("home").applyInArrow(group, PACKED)
+
+
+def shared_digits(packed: DataFrame) -> DataFrame:
+    """Pass 1, by digit: to each group of documents those of its digits that another document has too."""
+
+    def group(table: pa.Table) -> pa.Table:
+        homes, lists, marks = [], [], []
+        for p in map(opened, table.column("payload").to_pylist()):
+            homes.append(int(np.frombuffer(p, np.int64, 1)[0]))
+            (step, mark), _ = unpack(p[8:], np.uint64, np.uint8)
+            lists.append(np.cumsum(step))
+            marks.append(mark)
+        digit = np.concatenate(lists)
+        order = np.argsort(digit, kind="stable")
+        same = digit[order]
+        begin = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        n = np.diff(np.concatenate([begin, [len(same)]]))
+        several = np.empty(len(digit), bool)
+        several[order] = np.repeat((n > 1) | (np.maximum.reduceat(np.concatenate(marks)[order], begin) > 0), n)
+        out, at = [], 0
+        for h, x in zip(homes, lists, strict=True):
+            mine = x[several[at : at + len(x)]]
+            at += len(x)
+            if len(mine):
+                out.append((h, OPEN, squeezed(pack(steps(mine)))))
+        return pa.Table.from_batches([rows(out)])
+
+    return packed.groupBy("bucket").applyInArrow(group, PACKED)
 
 
-def byte_blocks(texts: list[str], most: int = BLOCK):
-    """(first, texts as bytes) of consecutive texts of most bytes together, or one longer text, and 5,000 texts at most."""
+def byte_blocks(texts: list[bytes], most: int = BLOCK):
+    """(first, texts) of consecutive texts of most bytes together, or one longer text, and 5,000 texts at most."""
     out, n, first = [], 0, 0
     for k, t in enumerate(texts):
-        t = (t or "").encode("utf-8", "surrogatepass")
         if out and (n + len(t) > most or len(out) == 5000):
             yield first, out
             out, n, first = [], 0, k
@@ -214,34 +278,6 @@ def byte_blocks(texts: list[str], most: int = BLOCK):
         yield first, out
 
 
-def shared_digits(packed: DataFrame, groups: int) -> DataFrame:
-    """Pass 1, by digit: the documents' segments whose digit occurs in another document."""
-
-    def group(table: pa.Table) -> pa.Table:
-        kinds, payloads = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-        digit, document, place, number, marked = [], [], [], [], []
-        for k, p in zip(kinds, payloads, strict=True):
-            if k == OPEN:
-                (d, index, n, m), rest = unpack(p, np.uint64, np.uint16, np.uint32, np.uint16)
-                (used, where), _ = unpack(rest, np.int64, np.int64)
-                for column, x in zip((digit, document, place, number, marked), (d, used[index], where[index], n, m), strict=True):
-                    column.append(x)
-        out = [(int(b), DECIDED, p) for b, k, p in zip(table.column("bucket").to_numpy(), kinds, payloads, strict=True) if k == DECIDED]
-        if digit:
-            digit, document, place, number, marked = map(np.concatenate, (digit, document, place, number, marked))
-            order = np.argsort(digit, kind="stable")
-            same = digit[order]
-            begin = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-            low, high = np.minimum.reduceat(place[order], begin), np.maximum.reduceat(place[order], begin)
-            several = (low != high) | (np.maximum.reduceat(marked[order], begin) > 0)
-            take = order[np.repeat(several, np.diff(np.concatenate([begin, [len(same)]])))]
-            take = take[np.lexsort((number[take], document[take]))]
-            out += [(b, DECIDED, p) for b, p in dealt(home(document[take], groups), [document[take], number[take].astype(np.uint32)])]
-        return pa.Table.from_batches([rows(out)])
-
-    return packed.groupBy("bucket").applyInArrow(group, PACKED)
-
-
 def by_document(documents: np.ndarray, *columns: np.ndarray) -> dict[int, list[np.ndarray]]:
     order = np.argsort(documents, kind="stable")
     documents, columns = documents[order], [c[order] for c in columns]
@@ -249,12 +285,12 @@ def by_document(documents: np.ndarray, *columns: np.ndarray) -> dict[int, list[n
     return {int(documents[a]): [c[a:b] for c in columns] for a, b in zip(at, at[1:], strict=False)}
 
 
-def fingerprints(docs: DataFrame, shared: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
-    """Pass 2, by document: the hashes of shared segments, by digit. Of equal segments of a pack, those of the earliest document go on and later ones are decided."""
+def fingerprints(texts: DataFrame, shared: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
+    """Pass 2, by document: the hashes of segments with shared digits, by digit. Of equal segments of a pack, those of the earliest document go on and later ones are decided."""
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = by_document(*gathered(right.column("payload").to_pylist(), np.int64, np.uint32))
-        keys, places = left.column("key").to_numpy(), left.column("place").to_numpy()
+        lists = [np.cumsum(unpack(opened(p), np.uint64)[0][0]) for p in right.column("payload").to_pylist()]
+        known = np.sort(np.concatenate(lists)) if lists else np.zeros(0, U)
         out, held, count = [], [], 0
 
         def flush() -> None:
@@ -266,20 +302,16 @@ def fingerprints(docs: DataFrame, shared: DataFrame, groups: int, length: int, g
             to = bucket_of(digit[order], groups)
             for b in np.unique(to):
                 k = order[slice(*np.searchsorted(to, [b, b + 1]))]
-                out.append((int(b), OPEN, with_documents(doc[k], place[k], digit[k], content[k], start[k].astype(np.uint32), run[k].astype(np.uint16))))
-
-        for first, texts in byte_blocks(left.column("text").to_pylist()):
-            digit, text, start, run, content = segments(texts, length, gram)
-            upto = np.searchsorted(text, np.arange(len(texts) + 1))
-            take = []
-            for k in range(len(texts)):
-                if (w := wanted.get(int(keys[first + k]))) is not None:
-                    n = np.unique(w[0]).astype(np.int64)
-                    take.append(upto[k] + n[n < upto[k + 1] - upto[k]])
-            if take:
-                t = np.concatenate(take)
-                held.append([digit[t], content[t], keys[first + text[t]], places[first + text[t]], start[t], run[t]])
-                count += len(t)
+                out.append((int(b), OPEN, squeezed(with_documents(doc[k], place[k], digit[k], content[k], start[k].astype(np.uint32), run[k].astype(np.uint16)))))
+
+        for keys, places, whole, _ in unpacked(left.column("pack")) if len(known) else ():
+            for first, block in byte_blocks(whole):
+                digit, text, start, run, content = segments(block, length, gram)
+                short = digit >> SHORT
+                t = np.flatnonzero(known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
+                if len(t):
+                    held.append([digit[t], content[t], keys[first + text[t]], places[first + text[t]], start[t], run[t]])
+                    count += len(t)
                 if count >= PACK:
                     flush()
                     held, count = [], 0
@@ -287,7 +319,7 @@ def fingerprints(docs: DataFrame, shared: DataFrame, groups: int, length: int, g
             flush()
         return pa.Table.from_batches([rows(out)])
 
-    return docs.groupBy("home").cogroup(shared.groupBy("bucket")).applyInArrow(group, PACKED)
+    return texts.groupBy("home").cogroup(shared.groupBy("bucket")).applyInArrow(group, PACKED)
 
 
 def ranked(digit: np.ndarray, content: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +354,7 @@ def whole_segments(packed: DataFrame, groups: int) -> DataFrame:
     def group(table: pa.Table) -> pa.Table:
         out, others = passed(table)
         if OPEN in others:
-            doc, place, digit, content, start, run = joined([of_documents(p, np.uint64, np.uint64, np.uint32, np.uint16) for p in others[OPEN]])
+            doc, place, digit, content, start, run = joined([of_documents(opened(p), np.uint64, np.uint32, np.uint16)[0] for p in others[OPEN]])
             order, least = ranked(digit, content, run, place)
             late = order[place[order] > least]
             out += removed(doc[late], start[late], run[late], groups)
@@ -339,14 +371,13 @@ def whole_segments(packed: DataFrame, groups: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(group, PACKED)
 
 
-def contents(docs: DataFrame, asked: DataFrame, groups: int, length: int) -> DataFrame:
+def contents(texts: DataFrame, asked: DataFrame, groups: int, length: int) -> DataFrame:
     """Pass 3, by document: the bytes that were asked for, by digit."""
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         out, others = passed(right)
         if ASKED in others:
             wanted = by_document(*gathered(others[ASKED], np.int64, np.uint64, np.uint32, np.uint16))
-            keys, places = left.column("key").to_numpy(), left.column("place").to_numpy()
             held: list[list[np.ndarray]] = []
             body: list[bytes] = []
             size, met = 0, set()
@@ -357,26 +388,25 @@ def contents(docs: DataFrame, asked: DataFrame, groups: int, length: int) -> Dat
                 to = bucket_of(digit[order], groups)
                 for b in np.unique(to):
                     k = order[slice(*np.searchsorted(to, [b, b + 1]))]
-                    packed = pack(digit[k], doc[k], place[k], start[k], run[k])
-                    out.append((int(b), OPEN, packed + b"".join(body[x] for x in k)))
-
-            for k, t in enumerate(left.column("text").to_pylist()):
-                if (w := wanted.get(int(keys[k]))) is None or int(keys[k]) in met:
-                    continue
-                met.add(int(keys[k]))  # rows equal in id and text are one document
-                t = t.encode("utf-8", "surrogatepass")
-                digit, start, run = w
-                held.append([digit, np.full(len(digit), keys[k]), np.full(len(digit), places[k]), start, run])
-                body += [t[a : a + n + length - 1] for a, n in zip(start.tolist(), run.tolist(), strict=True)]
-                size += sum(map(len, body[-len(digit) :]))
-                if size > 16 * BLOCK:
-                    flush()
-                    held, body, size = [], [], 0
+                    out.append((int(b), OPEN, squeezed(with_documents(doc[k], place[k], digit[k], start[k], run[k]) + b"".join(body[x] for x in k))))
+
+            for keys, places, whole, _ in unpacked(left.column("pack")):
+                for key, place, t in zip(keys.tolist(), places.tolist(), whole, strict=True):
+                    if (w := wanted.get(key)) is None or key in met:
+                        continue
+                    met.add(key)  # rows equal in id and text are one document
+                    digit, start, run = w
+                    held.append([digit, np.full(len(digit), key), np.full(len(digit), place), start, run])
+                    body += [t[a : a + n + length - 1] for a, n in zip(start.tolist(), run.tolist(), strict=True)]
+                    size += sum(map(len, body[-len(digit) :]))
+                    if size > 16 * BLOCK:
+                        flush()
+                        held, body, size = [], [], 0
             if held:
                 flush()
         return pa.Table.from_batches([rows(out)])
 
-    return docs.groupBy("home").cogroup(asked.groupBy("bucket")).applyInArrow(group, PACKED)
+    return texts.groupBy("home").cogroup(asked.groupBy("bucket")).applyInArrow(group, PACKED)
 
 
 def equal_windows(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -405,12 +435,12 @@ def repeated(packed: DataFrame, groups: int, length: int) -> DataFrame:
         out, others = passed(table)
         parts, body = [], []
         for p in others.get(OPEN, []):
-            columns, rest = unpack(p, np.uint64, np.int64, np.int64, np.uint32, np.uint16)
+            columns, rest = of_documents(opened(p), np.uint32, np.uint16)
             parts.append(columns)
             body.append(rest)
         if not parts:
             return pa.Table.from_batches([rows(out)])
-        digit, doc, place, start, run = map(np.concatenate, zip(*parts, strict=True))
+        doc, place, digit, start, run = joined(parts)
         run = run.astype(np.int64)
         text = b"".join(body)
         begin = np.cumsum(run + length - 1) - (run + length - 1)
@@ -454,30 +484,30 @@ def repeated(packed: DataFrame, groups: int, length: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(group, PACKED)
 
 
-def cut_texts(docs: DataFrame, gone: DataFrame, kind: T.DataType, length: int) -> DataFrame:
+def cut_texts(texts: DataFrame, gone: DataFrame, kind: T.DataType, length: int) -> DataFrame:
     """Pass 4, by document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
 
+    def cut(t: bytes, start: np.ndarray, run: np.ndarray) -> tuple[int, int, int, bytes]:
+        start, run = start.astype(np.int64), run.astype(np.int64)
+        order = np.argsort(start)
+        a, b = start[order], (start + run + length - 1)[order]
+        b = np.maximum.accumulate(b)
+        head = np.concatenate([[True], a[1:] > b[:-1]])
+        a, b = a[head], np.concatenate([b[:-1][head[1:]], b[-1:]])
+        edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(t)]
+        return len(t), int((b - a).sum()), len(a), b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         removal = by_document(*gathered(right.column("payload").to_pylist(), np.int64, np.uint32, np.uint32))
-        found = []
-        for k, t in zip(left.column("key").to_pylist(), left.column("text").to_pylist(), strict=True):
-            t = t.encode("utf-8", "surrogatepass")
-            if k not in removal:
-                found.append((len(t), 0, 0, t))
-                continue
-            start, run = (x.astype(np.int64) for x in removal[k])
-            order = np.argsort(start)
-            a, b = start[order], (start + run + length - 1)[order]
-            b = np.maximum.accumulate(b)
-            head = np.concatenate([[True], a[1:] > b[:-1]])
-            a, b = a[head], np.concatenate([b[:-1][head[1:]], b[-1:]])
-            edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(t)]
-            found.append((len(t), int((b - a).sum()), len(a), b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))))
-        n = list(zip(*found, strict=True)) if found else [()] * 4
-        return pa.table([left.column("doc_id"), *(pa.array(x, pa.int64()) for x in n[:3]), pa.array(n[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        found, ids = [], []
+        for keys, _, whole, doc_id in unpacked(left.column("pack")):
+            ids += doc_id.chunks
+            found += [cut(t, *removal[k]) if k in removal else (len(t), 0, 0, t) for k, t in zip(keys.tolist(), whole, strict=True)]
+        n = list(zip(*found, strict=True))
+        return pa.table([pa.chunked_array(ids), *(pa.array(x, pa.int64()) for x in n[:3]), pa.array(n[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType().add("doc_id", kind).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType()).add("kept", T.BinaryType())
-    return docs.groupBy("home").cogroup(gone.groupBy("bucket")).applyInArrow(group, schema)
+    return texts.groupBy("home").cogroup(gone.groupBy("bucket")).applyInArrow(group, schema)
 
 
 def substring_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -485,12 +515,12 @@ def substring_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     groups = buckets(documents)
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     place = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    docs = documents.select(key(doc_id, text).alias("key"), place.alias("place"), F.col(doc_id).alias("doc_id"), plain.alias("text"))
-    homed = docs.withColumn("home", F.pmod("key", F.lit(groups)).cast("int"))  # dealt by home once, for passes 2 to 4
-    shared = shared_digits(digits(docs, groups, length, gram), groups)
-    asked = whole_segments(fingerprints(homed, shared, groups, length, gram), groups)
-    gone = repeated(contents(homed, asked, groups, length), groups, length)
-    return cut_texts(homed, gone, documents.schema[doc_id].dataType, length)
+    docs = documents.select(key(doc_id, text).alias("key"), place.alias("place"), F.col(doc_id).alias("doc_id"), plain.cast("binary").alias("text"))
+    texts = packed_texts(docs, groups)  # dealt once, for all passes
+    shared = shared_digits(digits(texts, groups, length, gram))
+    asked = whole_segments(fingerprints(texts, shared, groups, length, gram), groups)
+    gone = repeated(contents(texts, asked, groups, length), groups, length)
+    return cut_texts(texts, gone, documents.schema[doc_id].dataType, length)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

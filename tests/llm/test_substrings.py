@@ -72,3 +72,19 @@ def test_empty(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, S.op5(spark, f"/root/testdata/{sf}").collect()), key=str) == sorted(brute_force(rows), key=str)
+
+
+def test_little_moves(spark):
+    """The texts move once, compressed, and of a segment that nothing repeats only a part of its digit."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    size = S.op5(spark, "/root/testdata/sf0.01").agg({"n_bytes": "sum"}).first()[0]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < written() - before < 1.7 * size, (written() - before) / size
+
+
+def test_digits_that_differ_in_what_does_not_move(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHORT", S.U(40))  # so all but 256 digits pass for the same
+    check(spark, made(4, 80))
+    monkeypatch.setattr(S, "DEAL", 300)
+    check(spark, made(5, 60))
